@@ -26,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import once
+
 ORDER = 3
 MAX_LANGUAGES = 200
 #: Bytes scored at a time.
 SLICE = 1 << 20
-_SCORERS: dict[str, "Scorer"] = {}
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,11 +198,9 @@ def identify(docs: DataFrame, grams: dict, id_col: str = "doc_id", text_col: str
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value)
+        scorer = once(("language", name), lambda: Scorer(shared.value))
         for batch in batches:
-            out = _SCORERS[name].predict(batch["_text"].tolist())
+            out = scorer.predict(batch["_text"].tolist())
             out.insert(0, id_col, batch["_id"].values)
             yield out
 

@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: Rules that may be sent to executors at most: their strings and digests then take under 200 MB.
 MAX_RULES = 1_000_000
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
-_MAPPED: dict[str, "DigestArray"] = {}
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -107,11 +108,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _MAPPED:
-            _MAPPED.clear()
-            _MAPPED[name] = DigestArray(rules)
+        array = once(("urls", name), lambda: DigestArray(rules))
         for batch in batches:
-            out = _MAPPED[name].judge([None if u is None or u is pd.NA else u for u in batch["_url"]], default)
+            out = array.judge([None if u is None or u is pd.NA else u for u in batch["_url"]], default)
             out.insert(0, id_col, batch["_id"].values)
             yield out
 
