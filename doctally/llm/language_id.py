@@ -172,10 +172,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Four-byte runs of a bounded sample of each language. The driver holds at most languages x max_grams integers."""
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where("_lang is not null and _id is not null")
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_id", "_lang").limit(sample_rows * (MAX_LANGUAGES + 1)).collect()
-    if len({r["_lang"] for r in chosen}) > MAX_LANGUAGES:
+    sizes = ids.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # of each language about twice the rows wanted pass a cut on the id hash before they meet in one task
+    parts = 1 << 40
+    cut = F.lit(0).cast("long")
+    for r in sizes:
+        cut = F.when(F.col("_lang") == r["_lang"], F.lit(min(parts, parts * 2 * sample_rows // r["count"]))).otherwise(cut)
+    code = F.xxhash64(F.col("_id").cast("string"))
+    order = Window.partitionBy("_lang").orderBy(code, "_id")
+    chosen = ids.where(F.pmod(code, F.lit(parts)) < cut).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_id", "_lang").collect()
     if not chosen:
         return {}
     picked = spark.createDataFrame(sorted({(r["_id"],) for r in chosen}), f"_id {docs.schema[id_col].dataType.simpleString()}")

@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
 Learning, on a bounded sample of labelled rows: for each token the log-odds of standing in a toxic rather than a clean document, with an
-informative Dirichlet prior in proportion to its overall frequency; the estimate's standard error is taken off, so that rare tokens count
+informative Dirichlet prior in proportion to its overall frequency (a word also counts under its four-letter stem); the estimate's standard error is taken off, so that rare tokens count
 little. A fixed drift makes the mean score of clean text negative.
 
 Scoring: one pass finds all maximal segments of positive score (linear time). Under the clean token frequencies such scores follow an extreme-value law with
@@ -12,7 +12,7 @@ a document, and score = odds / (1 + odds) with odds = c / E, where c is fitted s
 Bounds (parameters): `sample_rows` labelled rows of each class, those with the smallest id hash; `max_tokens` weights kept, the largest in size. Scoring
 covers every whole text.
 
-Nulls: null and empty texts have no token and the score of a clean text of length one. Rows with a null label teach nothing; if either class is missing
+Nulls: null and empty texts have no token and the score of a clean text of the least length. Rows with a null label teach nothing; if either class is missing
 from the sample, every score is 0. Repeated rows get equal results. Extra columns are kept by `reject` and not touched by `score`.
 """
 
@@ -36,6 +36,26 @@ THRESHOLD = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def stem(word: str) -> str:
+    """The stem that a word is also counted under, so that forms never seen can be scored."""
+    return word[:4] + "*"
+
+
+class Weights(dict):
+    """Words to weights: of the word's own weight and its stem's the larger in size; None where neither is known."""
+
+    def __init__(self, weights: dict[str, float], most: int = 300_000):
+        super().__init__()
+        self.weights, self.most = weights, most
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) >= self.most:
+            self.clear()
+        both = [x for x in (self.weights.get(word), self.weights.get(stem(word))) if x is not None]
+        self[word] = out = max(both, key=abs, default=None)
+        return out
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -45,11 +65,15 @@ class Model:
     log_c: float = 0.0
     significance: float = 0.05
     usable: bool = True
+    least: int = 300  # tokens that a text counts as at least: a short one is no evidence
+
+    def __post_init__(self) -> None:
+        self.known = Weights(self.weights)
 
     def segments(self, tokens: list[str]) -> list[tuple[float, int, int]]:
         """All maximal scoring segments as (score, first token, end)."""
-        get, drift = self.weights.get, self.drift
-        marked = [(i, w) for i, w in enumerate(map(get, tokens)) if w is not None]
+        drift = self.drift
+        marked = [(i, w) for i, w in enumerate(map(self.known.__getitem__, tokens)) if w is not None]
         found: list[list] = []  # [sum before, sum through, first, end, the segment to its left whose sum before is smaller]
         total, last = 0.0, -1
         for i, w in marked:
@@ -72,17 +96,17 @@ class Model:
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of at least this score a clean text of n tokens has by chance."""
-        return self.scale * max(n, 1) * math.exp(-self.rate * score)
+        return self.scale * max(n, self.least) * math.exp(-self.rate * score)
 
     def evidence(self, text: str | None) -> float:
         """Log of the chance expectation that stands against the text (lower: more toxic)."""
         tokens = _TOKEN.findall(text.lower()) if text else []
         segments = self.segments(tokens)
         if not segments:
-            return math.log(self.scale * max(len(tokens), 1))
+            return math.log(self.scale * max(len(tokens), self.least))
         strong = [s for s, _, _ in segments if self.expected(s, len(tokens)) <= self.significance]
         total = sum(strong) or max(s for s, _, _ in segments)
-        return math.log(self.scale * max(len(tokens), 1)) - self.rate * total
+        return math.log(self.scale * max(len(tokens), self.least)) - self.rate * total
 
     def score(self, text: str | None) -> float:
         if not self.usable:
@@ -97,7 +121,7 @@ class Model:
         return [x for x in found if x[3] <= self.significance]
 
 
-def log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, prior: float, errors: float = 2.5) -> dict[str, float]:
+def log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, prior: float, errors: float = 3.0) -> dict[str, float]:
     """Log-odds per token, drawn towards zero by so many standard errors; counts are of documents."""
     out, n = {}, n_toxic + n_clean
     for w in {*toxic, *clean}:
@@ -143,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows = Counter()
         for batch in batches:
             for text, toxic in zip(batch["_text"], batch["_toxic"], strict=True):
-                found[bool(toxic)].update(set(_TOKEN.findall(text.lower())))
+                words = set(_TOKEN.findall(text.lower()))
+                found[bool(toxic)].update(words | set(map(stem, words)))
                 rows[bool(toxic)] += 1
         words = sorted({*found[True], *found[False]})
         yield pd.DataFrame({"token": words, "toxic": [found[True][w] for w in words], "clean": [found[False][w] for w in words]}, dtype=object)
@@ -159,8 +184,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = log_odds(toxic, clean, n_toxic, n_clean, prior)
     best = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:max_tokens]
     weights = {w: odds[w] - drift for w in best if odds[w] != 0}
-    scores = np.array([*weights.values(), -drift])
-    chances = np.array([clean.get(w, 0) + 0.01 for w in weights] + [sum(clean.get(w, 0) for w in odds if w not in weights) + 1.0])
+    resolve, words = Weights(weights), [w for w in odds if not w.endswith("*")]
+    scores = np.array([resolve[w] or -drift for w in words] + [-drift])
+    chances = np.array([clean.get(w, 0) + 0.01 for w in words] + [1.0])
     model = Model(weights, drift, tail_rate(scores, chances / chances.sum()))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
