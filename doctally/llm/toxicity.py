@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
 Learning, on a bounded sample of labelled rows: for each token the log-odds of standing in a toxic rather than a clean document, with an
-informative Dirichlet prior in proportion to its overall frequency (a word also counts under its four-letter stem); the estimate's standard error is taken off, so that rare tokens count
+informative Dirichlet prior in proportion to its overall frequency (a word also counts under its stems of six, five and four letters,
+see Weights); the estimate's standard error is taken off, so that rare tokens count
 little. A fixed drift makes the mean score of clean text negative.
 
 Scoring: one pass finds all maximal segments of positive score (linear time). Under the clean token frequencies such scores follow an extreme-value law with
@@ -36,29 +37,35 @@ THRESHOLD = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def stem(word: str) -> str:
-    """The stem that a word is also counted under, so that forms never seen can be scored."""
-    return word[:4] + "*"
+def forms(word: str) -> tuple[str, ...]:
+    """The word and the ever shorter stems that it is also counted under, so that words never seen can be scored."""
+    return (word, word[:6] + "*", word[:5] + "*", word[:4] + "*")
 
 
 class Weights(dict):
-    """Words to weights: of the word's own weight and its stem's the larger in size; None where neither is known."""
+    """Words to weights: the largest among the word's forms, from the longest on down to the first that clean text is known to use; None if no form is known."""
 
-    def __init__(self, weights: dict[str, float], most: int = 300_000):
+    def __init__(self, weights: dict[str, tuple[float, bool]], most: int = 300_000):
         super().__init__()
         self.weights, self.most = weights, most
 
     def __missing__(self, word: str) -> float | None:
         if len(self) >= self.most:
             self.clear()
-        both = [x for x in (self.weights.get(word), self.weights.get(stem(word))) if x is not None]
-        self[word] = out = max(both, key=abs, default=None)
-        return out
+        best = None
+        for x in forms(word):
+            if x in self.weights:
+                weight, clean = self.weights[x]
+                best = weight if best is None else max(best, weight)
+                if clean:
+                    break
+        self[word] = best
+        return best
 
 
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[str, tuple[float, bool]]  # of each form, and whether clean text uses it
     drift: float
     rate: float = 1.0
     scale: float = 1.0
@@ -148,7 +155,7 @@ def tail_rate(scores: np.ndarray, chances: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, max_tokens: int = 100_000, prior: float = 2.0, drift: float = 1.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, max_tokens: int = 100_000, prior: float = 2.0, drift: float = 1.0, support: int = 5) -> Model:
     """Fit on at most sample_rows toxic and as many clean rows."""
     spark = docs.sparkSession
     order = F.xxhash64(F.col("_id").cast("string"))
@@ -168,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for text, toxic in zip(batch["_text"], batch["_toxic"], strict=True):
                 words = set(_TOKEN.findall(text.lower()))
-                found[bool(toxic)].update(words | set(map(stem, words)))
+                found[bool(toxic)].update({x for w in words for x in forms(w)})
                 rows[bool(toxic)] += 1
         words = sorted({*found[True], *found[False]})
         yield pd.DataFrame({"token": words, "toxic": [found[True][w] for w in words], "clean": [found[False][w] for w in words]}, dtype=object)
@@ -182,10 +189,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_clean = kept[0]["toxic"], kept[0]["clean"]
     toxic, clean = ({r["token"]: r[k] for r in kept[1:]} for k in ("toxic", "clean"))
     odds = log_odds(toxic, clean, n_toxic, n_clean, prior)
-    best = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:max_tokens]
-    weights = {w: odds[w] - drift for w in best if odds[w] != 0}
+    known = [w for w in odds if clean.get(w, 0) > 1 or toxic.get(w, 0) >= support]
+    best = sorted(known, key=lambda w: (-abs(odds[w]), -toxic.get(w, 0) - clean.get(w, 0), w))[:max_tokens]
+    weights = {w: (odds[w] - drift, clean.get(w, 0) > 1) for w in best}
     resolve, words = Weights(weights), [w for w in odds if not w.endswith("*")]
-    scores = np.array([resolve[w] or -drift for w in words] + [-drift])
+    scores = np.array([-drift if resolve[w] is None else resolve[w] for w in words] + [-drift])
     chances = np.array([clean.get(w, 0) + 0.01 for w in words] + [1.0])
     model = Model(weights, drift, tail_rate(scores, chances / chances.sum()))
 
