@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import language_id, media, packing, toxicity, url_filter, warc
+from . import decontaminate, language_id, media, packing, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op3_language_id": language_id.op3_language_id,
         "op4_media_columns": media.op4_media_columns,
         "op5_warc": warc.op5_warc,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_secrets": secrets.op8_secrets,
         "op10_packing": packing.op10_packing,
     }
 
