@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, media, packing, secrets, toxicity, url_filter, warc
+from . import decontaminate, language_id, media, near_dedup, packing, secrets, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_language_id": language_id.op3_language_id,
         "op4_media_columns": media.op4_media_columns,
         "op5_warc": warc.op5_warc,
