@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, media, near_dedup, packing, secrets, toxicity, url_filter, warc
+from . import decontaminate, language_id, media, near_dedup, packing, secrets, tool_calls, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,9 +15,10 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_secrets": secrets.op8_secrets,
+        "op9_tool_calls": tool_calls.op9_tool_calls,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE}
+    return {"op7_url_filter": url_filter.ORACLE, "op9_tool_calls": tool_calls.ORACLE}
