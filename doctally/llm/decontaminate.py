@@ -41,7 +41,7 @@ def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     return places.select(*keep, "_words", "_at", F.explode(F.array(*codes)).alias("_hash"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.8, least: int = 12, block: int = BLOCK) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.7, least: int = 12, block: int = BLOCK) -> DataFrame:
     """One row per document and benchmark item that it overlaps: ids, verified hits, most equal words, the largest share of equal words, first word of the first hit."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), words_of(item_text_col).alias("_words"))
     named = materialise(items.withColumn("_class", F.xxhash64(F.array_join("_words", " "))))
