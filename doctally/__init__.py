@@ -1,0 +1 @@
+"""Document-consistency analytics on Spark."""
