@@ -165,7 +165,7 @@ def table_claims(tables: DataFrame, config: Config = DEFAULT) -> DataFrame:
     norm = lambda c: F.coalesce(X.collapse(c), F.lit(""))
     grid = F.filter(F.transform("cells", lambda row: F.transform(row, norm)), lambda row: F.exists(row, lambda c: c != ""))
     t = tables.select("table_id", norm(F.col("caption")).alias("_cap"), grid.alias("_g")).where(F.size("_g") > 0)
-    t = t.withColumn("_cols", F.array_max(F.transform("_g", lambda r: F.size(r)))).withColumn("_head", F.col("_g")[0])
+    t = t.withColumn("_cols", F.array_max(F.transform("_g", lambda r: F.size(r)))).withColumn("_head", F.get("_g", F.lit(0)))
     t = t.withColumn("_named", F.filter("_head", lambda c: c != ""))
     labels = F.size("_named")
     two = (labels == 2) & ~numeric(F.get("_head", F.lit(0))) & ~numeric(F.coalesce(F.get("_head", F.lit(1)), F.lit("")))
