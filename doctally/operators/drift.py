@@ -73,3 +73,18 @@ def topic_labels(points: DataFrame, centers: DataFrame) -> DataFrame:
 def halves(points: DataFrame, by: str, order: str) -> DataFrame:
     """points and half: 1 or 2 by position."""
     return points.withColumn("half", F.ntile(2).over(Window.partitionBy(by).orderBy(order)))
+
+
+def minibatch_step(centers: DataFrame, points: DataFrame) -> DataFrame:
+    """centers (topic_id, center, weight) after one mini-batch of points (vec_id, embedding): each moves towards the mean of its points by their share of its weight.
+
+    Meant for foreachBatch, with the centers kept in a table; fewer points than centers change nothing.
+    """
+    if points.count() < centers.count():
+        return centers
+    assigned = points.join(nearest_center(points, centers.select("topic_id", "center"), ["vec_id"]), "vec_id")
+    means = centroids(assigned, ["topic_id"]).join(assigned.groupBy("topic_id").agg(F.count(F.lit(1)).cast("double").alias("_n")), "topic_id").withColumnRenamed("center", "_mean")
+    share = F.coalesce("_n", F.lit(0.0)) / (F.col("weight") + F.coalesce("_n", F.lit(0.0)))
+    moved = centers.join(means, "topic_id", "left").withColumn("_s", share)
+    at = F.when(F.col("_mean").isNull(), F.col("center")).otherwise(F.zip_with("center", "_mean", lambda c, m: c + (m - c) * F.col("_s")))
+    return moved.select("topic_id", at.alias("center"), (F.col("weight") + F.coalesce("_n", F.lit(0.0))).alias("weight"))

@@ -90,3 +90,9 @@ def impact_trace(edges: DataFrame, start, config: Config = DEFAULT) -> DataFrame
         )
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0").select("node", "depth", "parent", F.round("impact", 4).alias("impact"))
+
+
+def upsert_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Entities (org_id, name, kind) after mentions (org_id, name, kind, ord): a new name is added once, with its first kind; a known one stays."""
+    first = mentions.groupBy("org_id", "name").agg(F.min_by("kind", "ord").alias("kind"))
+    return entities.unionByName(first.join(entities, ["org_id", "name"], "left_anti").select(*entities.columns))

@@ -768,3 +768,34 @@ def event_sessions(spark, sf_dir):
     from ..streaming import windows as W
 
     return W.sessions(W.timed(table(spark, sf_dir, "events")), "30 minutes")
+
+
+@query(
+    "entity_upsert",
+    """WITH known AS (SELECT n_regionkey AS org_id, n_name AS name, 'nation' AS kind FROM nation), said AS (SELECT n_regionkey AS org_id, left(n_name, 1) AS name, 'initial' AS kind FROM nation UNION SELECT n_regionkey, n_name, 'other' FROM nation)
+    SELECT * FROM known UNION ALL SELECT DISTINCT org_id, name, kind FROM said WHERE (org_id, name) NOT IN (SELECT org_id, name FROM known)""",
+)
+def entity_upsert(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    known = nations.select(F.col("n_regionkey").alias("org_id"), F.col("n_name").alias("name"), F.lit("nation").alias("kind"))
+    said = nations.select(F.col("n_regionkey").alias("org_id"), F.left("n_name", F.lit(1)).alias("name"), F.lit("initial").alias("kind"), F.col("n_nationkey").alias("ord"))
+    other = known.withColumns({"kind": F.lit("other"), "ord": F.lit(99)})
+    return G.upsert_entities(known, said.unionByName(other))
+
+
+@query(
+    "topic_assign",
+    f"WITH {_CENTERS.format('WHERE vec_id % 2 = 0')}, d AS (SELECT vec_id, topic_id, {_DIST} AS distance FROM embeddings e, c), b AS (SELECT vec_id, (min((distance, topic_id)))[2] AS topic_id FROM d GROUP BY 1) SELECT topic_id, count(*) AS n FROM b GROUP BY 1",
+)
+def topic_assign(spark, sf_dir):
+    rows = vectors_of(spark, sf_dir).select("vec_id", "embedding")
+    return D.nearest_center(rows, centers_of(spark, sf_dir, "vec_id % 2 = 0"), ["vec_id"]).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("topic_fit")
+def topic_fit(spark, sf_dir):
+    rows = vectors_of(spark, sf_dir).select("vec_id", "embedding")
+    centers = V.cluster_fit(rows.where("vec_id % 2 = 0"), 10).withColumn("weight", F.lit(20.0))
+    moved = D.minibatch_step(centers, rows.where("vec_id % 2 = 1"))
+    both = centers.select("topic_id", F.col("center").alias("_old")).join(moved, "topic_id")
+    return both.select("topic_id", F.round(D.distance(F.col("_old"), F.col("center")), 6).alias("moved"), "weight")

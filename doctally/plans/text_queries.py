@@ -388,3 +388,15 @@ _REPLY = """CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Here: ```json ' ELSE
 )
 def json_claim_recovery(spark, sf_dir):
     return T.recover_json_claims(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS reply_id", f"{_REPLY} AS reply"))
+
+
+@query(
+    "table_chunks",
+    """SELECT 'prose' AS kind, doc_id AS table_id, count(*) AS n, 0::DOUBLE AS weight FROM (SELECT doc_id, unnest(range(0, len(list_filter(string_split_regex(text, '\\s+'), lambda z: z <> '')), 462)) AS i FROM documents WHERE doc_id < 5) GROUP BY doc_id
+    UNION ALL SELECT 'table', r_regionkey, 2 * count(*), 1.2 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""",
+)
+def table_chunks(spark, sf_dir):
+    prose = T.chunk_windows(docs_of(spark, sf_dir).where("doc_id < 5")).groupBy(F.col("doc_id").alias("table_id")).agg(F.count(F.lit(1)).alias("n"))
+    facts = table_claims(spark, sf_dir).groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = lambda rows, kind, weight: rows.select(F.lit(kind).alias("kind"), "table_id", "n", F.lit(weight).alias("weight"))
+    return kinds(prose, "prose", 0.0).union(kinds(facts, "table", 1.2))
