@@ -11,10 +11,10 @@ which all slots are filled, so that a long text costs one draw a shingle and a s
 0.8 with probability 0.9999.
 
 Scale: equal texts are one vertex, found by digest with a pre-aggregated group; a text's signature row is a few hundred bytes and texts are not
-shuffled for it. In a band's bucket of up to SMALL texts all pairs are verified. In a larger one each text is verified against two
-pivots; those that end in no pivot's component go on to the next round, with twice as many pivots from among themselves, until none is
-left, so no member is left out, rounds are few, and a group of copies gives a few pairs a text. Components are found by label propagation with pointer jumping on tables in the
-shared folder.
+shuffled for it. All pairs of texts that share a band's bucket are verified. In a bucket of up to SMALL texts they are rows; a larger one is cut into
+blocks of some BLOCK texts, or of BLOCK_CHARS characters, and a task takes two blocks and counts what all their pairs share by matrix products. The work is
+quadratic in a bucket's size, no row is a pair, and a text goes along as often as its bucket has blocks. Buckets with the same members are verified once.
+Components are found by label propagation with pointer jumping on tables in the shared folder.
 
 Nulls: rows with a null id have a null class. Null texts and texts without a word are no near-duplicates of anything; equal empty texts form a class. Rows that share an id
 are one document. An empty table gives an empty result. Other columns, whatever their names, are not touched by `near_duplicates` and kept by `keep_one`.
@@ -36,8 +36,12 @@ from .common import BROADCAST_IDS, discard, materialise, once, without_ids
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-#: Texts in a bucket of which all pairs are verified.
+#: Texts in a bucket whose pairs are made as rows.
 SMALL = 8
+#: Texts, and characters, of a block of a larger bucket.
+BLOCK, BLOCK_CHARS = 512, 1_000_000
+#: Elements that a matrix product takes at once.
+COLUMNS = 8192
 #: Shingles whose points are made together.
 TOGETHER = 400_000
 _WORD = re.compile(r"\w+")
@@ -143,7 +147,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """_id, _sha and the band keys of each text (none for a text without words)."""
+    """_id, _sha, the length and the band keys of each text (none for a text without words)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = once(("words",), WordCodes)
@@ -172,10 +176,10 @@ def _signed(rows: DataFrame) -> DataFrame:
                         flush()
                         size = 0
             flush()
-            yield pd.DataFrame({"_id": batch["_id"].values, "_sha": shas, "_keys": [known[s] for s in shas]})
+            yield pd.DataFrame({"_id": batch["_id"].values, "_sha": shas, "_size": [len(t) for t in texts], "_keys": [known[s] for s in shas]})
             last = known
 
-    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _sha string, _keys array<long>")
+    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _sha string, _size long, _keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -218,34 +222,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.drop("_new")
 
 
-def _candidates(members: DataFrame, turn: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify in the buckets (_key, _v), and the members of buckets that are too large for all pairs, with their pivots _ps.
-
-    The pivots of a bucket are the smallest members of 2, 4, 8, ... hash classes as turns go on.
-    """
-    classes = F.pmod(F.xxhash64(F.col("_v"), F.lit(turn)), F.lit(2 << min(turn, 12)))
-    halves = members.groupBy("_key", classes.alias("_c")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_p"))
-    sized = halves.groupBy("_key").agg(F.sum("_m").alias("_n"), F.collect_list("_p").alias("_ps")).where("_n > 1")
+def _candidates(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify in the buckets (_key, _v, _size) of up to `small` texts, and the members of larger ones, once for buckets with the same members."""
+    same = [F.bit_xor(F.xxhash64("_v", F.lit(k))).alias(f"_x{k}") for k in range(2)]
+    sized = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_chars"), *same).where("_n > 1")
     joined = materialise(members.join(sized.hint("merge"), "_key"))
     tiny, large = joined.where(F.col("_n") <= small).select("_key", "_v"), joined.where(F.col("_n") > small)
     other = tiny.select("_key", F.col("_v").alias("_b"))
     within = tiny.withColumnRenamed("_v", "_a").join(other.hint("merge"), "_key").where("_a < _b").select("_a", "_b")
-    star = large.select("_v", F.explode("_ps").alias("_p")).where("_v != _p")
-    return materialise(within.union(star.select(F.least("_v", "_p"), F.greatest("_v", "_p"))).distinct()), large
+    once_each = large.groupBy("_n", "_x0", "_x1").agg(F.min("_key").alias("_key")).select("_key")
+    return materialise(within.distinct()), materialise(large.join(once_each.hint("merge"), "_key", "left_semi").select("_key", "_v", "_n", "_chars"))
+
+
+def shared_counts(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum of the smaller counts for each bag of x and each of y."""
+    bags = [*x, *y]
+    sizes = [int(c.sum()) for _, c in bags]
+    # an element of count w is w elements, of which the k-th is shared with all bags that have k at least
+    nth = np.concatenate([np.arange(c.sum()) - np.repeat(c.cumsum() - c, c) for _, c in bags]).astype(np.uint64)
+    element = _mix(np.concatenate([np.repeat(e, c) for e, c in bags]) + nth * _U(0x9E3779B97F4A7C15))
+    row = np.repeat(np.arange(len(bags)), sizes)
+    order = np.argsort(element, kind="stable")
+    element, row = element[order], row[order]
+    new = np.r_[True, element[1:] != element[:-1]][: len(element)]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (low, low + COLUMNS))
+        part = np.zeros((len(bags), COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        out += part[: len(x)] @ part[len(x) :].T
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
+def _block_links(large: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (_a, _b) that connect what any pair of at least this similarity in a bucket (_key, _v, _n, _chars) connects."""
+    kind = large.schema["_v"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        codes = once(("words",), WordCodes)
+        bags = [shingles(t, codes) for t in group["_text"]]
+        first, alone = group["_first"].to_numpy(), bool(group["_i"].iloc[0] == group["_j"].iloc[0])
+        x = np.flatnonzero(first)
+        y = x if alone else np.flatnonzero(~first)
+        near = np.zeros((len(bags), len(bags)), bool)
+        if len(x) and len(y):
+            size = np.array([c.sum() for _, c in bags], np.float64)
+            shared = shared_counts([bags[k] for k in x], [bags[k] for k in y])
+            near[np.ix_(x, y)] = shared >= (threshold - 1e-12) * (size[x][:, None] + size[y][None, :] - shared)
+            near |= near.T
+        ids, todo, out = group["_v"].tolist(), np.ones(len(bags), bool), []
+        for k in range(len(bags)):
+            if todo[k]:
+                todo[k], reached = False, np.array([k])
+                while len(reached):
+                    reached = np.flatnonzero(near[reached].any(axis=0) & todo)
+                    todo[reached] = False
+                    out += [(ids[k], ids[m]) for m in reached]
+        return pd.DataFrame(out, columns=["_a", "_b"])
+
+    blocks = F.ceil(F.greatest(F.col("_n") / block, F.col("_chars") / BLOCK_CHARS)).cast("int")
+    own = large.select("_key", "_v", blocks.alias("_m")).withColumn("_c", F.pmod(F.xxhash64("_v", F.lit(2)), F.col("_m")).cast("int"))
+    rows = own.select("_key", "_v", "_c", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
+    rows = rows.select("_key", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_v", (F.col("_c") <= F.col("_o")).alias("_first"))
+    rows = rows.join(texts.select(F.col("_id").alias("_v"), "_text").hint("merge"), "_v")
+    return rows.groupBy("_key", "_i", "_j").applyInPandas(run, f"_a {kind}, _b {kind}")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per document: its id, class_id (the smallest id of its class), copy_of (the smallest id of an equal text) and kept (it is that of its class)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).where("_id is not null")
     signed = materialise(_signed(rows.select("_id", "_text", F.sha2("_text", 256).alias("_sha"))))
-    copies = materialise(signed.groupBy("_sha").agg(F.min("_id").alias("_v"), F.count(F.lit(1)).alias("_n"), F.first("_keys").alias("_keys")))
-    members = copies.select("_v", F.explode("_keys").alias("_key"))
+    copies = materialise(signed.groupBy("_sha").agg(F.min("_id").alias("_v"), F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
+    members = copies.select("_v", "_size", F.explode("_keys").alias("_key"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     try:
-        edges = _links(rows, members, threshold, small)
+        edges = _links(rows, members, threshold, small, block)
         labels = components(edges)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -257,26 +314,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.union(nameless).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
 
 
-def _links(rows: DataFrame, members: DataFrame, threshold: float, small: int) -> DataFrame:
-    """All verified links as (_a, _b)."""
-    turn = 0
-    pairs, large = _candidates(members, turn, small)
+def _links(rows: DataFrame, members: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
+    """Links (_a, _b) with the components of all pairs that share a bucket and have at least this similarity."""
+    pairs, large = _candidates(members, small)
     ids = materialise(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).union(large.select("_v")).distinct())
     ids = ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     texts = materialise(rows.join(ids, "_id", "left_semi").dropDuplicates(["_id"]))
-    edges = materialise(_verified(pairs, texts, threshold).select("_a", "_b"))
-    while large.limit(1).count():
-        labels = components(edges)
-        at = large.select("_key", "_v").join(labels.withColumnsRenamed({"_id": "_v", "_label": "_c"}).hint("merge"), "_v", "left").withColumn("_c", F.coalesce("_c", "_v"))
-        pivots = large.select("_key", F.explode("_ps").alias("_p")).distinct().join(labels.withColumnsRenamed({"_id": "_p", "_label": "_c"}).hint("merge"), "_p", "left")
-        met = pivots.select("_key", F.coalesce("_c", "_p").alias("_c")).distinct()
-        left = materialise(at.join(met.hint("merge"), ["_key", "_c"], "left_anti").select("_key", "_v"))
-        turn += 1
-        pairs, large = _candidates(left, turn, small)
-        if not pairs.limit(1).count():
-            break
-        edges = materialise(edges.union(_verified(pairs, texts, threshold).select("_a", "_b")))
-    return edges
+    return materialise(_verified(pairs, texts, threshold).select("_a", "_b").union(_block_links(large, texts, threshold, block)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

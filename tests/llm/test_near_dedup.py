@@ -65,6 +65,29 @@ def test_classes(spark, docs, clash):
     assert kept == {c for c in want.values()}
 
 
+def test_chain_in_one_bucket(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    # neighbours have a similarity of 0.83, others of 0.7 at most: most links are between texts of which neither is a pivot
+    rows = [(i, " ".join(words[9 * i : 9 * i + 100]), "en") for i in rng.sample(range(24), 24)]
+    monkeypatch.setattr(N, "_signed", lambda rows: rows.selectExpr("_id", "_sha", "length(_text) _size", "array(1L, 2L) _keys"))
+    want = classes(rows)
+    assert set(want.values()) == {0}
+    monkeypatch.setattr(N, "BLOCK_CHARS", 10_000)  # several blocks
+    assert {r["doc_id"]: r["class_id"] for r in N.near_duplicates(docs(rows)).collect()} == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(1)
+    bags = [bag({int(k): int(rng.integers(1, 6)) for k in rng.integers(0, 300, n)}) for n in (1, 5, 100, 200, 200)]
+    counts = N.shared_counts(bags[:2], bags[2:])
+    whole = N.shared_counts(bags, bags)
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            shared = sum((Counter(dict(zip(*a, strict=True))) & Counter(dict(zip(*b, strict=True)))).values())
+            assert whole[i, j] == shared and (i >= 2 or j < 2 or counts[i, j - 2] == shared)
+
+
 def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "_a long, _b long")
     by = defaultdict(set)
