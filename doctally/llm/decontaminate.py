@@ -2,14 +2,15 @@
 
 Words are runs of letters and digits, lower-cased. Each mask looks at a window of SPAN words and hashes some of them, so that substitutions
 at the other places do not change the hash. All windows of the corpus are joined to those of the benchmark, and each hit is verified around
-itself: on its diagonal, up to REACH words to either side and within both texts, the words that are equal must be at least `ratio` of
-all and at least `least` (or the whole item, if that is shorter).
+itself: on its diagonal, up to REACH words to either side and within both texts, there must be a stretch around the window in which the words that
+are equal are at least `ratio` of all and at least `least` (or the whole item, if that is shorter). Items of fewer than SPAN words are found where all
+their words follow one another.
 
 The benchmark's windows are sent to every executor in blocks of at most BLOCK windows, each with up to 2 REACH + SPAN words, some 40 MB; a
 larger benchmark takes more passes over the corpus, and the corpus is never shuffled. What follows the join are the verified hits, pre-aggregated by document and item.
 
-Nulls: null texts have no words and match nothing; a document without id is reported under a null id; items without id are dropped. Items of fewer than SPAN
-words have no window and match nothing. Benchmark items with the same words are searched once and reported each. Repeated
+Nulls: null texts have no words and match nothing; a document without id is reported under a null id; items without id are dropped. Items without
+words match nothing. Benchmark items with the same words are searched once and reported each. Repeated
 documents of one id are one. Empty tables give empty results; other columns, whatever their names, are not touched.
 """
 
@@ -41,6 +42,30 @@ def _windows(rows: DataFrame, keep: list[str]) -> DataFrame:
     return places.select(*keep, "_words", "_at", F.explode(F.array(*codes)).alias("_hash"))
 
 
+def _stretch(ratio: float) -> Column:
+    """Of the stretches of _same (1 where words are equal) around the window at _seed that have enough equal words, the one with most and then the shortest; null if there is none."""
+    so_far = F.transform(F.sequence(F.lit(0), F.col("_both")), lambda k: F.aggregate(F.slice("_same", F.lit(1), k), F.lit(0), lambda n, x: n + x))
+    ends = F.sequence(F.col("_seed") + SPAN, F.col("_both"))
+    of = lambda c, a, b: F.struct((c[b] - c[a]).alias("equal"), (a - b).alias("less"))
+    each = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.col("_seed")), lambda a: F.transform(ends, lambda b: of(c, a, b))))
+    enough = lambda x: (x["equal"] >= -ratio * x["less"]) & (x["equal"] >= F.col("_least"))
+    return F.array_max(F.flatten(F.transform(F.array(so_far), lambda c: F.filter(each(c), enough))))
+
+
+def _short_hits(corpus: DataFrame, items: DataFrame, block: int) -> list[DataFrame]:
+    """_doc, _class, _at, _equal, _size of the items under SPAN words, for each length and each block of them."""
+    short = items.where(F.size("_words").between(1, SPAN - 1)).select("_class", F.size("_words").alias("_n"), F.array_join("_words", " ").alias("_run"))
+    hits = []
+    for n, many in sorted(tuple(r) for r in short.groupBy("_n").agg(F.count(F.lit(1))).collect()):
+        places = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(F.array().cast("array<int>"))
+        runs = corpus.select("_doc", "_words", F.explode(places).alias("_at")).select("_doc", "_at", F.array_join(F.slice("_words", F.col("_at") + 1, n), " ").alias("_run"))
+        blocks = -(-many // block)
+        for k in range(blocks):
+            part = short.where((F.col("_n") == n) & (F.pmod(F.xxhash64("_run"), F.lit(blocks)) == k)).select("_class", "_run")
+            hits.append(runs.join(F.broadcast(part), "_run").select("_doc", "_class", "_at", F.lit(n).alias("_equal"), F.lit(n).alias("_size")))
+    return hits
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.7, least: int = 12, block: int = BLOCK) -> DataFrame:
     """One row per document and benchmark item that it overlaps: ids, verified hits, most equal words, the largest share of equal words, first word of the first hit."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), words_of(item_text_col).alias("_words"))
@@ -66,11 +91,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = windows.where(F.pmod(F.col("_hash"), F.lit(blocks)) == k)
         hit = _windows(corpus, ["_doc"]).join(F.broadcast(part), "_hash").withColumn("_cut", cut)
         # one-element arrays: a test that can't be compiled must not move into the join, which would then copy a document's words for every window
-        near = F.struct("_doc", "_class", "_at", "_least", here.alias("_here"), there.alias("_there"))
+        near = F.struct("_doc", "_class", "_at", "_least", (F.col("_left") - F.col("_cut")).alias("_seed"), here.alias("_here"), there.alias("_there"))
         hit = hit.select(F.explode(F.array(near)).alias("_hit")).select("_hit.*")
-        equal = F.size(F.filter(F.zip_with("_here", "_there", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
-        hit = hit.select("_doc", "_class", "_at", "_least", equal.alias("_equal"), F.least(F.size("_here"), F.size("_there")).alias("_size"))
-        hits.append(hit.where((F.col("_equal") >= ratio * F.col("_size")) & (F.col("_equal") >= F.col("_least"))))
+        equal = F.zip_with("_here", "_there", lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+        both = F.least(F.size("_here"), F.size("_there"))
+        hit = hit.select("_doc", "_class", "_at", "_least", "_seed", F.slice(equal, 1, both).alias("_same"), both.alias("_both"))
+        hit = hit.select("_doc", "_class", "_at", F.explode(F.array(_stretch(ratio))).alias("_best")).where("_best is not null")
+        hits.append(hit.select("_doc", "_class", "_at", F.col("_best.equal").alias("_equal"), (-F.col("_best.less")).alias("_size")))
+    hits += _short_hits(corpus, distinct, block)
     found = reduce(DataFrame.unionAll, hits).groupBy("_doc", "_class").agg(
         F.count(F.lit(1)).alias("n_hits"), F.max("_equal").alias("equal_words"), F.max(F.col("_equal") / F.col("_size")).alias("share"), F.min("_at").alias("first_word")
     )

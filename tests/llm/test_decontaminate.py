@@ -53,3 +53,14 @@ def test_empty_tables(spark, docs):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert D.find_overlaps(docs([(1, "a b c", "en")]), benchmark).count() == 0
     assert D.find_overlaps(docs([]), benchmark).count() == 0
+
+
+def test_quotes_from_the_inside_and_short_items(spark, docs):
+    item = [f"i{k}" for k in range(60)]
+    around = lambda words, n=50: " ".join([*(f"a{k}" for k in range(n)), *words, *(f"b{k}" for k in range(n))])
+    rows = [(n, around(item[20 : 20 + n]), "en") for n in (11, 12, 15, 23, 30)]
+    rows += [(100, around(["too", "short", "here"]), "en"), (101, "Too short, here", "en"), (102, around(["too", "short", "x", "here"]), "en"), (103, "one", "en")]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, "too short here"), (2, "Too SHORT here!"), (3, ""), (4, "two words")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["equal_words"], r["share"], r["first_word"]) for r in D.find_overlaps(docs(rows), benchmark).collect()}
+    assert set(found) == {(n, 0) for n in (12, 15, 23, 30)} | {(d, i) for d in (100, 101) for i in (1, 2)}
+    assert found[12, 0][:2] == (12, 12 / 12) and found[100, 1] == (3, 1.0, 50) and found[101, 2] == (3, 1.0, 0)
