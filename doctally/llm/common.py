@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids that a set may have at most to be sent to every executor (8 bytes each, so about 16 MB with its hash table).
+#: Ids that a set may have at most to be sent to every executor (8 bytes each, so about 16 MB with its hash table); digests may be a fifth as many.
 BROADCAST_IDS = 500_000
 
 
@@ -37,6 +37,8 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.doctally.local.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="doctally-")
         spark.conf.set("spark.doctally.local.dir", base)
@@ -59,14 +61,22 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of df whose key is not in ids (null keys stay).
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
 
-    ids is materialised first; the set goes to every executor only if its counted size allows, else both sides are shuffled.
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is not in keys (null keys stay).
+
+    keys is materialised first; the set goes to every executor only if its counted size allows, else both sides are shuffled.
     """
-    ids = materialise(ids.select(key).distinct())
-    ids = ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    return df.join(ids, key, "left_anti")
+    keys = materialise(keys.select(key).distinct())
+    keys = keys.hint("broadcast") if keys.count() <= BROADCAST_IDS // 5 else keys.hint("merge")
+    return df.join(keys, key, "left_anti")
 
 
 def crc_mod(column: str, n: int):

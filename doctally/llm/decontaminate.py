@@ -6,10 +6,10 @@ itself: on its diagonal, up to REACH words to either side and within both texts,
 are equal are at least `ratio` of all and at least `least` (or the whole item, if that is shorter). Items of fewer than SPAN words are found where all
 their words follow one another.
 
-The benchmark's windows are sent to every executor in blocks of at most BLOCK windows, each with up to 2 REACH + SPAN words, some 40 MB; a
+The benchmark's windows are sent to every executor in blocks of some BLOCK windows, dealt evenly whatever their hashes, each with up to 2 REACH + SPAN words, some 40 MB; a
 larger benchmark takes more passes over the corpus, and the corpus is never shuffled. What follows the join are the verified hits, pre-aggregated by document and item.
 
-Nulls: null texts have no words and match nothing; a document without id is reported under a null id; items without id are dropped. Items without
+Nulls: null texts have no words and match nothing; a document without id is reported under a null id, and removed like any other; items without id are dropped. Items without
 words match nothing. Benchmark items with the same words are searched once and reported each. Repeated
 documents of one id are one. Empty tables give empty results; other columns, whatever their names, are not touched.
 """
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without_ids
+from .common import free_name, materialise, without
 
 SPAN = 9
 #: Places of a window that count.
@@ -76,6 +76,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         _windows(distinct, ["_class"]).select(
             "_hash",
             "_class",
+            # windows of one hash, as of a phrase that many items share, are in all blocks alike
+            F.xxhash64("_class", "_at", "_hash").alias("_spread"),
             left.alias("_left"),
             F.slice("_words", F.col("_at") - left + 1, left + SPAN + REACH).alias("_near"),
             F.least(F.size("_words"), F.lit(least)).alias("_least"),
@@ -88,7 +90,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     there = F.slice("_near", F.col("_cut") + 1, F.size("_near"))
     hits = []
     for k in range(blocks):
-        part = windows.where(F.pmod(F.col("_hash"), F.lit(blocks)) == k)
+        part = windows.where(F.pmod(F.col("_spread"), F.lit(blocks)) == k).drop("_spread")
         hit = _windows(corpus, ["_doc"]).join(F.broadcast(part), "_hash").withColumn("_cut", cut)
         # one-element arrays: a test that can't be compiled must not move into the join, which would then copy a document's words for every window
         near = F.struct("_doc", "_class", "_at", "_least", (F.col("_left") - F.col("_cut")).alias("_seed"), here.alias("_here"), there.alias("_there"))
@@ -108,8 +110,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that overlap no benchmark item."""
-    return without_ids(docs, find_overlaps(docs, benchmark, id_col, text_col).select(id_col), id_col)
+    """The documents, with all their columns, whose text overlaps no benchmark item, whatever their ids."""
+    key = free_name(docs.columns, "key")
+    keyed = docs.withColumn(key, F.sha2(text_col, 256))
+    return without(keyed, find_overlaps(keyed.select(key, text_col), benchmark, key, text_col).select(key), key).select(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir):

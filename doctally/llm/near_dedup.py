@@ -11,13 +11,17 @@ which all slots are filled, so that a long text costs one draw a shingle and a s
 0.8 with probability 0.9999.
 
 Scale: equal texts are one vertex, found by digest with a pre-aggregated group; a text's signature row is a few hundred bytes and texts are not
-shuffled for it. All pairs of texts that share a band's bucket are verified. In a bucket of up to SMALL texts they are rows; a larger one is cut into
-blocks of some BLOCK texts, or of BLOCK_CHARS characters, and a task takes two blocks and counts what all their pairs share by matrix products. The work is
-quadratic in a bucket's size, no row is a pair, and a text goes along as often as its bucket has blocks. Buckets with the same members are verified once.
-Components are found by label propagation with pointer jumping on tables in the shared folder.
-
-Nulls: rows with a null id have a null class. Null texts and texts without a word are no near-duplicates of anything; equal empty texts form a class. Rows that share an id
-are one document. An empty table gives an empty result. Other columns, whatever their names, are not touched by `near_duplicates` and kept by `keep_one`.
+shuffled for it. In a band's bucket of up to SMALL texts all pairs are verified as rows. In a larger one every text is first verified against the bucket's
+middle (one row a text), and what these links connect in a few steps is found to be of one class. A bucket whose texts are all of one class is finished; in any other, no pair within
+its middle's class needs a look, since it can't change the classes, and all other pairs are verified in blocks: the texts outside that class are cut into blocks of
+some BLOCK texts, or of BLOCK_CHARS characters, and a task takes one of them with a block of any and counts what their pairs share by matrix products. So the
+work on a group of copies grows with its size, and only what is unlike its middle meets the whole bucket; no row is a pair. Buckets with the same members are
+taken once. No pair that shares a bucket is lost, whatever its bucket's size. Components are found by label propagation with pointer jumping on tables in the
+shared folder.
+
+Nulls: rows with a null id have a null class. Null texts and texts without a word are no near-duplicates of anything; equal empty texts form a class. A row is
+classed by its text: rows that share an id but not the text may be of different classes. Of repeated rows (equal id and text) `near_duplicates` returns each and `keep_one` keeps
+one. An empty table gives an empty result. Other columns, whatever their names, are not touched by `near_duplicates` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, discard, materialise, once, without_ids
+from .common import BROADCAST_IDS, discard, free_name, materialise, once, without
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Texts in a bucket whose pairs are made as rows.
 SMALL = 8
-#: Texts, and characters, of a block of a larger bucket.
+#: Hashes by which a bucket's middle is chosen.
+MIDDLES = 4
+#: Texts, and characters, of a block of those that a larger bucket's middle leaves open.
 BLOCK, BLOCK_CHARS = 512, 1_000_000
 #: Elements that a matrix product takes at once.
 COLUMNS = 8192
@@ -202,19 +208,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(right.hint("merge"), "_b").join(left.hint("merge"), "_a").select("_a", "_b", "_ta", "_tb").mapInPandas(run, f"_a {kind}, _b {kind}, _s double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(_id, _label) for every vertex of the edges (_a, _b): the smallest id of its component.
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(_id, _label) for every vertex of the edges (_a, _b): the smallest id of its component, or after so many rounds some id of it, the same for vertices that are near.
 
     Each round a vertex takes the smallest label among its own, its neighbours' and its label's label.
     """
     both = materialise(edges.select("_a", "_b").union(edges.select(F.col("_b"), F.col("_a"))).distinct())
     labels = materialise(both.groupBy(F.col("_a").alias("_id")).agg(F.least(F.min("_b"), F.first("_a")).alias("_label"), F.lit(True).alias("_new")))
+    done = 0
     while True:
         near = both.join(labels.select(F.col("_id").alias("_b"), "_label"), "_b").groupBy(F.col("_a").alias("_id")).agg(F.min("_label").alias("_near"))
         parents = labels.select(F.col("_id").alias("_label"), F.col("_label").alias("_up"))
         least = F.least("_label", "_near", "_up")
         new = materialise(labels.select("_id", "_label").join(near, "_id").join(parents, "_label").select("_id", least.alias("_label"), (least != F.col("_label")).alias("_new")))
-        changed = new.where("_new").limit(1).count()
+        done += 1
+        changed = done != rounds and new.where("_new").limit(1).count()
         discard(labels)
         labels = new
         if not changed:
@@ -223,15 +231,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify in the buckets (_key, _v, _size) of up to `small` texts, and the members of larger ones, once for buckets with the same members."""
+    """Pairs to verify as rows - all in the buckets (_key, _v, _size) of up to `small` texts, those with the middle in larger ones - and the members (_key, _v, _mid, _size) of larger
+    ones, once for buckets with the same members."""
     same = [F.bit_xor(F.xxhash64("_v", F.lit(k))).alias(f"_x{k}") for k in range(2)]
-    sized = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_chars"), *same).where("_n > 1")
+    # the text of the smallest hash; MIDDLES hashes, so that the buckets of one group of copies have a few middles between them
+    middle = F.min(F.struct(F.xxhash64("_v", F.pmod("_key", F.lit(MIDDLES))).alias("h"), F.col("_v").alias("v")))
+    sized = members.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), middle.alias("_mid"), *same).where("_n > 1").withColumn("_mid", F.col("_mid.v"))
     joined = materialise(members.join(sized.hint("merge"), "_key"))
     tiny, large = joined.where(F.col("_n") <= small).select("_key", "_v"), joined.where(F.col("_n") > small)
     other = tiny.select("_key", F.col("_v").alias("_b"))
     within = tiny.withColumnRenamed("_v", "_a").join(other.hint("merge"), "_key").where("_a < _b").select("_a", "_b")
+    star = large.where("_v != _mid").select(F.least("_v", "_mid").alias("_a"), F.greatest("_v", "_mid").alias("_b"))
     once_each = large.groupBy("_n", "_x0", "_x1").agg(F.min("_key").alias("_key")).select("_key")
-    return materialise(within.distinct()), materialise(large.join(once_each.hint("merge"), "_key", "left_semi").select("_key", "_v", "_n", "_chars"))
+    return materialise(within.union(star).distinct()), materialise(large.join(once_each.hint("merge"), "_key", "left_semi").select("_key", "_v", "_mid", "_size"))
+
+
+def _unsettled(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (_key, _v, _size, _out) of buckets with texts outside their middle's class, and whether a text is outside."""
+    of = lambda c, x: labels.select(F.col("_id").alias(c), F.col("_label").alias(x)).hint("merge")
+    rows = large.join(of("_v", "_l"), "_v", "left").join(of("_mid", "_m"), "_mid", "left")
+    # a text without any link is a class of its own
+    rows = rows.select("_key", "_v", "_size", (F.coalesce("_l", "_v") != F.coalesce("_m", "_mid")).alias("_out"))
+    return materialise(rows.join(rows.where("_out").select("_key").distinct().hint("merge"), "_key", "left_semi"))
 
 
 def shared_counts(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -257,9 +278,9 @@ def shared_counts(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarr
     return out
 
 
-def _block_links(large: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links (_a, _b) that connect what any pair of at least this similarity in a bucket (_key, _v, _n, _chars) connects."""
-    kind = large.schema["_v"].dataType.simpleString()
+def _block_links(unsettled: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (_a, _b) that connect what any pair of at least this similarity in a bucket (_key, _v, _size, _out) connects, but for pairs of which neither is _out."""
+    kind = unsettled.schema["_v"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         codes = once(("words",), WordCodes)
@@ -283,49 +304,78 @@ def _block_links(large: DataFrame, texts: DataFrame, threshold: float, block: in
                     out += [(ids[k], ids[m]) for m in reached]
         return pd.DataFrame(out, columns=["_a", "_b"])
 
-    blocks = F.ceil(F.greatest(F.col("_n") / block, F.col("_chars") / BLOCK_CHARS)).cast("int")
-    own = large.select("_key", "_v", blocks.alias("_m")).withColumn("_c", F.pmod(F.xxhash64("_v", F.lit(2)), F.col("_m")).cast("int"))
-    rows = own.select("_key", "_v", "_c", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
+    # blocks 0, 1, ... hold the texts outside, -1, -2, ... the others; a pair of blocks has one outside at least
+    parts = lambda k: F.ceil(F.greatest(F.sum((F.col("_out") == k).cast("int")) / block, F.sum(F.when(F.col("_out") == k, F.col("_size"))) / BLOCK_CHARS, F.lit(0))).cast("int")
+    blocks = unsettled.groupBy("_key").agg(parts(True).alias("_outs"), parts(False).alias("_ins"))
+    spread = F.xxhash64("_v", F.lit(3))
+    own = unsettled.join(blocks.hint("merge"), "_key").withColumn("_c", F.when(F.col("_out"), F.pmod(spread, "_outs")).otherwise(-1 - F.pmod(spread, "_ins")).cast("int"))
+    others = F.sequence(F.when(F.col("_out"), -F.col("_ins")).otherwise(F.lit(0)), F.col("_outs") - 1)
+    rows = own.select("_key", "_v", "_c", F.explode(others).alias("_o"))
     rows = rows.select("_key", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_v", (F.col("_c") <= F.col("_o")).alias("_first"))
     rows = rows.join(texts.select(F.col("_id").alias("_v"), "_text").hint("merge"), "_v")
     return rows.groupBy("_key", "_i", "_j").applyInPandas(run, f"_a {kind}, _b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: its id, class_id (the smallest id of its class), copy_of (the smallest id of an equal text) and kept (it is that of its class)."""
+    """One row per row of docs: its id, class_id (the smallest id of its class), copy_of (the smallest id of an equal text) and kept (its id and text are the first of its class)."""
+    return _classed(docs, id_col, text_col, threshold, small, block).drop("_sha")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """near_duplicates and _sha, the digest of the text."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).where("_id is not null")
-    signed = materialise(_signed(rows.select("_id", "_text", F.sha2("_text", 256).alias("_sha"))))
-    copies = materialise(signed.groupBy("_sha").agg(F.min("_id").alias("_v"), F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).where("_id is not null").withColumn("_sha", F.sha2("_text", 256))
+    signed = materialise(_signed(rows.select("_id", "_text", "_sha")))
+    copies = signed.groupBy("_sha").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"), F.first("_keys").alias("_keys"))
+    # a vertex is a text; its number is fixed once it has been written
+    copies = materialise(copies.withColumn("_v", F.monotonically_increasing_id()))
     members = copies.select("_v", "_size", F.explode("_keys").alias("_key"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     try:
-        edges = _links(rows, members, threshold, small, block)
-        labels = components(edges)
+        labels = components(_links(rows, copies.select("_sha", "_v"), members, threshold, small, block))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    classes = materialise(copies.join(labels.withColumnRenamed("_id", "_v"), "_v", "left").select("_sha", "_n", "_v", F.coalesce("_label", "_v").alias("_class")))
-    changed = classes.where((F.col("_n") > 1) | (F.col("_class") != F.col("_v"))).drop("_n")
+    linked = materialise(copies.select("_v", "_sha", "_least").join(labels.withColumnRenamed("_id", "_v").hint("merge"), "_v"))
+    tops = linked.groupBy("_label").agg(F.min(F.struct("_least", "_sha")).alias("_top"))
+    tops = linked.select("_label", "_sha").join(tops.hint("merge"), "_label").select("_sha", "_top")
+    changed = copies.select("_sha", "_n", "_least").join(tops.hint("merge"), "_sha", "left").where("_n > 1 or _top is not null")
+    changed = materialise(changed.select("_sha", "_least", F.coalesce("_top._least", "_least").alias("_class"), F.coalesce("_top._sha", "_sha").alias("_top")))
     out = signed.select("_id", "_sha").join(changed.hint("merge"), "_sha", "left")
-    out = out.select(F.col("_id").alias(id_col), F.coalesce("_class", "_id").alias("class_id"), F.coalesce("_v", "_id").alias("copy_of"))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(id_type).alias("class_id"), F.lit(None).cast(id_type).alias("copy_of"))
-    return out.union(nameless).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
+    kept = F.coalesce((F.col("_class") == F.col("_id")) & (F.col("_top") == F.col("_sha")), F.lit(True))
+    out = out.select(F.col("_id").alias(id_col), F.coalesce("_class", "_id").alias("class_id"), F.coalesce("_least", "_id").alias("copy_of"), kept.alias("kept"), "_sha")
+    none = F.lit(None).cast(id_type)
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), none.alias("class_id"), none.alias("copy_of"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("_sha"))
+    return out.union(nameless)
 
 
-def _links(rows: DataFrame, members: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
+def _links(rows: DataFrame, vertices: DataFrame, members: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
     """Links (_a, _b) with the components of all pairs that share a bucket and have at least this similarity."""
     pairs, large = _candidates(members, small)
-    ids = materialise(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).union(large.select("_v")).distinct())
-    ids = ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    texts = materialise(rows.join(ids, "_id", "left_semi").dropDuplicates(["_id"]))
-    return materialise(_verified(pairs, texts, threshold).select("_a", "_b").union(_block_links(large, texts, threshold, block)))
+    ids = materialise(pairs.select(F.explode(F.array("_a", "_b")).alias("_v")).distinct())
+    wanted = materialise(vertices.join(ids.hint("merge"), "_v", "left_semi"))
+    wanted = wanted.hint("broadcast") if wanted.count() <= BROADCAST_IDS // 5 else wanted.hint("merge")  # a digest takes five times the bytes of an id
+    texts = materialise(rows.join(wanted, "_sha").groupBy(F.col("_v").alias("_id")).agg(F.first("_text").alias("_text")))
+    links = materialise(_verified(pairs, texts, threshold).select("_a", "_b"))
+    if not large.take(1):
+        return links
+    unsettled = _unsettled(large, components(links, rounds=2))
+    return materialise(links.union(_block_links(unsettled, texts, threshold, block)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their class."""
-    return without_ids(docs, near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(id_col), id_col)
+    """The documents, with all their columns, that come first in their class; of repeated rows one. Rows without an id stay."""
+    classed = materialise(_classed(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), "_sha", "kept"))
+    key = free_name(docs.columns, "key")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).alias("_id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("_sha")))
+    named = lambda rows: rows.select(F.struct("_id", "_sha").alias(key))
+    kept = without(keyed, named(classed.where("not kept").distinct()), key)
+    repeated = materialise(classed.where("kept").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if repeated.take(1):
+        same = kept.join(named(repeated).hint("merge"), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+        kept = without(kept, named(repeated), key).select(*docs.columns).unionByName(same.select("_row.*"))
+    return kept.select(*docs.columns)
 
 
 def op2_near_dedup(spark, sf_dir):

@@ -46,7 +46,7 @@ def test_against_brute_force(spark, docs, clash):
     assert sum(1 for i, _ in wanted if i is not None and i < 100) >= 8
     blocks = D.find_overlaps(docs(rows), benchmark, block=30)
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == wanted
-    assert {r["doc_id"] for r in D.remove_contaminated(docs(rows), benchmark).collect()} == {i for i, _, _ in rows if i is None or i not in {x for x, _ in wanted}}
+    assert {r["doc_id"] for r in D.remove_contaminated(docs(rows), benchmark).collect()} == {i for i, _, _ in rows if i not in {x for x, _ in wanted}}  # a null id protects no text
 
 
 def test_empty_tables(spark, docs):
@@ -64,3 +64,15 @@ def test_quotes_from_the_inside_and_short_items(spark, docs):
     found = {(r["doc_id"], r["item_id"]): (r["equal_words"], r["share"], r["first_word"]) for r in D.find_overlaps(docs(rows), benchmark).collect()}
     assert set(found) == {(n, 0) for n in (12, 15, 23, 30)} | {(d, i) for d in (100, 101) for i in (1, 2)}
     assert found[12, 0][:2] == (12, 12 / 12) and found[100, 1] == (3, 1.0, 50) and found[101, 2] == (3, 1.0, 0)
+
+
+def test_phrase_of_many_items_is_spread_over_blocks(spark, docs, monkeypatch):
+    phrase = [f"p{k}" for k in range(9)]
+    items = [(i, " ".join([f"x{i}"] + phrase + [f"y{i}", f"z{i}"])) for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    seen, whole = [], D.F.broadcast
+    monkeypatch.setattr(D.F, "broadcast", lambda df: seen.append(df.count()) or whole(df))
+    found = D.find_overlaps(docs([(1, "a b " + items[3][1] + " c", "en"), (2, "a b c", "en")]), benchmark, block=60)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 3)}
+    # 40 items of 4 windows and 2 masks, of which the phrase's own hash comes 80 times
+    assert len(seen) == 6 and max(seen) < 90 and sum(seen) == 320
