@@ -53,18 +53,22 @@ def _netpbm(data: bytes) -> np.ndarray:
         numbers.append(int(data[at:end]))
         at = end
     width, height, most = *numbers[:2], (numbers + [1])[2]
+    if not 0 < most < 65536 or width * height > 8 * len(data):  # no form has more than eight samples a byte
+        raise ValueError("a header that its data can't have")
     shape = (height, width, 3) if planes == 3 else (height, width)
     if kind == 1:  # digits may stand without space between
         digits = bytes(c for c in data[at:] if c in b"01")[: width * height]
         return (1 - (np.frombuffer(digits, np.uint8) - 48)).reshape(shape) * 255
     if kind in (2, 3):
-        values = np.array(data[at:].split()[: width * height * planes], np.int64)
+        values = np.array([int(x) for x in data[at:].split()[: width * height * planes]])
     elif kind == 4:
         stride = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)[:, :width]
         return ((1 - bits) * 255).astype(np.uint8)
     else:
         values = np.frombuffer(data, np.uint8 if most < 256 else ">u2", width * height * planes, at + 1)
+    if len(values) and values.max() > most:
+        raise ValueError("a sample above the largest")
     if most != 255:
         values = (values.astype(np.int64) * 255 + most // 2) // most
     return values.astype(np.uint8).reshape(shape)
@@ -74,6 +78,8 @@ def _bmp(data: bytes) -> np.ndarray:
     start, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("unsupported BMP")
+    if width <= 0 or not height:
+        raise ValueError("an empty BMP")
     stride = -(-bits * width // 32) * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     rows = rows if height < 0 else rows[::-1]
@@ -90,7 +96,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return _bmp(data)
         if data and data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
             return _netpbm(data)
-    except (ValueError, IndexError, struct.error):
+    except (ValueError, IndexError, OverflowError, TypeError, struct.error):
         pass
     return None
 
@@ -161,10 +167,13 @@ def text_payload(text: str | None) -> tuple[int, bytes]:
 
 
 def payload_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as a grey image of 24 samples a row, reads the stored bytes back and describes payload and media."""
+    """Stores each text as a grey image of 24 samples a row, reads the stored bytes back and describes payload and media.
+
+    The payload is stored as a BMP of eight pixels a row too, which must give the same bytes; tile is the NPY file of the grey image's tile.
+    """
     schema = (
         f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
-        " media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+        " media_bytes long, media_sha256 string, feature string, bmp_sha256 string, bmp_feature string, tile binary"
     )
     names = [c.split()[0] for c in schema.split(", ") for c in c.split(",")]
 
@@ -176,7 +185,12 @@ def payload_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
                 image = decode(media)
                 back = image.tobytes()
-                rows.append((i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest()))
+                bitmap = encode_bmp(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH // 3, 3))
+                colour = decode(bitmap)
+                if colour.tobytes() != back:
+                    raise ValueError("the two stored forms differ")
+                grey = (hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image))
+                rows.append((i, n, len(back), *grey, hashlib.sha256(bitmap).hexdigest(), difference_hash(colour), npy_tile(image)))
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
