@@ -6,7 +6,8 @@ next file once the compressed size passes a limit. Headers and digests are made
 record's id, so the same rows give the same records. A file is written under a temporary name of its own attempt and moved to its final name when complete;
 a second attempt of a task writes the same bytes to the same names. A manifest (file, records, bytes, SHA-256) is written last and commits the archive.
 
-Reading: the archives are read as binary files through Spark and parsed member by member; digests are checked, and the manifest must exist.
+Reading: the manifest's rows are dealt out, each task opens the archives that its rows name and parses them member by member. Lengths, sums, numbers of records and
+digests are checked; a file that the manifest doesn't list, as a failed attempt leaves it, is never opened.
 
 Group sizes: digests are pre-aggregated with their smallest id; only groups of two or more are looked up again, by broadcast if their count allows,
 else the few largest (each at least a thousandth of all copies, so a thousand at most) by broadcast and the others by a shuffled join.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_dir
 
 FILE_BYTES = 8 << 20
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 64 << 20
 #: Groups of equal payloads that may be sent to every executor (some 100 bytes each).
 BROADCAST_GROUPS = 100_000
 #: Fixed value: the date that all records bear.
@@ -81,13 +84,18 @@ def record(key: int | None, url: str, payload: bytes, refers_to: int | None, res
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    while data:
-        squeeze = zlib.decompressobj(31)
-        raw = squeeze.decompress(data)
-        if not squeeze.eof:
-            raise ValueError("the archive ends within a record")
-        data = squeeze.unused_data
+    """Headers and block of each record of an archive, in time that grows with its bytes."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        squeeze, parts, step = zlib.decompressobj(31), [], 1024
+        while not squeeze.eof:  # by growing steps: what a step reads beyond the record's end is read again
+            if at == len(view):
+                raise ValueError("the archive ends within a record")
+            part = view[at : at + step]
+            parts.append(squeeze.decompress(part))
+            at, step = at + len(part), min(2 * step, 1 << 20)
+        at -= len(squeeze.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = {k.decode().lower(): v.decode() for k, v in _NAMED.findall(head)}
         block = rest[: int(headers["content-length"])]
@@ -158,7 +166,9 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     fs.create_dir(path, recursive=True)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = with_originals(rows, revisit_from=revisit_from)
-    ordered = marked.repartitionByRange(n, F.col("_id").asc_nulls_last(), F.xxhash64("_payload")).sortWithinPartitions(F.col("_id").asc_nulls_last(), "_url", "_payload")
+    # the last key lets a range end within rows that are all alike
+    marked = marked.withColumn("_row", F.monotonically_increasing_id())
+    ordered = marked.repartitionByRange(n, F.col("_id").asc_nulls_last(), F.xxhash64("_url", "_payload"), "_row").sortWithinPartitions(F.col("_id").asc_nulls_last(), F.xxhash64("_url", "_payload"), "_url", "_payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -178,29 +188,37 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of the archives that the manifest lists."""
+    """One row per record of the archives that the manifest lists, and of no other file; a missing, longer, shorter or changed archive is an error."""
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    if not spark.read.parquet(f"{folder}/_manifest").take(1):
-        return spark.createDataFrame([], schema)
+    manifest = spark.read.parquet(f"{folder}/_manifest")
+    size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, path = _store(folder)
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for headers, block in parse(bytes(content)):
+            for name, records, size, sha in zip(batch["file"], batch["records"], batch["bytes"], batch["sha256"], strict=True):
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as stream:
+                    content = stream.read()
+                if len(content) != size or hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{name} is not the archive that the manifest lists")
+                rows, seen = [], 0
+                for headers, block in parse(content):
                     http, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+                    length = int(re.search(rb"Content-Length: (\d+)", http)[1])
                     refers = headers.get("warc-refers-to")
-                    rows.append((key_of(headers["warc-record-id"][1:-1]), headers["warc-target-uri"], headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:"), size, key_of(refers[1:-1]) if refers else None, payload if not refers else None))
+                    rows.append((key_of(headers["warc-record-id"][1:-1]), headers["warc-target-uri"], headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:"), length, key_of(refers[1:-1]) if refers else None, payload if not refers else None))
                     if not refers and digest(payload) != rows[-1][3]:
                         raise ValueError("a payload's digest is wrong")
+                    seen += 1
                     if len(rows) >= 1000:
                         yield _frame(rows)
                         rows = []
+                if seen != records:
+                    raise ValueError(f"{name} has {seen} records, the manifest lists {records}")
                 yield _frame(rows)
 
-    return files.select("content").mapInPandas(run, schema)
+    return manifest.repartition(parts, "file").mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -55,3 +55,39 @@ def test_damage_is_seen(spark, tmp_path):
         list(W.parse(broken))
     with pytest.raises(ValueError, match="ends within"):
         list(W.parse(record[:-5]))
+
+
+def test_only_the_manifest_counts(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string")
+    folder = tmp_path / "a"
+    names = [r["file"] for r in W.write_archive(pages, str(folder), file_bytes=1500, shards=3).collect()]
+    (folder / "part-00099-00000.warc.gz").write_bytes((folder / names[0]).read_bytes())  # left by a failed attempt
+    found = W.read_archive(spark, str(folder))
+    assert sorted(r["page_id"] for r in found.collect()) == list(range(40))
+    whole = (folder / names[0]).read_bytes()
+    for damage in (whole[:-1], whole + whole, W.record(1, "u", b"x", None, True)):
+        (folder / names[0]).write_bytes(damage)
+        with pytest.raises(Exception, match="is not the archive"):
+            W.read_archive(spark, str(folder)).collect()
+    (folder / names[0]).unlink()
+    with pytest.raises(Exception, match="FileNotFound|No such file"):
+        W.read_archive(spark, str(folder)).collect()
+
+
+def test_parsing_is_linear():
+    import time
+
+    one = W.record(1, "http://h/", b"small", None, True)
+    took = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        assert sum(1 for _ in W.parse(one * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0]
+
+
+def test_equal_rows_are_dealt_out(spark, tmp_path):
+    pages = spark.createDataFrame([(7, "http://h/", "the same page " * 20)] * 400, "page_id long, url string, html string").repartition(4)
+    manifest = W.write_archive(pages, f"{tmp_path}/a", shards=4).collect()
+    assert sum(r["records"] for r in manifest) == 400 and max(r["records"] for r in manifest) < 300
+    assert W.read_archive(spark, f"{tmp_path}/a").where("record_type = 'response' and page_id = 7").count() == 400
