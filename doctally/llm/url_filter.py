@@ -1,7 +1,7 @@
 """URL filter over a sorted digest array.
 
-Each rule (host, path, verdict) becomes the 64-bit xxhash of its text; the digests are sorted in an array file that every Python worker maps
-into memory once. A url's candidates - each suffix of its host with each prefix of its path that has the length of some rule's path - are
+Each rule (host, path, verdict) becomes the 64-bit xxhash of its text; the rules are broadcast, and every Python worker sorts the digests into an anonymous
+memory map once. A url's candidates - each suffix of its host with each prefix of its path that has the length of some rule's path - are
 hashed and probed together by vectorised binary search; a hit counts only if the stored full string is the same, so hash collisions (which
 stand next to each other in the array) cannot decide. The longest confirmed rule wins.
 
@@ -11,9 +11,9 @@ results; repeated rows are judged each. Other columns of the input, whatever the
 
 from __future__ import annotations
 
-import os
+import mmap
 import re
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +39,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestArray:
-    """Sorted 64-bit digests in a memory-mapped file, with the full strings behind them."""
+    """Sorted 64-bit digests in a memory map, with the full strings behind them."""
 
     def __init__(self, rules: list[tuple[str, str, str]], digest=lambda s: xxhash.xxh64_intdigest(s.encode())):
         self.digest = digest
@@ -53,11 +53,10 @@ class DigestArray:
         if not keys:
             self.array = np.zeros(0, np.uint64)
             return
-        handle, name = tempfile.mkstemp(prefix="digests-")
-        with os.fdopen(handle, "wb") as out:
-            out.write(np.array([digest(k) for k in keys], np.uint64).tobytes())
-        self.array = np.memmap(name, np.uint64, "r")
-        os.unlink(name)  # the mapping stays
+        digests = np.array([digest(k) for k in keys], np.uint64).tobytes()
+        memory = mmap.mmap(-1, len(digests))  # no file: a machine's folders are not to be counted on
+        memory.write(digests)
+        self.array = np.frombuffer(memory, np.uint64)
 
     def candidates(self, host: str, path: str) -> list[str]:
         """Keys that a rule fitting this url can have, longest first."""
@@ -104,11 +103,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     """One row per row of pages: its id, host, path, the rule that decides (null: none) and the verdict."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; split the list into calls of {MAX_RULES}")
-    name = str(hash(tuple(rules)))
+    name, shared = uuid.uuid4().hex, pages.sparkSession.sparkContext.broadcast(rules)
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        array = once(("urls", name), lambda: DigestArray(rules))
+        array = once(("urls", name), lambda: DigestArray(shared.value))
         for batch in batches:
             out = array.judge([None if u is None or u is pd.NA else u for u in batch["_url"]], default)
             out.insert(0, id_col, batch["_id"].values)
