@@ -19,6 +19,7 @@ table gives an empty result. Other columns of the input are not touched. Memory:
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections import Counter
@@ -30,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 CAPACITY = 2048
 #: Ids (and documents) that a block may hold before it is packed.
 BLOCK_IDS, BLOCK_DOCS = 4_000_000, 8_000
@@ -85,7 +88,7 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-#: Fixed value: the pattern that cuts a text before the merges of this vocabulary.
+#: Fixed value: the pattern by which the library's byte-level rule cuts a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -96,11 +99,21 @@ def bytes_as_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def has_plain_rules(path: str) -> bool:
+    """Whether the tokenizer file asks for nothing but byte-level pieces by PATTERN and the merges of its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    before, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    cuts = (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+    extras = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return cuts and not rules.get("normalizer") and model.get("type") == "BPE" and not any(model.get(k) for k in extras)
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, closing id included: those that the `tokenizers` library gives for the file at `path`.
 
     Vocabulary and merge order come from that file; a second byte-pair merger, several times faster, applies them (a test holds the two
-    against each other), and texts with one of the file's special strings go to the library itself.
+    against each other), and texts with one of the file's special strings go to the library itself, as do all texts if the file has other rules than these.
 
     A byte-level BPE merges only within the pieces that its pattern cuts a text into, and where no two white-space characters meet, such a
     piece never crosses the place before a space. So a text is cut there, and each chunk's ids are found once and remembered.
@@ -113,11 +126,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = has_plain_rules(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end = np.uint32(end_id).tobytes()
+        if not self.plain:
+            return
         letters = {c: b for b, c in bytes_as_letters().items()}
         ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.end = np.uint32(end_id).tobytes()
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)
         self.spaced[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
         self.known: dict[str, bytes] = {}
@@ -143,6 +159,8 @@ class Encoder:
             self.known.update(zip(part, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return [np.array(x.ids, "<u4").tobytes() + self.end for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         plain = [not (self._TWO_SPACES.search(t) or any(s in t for s in self.special)) for t in texts]
         chunks = [t.split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
         if len(self.known) > MEMORY:
@@ -212,10 +230,7 @@ class Packer:
         self.waiting = []
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, block_ids: int = BLOCK_IDS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """One row per piece: where its ids lie in the document and in which sequence, with their checksum."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -223,9 +238,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = (tokenizer_path, end_id)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(*key)
+        encoder = once(("tokenizer", tokenizer_path, end_id), lambda: Encoder(tokenizer_path, end_id))
         packer, block, size = Packer(TaskContext.get().partitionId(), capacity), [], 0
 
         def rows(found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
@@ -234,10 +247,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
-            for doc_id, ids in zip(batch["_id"].tolist(), _ENCODERS[key].encode(texts), strict=True):
+            for doc_id, ids in zip(batch["_id"].tolist(), encoder.encode(texts), strict=True):
                 block.append((None if doc_id != doc_id else doc_id, ids))
                 size += len(ids) // 4
-                if size >= BLOCK_IDS or len(block) >= BLOCK_DOCS:
+                if size >= block_ids or len(block) >= block_docs:
                     yield from rows(packer.add(block))
                     block, size = [], 0
         yield from rows(packer.add(block))

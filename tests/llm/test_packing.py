@@ -44,34 +44,49 @@ def test_ids_are_the_tokenizers():
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids + [1]
 
 
-@pytest.mark.parametrize("block", [8000, 3])
-def test_pieces(spark, docs, stored, clash, monkeypatch, block):
+def test_other_rules_go_to_the_library(tmp_path):
+    """A file with other cuts than the plain ones is not read by the second merger."""
+    import json
+
+    with open(P.default_tokenizer(), encoding="utf-8") as file:
+        rules = json.load(file)
+    assert P.has_plain_rules(P.default_tokenizer())
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(rules))
+    assert not P.has_plain_rules(str(other))
+    library, encoder = Tokenizer.from_file(str(other)), P.Encoder(str(other))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(HARD)] == [library.encode(t, add_special_tokens=False).ids + [1] for t in HARD]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_docs": 3}, {"block_ids": 2500}])
+def test_pieces(spark, docs, stored, clash, blocks):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "be", "Gamma-ray", "δ"]) for _ in range(rng.choice([0, 5, 300, 3000]))), "en") for i in range(60)]
-    rows += [(100 + i, t, "en") for i, t in enumerate(HARD)] + [(200, None, "en"), (7, rows[7][1], "en")]
-    pieces = P.op10_packing(spark, stored(documents=clash(docs(rows)).repartition(3))).collect() if block == 8000 else list(
-        P.pd.DataFrame([x for x in (lambda p: [*p.add([(i, P.Encoder(P.default_tokenizer()).encode([t or ""])[0]) for i, t, _ in rows[:3]]), *p.finish()])(P.Packer(1))], columns=[c.split()[0] for c in P.SCHEMA.split(", ")]).itertuples()
-    )
-    get = (lambda r, c: r[c]) if block == 8000 else getattr
+    rows += [(100 + i, t, "en") for i, t in enumerate(HARD)] + [(200, None, "en"), (7, rows[7][1], "en"), (None, "no id", "en"), (None, None, "en")]
+    frame = spark.read.parquet(f"{stored(documents=clash(docs(rows)).repartition(3))}/documents.parquet")
+    pieces = P.pack(frame, P.default_tokenizer(), **blocks).collect()
     library = Tokenizer.from_file(P.default_tokenizer())
+    ids_of = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t, _ in rows if i is not None}
     sequences, covered = {}, {}
     for r in pieces:
-        text = dict((i, t) for i, t, _ in rows)[get(r, "doc_id")] or ""
-        ids = library.encode(text, add_special_tokens=False).ids + [1]
-        part = np.array(ids[get(r, "start") : get(r, "start") + get(r, "length")], "<u4")
-        assert get(r, "doc_tokens") == len(ids) and get(r, "ids_crc32") == zlib.crc32(part.tobytes()) and len(part) == get(r, "length") > 0
-        sequences.setdefault(get(r, "sequence_id"), []).append((get(r, "offset"), get(r, "length")))
-        covered.setdefault(get(r, "doc_id"), []).extend(range(get(r, "start"), get(r, "start") + get(r, "length")))
+        if r["doc_id"] is not None:
+            ids = ids_of[r["doc_id"]]
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(part.tobytes()) and len(part) == r["length"] > 0
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        covered.setdefault(r["doc_id"], []).extend(range(r["start"], r["start"] + r["length"]))
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= 2048 and at & (at - 1) == 0
-    for i, got in covered.items():
-        n = len(library.encode(dict((i, t) for i, t, _ in rows)[i] or "", add_special_tokens=False).ids) + 1
-        assert sorted(got) == sorted(list(range(n)) * (2 if i == 7 and block == 8000 else 1))
-    assert block != 8000 or len(covered) == len({i for i, _, _ in rows})
+    for i, ids in ids_of.items():
+        assert sorted(covered[i]) == sorted(list(range(len(ids))) * (2 if i == 7 else 1))
+    assert sorted(covered[None]) == sorted([*range(len(library.encode("no id", add_special_tokens=False).ids) + 1), 0])
+    # all but what each task lays end to end at its close are windows that a multiset fills
+    assert sum(1 for p in sequences.values() if sum(n for _, n in p) < 2048) <= 3 * 11
 
 
 def test_empty(docs):
