@@ -62,9 +62,8 @@ def discard(*frames: DataFrame) -> None:
 
 
 def free_name(columns: list[str], name: str) -> str:
-    """A column name that none of the columns has, whatever their case."""
-    taken = {c.lower() for c in columns}
-    while f"_{name}" in taken:
+    """A column name with which no name among the columns begins, whatever their case."""
+    while any(c.lower().startswith(f"_{name}") for c in columns):
         name = f"_{name}"
     return f"_{name}"
 

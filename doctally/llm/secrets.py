@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: The patterns of the base kinds, in their order. A run of at least so many characters is the same as a long enough match.
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -47,22 +49,42 @@ ENCODINGS = (
 )
 
 
+def _before(values: Column, combine) -> Column:
+    """For each of the whole numbers what all before it combine to (from 0), in steps of the square root, so that no long array grows one by one."""
+
+    def scan(values: Column, first: Column) -> Column:
+        step = lambda acc, x: F.struct(combine(acc["now"], x).alias("now"), F.concat(acc["all"], F.array(acc["now"])).alias("all"))
+        return F.aggregate(values, F.struct(first.alias("now"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+
+    def cut(values: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(values)))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), width), lambda at: F.slice(values, at, width))
+
+    def joined(parts: Column) -> Column:
+        whole = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), combine))
+        return F.flatten(F.zip_with(parts, scan(whole, F.lit(0)), scan))
+
+    return _let(values, lambda v: _let(cut(v), joined))
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """All matches as structs (start, kind, end, found).
 
     Matches are set between marks (which are replaced in the text by a character that no pattern knows), the text is split there, and the
-    lengths of the pieces are summed.
+    lengths of the pieces are summed; every second piece is a match.
     """
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>")
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        found = F.struct(acc["pos"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"), piece.alias("found"))
-        return F.struct(end.alias("pos"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["all"], F.array(found))).otherwise(acc["all"]).alias("all"))
+    def found(piece: Column) -> Column:
+        sizes = F.transform(piece, lambda p: F.length(p))
+        match = lambda starts: F.transform(
+            F.sequence(F.lit(1), F.size(piece) - 2, F.lit(2)),
+            lambda i: F.struct(starts[i].alias("start"), F.lit(kind).alias("kind"), (starts[i] + F.length(piece[i])).alias("end"), piece[i].alias("found")),
+        )
+        return _let(_before(sizes, lambda a, x: a + x), match)
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), none.alias("all"))
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, start, step, lambda acc: acc["all"])).otherwise(none)
+    return _let(pieces, lambda p: F.when(F.size(p) > 2, found(p)).otherwise(none))
 
 
 def _tail(z: Column) -> Column:
@@ -169,47 +191,52 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame, text_col: str, highest: list[int]) -> DataFrame:
-    """docs and _base, _all: arrays of spans (start, kind, end)."""
+def with_spans(docs: DataFrame, text_col: str, highest: list[int], to: str) -> DataFrame:
+    """docs and two columns, `to`_base and `to`_all: arrays of spans (start, kind, end)."""
     kind = "array<struct<start:int,kind:int,end:int>>"
-    text = F.col("_clean")
+    none = F.array().cast(kind)
+    clean, first, new, whole = (f"{to}_{x}" for x in ("clean", "base", "new", "all"))
+    text = F.col(clean)
     base, random = _spans(text, highest)
     some = text.rlike("|".join((ASSIGN, ACCESS, HEX)))
-    out = docs.withColumn("_clean", _clean(text_col)).withColumn("_base", F.when(some, base).otherwise(F.array().cast(kind)))
+    out = docs.withColumn(clean, _clean(text_col)).withColumn(first, F.when(some, base).otherwise(none))
     if random is None:
-        return out.withColumn("_all", F.col("_base")).drop("_clean")
-    new = F.transform(
-        F.filter(random, lambda x: ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))),
+        return out.withColumn(whole, F.col(first)).drop(clean)
+    found = F.transform(
+        F.filter(random, lambda x: ~F.exists(first, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))),
         lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")),
     )
-    out = out.withColumn("_new", F.when(text.rlike(RUN), new).otherwise(F.array().cast(kind)))
-    return out.withColumn("_all", F.array_sort(F.concat("_base", "_new"))).drop("_clean", "_new")
+    out = out.withColumn(new, F.when(text.rlike(RUN), found).otherwise(none))
+    return out.withColumn(whole, F.array_sort(F.concat(first, new))).drop(clean, new)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", highest: list[int] | None = None) -> DataFrame:
     """One row per document: counts of base kinds, the digest of the base spans and all spans as text."""
     highest = cuts(docs, text_col) if highest is None else highest
-    rows = with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", highest)
-    counts = [F.size(F.array_remove(F.transform("_base", lambda x: x["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]  # noqa: B023
-    return rows.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_all")).alias("spans"))
+    rows = with_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", highest, "_found")
+    base = F.col("_found_base")
+    counts = [F.size(F.filter(base, lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]  # noqa: B023
+    return rows.select(F.col("_id").alias(id_col), *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_found_all")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", highest: list[int] | None = None, by: str = "[secret]") -> DataFrame:
     """docs with each span, or run of overlapping spans, replaced; size_col, if given, is the new length where the text has changed."""
     highest = cuts(docs, text_col) if highest is None else highest
-    text = F.col(text_col)
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"])
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(x["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(by))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    found = F.size("_all") > 0
-    out = with_spans(docs, text_col, highest).withColumn("_done", F.when(found, done).otherwise(text))
-    changed = {text_col: F.col("_done")}
+    text, found = F.col(text_col), free_name(docs.columns, "found")
+    spans, done = F.col(f"{found}_all"), f"{found}_done"
+
+    def replaced(through: Column) -> Column:
+        """through: how far the spans before each one reach."""
+        pieces = F.zip_with(spans, through, lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), F.lit(by))).otherwise(""))
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+
+    through = _before(F.transform(spans, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+    some = F.size(spans) > 0
+    out = with_spans(docs, text_col, highest, found).withColumn(done, F.when(some, _let(through, replaced)).otherwise(text))
+    changed = {text_col: F.col(done)}
     if size_col:
-        changed[size_col] = F.when(found, F.length("_done").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
+        changed[size_col] = F.when(some, F.length(done).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col))
     return out.withColumns(changed).select(*docs.columns)
 
 
