@@ -21,15 +21,22 @@ def frames(spark):
 
 def test_linking(spark):
     calls, results, schemas = frames(spark)
-    got = {r["position"]: r for r in C.link(calls.withColumn("level", calls["tool"]), results, schemas).collect()}
-    assert len(got) == 12
+    rows = C.link(calls.withColumn("level", calls["tool"]), results, schemas).collect()
+    got = {r["position"]: r for r in rows if r["kind"] == "call"}
+    assert len(got) == 12 and len(rows) == 15
+    # 20, 22 and 25 are in their calls' rows
+    assert {r["position"]: (r["status"], r["json"]) for r in rows if r["kind"] == "result"} == {
+        21: ("duplicate_result", '{"content":null,"id":"a"}'), 23: ("orphan_result", '{"content":"x","id":null}'), 24: ("orphan_result", '{"content":"x","id":"zz"}'),
+    }
+    by_shuffle = C.link(calls, results, schemas, max_schema=1).collect()
+    assert sorted(map(repr, by_shuffle)) == sorted(map(repr, rows))
     assert {k: r["status"] for k, r in got.items()} == {
         1: "ok", 2: "invalid", 3: "invalid", 4: "duplicate_id", 5: "invalid", 6: "invalid", 7: "invalid", 8: "invalid", 9: "unordered", 10: "unordered", 11: "invalid", 12: "invalid",
     }
     assert [got[k]["level"] for k in (1, 2, 3, 12, 9, 10)] == [0, 1, 2, 3, None, None]
     assert [got[k]["problems"] for k in (2, 3, 6, 7, 8)] == ["type:x", "missing:y", "unknown tool", "no id", "unknown:z"]
-    assert got[1]["json"] == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","results":["3",""]}'
-    assert json.loads(got[2]["json"])["results"] == ['say "hi"\n'] and json.loads(got[11]["json"])["arguments"] is None
+    assert got[1]["json"] == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"3"}' and got[1]["n_results"] == 2
+    assert json.loads(got[2]["json"])["result"] == 'say "hi"\n' and json.loads(got[11]["json"])["arguments"] is None
     assert all(json.loads(r["json"]) is not None for r in got.values())
 
 
@@ -40,6 +47,7 @@ def test_long_chains(spark):
 
 def test_conversations_equal_sql(spark, stored, tmp_path):
     rows = [(1, 0, "system", "s"), (1, 1, "user", 'é "q" \\ /\t'), (1, 2, "assistant", "a"), (1, 3, "user", ""), (1, 4, "assistant", None), (2, 0, "user", "x"), (2, 0, "user", "x2"), (2, 1, "assistant", "y"), (None, 1, "user", "z"), (3, 5, None, None)]
+    rows += [(4, 0, "assistant", "opening"), (4, 1, "user", None), (4, 2, "assistant", "b"), (4, 2, "assistant", "a"), (4, 3, "assistant", "c"), (5, None, "user", "q"), (5, None, "assistant", "q"), (None, None, None, None), (2, 1, "assistant", "y")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     sf = stored(conversations=table.withColumn("level", table["role"]))
     found = C.op9_tool_calls(spark, sf)
@@ -48,7 +56,16 @@ def test_conversations_equal_sql(spark, stored, tmp_path):
     c.sql(f"create view conversations as select * from '{sf}/conversations.parquet/*.parquet'")
     rows = c.execute(C.ORACLE)
     at = [[d[0] for d in rows.description].index(n) for n in names]
-    assert sorted(repr(tuple(r[n] for n in names)) for r in found.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rows.fetchall())
+    got = found.collect()
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got) == sorted(repr(tuple(r[i] for i in at)) for r in rows.fetchall())
+    # straight from the definition: each message is a call, or a result in its call's row or its own
+    state = {(r["conv_id"], r["turn"], r["role"], r["status"], r["problems"], r["level"], r["n_results"]) for r in got}
+    assert len(got) == len(table.collect()) - 5 and state >= {
+        (None, 1, "user", "invalid", "no id", None, 0), (5, None, "user", "invalid", "no id", None, 0), (5, None, "assistant", "orphan_result", "", None, 0), (4, 0, "assistant", "orphan_result", "", None, 0),
+        (4, 1, "user", "invalid", "missing:text", 0, 2), (4, 2, "assistant", "duplicate_result", "", None, 0), (4, 3, "assistant", "orphan_result", "", None, 0), (2, 0, "user", "duplicate_id", "", None, 0),
+        (2, 0, "user", "ok", "", 0, 2), (1, 3, "user", "ok", "", 1, 1), (3, 5, "", "invalid", "missing:role,missing:text", 0, 0), (None, None, "", "invalid", "no id", None, 0), (1, 0, "system", "no_result", "", 0, 0),
+    }
+    assert C.op9_tool_calls(spark, stored(conversations=table.limit(0))).count() == 0
 
 
 def test_empty(spark):
