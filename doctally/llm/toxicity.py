@@ -6,14 +6,14 @@ see Weights); the estimate's standard error is taken off, so that rare tokens co
 little. A fixed drift makes the mean score of clean text negative.
 
 Scoring: one pass finds all maximal segments of positive score (linear time). Under the clean token frequencies such scores follow an extreme-value law with
-rate lambda, the positive root of sum p exp(lambda s) = 1, and scale K, estimated in closed form on the clean sample. The segments whose
+rate lambda, the positive root of sum p exp(lambda s) = 1, and scale K, by which clean texts have one segment as good as their best on average. The segments whose
 expected number of chance occurrences in the text is below `significance` are its toxic passages; the sum of their scores gives one E-value
-a document, and score = odds / (1 + odds) with odds = c / E, where c is fitted so that 0.7 separates the sample's classes best.
+a document, 1 where there is no segment at all, and score = odds / (1 + odds) with odds = c / E, where c is fitted so that 0.7 separates the sample's classes best. A
+text's own length is all that counts, however short it is.
 
-Bounds (parameters): `sample_rows` labelled rows of each class, those with the smallest id hash; `max_tokens` weights kept, the largest in size. Scoring
-covers every whole text.
+Bounds (parameter): `sample_rows` labelled rows of each class, those with the smallest id hash. All their tokens are weighted, and scoring covers every whole text.
 
-Nulls: null and empty texts have no token and the score of a clean text of the least length. Rows with a null label teach nothing; if either class is missing
+Nulls: null and empty texts have no token and the score of a text without evidence. Rows with a null label teach nothing; if either class is missing
 from the sample, every score is 0. Repeated rows get equal results. Extra columns are kept by `reject` and not touched by `score`.
 """
 
@@ -72,7 +72,6 @@ class Model:
     log_c: float = 0.0
     significance: float = 0.05
     usable: bool = True
-    least: int = 300  # tokens that a text counts as at least: a short one is no evidence
 
     def __post_init__(self) -> None:
         self.known = Weights(self.weights)
@@ -103,17 +102,18 @@ class Model:
 
     def expected(self, score: float, n: int) -> float:
         """How many segments of at least this score a clean text of n tokens has by chance."""
-        return self.scale * max(n, self.least) * math.exp(-self.rate * score)
+        return self.scale * n * math.exp(-self.rate * score)
+
+    def evidence_of(self, scores: list[float], n: int) -> float:
+        """Log of the chance expectation that stands against a text of n tokens with segments of these scores (lower: more toxic); 0 is none."""
+        if not scores:
+            return 0.0
+        total = sum(s for s in scores if self.expected(s, n) <= self.significance) or max(scores)
+        return min(0.0, math.log(self.scale * n) - self.rate * total)
 
     def evidence(self, text: str | None) -> float:
-        """Log of the chance expectation that stands against the text (lower: more toxic)."""
         tokens = _TOKEN.findall(text.lower()) if text else []
-        segments = self.segments(tokens)
-        if not segments:
-            return math.log(self.scale * max(len(tokens), self.least))
-        strong = [s for s, _, _ in segments if self.expected(s, len(tokens)) <= self.significance]
-        total = sum(strong) or max(s for s, _, _ in segments)
-        return math.log(self.scale * max(len(tokens), self.least)) - self.rate * total
+        return self.evidence_of([s for s, _, _ in self.segments(tokens)], len(tokens))
 
     def score(self, text: str | None) -> float:
         if not self.usable:
@@ -128,7 +128,7 @@ class Model:
         return [x for x in found if x[3] <= self.significance]
 
 
-def log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, prior: float, errors: float = 3.0) -> dict[str, float]:
+def log_odds(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, prior: float, errors: float = 1.5) -> dict[str, float]:
     """Log-odds per token, drawn towards zero by so many standard errors; counts are of documents."""
     out, n = {}, n_toxic + n_clean
     for w in {*toxic, *clean}:
@@ -155,7 +155,20 @@ def tail_rate(scores: np.ndarray, chances: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, max_tokens: int = 100_000, prior: float = 2.0, drift: float = 1.0, support: int = 5) -> Model:
+def best_cut(evidence: np.ndarray, toxic: np.ndarray) -> float:
+    """The value below which evidence counts as toxic: fewest errors in the sample, a class's errors weighing by the root of its size; evidence 0 never counts."""
+    order = np.lexsort((toxic, evidence))
+    e, t = evidence[order], toxic[order]
+    # cut after the first k: errors are clean rows before it and toxic rows behind it
+    before, behind = np.concatenate([[0], np.cumsum(~t)]), t.sum() - np.concatenate([[0], np.cumsum(t)])
+    wrong = before / math.sqrt((~t).sum()) + behind / math.sqrt(t.sum())
+    allowed = np.concatenate([[True], e[1:] > e[:-1], [e[-1] < 0]])
+    k = int(np.argmin(np.where(allowed, wrong, np.inf)))
+    edge = np.concatenate([[e[0] - 2], e, [0.0]])
+    return min((edge[k] + edge[k + 1]) / 2, -1e-9)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, prior: float = 2.0, drift: float = 1.0, support: int = 3) -> Model:
     """Fit on at most sample_rows toxic and as many clean rows."""
     spark = docs.sparkSession
     order = F.xxhash64(F.col("_id").cast("string"))
@@ -182,16 +195,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pd.DataFrame([(None, rows[True], rows[False])], columns=["token", "toxic", "clean"])
 
     counted = sample.mapInPandas(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a token of a single document can't have a weight beyond its error; of the others the most frequent are kept
-    kept = counted.where("token is null or toxic + clean > 1").orderBy(F.col("token").isNotNull(), F.desc(F.col("toxic") + F.col("clean")), "token").limit(2 * max_tokens + 1).collect()
-    if not kept or kept[0]["token"] is not None or not kept[0]["toxic"] or not kept[0]["clean"]:
+    # a token of a single document can't have a weight beyond its error
+    kept = counted.where("token is null or toxic + clean > 1").collect()
+    sizes = next((r for r in kept if r["token"] is None), None)
+    if sizes is None or not sizes["toxic"] or not sizes["clean"]:
         return empty
-    n_toxic, n_clean = kept[0]["toxic"], kept[0]["clean"]
-    toxic, clean = ({r["token"]: r[k] for r in kept[1:]} for k in ("toxic", "clean"))
+    n_toxic, n_clean = sizes["toxic"], sizes["clean"]
+    toxic, clean = ({r["token"]: r[k] for r in sorted((r for r in kept if r["token"] is not None), key=lambda r: r["token"])} for k in ("toxic", "clean"))
     odds = log_odds(toxic, clean, n_toxic, n_clean, prior)
     known = [w for w in odds if clean.get(w, 0) > 1 or toxic.get(w, 0) >= support]
-    best = sorted(known, key=lambda w: (-abs(odds[w]), -toxic.get(w, 0) - clean.get(w, 0), w))[:max_tokens]
-    weights = {w: (odds[w] - drift, clean.get(w, 0) > 1) for w in best}
+    weights = {w: (odds[w] - drift, clean.get(w, 0) > 1) for w in known}
     resolve, words = Weights(weights), [w for w in odds if not w.endswith("*")]
     scores = np.array([-drift if resolve[w] is None else resolve[w] for w in words] + [-drift])
     chances = np.array([clean.get(w, 0) + 0.01 for w in words] + [1.0])
@@ -199,19 +212,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["_toxic"], "evidence": [model.evidence(t) for t in batch["_text"]]})
-
-    seen = sample.mapInPandas(measure, "toxic boolean, evidence double").toPandas().sort_values(["evidence", "toxic"])
-    each = np.exp(seen["evidence"][~seen["toxic"].astype(bool)].to_numpy())
-    model.scale = 1 / max(each.mean(), 1e-300)
-    evidence, is_toxic = seen["evidence"].to_numpy() + math.log(model.scale), seen["toxic"].to_numpy(bool)
-    # cut after the first k: errors are clean rows before it and toxic rows behind it, each class weighing the same
-    wrong = np.concatenate([[0], np.cumsum(~is_toxic)]) / (~is_toxic).sum() + (is_toxic.sum() - np.concatenate([[0], np.cumsum(is_toxic)])) / is_toxic.sum()
-    allowed = np.concatenate([[True], evidence[1:] > evidence[:-1], [True]])
-    k = int(np.argmin(np.where(allowed, wrong, np.inf)))
-    edge = np.concatenate([[evidence[0] - 2], evidence, [evidence[-1] + 2]])
-    cut = (edge[k] + edge[k + 1]) / 2
-    model.log_c = cut + math.log(THRESHOLD / (1 - THRESHOLD))
+            tokens = [_TOKEN.findall(t.lower()) for t in batch["_text"]]
+            yield pd.DataFrame({"toxic": batch["_toxic"], "n": [len(t) for t in tokens], "scores": [[x for x, _, _ in model.segments(t)] for t in tokens]})
+
+    seen = sample.mapInPandas(measure, "toxic boolean, n long, scores array<double>").toPandas()
+    is_toxic = seen["toxic"].to_numpy(bool)
+    best = np.array([max(x, default=0.0) for x in seen["scores"]])
+    model.scale = 1 / max((seen["n"].to_numpy() * np.exp(-model.rate * best))[~is_toxic].mean(), 1e-300)
+    evidence = np.array([model.evidence_of(list(x), n) for x, n in zip(seen["scores"], seen["n"], strict=True)])
+    model.log_c = best_cut(evidence, is_toxic) + math.log(THRESHOLD / (1 - THRESHOLD))
     return model
 
 
