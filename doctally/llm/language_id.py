@@ -2,15 +2,16 @@
 
 For each language a tree of byte contexts of up to three bytes is counted on a bounded sample and then frozen. A byte costs -log2 of its
 probability after the longest context that the tree knows; a context in which it never came costs its escape probability (method C: distinct
-followers over followers and occurrences) and hands on to the next shorter one, down to a uniform distribution. Bytes outside the most frequent
-ones share a symbol and pay for the choice among them. The code length of a whole text is the sum, and the language with the shortest code
-wins; the score is its share of the posterior, spread over the text's effective length so that it lies below 1.
+followers over followers and occurrences) and hands on to the next shorter one, down to a uniform distribution. Bytes outside the SYMBOLS - 1 most frequent
+ones share a symbol and pay for the choice among them, for any number of languages. The code length of a whole text is the sum, and the language with the
+shortest code wins; the score is its share of the posterior, which comes to 1 for texts of some length.
 
 Because the statistics are frozen, the cost of a byte depends on four bytes only. So the costs of all known four-byte runs stand in one hash
 table for all languages, unknown runs in two tables by three symbols, and whole batches are scored by table look-ups.
 
-Bounds (parameters): `sample_rows` labelled rows a language, the rows with the smallest id hash; `max_grams` four-byte runs a language, the most
-frequent; `MAX_LANGUAGES`. Everything else covers all rows and whole texts.
+Bounds: `sample_rows` labelled rows a language (a parameter), the rows with the smallest id hash; all of their runs are learned, of which there are at most SYMBOLS ** 4 a
+language, whatever the texts, and in practice some ten thousand. The tables take 2 MB a language in each worker, so more than `max_languages` (a parameter) are refused.
+Everything else covers all rows and whole texts.
 
 Nulls: a null text or one without a letter is `und` with score 0. Rows whose language is null teach nothing. With no labelled rows at all every
 text is `und`. Repeated rows get equal results; other columns, whatever their names, are not touched.
@@ -29,51 +30,52 @@ from pyspark.sql import functions as F
 from .common import once
 
 ORDER = 3
-MAX_LANGUAGES = 200
+BITS = 6
+SYMBOLS = 1 << BITS
 #: Bytes scored at a time.
 SLICE = 1 << 20
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All runs of three context bytes (zeros before the text) and a byte, as integers, with their counts."""
-    raw = b"".join(b"\0" * ORDER + t.encode() for t in texts)
-    a = np.frombuffer(raw, np.uint8).astype(np.uint32)
+def symbols_of(counts: np.ndarray) -> np.ndarray:
+    """The symbol of each byte from how often it comes: 1 and up for the most frequent ones, 0 for all others."""
+    kept = [b for b in np.argsort(-counts, kind="stable")[: SYMBOLS - 1] if counts[b] > 0]
+    symbol = np.zeros(256, np.uint32)
+    symbol[kept] = np.arange(1, len(kept) + 1)
+    return symbol
+
+
+def byte_counts(texts: list[str]) -> np.ndarray:
+    return np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256)
+
+
+def gram_counts(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of three context symbols (those of zero bytes before the text) and a symbol, as integers, with their counts."""
+    parts = [t.encode() for t in texts]
+    a = symbol[np.frombuffer(b"".join(b"\0" * ORDER + t for t in parts), np.uint8)]
     if len(a) <= ORDER:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    grams = a[:-3] << 24 | a[1:-2] << 16 | a[2:-1] << 8 | a[3:]
-    own = np.ones(len(a), bool)
-    at = 0
-    for t in texts:
+    grams = ((a[:-3] << BITS | a[1:-2]) << BITS | a[2:-1]) << BITS | a[3:]
+    own, at = np.ones(len(a), bool), 0
+    for t in parts:
         own[at : at + ORDER] = False
-        at += ORDER + len(t.encode())
+        at += ORDER + len(t)
     return np.unique(grams[own[ORDER:]], return_counts=True)
 
 
 class Scorer:
-    """Frozen trees of all languages as look-up tables."""
-
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages = sorted(grams)
-        bits = 7 if len(self.languages) <= 8 else 6
-        self.bits, size = bits, 1 << bits
-        freq = np.zeros(256)
-        for keys, counts in grams.values():
-            freq += np.bincount(keys & 255, counts, 256)
-        kept = [b for b in np.argsort(-freq, kind="stable")[: size - 1] if freq[b] > 0]
-        self.symbol = np.zeros(256, np.uint32)
-        self.symbol[kept] = np.arange(1, len(kept) + 1)
-        self.extra = np.where(self.symbol == 0, np.log2(256 - len(kept)), 0).astype(np.float32)
+    """Frozen trees of all languages as look-up tables; symbol: that of each byte, grams: of each language its runs and counts."""
+
+    def __init__(self, symbol: np.ndarray, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.symbol = sorted(grams), symbol
+        bits, size = BITS, SYMBOLS
+        self.extra = np.where(symbol == 0, np.log2(max(1, 256 - int(symbol.max()))), 0).astype(np.float32)
         n_lang, wide = len(self.languages), size**3
         self.low = np.zeros((wide, n_lang), np.float32)  # cost of the last symbol after the two before it
         self.escape = np.zeros((wide, n_lang), np.float32)  # of leaving a known context of three
         known, each = [], []
         for k, language in enumerate(self.languages):
-            keys, counts = grams[language]
-            key = np.zeros(len(keys), np.uint32)
-            for shift in (24, 16, 8, 0):
-                key = key << bits | self.symbol[keys >> shift & 255]
-            key, inverse = np.unique(key, return_inverse=True)
-            count = np.bincount(inverse, counts, len(key))
+            key, count = grams[language]
+            key, count = key.astype(np.uint32), count.astype(np.float64)
             three = np.bincount(key & (wide - 1), count, wide).reshape(-1, size)
             cost = self._step(three.reshape(size, size, size).sum((0, 1))[None], np.full((1, size), np.log2(size)))
             cost = self._step(three.reshape(size, size, size).sum(0), np.broadcast_to(cost, (size, size)))
@@ -128,7 +130,7 @@ class Scorer:
             s, pad = self.symbol[part], a - max(0, a - ORDER)
             key = s.copy()
             for back in (1, 2, 3):
-                key[back:] |= s[:-back] << np.uint32(self.bits * back)
+                key[back:] |= s[:-back] << np.uint32(BITS * back)
             key, part = key[pad:], part[pad:]
             first, last = np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + len(part), "left")
             lo, hi = np.maximum(starts[first:last] - a, 0), np.minimum(ends[first:last] - a, len(part))
@@ -149,8 +151,8 @@ class Scorer:
             else:
                 found, cost = np.zeros(len(key), bool), np.zeros((len(key), len(self.languages)), np.float32)
             rest = np.flatnonzero(~found)
-            wide = np.uint32((1 << 3 * self.bits) - 1)
-            cost[rest] = self.escape[key[rest] >> np.uint32(self.bits)] + self.low[key[rest] & wide]
+            wide = np.uint32((1 << 3 * BITS) - 1)
+            cost[rest] = self.escape[key[rest] >> np.uint32(BITS)] + self.low[key[rest] & wide]
             cost += self.extra[part][:, None]
             marks = np.stack([lo[has], hi[has]], 1).ravel()
             cost = np.concatenate([cost, np.zeros((1, cost.shape[1]), np.float32)])
@@ -168,13 +170,13 @@ class Scorer:
         return pd.DataFrame({"lang_pred": languages, "score": scores})
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 500, max_grams: int = 150_000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Four-byte runs of a bounded sample of each language. The driver holds at most languages x max_grams integers."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 500, max_languages: int = 200) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The bytes' symbols, and the runs of a bounded sample of each language."""
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).where("_lang is not null and _id is not null")
-    sizes = ids.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = ids.groupBy("_lang").count().limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     # of each language about twice the rows wanted pass a cut on the id hash before they meet in one task
     parts = 1 << 40
     cut = F.lit(0).cast("long")
@@ -184,28 +186,37 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     order = Window.partitionBy("_lang").orderBy(code, "_id")
     chosen = ids.where(F.pmod(code, F.lit(parts)) < cut).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_id", "_lang").collect()
     if not chosen:
-        return {}
+        return np.zeros(256, np.uint32), {}
     picked = spark.createDataFrame(sorted({(r["_id"],) for r in chosen}), f"_id {docs.schema[id_col].dataType.simpleString()}")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where("_lang is not null and _text is not null")
+    sample = rows.join(F.broadcast(picked), "_id", "left_semi")
+
+    def count_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"byte": np.arange(256), "n": byte_counts(batch["_text"].tolist())})
+
+    frequent = np.zeros(256, np.int64)
+    for r in sample.mapInPandas(count_bytes, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        frequent[r["byte"]] = r["n"]
+    symbol = symbols_of(frequent)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for language, group in batch.groupby("_lang"):
-                keys, counts = gram_counts(group["_text"].tolist())
+                keys, counts = gram_counts(group["_text"].tolist(), symbol)
                 yield pd.DataFrame({"lang": language, "gram": keys.astype(np.int64), "n": counts.astype(np.int64)})
 
-    counts = rows.join(F.broadcast(picked), "_id", "left_semi").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= max_grams).select("lang", "gram", "n").toPandas()
-    return {k: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.int64)) for k, g in kept.groupby("lang")}
+    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = counts.sort_values(["lang", "gram"])
+    return symbol, {k: (g["gram"].to_numpy(np.uint32), g["n"].to_numpy(np.int64)) for k, g in counts.groupby("lang")}
 
 
-def identify(docs: DataFrame, grams: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, learned: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the predicted language and the score."""
-    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(grams)
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = once(("language", name), lambda: Scorer(shared.value))
+        scorer = once(("language", name), lambda: Scorer(*shared.value))
         for batch in batches:
             out = scorer.predict(batch["_text"].tolist())
             out.insert(0, id_col, batch["_id"].values)
@@ -219,5 +230,4 @@ def op3_language_id(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    grams = learn(docs.where(~held_out))
-    return identify(docs, grams).withColumn("held_out", F.coalesce(held_out, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs, learn(docs.where(~held_out))).withColumn("held_out", F.coalesce(held_out, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")

@@ -1,44 +1,55 @@
 import math
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from doctally.llm import language_id as L
 
 
-def brute_cost(grams, text):
-    """PPM with escape method C over bytes, straight from counts."""
-    from collections import defaultdict
-
-    tables = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
-    for key, n in zip(*grams, strict=True):
-        b = int(key).to_bytes(4, "big")
-        for order in range(4):
-            tables[order][b[3 - order : 3]][b[3]] += int(n)
-    raw, bits = b"\0\0\0" + text, 0.0
-    for i in range(3, len(raw)):
+def brute_cost(symbol, texts, text):
+    """PPM with escape method C over symbols, straight from the sample's texts."""
+    tables = [defaultdict(Counter) for _ in range(4)]
+    fold = lambda t: [int(symbol[b]) for b in b"\0\0\0" + t]
+    for t in texts:
+        s = fold(t.encode())
+        for i in range(3, len(s)):
+            for order in range(4):
+                tables[order][tuple(s[i - order : i])][s[i]] += 1
+    s, bits = fold(text), 0.0
+    for i in range(3, len(s)):
         for order in (3, 2, 1, 0, -1):
             if order < 0:
-                bits += math.log2(128)
+                bits += math.log2(L.SYMBOLS)
                 break
-            counts = tables[order].get(raw[i - order : i], {})
+            counts = tables[order].get(tuple(s[i - order : i]), {})
             total, kinds = sum(counts.values()), len(counts)
-            if raw[i] in counts:
-                bits -= math.log2(counts[raw[i]] / (total + kinds))
+            if s[i] in counts:
+                bits -= math.log2(counts[s[i]] / (total + kinds))
                 break
             if total:
                 bits -= math.log2(kinds / (total + kinds))
+        if not s[i]:
+            bits += math.log2(256 - int(symbol.max()))
     return bits
 
 
+SAMPLES = {
+    "en": ["the cat sat on the mat. the end"],
+    "de": ["die katze saß auf der matte, ende"],
+    "wide": ["".join(map(chr, range(32, 127))) + "äöüßéèç", "ABC abc 0123 !?"],  # more bytes than symbols
+}
+
+
 def test_code_lengths_equal_brute_force():
-    one, two = ["the cat sat on the mat. the end"], ["die katze saß auf der matte, ende"]
-    grams = {"en": L.gram_counts(one), "de": L.gram_counts(two)}
-    scorer = L.Scorer(grams)
-    texts = [t.encode() for t in ("the cat", "katze saß", "a matte end", "", "the cat sat on the mat. " * 40)]
+    symbol = L.symbols_of(sum(map(L.byte_counts, SAMPLES.values())))
+    assert symbol.max() == L.SYMBOLS - 1
+    scorer = L.Scorer(symbol, {k: L.gram_counts(v, symbol) for k, v in SAMPLES.items()})
+    texts = [t.encode() for t in ("the cat", "katze saß", "a matte end", "", "~|{ \u3042\u3044", "the cat sat on the mat. " * 40)]
     got = scorer.lengths(texts)
     for t, row in zip(texts, got, strict=True):
-        assert np.allclose(row, [brute_cost(grams[k], t) for k in scorer.languages], rtol=1e-4)
+        assert np.allclose(row, [brute_cost(symbol, SAMPLES[k], t) for k in scorer.languages], rtol=1e-4)
     whole = L.SLICE
     try:
         L.SLICE = 50
@@ -47,6 +58,21 @@ def test_code_lengths_equal_brute_force():
         L.SLICE = whole
 
 
+def test_ten_languages_and_odd_rows(spark, docs, stored, clash, crc):
+    rng = random.Random(6)
+    parts = {f"l{k}": [rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(7)] for k in range(10)}
+    words = lambda k: " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(15))
+    rows = [(i, words(f"l{i % 10}"), f"l{i % 10}") for i in range(400)]
+    rows += [rows[5], rows[5], (None, words("l3"), "l3"), (None, None, None)]
+    found = L.op3_language_id(spark, stored(documents=clash(docs(rows)))).collect()
+    assert len(found) == len(rows)
+    by = [(r["doc_id"], r["lang_pred"]) for r in found if r["doc_id"] is not None]
+    assert sum(p == f"l{i % 10}" for i, p in by if crc(i, 4) == 2) / sum(crc(i, 4) == 2 for i, _ in by) > 0.97
+    assert len({tuple(r) for r in found if r["doc_id"] == 5}) == 1 and sorted(r["lang_pred"] for r in found if r["doc_id"] is None) == ["l3", "und"]
+    with pytest.raises(ValueError, match="more than 9"):
+        L.learn(docs(rows), max_languages=9)
+
+
 def test_held_out_accuracy_and_edges(spark, docs, stored, crc):
     rng = random.Random(1)
     parts = {"xx": ["ka", "lo", "mi", "é"], "yy": ["sch", "ung", "er", "ü"], "zz": ["th", "ing", "wh", "o"]}
@@ -63,4 +89,4 @@ def test_held_out_accuracy_and_edges(spark, docs, stored, crc):
 def test_nothing_to_learn(docs):
     frame = docs([(1, "abc", None)])
     assert [tuple(r) for r in L.identify(frame, L.learn(frame)).collect()] == [(1, "und", 0.0)]
-    assert L.identify(docs([]), {}).count() == 0
+    assert L.identify(docs([]), L.learn(docs([]))).count() == 0
