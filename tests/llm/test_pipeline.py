@@ -43,3 +43,24 @@ def test_run_equals_brute_force(spark, docs, stored):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "packing"] and decontaminate.SPAN == 9
+
+
+def test_odd_tables(spark, docs, stored, clash):
+    """Null ids, repeated rows, empty texts, columns with the operators' names, and no rows at all."""
+    long = " ".join(f"w{k % 97}x{k % 89}" for k in range(20_000))
+    rows = [(1, "one text of its own that nothing else has", "en"), (1, "one text of its own that nothing else has", "en"), (2, None, "en"), (3, "", "en"), (4, long, None)]
+    rows += [(None, "a text without an id is kept as it is", "en"), (None, " ".join(f"b{k}" for k in range(30)), "en"), (None, None, None)]
+    tables = {"labels": spark.createDataFrame([(1, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(0, " ".join(f"b{k}" for k in range(30))), (None, None)], "item_id long, text string")}
+    sf = stored(documents=clash(docs(rows)), **tables)
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    ids = lambda t: len(packing.Encoder(packing.default_tokenizer()).encode([t or ""])[0]) // 4
+    # of the repeated row one is left, of the two empty texts one, and the quoted item goes though it has no id
+    assert got == {1: ids(rows[0][1]), 2: 1, 4: ids(long), None: ids(rows[5][1]) + 1}
+    frame = clash(docs(rows))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, sf)
+        assert frame.columns == clash(docs(rows)).columns
+    empty = stored(documents=docs([]), **{k: v.limit(0) for k, v in tables.items()})
+    assert corpus_pipeline.run(spark, empty).count() == 0
