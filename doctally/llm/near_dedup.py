@@ -247,11 +247,11 @@ def _candidates(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _unsettled(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (_key, _v, _size, _out) of buckets with texts outside their middle's class, and whether a text is outside."""
+    """The members (_key, _v, _size, _l, _out) of buckets with texts outside their middle's class: a text's class, and whether it is outside."""
     of = lambda c, x: labels.select(F.col("_id").alias(c), F.col("_label").alias(x)).hint("merge")
     rows = large.join(of("_v", "_l"), "_v", "left").join(of("_mid", "_m"), "_mid", "left")
     # a text without any link is a class of its own
-    rows = rows.select("_key", "_v", "_size", (F.coalesce("_l", "_v") != F.coalesce("_m", "_mid")).alias("_out"))
+    rows = rows.select("_key", "_v", "_size", F.coalesce("_l", "_v").alias("_l"), (F.coalesce("_l", "_v") != F.coalesce("_m", "_mid")).alias("_out"))
     return materialise(rows.join(rows.where("_out").select("_key").distinct().hint("merge"), "_key", "left_semi"))
 
 
@@ -279,7 +279,7 @@ def shared_counts(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarr
 
 
 def _block_links(unsettled: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links (_a, _b) that connect what any pair of at least this similarity in a bucket (_key, _v, _size, _out) connects, but for pairs of which neither is _out."""
+    """Links (_a, _b) between classes that connect what any pair of at least this similarity in a bucket (_key, _v, _size, _l, _out) connects, but for pairs of which neither is _out."""
     kind = unsettled.schema["_v"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -294,14 +294,16 @@ def _block_links(unsettled: DataFrame, texts: DataFrame, threshold: float, block
             shared = shared_counts([bags[k] for k in x], [bags[k] for k in y])
             near[np.ix_(x, y)] = shared >= (threshold - 1e-12) * (size[x][:, None] + size[y][None, :] - shared)
             near |= near.T
-        ids, todo, out = group["_v"].tolist(), np.ones(len(bags), bool), []
+        label, todo, out = group["_l"].to_numpy(), np.ones(len(bags), bool), []
         for k in range(len(bags)):
             if todo[k]:
-                todo[k], reached = False, np.array([k])
+                todo[k], reached, classes = False, np.array([k]), {int(label[k])}
                 while len(reached):
                     reached = np.flatnonzero(near[reached].any(axis=0) & todo)
                     todo[reached] = False
-                    out += [(ids[k], ids[m]) for m in reached]
+                    classes.update(label[reached].tolist())
+                least = min(classes)
+                out += [(least, c) for c in sorted(classes) if c != least]
         return pd.DataFrame(out, columns=["_a", "_b"])
 
     # blocks 0, 1, ... hold the texts outside, -1, -2, ... the others; a pair of blocks has one outside at least
@@ -310,8 +312,8 @@ def _block_links(unsettled: DataFrame, texts: DataFrame, threshold: float, block
     spread = F.xxhash64("_v", F.lit(3))
     own = unsettled.join(blocks.hint("merge"), "_key").withColumn("_c", F.when(F.col("_out"), F.pmod(spread, "_outs")).otherwise(-1 - F.pmod(spread, "_ins")).cast("int"))
     others = F.sequence(F.when(F.col("_out"), -F.col("_ins")).otherwise(F.lit(0)), F.col("_outs") - 1)
-    rows = own.select("_key", "_v", "_c", F.explode(others).alias("_o"))
-    rows = rows.select("_key", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_v", (F.col("_c") <= F.col("_o")).alias("_first"))
+    rows = own.select("_key", "_v", "_l", "_c", F.explode(others).alias("_o"))
+    rows = rows.select("_key", F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), "_v", "_l", (F.col("_c") <= F.col("_o")).alias("_first"))
     rows = rows.join(texts.select(F.col("_id").alias("_v"), "_text").hint("merge"), "_v")
     return rows.groupBy("_key", "_i", "_j").applyInPandas(run, f"_a {kind}, _b {kind}")
 
@@ -351,7 +353,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float = THR
 
 
 def _links(rows: DataFrame, vertices: DataFrame, members: DataFrame, threshold: float, small: int, block: int) -> DataFrame:
-    """Links (_a, _b) with the components of all pairs that share a bucket and have at least this similarity."""
+    """Links (_a, _b) with the components of all pairs that share a bucket and have at least this similarity; a link may stand between classes of what is linked already."""
     pairs, large = _candidates(members, small)
     ids = materialise(pairs.select(F.explode(F.array("_a", "_b")).alias("_v")).distinct())
     wanted = materialise(vertices.join(ids.hint("merge"), "_v", "left_semi"))
