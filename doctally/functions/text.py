@@ -12,8 +12,12 @@ from . import lexicon as L
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+#: Fixed value: what `\s` matches.
+BLANKS = " \t\n\x0b\f\r"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def collapse(x: Column) -> Column:
@@ -34,7 +38,8 @@ def words(x: Column) -> Column:
 
 
 def any_of(x: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (x.rlike(p) for p in patterns))
+    """One search for all patterns (flags within a group end with it), so that a text is converted once."""
+    return x.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def contains_any(x: Column, texts: tuple[str, ...]) -> Column:
@@ -63,7 +68,8 @@ def is_repetitive(w: Column) -> Column:
 def worthiness(s: Column, w: Column) -> Column:
     """Why a sentence is no claim, or an empty string; s: without bullets, w: its lower-cased words. The order of the tests is part of the result."""
     content = F.size(F.filter(w, lambda x: ~F.btrim(x, F.lit(".,;:!?\"'()")).isin(*L.STOPWORDS)))
-    verb = F.lower(s).rlike(f" ({'|'.join(L.VERBS)}) ")
+    spaced = F.split(F.lower(s), " ")  # a verb between two spaces is neither the first nor the last piece
+    verb = F.exists(F.slice(spaced, F.lit(2), F.greatest(F.size(spaced) - 2, F.lit(0))), lambda x: x.isin(*L.VERBS))
     tests = (
         ("empty_after_bullet_strip", s == ""),
         ("headless_predicate", s.rlike(L.HEADLESS)),
@@ -103,20 +109,27 @@ def embedding_version(model: Column, dimension: Column) -> Column:
     return F.left(F.sha2(F.concat_ws(":", model, dimension), 256), F.lit(12))
 
 
-def _signals(x: Column, signals: tuple[str, ...]) -> Column:
-    return F.size(F.array_intersect(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_]+)"))), literals(signals)))
+def tokens(x: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores (and maybe an empty text)."""
+    return F.split(F.lower(x), r"[^\p{L}\p{N}_]+")
+
+
+def _signals(t: Column, signals: tuple[str, ...]) -> Column:
+    return F.size(F.array_intersect(t, literals(signals)))
 
 
-def polarity(x: Column) -> Column:
-    """positive, negative, mixed or neutral by signal words; a negation swaps the sides."""
+def polarity(x: Column, t: Column | None = None) -> Column:
+    """positive, negative, mixed or neutral by signal words; a negation swaps the sides. t: the tokens, if known."""
+    t = tokens(x) if t is None else t
     negated = contains_any(F.lower(x), L.NEGATIONS)
-    up, down = _signals(x, L.POSITIVE), _signals(x, L.NEGATIVE)
+    up, down = _signals(t, L.POSITIVE), _signals(t, L.NEGATIVE)
     more = F.when(negated, down - up).otherwise(up - down)
     return F.when(more > 0, "positive").when(more < 0, "negative").when((up > 0) & (down > 0), "mixed").otherwise("neutral")
 
 
-def confidence_level(x: Column) -> Column:
-    hedged, certain = _signals(x, L.HEDGES), _signals(x, L.CERTAIN)
+def confidence_level(x: Column, t: Column | None = None) -> Column:
+    t = tokens(x) if t is None else t
+    hedged, certain = _signals(t, L.HEDGES), _signals(t, L.CERTAIN)
     return F.when(hedged > certain, "hedged").when(certain > 0, "certain").when(contains_any(F.lower(x), L.SPECULATIVE), "speculative").otherwise("certain")
 
 

@@ -1,14 +1,15 @@
 """Text dataflow: documents to chunks, sentences, claims, propositions, sections and table facts.
 
-Documents are frames (doc_id, text, ...). Every operator is a narrow transformation, or groups by document or table id only.
+Documents are frames (doc_id, text, ...). What reads whole texts is a narrow transformation, so that no text is shuffled; only counts, claims and table cells are grouped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import arrays as A
 from ..functions import lexicon as L
 from ..functions import text as X
 
@@ -51,15 +52,24 @@ def structural_noise(sentence: DataFrame) -> DataFrame:
 
 
 def structural_filter(docs: DataFrame) -> DataFrame:
-    """doc_id, text without boilerplate lines and lists of references (which end at the next appendix-like line)."""
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("_n", "_line")).withColumn("_s", X.strip(F.col("_line")))
-    opens, closes = F.col("_s").rlike(L.REFERENCES_OPEN), F.col("_s").rlike(L.REFERENCES_CLOSE)
-    order = Window.partitionBy("doc_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(order)
-    kept = lines.withColumn("_in", F.coalesce(state, F.lit(False))).where(~F.col("_in") & ~X.any_of(F.col("_s"), L.BOILERPLATE_LINES) & (F.length("_s") >= 5))
-    joined = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_line"))).alias("_l"))
-    text = F.array_join(F.transform("_l", lambda x: x["_line"]), "\n")
-    return docs.where("text is not null").select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+    """doc_id, text without boilerplate lines and lists of references (which end at the next appendix-like line). A row's text never leaves it."""
+
+    def parts(line: Column) -> Column:
+        s = X.strip(line)
+        mark = F.when(s.rlike(L.REFERENCES_OPEN), 1).when(s.rlike(L.REFERENCES_CLOSE), 0).otherwise(-1)
+        good = (F.length(s) >= 5) & ~X.any_of(s, L.BOILERPLATE_LINES)
+        return F.struct(line.alias("line"), mark.alias("mark"), good.alias("good"))
+
+    def kept(lines: Column) -> Column:
+        # without any list of references, which most texts haven't, there is nothing to carry from line to line
+        inside = F.when(
+            F.exists(lines, lambda x: x["mark"] == 1),
+            A.running(F.transform(lines, lambda x: x["mark"]), lambda state, mark: F.when(mark < 0, state).otherwise(mark), -1),
+        ).otherwise(F.transform(lines, lambda x: F.lit(-1)))
+        both = F.zip_with(lines, inside, lambda x, i: F.when(x["good"] & (i < 1), x["line"]))
+        return F.array_join(both, "\n")  # nulls are left out
+
+    return docs.where("text is not null").select("doc_id", A.let(F.transform(F.split("text", "\n"), parts), kept).alias("text"))
 
 
 def extract_claims(docs: DataFrame, model: str = "rule_based") -> DataFrame:
@@ -82,7 +92,7 @@ def rejection_histogram(sentence: DataFrame, top: int = 5) -> DataFrame:
 def propositions(sentence: DataFrame) -> DataFrame:
     """Sentences of 30 characters and five words as entity, attribute, polarity, confidence_level, modality."""
     text = sentence.withColumn("sentence", X.strip(F.col("sentence"))).withColumn("_w", X.words(F.col("sentence"))).where((F.length("sentence") >= 30) & (F.size("_w") >= 5))
-    marks = F.transform("_w", lambda w, i: (i >= 1) & F.regexp_replace(F.lower(w), "[.,;:!?]+$", "").isin(*L.VERB_MARKERS))
+    marks = F.transform("_w", lambda w, i: (i >= 1) & F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(*L.VERB_MARKERS))
     text = text.withColumn("_verb", F.array_position(marks, True).cast("int") - 1)
     leads = F.transform(F.slice("_w", 1, 6), lambda w: ~(w.rlike(r"^\p{Lu}") | F.lower(w).isin("the", "a", "an")))
     stop = F.array_position(leads, True).cast("int")
@@ -90,12 +100,13 @@ def propositions(sentence: DataFrame) -> DataFrame:
     cut = F.when(F.col("_verb") >= 1, F.col("_verb")).otherwise(F.col("_lead"))
     entity = F.when((F.col("_verb") < 1) & (F.col("_lead") == 0), F.col("_w")[0]).otherwise(F.array_join(F.slice("_w", 1, cut), " "))
     attribute = F.left(F.array_join(F.slice("_w", cut + 1, F.size("_w")), " "), F.lit(100))
+    text = text.withColumn("_t", X.tokens(F.col("sentence")))
     return text.select(
         *[c for c in sentence.columns],
         F.regexp_replace(entity, r"^(The|A|An)\s+", "").alias("entity"),
         attribute.alias("attribute"),
-        X.polarity(F.col("sentence")).alias("polarity"),
-        X.confidence_level(F.col("sentence")).alias("confidence_level"),
+        X.polarity(F.col("sentence"), F.col("_t")).alias("polarity"),
+        X.confidence_level(F.col("sentence"), F.col("_t")).alias("confidence_level"),
         F.lit("factual").alias("modality"),
     )
 
@@ -116,35 +127,36 @@ def sections(docs: DataFrame, target: int = 6) -> DataFrame:
     """doc_id, position, heading, content, word_count.
 
     A heading opens a new section if the open one has any line, else it is content; sections of fewer than ten words fall away. A text of more than 200
-    words with at most one section is cut into groups of paragraphs.
+    words with at most one section is cut into groups of paragraphs. All of it is done within the text's row.
     """
-    text = docs.where("text is not null and text != ''")
-    lines = text.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_n", "_line")).withColumn("_s", X.strip(F.col("_line")))
-    order = Window.partitionBy("doc_id").orderBy("_n")
-    marked = lines.withColumn("_h", X.is_heading(F.col("_s")))
-    # within a run of headings the first opens, the second is content, the third opens again; at the text's start the first is content
-    run = F.sum(F.when(F.col("_h"), 0).otherwise(1)).over(order)
-    marked = marked.withColumn("_run", run).withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_run", "_h").orderBy("_n")))
-    marked = marked.withColumn("_open", F.col("_h") & (F.pmod(F.col("_k"), F.lit(2)) == F.when(F.col("_run") == 0, 0).otherwise(1)))
-    numbered = marked.withColumn("_sec", F.sum(F.col("_open").cast("int")).over(order))
-    body = F.array_sort(F.collect_list(F.when(~F.col("_open"), F.struct("_n", "_line"))))
-    grouped = numbered.groupBy("doc_id", "_sec").agg(F.max(F.when(F.col("_open"), F.col("_s"))).alias("_head"), body.alias("_b"))
-    made = grouped.select("doc_id", "_sec", F.coalesce("_head", F.lit("Introduction")).alias("heading"), X.strip(F.array_join(F.transform("_b", lambda x: x["_line"]), "\n")).alias("content"))
-    made = made.withColumn("word_count", F.size(X.words(F.col("content"))).cast("long")).where("word_count >= 10")
-    long_docs = text.select("doc_id", "text", F.size(X.words(F.col("text"))).alias("_words")).where("_words > 200")
-    few = long_docs.join(made.groupBy("doc_id").count(), "doc_id", "left").where("coalesce(count, 0) <= 1").drop("count")
-    paragraphs = few.withColumn("_p", F.filter(F.transform(F.split("text", "\n\n"), lambda p: X.strip(p)), lambda p: F.size(X.words(p)) >= 5))
-    per = F.greatest(F.lit(1), F.floor(F.size("_p") / target).cast("int"))
-    grouped = paragraphs.withColumn("_per", per).select(
-        "doc_id", "text", "_words", "_p", "_per", F.explode(F.when(F.size("_p") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("_p") - 1, F.col("_per")))).alias("_sec")
-    )
-    none = F.size("_p") == 0
-    content = F.when(none, F.col("text")).otherwise(F.array_join(F.slice("_p", F.col("_sec") + 1, F.col("_per")), "\n\n"))
-    first = F.left(F.split(F.get("_p", F.col("_sec")), r"\.")[0], F.lit(60))
-    fallback = grouped.select("doc_id", "_sec", F.when(none, "Full Document").otherwise(first).alias("heading"), content.alias("content")).withColumn("word_count", F.size(X.words(F.col("content"))).cast("long"))
-    out = made.join(few.select("doc_id"), "doc_id", "left_anti").unionByName(fallback)
-    position = F.row_number().over(Window.partitionBy("doc_id").orderBy("_sec")) - 1
-    return out.withColumn("position", position.cast("long")).select("doc_id", "position", "heading", "content", "word_count")
+
+    def opening(h: Column) -> Column:
+        """Places of the headings that open a section: in a run of headings every other, from the first behind a line of text and from the second at the text's start."""
+        last = A.running(F.transform(h, lambda x, i: F.when(x, -1).otherwise(i)), lambda a, b: F.greatest(a, b), -1)
+        marked = F.zip_with(h, F.transform(last, lambda at, i: F.struct(at.alias("at"), i.alias("i"))), lambda x, y: F.when(x & ((y["i"] - y["at"]) % 2 == F.when(y["at"] < 0, 0).otherwise(1)), y["i"]))
+        return F.filter(marked, lambda i: i.isNotNull())
+
+    def section(heading: Column, content: Column) -> Column:
+        return F.struct(heading.alias("heading"), content.alias("content"), F.size(X.words(content)).cast("long").alias("word_count"))
+
+    def cut(lines: Column, opens: Column) -> Column:
+        ends = F.concat(opens, F.array(F.size(lines)))
+        between = lambda a, b: X.strip(F.array_join(F.slice(lines, a + 1, b - a), "\n"))
+        first = F.array(section(F.lit("Introduction"), between(F.lit(0), ends[0])))
+        return F.concat(first, F.transform(opens, lambda at, k: section(X.strip(lines[at]), between(at + 1, ends[k + 1]))))
+
+    def paragraphs(text: Column, found: Column) -> Column:
+        per = F.greatest(F.lit(1), F.floor(F.size(found) / target).cast("int"))
+        group = lambda k: section(F.left(F.split(found[k], r"\.")[0], F.lit(60)), F.array_join(F.slice(found, k + 1, per), "\n\n"))
+        return F.when(F.size(found) == 0, F.array(section(F.lit("Full Document"), text))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)), per), group))
+
+    rows = docs.where("text is not null and text != ''").select("doc_id", "text", F.split("text", "\n").alias("_lines"))
+    rows = rows.select("doc_id", "text", "_lines", opening(F.transform("_lines", lambda x: X.is_heading(X.strip(x)))).alias("_opens"))
+    rows = rows.select("doc_id", "text", F.filter(cut(F.col("_lines"), F.col("_opens")), lambda x: x["word_count"] >= 10).alias("_made"))
+    found = F.filter(F.transform(F.split("text", "\n\n"), lambda p: X.strip(p)), lambda p: F.size(X.words(p)) >= 5)
+    few = (F.size("_made") <= 1) & (F.size(X.words(F.col("text"))) > 200)
+    rows = rows.select("doc_id", F.posexplode(F.when(few, A.let(found, lambda p: paragraphs(F.col("text"), p))).otherwise(F.col("_made"))).alias("position", "_s"))
+    return rows.select("doc_id", F.col("position").cast("long").alias("position"), "_s.*")
 
 
 def section_summary(section: DataFrame) -> DataFrame:
@@ -188,14 +200,34 @@ def table_claims(tables: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return found.withColumn("ord", ord_).where(F.col("ord") <= config.table_cells).select("table_id", "ord", "sentence", F.left("subject", F.lit(500)).alias("subject"), F.left("predicate", F.lit(500)).alias("predicate"), "value")
 
 
+def _recovered(reply: str, kind: str) -> Column:
+    """The objects of a language model's reply: the whole reply, else a fenced block, else the outermost array."""
+    fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    array = F.regexp_extract(reply, r"(?s)(\[.*\])", 1)
+    return F.coalesce(*(F.from_json(F.when(F.try_parse_json(x).isNotNull(), x), kind) for x in (F.col(reply), fenced, array)))
+
+
+def recover_json_propositions(replies: DataFrame) -> DataFrame:
+    """Propositions in replies (reply_id, reply) of a language model; unknown polarities and levels are inferred from the sentence, strong words overrule a polarity."""
+    kind = "array<struct<entity:string,attribute:string,polarity:string,confidence_level:string,modality:string,source_sentence:string>>"
+    rows = replies.select("reply_id", F.posexplode(_recovered("reply", kind)).alias("pos", "_p"))
+    text = lambda c: X.strip(F.coalesce(f"_p.{c}", F.lit("")))
+    low = lambda c: F.lower(text(c))
+    sentence = text("source_sentence")
+    polarity = F.when(low("polarity").isin("positive", "negative", "mixed", "neutral"), low("polarity")).when(F.col("_p.polarity").isNull(), "neutral").otherwise(X.polarity(sentence))
+    level = F.when(low("confidence_level").isin("certain", "hedged", "speculative"), low("confidence_level")).when(F.col("_p.confidence_level").isNull(), "certain").otherwise(X.confidence_level(sentence))
+    rows = rows.where((text("entity") != "") & (text("attribute") != ""))
+    return rows.select(
+        "reply_id", F.col("pos").cast("long").alias("pos"), text("entity").alias("entity"), text("attribute").alias("attribute"), X.validated_polarity(polarity, sentence).alias("polarity"),
+        level.alias("confidence_level"), F.when(low("modality").isin("factual", "predicted", "disputed"), low("modality")).otherwise("factual").alias("modality"), sentence.alias("sentence"),
+    )
+
+
 def recover_json_claims(replies: DataFrame) -> DataFrame:
     """Claims in replies (reply_id, reply) of a language model: the whole reply, else a fenced block, else the outermost array; invalid fields are mended."""
     kind = "array<struct<claim:string,modality:string,confidence:double>>"
-    fenced = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(.*?)```", 1)
-    array = F.regexp_extract("reply", r"(?s)(\[.*\])", 1)
-    parsed = F.coalesce(*(F.from_json(F.when(F.try_parse_json(x).isNotNull(), x), kind) for x in (F.col("reply"), fenced, array)))
     known = ("MANDATORY", "PROHIBITED", "RECOMMENDED", "OPTIONAL", "INFORMATIONAL")
-    rows = replies.select("reply_id", F.posexplode(parsed).alias("pos", "_c")).where(F.length(X.strip(F.col("_c.claim"))) >= 10)
+    rows = replies.select("reply_id", F.posexplode(_recovered("reply", kind)).alias("pos", "_c")).where(F.length(X.strip(F.col("_c.claim"))) >= 10)
     modality = F.upper("_c.modality")
     return rows.select(
         "reply_id",
