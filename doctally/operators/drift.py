@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Centers that are sent to every executor at most.
+MAX_CENTERS = 5000
 #: Defaults of the five weights that an organisation may set.
 WEIGHTS = {"density": 0.45, "confidence": 0.35, "volume": 0.20, "factual": 0.60, "semantic": 0.40}
 
@@ -57,22 +63,93 @@ def topic_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return moved.join(F.broadcast(stats)).select("topic_id", F.round("movement", 6).alias("movement"), kind.alias("kind"), F.round(drift, 6).alias("drift"))
 
 
+def _centers(centers: DataFrame) -> tuple[list, np.ndarray]:
+    """Topic ids in order and their centers, on the driver: a few of them, which is checked."""
+    rows = centers.select("topic_id", "center").limit(MAX_CENTERS + 1).collect()
+    if len(rows) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centers")
+    rows.sort(key=lambda r: r["topic_id"])
+    return [r["topic_id"] for r in rows], np.array([r["center"] for r in rows], float).reshape(len(rows), -1)
+
+
+def _distances(shared, batch: pd.DataFrame) -> np.ndarray:
+    """Distances (rows, centers) to six digits, one center at a time."""
+    x = np.stack(batch["embedding"].to_numpy()).astype(float)
+    return np.round(np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in shared.value[1]], 1), 6)
+
+
 def nearest_center(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, topic_id, distance: the nearest of a few centers (at most some thousand: they are sent to every executor)."""
-    rows = points.join(F.broadcast(centers)).withColumn("distance", F.round(distance(F.transform("embedding", lambda x: x.cast("double")), F.col("center")), 6))
-    best = rows.groupBy(*keys).agg(F.min(F.struct("distance", "topic_id")).alias("_b"))
-    return best.select(*keys, F.col("_b.topic_id").alias("topic_id"), F.col("_b.distance").alias("distance"))
+    """keys, topic_id, distance: the nearest of at most MAX_CENTERS centers, found where a point is read; ties go to the smaller topic."""
+    kind = centers.schema["topic_id"].dataType.simpleString()
+    shared = points.sparkSession.sparkContext.broadcast(_centers(centers))
+    schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = np.array(shared.value[0])
+        for batch in batches:
+            if len(batch) and len(ids):
+                d = _distances(shared, batch)
+                best = d.argmin(1)
+                yield batch[keys].assign(topic_id=ids[best], distance=d[np.arange(len(d)), best])
+
+    return points.select(*keys, "embedding").mapInPandas(run, f"{schema}, topic_id {kind}, distance double")
 
 
 def topic_labels(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """topic_id and the text (80 characters) nearest to its center, of points (vec_id, text, embedding)."""
-    rows = points.join(F.broadcast(centers)).withColumn("distance", F.round(distance(F.transform("embedding", lambda x: x.cast("double")), F.col("center")), 6))
-    return rows.groupBy("topic_id").agg(F.min_by(F.left("text", F.lit(80)), F.struct("distance", "vec_id")).alias("label"))
+    """topic_id and the text (80 characters) nearest to its center, of points (vec_id, text, embedding); a batch hands on one candidate a topic."""
+    kind, vec = centers.schema["topic_id"].dataType.simpleString(), points.schema["vec_id"].dataType.simpleString()
+    shared = points.sparkSession.sparkContext.broadcast(_centers(centers))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) and len(shared.value[0]):
+                d, at = _distances(shared, batch), batch["vec_id"].to_numpy()
+                first = [np.lexsort((at, d[:, k]))[0] for k in range(d.shape[1])]
+                yield pd.DataFrame({"topic_id": shared.value[0], "vec_id": at[first], "distance": d[first, np.arange(d.shape[1])], "label": [str(t)[:80] for t in batch["text"].to_numpy()[first]]})
+
+    found = points.select("vec_id", "text", "embedding").mapInPandas(run, f"topic_id {kind}, vec_id {vec}, distance double, label string")
+    return found.groupBy("topic_id").agg(F.min_by("label", F.struct("distance", "vec_id")).alias("label"))
 
 
-def halves(points: DataFrame, by: str, order: str) -> DataFrame:
-    """points and half: 1 or 2 by position."""
-    return points.withColumn("half", F.ntile(2).over(Window.partitionBy(by).orderBy(order)))
+def org_topic_drift(points: DataFrame, documents: int = 3, chunks: int = 500, least: int = 10, topics: int = 10) -> DataFrame:
+    """org_id, topic_id, movement, kind, drift for the organisations of points (org_id, document_id, vec_id, embedding) with enough documents and chunks.
+
+    An organisation's first `chunks` vectors by id, which is all that one task holds, are cut into halves; topics fitted on the first half are moved by the second.
+    """
+    enough = points.groupBy("org_id").agg(F.countDistinct("document_id").alias("_d")).where(F.col("_d") >= documents).select("org_id")
+    first = F.row_number().over(Window.partitionBy("org_id").orderBy("vec_id"))
+    kept = points.join(enough, "org_id", "left_semi").withColumn("_n", first).where(F.col("_n") <= chunks).select("org_id", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    kind = points.schema["org_id"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = ["org_id", "topic_id", "before", "after"]
+        if len(rows) < least:
+            return pd.DataFrame(columns=columns)
+        x = np.stack(rows.sort_values("vec_id")["embedding"].to_numpy())
+        half = x[: len(x) // 2]
+        k = max(1, min(topics, len(x) // 3, len(half)))
+        # spread-out starting points: each the farthest from those before
+        chosen = [0]
+        gap = ((half - half[0]) ** 2).sum(1)
+        while len(chosen) < k:
+            chosen.append(int(gap.argmax()))
+            gap = np.minimum(gap, ((half - half[chosen[-1]]) ** 2).sum(1))
+        centers = half[chosen].copy()
+        near = lambda y: ((y[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
+        for _ in range(25):
+            own = near(half)
+            centers = np.stack([half[own == c].mean(0) if (own == c).any() else centers[c] for c in range(k)])
+        own, late = near(x), np.arange(len(x)) >= len(half)
+        out = [(rows["org_id"].iloc[0], c, x[(own == c) & ~late].mean(0).tolist(), x[(own == c) & late].mean(0).tolist()) for c in range(k) if ((own == c) & ~late).any() and ((own == c) & late).any()]
+        return pd.DataFrame(out, columns=columns)
+
+    both = kept.groupBy("org_id").applyInPandas(run, f"org_id {kind}, topic_id int, before array<double>, after array<double>")
+    moved = both.select("org_id", "topic_id", distance(F.col("before"), F.col("after")).alias("movement"))
+    by = Window.partitionBy("org_id")
+    quart = lambda q: F.percentile("movement", F.lit(q)).over(by)
+    name = F.when(F.col("movement") >= quart(0.75), "volatile").when(F.col("movement") <= quart(0.25), "stable").otherwise("moderate")
+    drift = F.least(F.lit(1.0), 2 * F.avg("movement").over(by) / F.greatest(F.max("movement").over(by), F.lit(1e-6)))
+    return moved.select("org_id", "topic_id", F.round("movement", 6).alias("movement"), name.alias("kind"), F.round(drift, 6).alias("drift"))
 
 
 def minibatch_step(centers: DataFrame, points: DataFrame) -> DataFrame:

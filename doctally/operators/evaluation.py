@@ -56,3 +56,22 @@ def quality_ratios(rows: DataFrame) -> DataFrame:
     """Coverage, detection rate and mean confidence of rows (scanned, detected: booleans, confidence)."""
     out = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("scanned").alias("scanned"), F.count_if(F.col("scanned") & F.col("detected")).alias("detected"), F.avg(F.when(F.col("detected"), F.col("confidence"))).alias("_c"))
     return out.select("total", "scanned", "detected", _guarded(F.col("scanned"), F.col("total")).alias("coverage"), _guarded(F.col("detected"), F.col("scanned")).alias("detection_rate"), F.round(F.coalesce("_c", F.lit(0.0)), 4).alias("mean_confidence"))
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """label and line: the rows of a multiclass report as rows of a Markdown table."""
+    figures = [F.format_string("%.4f", c) for c in ("precision", "recall", "f1")]
+    support = (F.col("tp") + F.col("fn")).cast("string")
+    return report.select("label", F.concat(F.lit("| "), F.concat_ws(" | ", "label", *figures, support), F.lit(" |")).alias("line"))
+
+
+def markdown_report(report: DataFrame, matrix: DataFrame, title: str = "Evaluation Report") -> str:
+    """A multiclass report and its confusion matrix as Markdown text; both have a row or a cell for each label, so they are small."""
+    rows = {r["label"]: r for r in report_lines(report).collect()}
+    macro = report.where("label = 'macro'").first()
+    cells = {(r["truth"], r["predicted"]): r["n"] for r in matrix.collect()}
+    labels, total = sorted({k for pair in cells for k in pair}), sum(cells.values())
+    out = [f"# {title}", "", f"**Accuracy:** {sum(cells.get((k, k), 0) for k in labels) / max(total, 1):.4f}", f"**Macro F1:** {macro['f1']:.4f}", f"**Samples:** {total}", ""]
+    out += ["| Class | Precision | Recall | F1 | Support |", "|-------|-----------|--------|-----|---------|", *(rows[k]["line"] for k in labels if k in rows), "", "## Confusion Matrix", ""]
+    out += ["| True \\ Pred | " + " | ".join(labels) + " |", "|" + "|".join(["---"] * (len(labels) + 1)) + "|"]
+    return "\n".join(out + [f"| {a} | " + " | ".join(str(cells.get((a, b), 0)) for b in labels) + " |" for a in labels])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def contradiction_edges(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     )
     kinds = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "kind", "_n"))), ",")
     out = by_kind.groupBy("source", "target").agg(F.sum("_n").alias("weight"), F.max("_max").alias("_max"), F.sum("_sum").alias("_sum"), kinds.alias("kinds"))
-    return out.select("source", "target", "weight", F.round("_max", 4).alias("max_confidence"), F.round(F.col("_sum") / F.col("weight"), 4).alias("mean_confidence"), "kinds")
+    return out.select("source", "target", "weight", F.round("_max", 4).alias("max_confidence"), half_up(F.col("_sum") / F.col("weight"), 4).alias("mean_confidence"), "kinds")
 
 
 def incident_edges(edges: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
@@ -51,6 +54,52 @@ def shared_subjects(claims: DataFrame) -> DataFrame:
     return both.select("doc_a", "doc_b", "shared", (F.col("shared") / F.least("n_a", "n_b")).alias("overlap"))
 
 
+def title_mentions(docs: DataFrame, titles: DataFrame, block: int = 50_000) -> DataFrame:
+    """item_id, doc_id where a document (doc_id, text) holds a title (item_id, title) of more than five characters anywhere, whatever their case.
+
+    Titles are sent to the executors in blocks of so many and searched for all at once, in time that grows with the text; a longer list takes more passes.
+    """
+    wanted = titles.where(F.length("title") > 5).select("item_id", F.lower("title").alias("title"))
+    kinds = titles.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    schema = f"item_id {kinds[0]}, doc_id {kinds[1]}"
+    context, parts = docs.sparkSession.sparkContext, -(-wanted.count() // block)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for k in range(parts):
+        rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
+        by_title: dict[str, list] = {}
+        for r in rows:
+            by_title.setdefault(r["title"], []).append(r["item_id"])
+        shared = context.broadcast(by_title)
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            from ahocorasick import Automaton
+
+            automaton = Automaton()
+            for title, ids in shared.value.items():
+                automaton.add_word(title, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                out = []
+                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                    out += [(i, doc_id) for i in {i for _, ids in automaton.iter(text or "") for i in ids}]
+                yield pd.DataFrame(out, columns=["item_id", "doc_id"])
+
+        if rows:
+            found = found.unionByName(docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(search, schema))
+    return found
+
+
+def total_weight(edges: DataFrame) -> DataFrame:
+    """The sum of all edges' weights; an edge without one counts 1."""
+    return edges.agg(F.coalesce(F.sum(F.coalesce("weight", F.lit(1))), F.lit(0)).alias("total"))
+
+
+def list_entities(entities: DataFrame, limit: int = 200) -> DataFrame:
+    """An organisation's entities (org_id, name, kind) as its list shows them: the first so many by name."""
+    rank = F.row_number().over(Window.partitionBy("org_id").orderBy("name", "kind"))
+    return entities.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
+
+
 def dependency_strength(overlaps: DataFrame, similar: DataFrame, citations: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_a, doc_b, strength: shared subjects 0.30, similarity above 0.7 scaled 0.25, citations 0.25 (mutual 1, one way 0.7), same department 0.20 x 0.5."""
     dept = docs.select("document_id", "department")
@@ -96,3 +145,11 @@ def upsert_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Entities (org_id, name, kind) after mentions (org_id, name, kind, ord): a new name is added once, with its first kind; a known one stays."""
     first = mentions.groupBy("org_id", "name").agg(F.min_by("kind", "ord").alias("kind"))
     return entities.unionByName(first.join(entities, ["org_id", "name"], "left_anti").select(*entities.columns))
+
+
+def propagation(strength: DataFrame, docs: DataFrame, start, config: Config = DEFAULT) -> DataFrame:
+    """What a change of one document reaches: the traced documents with title, department, depth, parent and impact, and how critical that is."""
+    traced = impact_trace(dependency_graph(strength, config), start, config)
+    named = docs.select(F.col("document_id").alias("node"), "title", "department")
+    level = F.when(F.col("impact") >= 0.5, "high").when(F.col("impact") >= 0.2, "medium").otherwise("low")
+    return traced.join(named, "node", "left").withColumn("level", level)

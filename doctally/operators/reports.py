@@ -139,6 +139,36 @@ def apply_updates(rows: DataFrame, updates: DataFrame, key: str, columns: list[s
     return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else c for c in rows.columns))
 
 
+def submit_reviews(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """pairs with review_status, reviewed_by, reviewed_at and review_reason of verdicts (pair_id and these); one with a status that isn't allowed changes nothing."""
+    columns = ["review_status", "reviewed_by", "reviewed_at", "review_reason"]
+    good = verdicts.withColumn("review_status", F.upper("review_status")).where(F.col("review_status").isin("APPROVED", *DISMISSED))
+    return apply_updates(pairs, good, "pair_id", columns)
+
+
+def feedback_rows(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """What each verdict on an inferred replacement (pairs: pair_id, inferred_lineage, classification, explanation) says about the heuristic's signals."""
+    from .pairs import feedback_signals
+
+    good = verdicts.withColumn("decision", F.upper("review_status")).where(F.col("decision").isin("APPROVED", *DISMISSED))
+    rows = feedback_signals(pairs.where("inferred_lineage").select("pair_id", "classification", "explanation"))
+    return rows.join(good.select("pair_id", "decision", "reviewed_by"), "pair_id").select("pair_id", "title_similarity", "gap_days", F.lit(True).alias("department_match"), "decision", "classification", "reviewed_by")
+
+
+def cache_report(lookups: DataFrame) -> DataFrame:
+    """Hit rates and hits of lookups (kind: parse, chunk or claim; hit)."""
+    count = lambda kind, hit: F.count_if((F.col("kind") == kind) & (F.col("hit") if hit else F.lit(True)))
+    out = lookups.agg(*(count(k, h).alias(f"{k}_{'hits' if h else 'all'}") for k in ("parse", "claim") for h in (True, False)))
+    rate = lambda k: share(F.col(f"{k}_hits"), F.col(f"{k}_all"), 2).alias(f"{k}_hit_rate")
+    return out.select(rate("parse"), rate("claim"), "parse_hits", "claim_hits")
+
+
+def latency_stats(calls: DataFrame) -> DataFrame:
+    """Seconds in all, items and milliseconds an item of calls (seconds, items)."""
+    out = calls.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("items"), F.lit(0)).alias("total_items"))
+    return out.select(F.round("_s", 4).alias("total_seconds"), "total_items", F.round(F.col("_s") / F.greatest("total_items", F.lit(1)) * 1000, 2).alias("ms_an_item"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The last row by order of each key."""
     both = old.unionByName(new)

@@ -1,12 +1,12 @@
 """Vector retrieval: exact nearest neighbours, greedy deduplication, clusters, lexical and hybrid search.
 
-Queries are sent to the executors in blocks of at most BLOCK vectors and meet every stored vector there in matrix products; what leaves a batch are the best k of each query.
+Up to BLOCK queries are broadcast and meet every stored vector in matrix products where it is read. More of them are cut into blocks, and the stored vectors too;
+each pair of blocks meets in a task of its own, so neither the driver nor a task ever holds more than two blocks. What leaves are the best k of each query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 
 BLOCK = 2000
+#: Terms of queries that are sent to every executor at most (some 20 MB).
+BROADCAST_TERMS = 200_000
 DIGITS = 6
 
 
@@ -24,42 +26,99 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 1e-8)
 
 
-def nearest(queries: DataFrame, stored: DataFrame, k: int, least: float = -1.0, skip_self: bool = False) -> DataFrame:
+def _best(asked: tuple, there: np.ndarray, groups, stored: np.ndarray, k: int, least: float, skip_self: bool) -> pd.DataFrame:
+    """The k best stored vectors of each of asked (ids, groups, unit vectors), at most one row a pair."""
+    ids, own, matrix = asked
+    sims = np.round(matrix @ stored.T, DIGITS)
+    if skip_self:
+        sims[ids[:, None] == there[None, :]] = -2.0
+    if groups is not None:
+        sims[own[:, None] == groups[None, :]] = -2.0
+    if k < len(there):  # the ids decide among equal ones, so all that reach the k-th are ordered
+        edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        rows, columns = np.nonzero((sims >= np.maximum(edge, least)) & (sims >= -1.0))
+    else:
+        rows, columns = np.nonzero((sims >= least) & (sims >= -1.0))
+    order = np.lexsort((there[columns], -sims[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, rows, "left")
+    kept = np.arange(len(rows)) - first < k
+    rows, columns = rows[kept], columns[kept]
+    return pd.DataFrame({"query_id": ids[rows], "vec_id": there[columns], "similarity": sims[rows, columns]})
+
+
+def _matrix(embeddings) -> np.ndarray:
+    return unit(np.stack(embeddings.to_numpy()).astype(np.float64))
+
+
+def nearest(queries: DataFrame, stored: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, apart: str | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k nearest by cosine of each query (query_id, embedding) among the stored (vec_id, embedding).
 
-    Similarities are rounded to six digits; ties go to the smaller id.
+    Similarities are rounded to six digits; ties go to the smaller id. apart: a column of both sides that a pair must not share.
     """
     kinds = queries.schema["query_id"].dataType.simpleString(), stored.schema["vec_id"].dataType.simpleString()
     schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double"
-    count = queries.count()
-    numbered = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-count // BLOCK)))).alias("_block"))
-
-    def search(block: pd.DataFrame) -> DataFrame:
-        ids, matrix = block["query_id"].to_numpy(), unit(np.stack(block["embedding"].to_numpy()).astype(np.float64))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    group = (F.col(apart) if apart else F.lit(0)).alias("_group")
+    asked, there = queries.select("query_id", group, "embedding"), stored.select("vec_id", group, "embedding")
+    count = asked.count()
+    if count <= block:
+        rows = asked.toPandas()
+        shared = queries.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), rows["_group"].to_numpy(), _matrix(rows["embedding"]) if len(rows) else None))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if not len(batch):
-                    continue
-                there = batch["vec_id"].to_numpy()
-                sims = np.round(matrix @ unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)).T, DIGITS)
-                if skip_self:
-                    sims[ids[:, None] == there[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(there, sims.shape), -sims), axis=1)[:, :k]
-                found = np.take_along_axis(sims, order, 1)
-                keep = found >= max(least, -1.0)
-                rows = np.broadcast_to(ids[:, None], order.shape)
-                yield pd.DataFrame({"query_id": rows[keep], "vec_id": there[order][keep], "similarity": found[keep]})
-
-        return stored.select("vec_id", "embedding").mapInPandas(run, schema)
-
-    blocks = [numbered.where(F.col("_block") == b).toPandas() for b in range(max(1, -(-count // BLOCK)))]
-    parts = [search(b) for b in blocks if len(b)]
-    found = reduce(DataFrame.unionAll, parts) if parts else queries.sparkSession.createDataFrame([], schema)
+                if len(batch) and len(shared.value[0]):
+                    yield _best(shared.value, batch["vec_id"].to_numpy(), batch["_group"].to_numpy() if apart else None, _matrix(batch["embedding"]), k, least, skip_self)
+
+        found = there.mapInPandas(scan, schema)
+    else:
+        rows, columns = -(-count // block), max(1, -(-there.count() // block))
+        spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("_i", spread("query_id", rows)).withColumn("_j", every(columns))
+        right = there.withColumn("_j", spread("vec_id", columns)).withColumn("_i", every(rows))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+            side = (a["query_id"].to_numpy(), a["_group"].to_numpy(), _matrix(a["embedding"]))
+            return _best(side, b["vec_id"].to_numpy(), b["_group"].to_numpy() if apart else None, _matrix(b["embedding"]), k, least, skip_self)
+
+        found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def partner_ranks(queries: DataFrame, stored: DataFrame, block: int = BLOCK) -> DataFrame:
+    """query_id, rank: where each query's partner (query_id, embedding, partner_id) comes among all stored vectors; a partner that isn't stored has no rank.
+
+    Each batch of stored vectors only counts, for at most `block` queries, how many come before the partner.
+    """
+    partner = stored.select(F.col("vec_id").alias("partner_id"), F.col("embedding").alias("_partner"))
+    rows = queries.select("query_id", "embedding", "partner_id").join(partner, "partner_id")
+    if rows.count() > block:
+        raise ValueError(f"more than {block} queries: rank them in parts")
+    asked = rows.toPandas()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    if not len(asked):
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, rank long")
+    mine = _matrix(asked["embedding"])
+    reach = np.round((mine * _matrix(asked["_partner"])).sum(1), DIGITS)
+    shared = queries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), asked["partner_id"].to_numpy(), mine, reach))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, partners, matrix, limit = shared.value
+        before = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            if len(batch):
+                sims, there = np.round(matrix @ _matrix(batch["embedding"]).T, DIGITS), batch["vec_id"].to_numpy()
+                before += ((sims > limit[:, None]) | ((sims == limit[:, None]) & (there[None, :] < partners[:, None]))).sum(1)
+        yield pd.DataFrame({"query_id": ids, "n": before})
+
+    counted = stored.select("vec_id", "embedding").mapInPandas(run, f"query_id {kind}, n long")
+    return counted.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
+
+
 def semantic_search(queries: DataFrame, stored: DataFrame, k: int) -> DataFrame:
     """The nearest with score: the similarity, not below zero, to four digits."""
     return nearest(queries, stored, k).withColumn("score", F.round(F.greatest(F.lit(0.0), "similarity"), 4))
@@ -75,17 +134,13 @@ def shortlist(queries: DataFrame, stored: DataFrame, live: DataFrame, config: Co
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= config.shortlist_documents)
 
 
-def deduplicate(vectors: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """group_id, vec_id, representative: in order of ids a vector is dropped if an earlier kept one of its group is as similar as the limit; the first such one represents it.
-
-    The order makes this sequential within a group, so a group is worked through in one task, a matrix product for each block of 512 against what is kept so far.
-    """
-    limit = config.dedup_similarity
-    group, vec = (vectors.schema[c].dataType.simpleString() for c in ("group_id", "vec_id"))
+def _kept_first(rows: DataFrame, limit: float) -> DataFrame:
+    """group_id, vec_id, representative by order of ids, each group in one task: a matrix product for each 512 vectors against what is kept so far."""
+    group, vec = (rows.schema[c].dataType.simpleString() for c in ("group_id", "vec_id"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
-        matrix, ids = unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64)), rows["vec_id"].to_numpy()
+        matrix, ids = _matrix(rows["embedding"]), rows["vec_id"].to_numpy()
         kept: list[int] = []
         stands = np.arange(len(ids))
         for start in range(0, len(ids), 512):
@@ -102,29 +157,107 @@ def deduplicate(vectors: DataFrame, config: Config = DEFAULT) -> DataFrame:
                     stands[i] = first
         return pd.DataFrame({"group_id": rows["group_id"].to_numpy(), "vec_id": ids, "representative": ids[stands]})
 
-    return vectors.select("group_id", "vec_id", "embedding").groupBy("group_id").applyInPandas(run, f"group_id {group}, vec_id {vec}, representative {vec}")
+    return rows.groupBy("group_id").applyInPandas(run, f"group_id {group}, vec_id {vec}, representative {vec}")
+
+
+def deduplicate(vectors: DataFrame, config: Config = DEFAULT, most: int = 4096) -> DataFrame:
+    """group_id, vec_id, representative: in order of ids a vector is dropped if an earlier kept one of its group is as similar as the limit; the first such one represents it.
+
+    Works in rounds: the first `most` open vectors of each group are settled in one task, then all others of the group are held, in blocks of as many, against what was kept, and those
+    that are dropped leave. A group of up to `most` vectors takes one round; no task holds more than two blocks.
+    """
+    limit = config.dedup_similarity
+    group, vec = (vectors.schema[c].dataType.simpleString() for c in ("group_id", "vec_id"))
+    schema = f"group_id {group}, vec_id {vec}, representative {vec}"
+    rows, done = vectors.select("group_id", "vec_id", "embedding"), None
+    first = F.row_number().over(Window.partitionBy("group_id").orderBy("vec_id"))
+
+    def drop(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """a: open vectors; b: kept ones, in order of ids the first that is near enough counts."""
+        if not len(a) or not len(b):
+            return pd.DataFrame({"group_id": [], "vec_id": [], "representative": []})
+        b = b.sort_values("vec_id")
+        near = np.round(_matrix(a["embedding"]) @ _matrix(b["embedding"]).T, DIGITS) >= limit
+        hit = near.any(1)
+        return pd.DataFrame({"group_id": a["group_id"][hit], "vec_id": a["vec_id"][hit], "representative": b["vec_id"].to_numpy()[near.argmax(1)[hit]]})
+
+    while True:
+        head = rows.withColumn("_n", first).where(F.col("_n") <= most).drop("_n")
+        settled = _kept_first(head, limit)
+        done = settled if done is None else done.unionByName(settled)
+        edge = head.groupBy("group_id").agg(F.max("vec_id").alias("_edge"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == most)
+        tail = rows.join(edge.hint("merge"), "group_id").where(F.col("vec_id") > F.col("_edge")).drop("_edge", "_n")
+        blocks = tail.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_m"))
+        if not blocks.take(1):
+            return done
+        settled = stored(settled)
+        kept = head.join(settled.where("vec_id = representative").select("group_id", "vec_id"), ["group_id", "vec_id"], "left_semi")
+        kept = kept.join(blocks, "group_id").select("group_id", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_b"))
+        left = tail.join(blocks, "group_id").withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_m")).cast("int")).drop("_m")
+        # fresh columns: both sides come from one frame
+        left, kept = (t.select(*(F.col(c).alias(c) for c in ("group_id", "_b", "vec_id", "embedding"))) for t in (left, kept))
+        dropped = stored(left.groupBy("group_id", "_b").cogroup(kept.groupBy("group_id", "_b")).applyInPandas(drop, schema))
+        done = done.unionByName(dropped)
+        rows = stored(tail.join(dropped.select("group_id", "vec_id"), ["group_id", "vec_id"], "left_anti"))
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows behind a checkpoint in the shared folder of spark.checkpoint.dir; where none is set, as in local tests, with their lineage."""
+    context = rows.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return rows.checkpoint() if context.getCheckpointDir() else rows
+
+
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
 def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, length of lower-cased white-space separated tokens."""
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-    each = rows.select(key, tokens.alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    each = rows.select(key, _tokens(text).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
     return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def _asked_terms(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The queries' terms (query_id, term, times), and of the documents' only those (doc_id, term, tf, length): the others leave before anything is shuffled."""
+    asked = terms(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("times"))
+    wanted = asked.select("term").distinct()
+    wanted = wanted.hint("broadcast") if wanted.count() <= BROADCAST_TERMS else wanted.hint("merge")
+    each = docs.select("doc_id", _tokens("text").alias("_t")).select("doc_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    return asked, each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """query_id, doc_id, bm25 of queries (query_id, query) over docs (doc_id, text); a term in more than half of the documents has floor times the mean idf."""
-    stats = docs.select(F.size(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")).alias("n")).agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_mean"))
-    found = terms(docs, "doc_id", "text")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats)).withColumn("_idf", F.log(F.col("_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    idf = idf.join(F.broadcast(idf.agg(F.avg("_idf").alias("_avg")))).withColumn("idf", F.when(F.col("_idf") < 0, floor * F.col("_avg")).otherwise(F.col("_idf")))
-    asked = terms(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("_times"))
-    rows = asked.join(found, "term").join(idf.select("term", "idf", "_mean"), "term")
-    score = F.col("_times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("_mean")))
+    """query_id, doc_id, bm25 of queries (query_id, query) over docs (doc_id, text); a term in more than half of the documents has floor times the mean idf.
+
+    One pass counts the documents of every term, pre-aggregated where they are read, for the three figures of the whole corpus; a second one keeps the asked terms only.
+    """
+    distinct = docs.select(F.posexplode_outer(F.array_distinct(_tokens("text"))).alias("_i", "term"), F.size(_tokens("text")).alias("_n"))
+    each = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_n"))).alias("_words"))
+    n_docs = docs.count()
+    idf = lambda df: F.log(F.lit(n_docs) - df + 0.5) - F.log(df + 0.5)
+    words, mean_idf = each.agg(F.sum("_words"), F.avg(F.when(F.col("term").isNotNull(), idf(F.col("df"))))).first()
+    asked, found = _asked_terms(queries, docs)
+    known = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.when(idf(F.col("df")) < 0, floor * (mean_idf or 0.0)).otherwise(idf(F.col("df")))
+    rows = asked.join(known.select("term", weight.alias("idf")), "term").join(found, "term")
+    mean = (words or 0) / max(n_docs, 1)
+    score = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(mean, 1e-9)))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("bm25"))
 
 
+def term_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, similarity: the cosine of term counts for documents that share a term with the query; stands in for an encoder."""
+    asked, found = _asked_terms(queries, docs)
+    squares = terms(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("_d"))
+    lengths = asked.groupBy("query_id").agg(F.sum(F.col("times") * F.col("times")).alias("_q"))
+    dots = asked.join(found, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("tf")).alias("_dot"))
+    rows = dots.join(lengths, "query_id").join(squares, "doc_id")
+    return rows.select("query_id", "doc_id", (F.col("_dot") / (F.sqrt("_q") * F.sqrt("_d"))).alias("similarity"))
+
+
 def hybrid(semantic: DataFrame, lexical: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
     """The blend of similarities (query_id, doc_id, similarity) and BM25, normalised by each query's best, over all ids that either side found."""
     best = lexical.groupBy("query_id").agg(F.max("bm25").alias("_max"))
@@ -179,6 +312,16 @@ def cluster_fit(points: DataFrame, k: int = 20, seed: int = 42, sample: int = 20
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], schema)
 
 
+def without_ghosts(found: DataFrame, metadata: str = "version") -> DataFrame:
+    """Search results whose metadata is still there: a deleted vector may be returned without any."""
+    return found.where(F.col(metadata).isNotNull())
+
+
+def of_documents(vectors: DataFrame, document_ids: DataFrame) -> DataFrame:
+    """The vectors of some documents (document_id)."""
+    return vectors.join(document_ids, "document_id", "left_semi")
+
+
 def version_audit(vectors: DataFrame, current: str) -> DataFrame:
     """How many vectors have another encoder's version (null is not counted)."""
     return vectors.groupBy("is_claim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("version") != current).alias("mismatched"))
