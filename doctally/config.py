@@ -16,6 +16,9 @@ class Config:
     gate_sample: float = 0.05
     top_k: int = 5
     retrieve_k: int = 10
+    shared_terms: int = 1
+    entity_similarity: float = 0.65
+    attribute_similarity: float = 0.55
     contradiction: float = 0.80
     contradiction_uneven: float = 0.85
     uneven_ratio: float = 2.0

@@ -84,12 +84,36 @@ def attributes_align(a: Column, b: Column) -> Column:
     return filled & ((x == y) | ((least > 0) & (F.size(F.array_intersect(m, n)) / F.greatest(least, F.lit(1)) >= 0.4)))
 
 
+def with_similarities(pairs: DataFrame, encode) -> DataFrame:
+    """pairs of propositions with entity_similarity and attribute_similarity by an encoder (a frame and a text column's name to the frame with `embedding`, as vectors.hash_embed)."""
+    from .vectors import similarity
+
+    for c in ("entity", "attribute"):
+        texts = pairs.select(F.explode(F.array(f"{c}_a", f"{c}_b")).alias("_x")).where("_x is not null").distinct()
+        coded = encode(texts, "_x").select("_x", "embedding")
+        for s in "ab":
+            pairs = pairs.join(coded.withColumnsRenamed({"_x": f"{c}_{s}", "embedding": f"_{s}"}), f"{c}_{s}", "left")
+        pairs = pairs.withColumn(f"{c}_similarity", similarity(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return pairs
+
+
+def parse_time(x: Column) -> Column:
+    """A timestamp from the usual ways of writing dates, without a zone as UTC; null if it is none of them."""
+    formats = ("yyyy/MM/dd[ HH:mm:ss]", "dd.MM.yyyy[ HH:mm:ss]", "MM/dd/yyyy[ HH:mm:ss]", "d MMM yyyy[ HH:mm:ss]", "MMM d, yyyy[ HH:mm:ss]", "MMMM d, yyyy[ HH:mm:ss]", "yyyyMMdd")
+    text = F.trim(x)
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))
+    return F.coalesce(iso, *(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+
+
 def _inverted(a: Column, b: Column, yes: str, no: str) -> Column:
     return (a.rlike(yes) & b.rlike(no)) | (a.rlike(no) & b.rlike(yes))
 
 
-def taxonomy(pairs: DataFrame) -> DataFrame:
-    """Pairs of propositions (entity_, attribute_, polarity_, confidence_level_, sentence_ with a and b; nli_label, nli_score) and type, confidence, severity."""
+def taxonomy(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Pairs of propositions (entity_, attribute_, polarity_, confidence_level_, sentence_ with a and b; nli_label, nli_score) and type, confidence, severity.
+
+    Where pairs have entity_similarity or attribute_similarity, these align what words don't.
+    """
     a, b = (lambda c, s=s: F.col(f"{c}_{s}") for s in "ab")
     sides = ("positive", "negative")
     opposed = (a("polarity") != b("polarity")) & a("polarity").isin(*sides) & b("polarity").isin(*sides) & (a("confidence_level") == "certain") & (b("confidence_level") == "certain")
@@ -106,7 +130,9 @@ def taxonomy(pairs: DataFrame) -> DataFrame:
     )
     none = F.struct(F.lit(None).cast("string").alias("type"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("severity"))
     found = reduce(lambda rest, r: F.when(r[1], F.struct(F.lit(r[0]).alias("type"), r[2].alias("confidence"), F.lit(r[3]).alias("severity"))).otherwise(rest), reversed(rules), none)
-    aligned = entities_align(a("entity"), b("entity")) & attributes_align(a("attribute"), b("attribute"))
+    near = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(False)) if c in pairs.columns else F.lit(False)
+    entities = entities_align(a("entity"), b("entity")) | near("entity_similarity", config.entity_similarity)
+    aligned = entities & (attributes_align(a("attribute"), b("attribute")) | near("attribute_similarity", config.attribute_similarity))
     return pairs.withColumn("_t", F.when(aligned, found).otherwise(none)).select(*pairs.columns, "_t.*")
 
 

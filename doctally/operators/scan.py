@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions import text as X
 from . import pairs as P
+from . import text as T
 from . import vectors as V
 
 _NEGATION = re.compile(r"\b(not|no|never|cannot|without|prohibited|forbidden)\b|n't\b", re.I)
@@ -51,26 +52,126 @@ def overlap_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(len(x & y) / max(len(x), 1), 6) for x, y in both])
 
 
-def claim_pairs(claims: DataFrame, gate: float | None = None, limit: float | None = None, config: Config = DEFAULT, k: int = 10) -> DataFrame:
-    """Contradicting pairs of claims (document_id, claim_id, content) of different documents.
+EXPLANATION = "These two statements present conflicting information. Contradiction detected with %.0f%% confidence."
 
-    Nearest neighbours above the gate, the dynamic cut, classification both ways, bands, and at least one shared salient term.
+
+def explained(pairs: DataFrame, write=None) -> DataFrame:
+    """pairs (a, b, score) and explanation: what a user's function of two texts and a score gives (a language model, say) if it has more than ten characters, else the template."""
+    template = F.format_string(EXPLANATION, F.col("score") * 100)
+    if write is None:
+        return pairs.withColumn("explanation", template)
+
+    def run(a: pd.Series, b: pd.Series, score: pd.Series) -> pd.Series:
+        def one(*x):
+            try:
+                return write(*x)
+            except Exception:  # a provider that fails leaves the template
+                return None
+
+        return pd.Series([one(*x) for x in zip(a, b, score, strict=True)], dtype=object)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "score": pd.Series, "return": pd.Series}
+    given = F.pandas_udf(run, "string")("a", "b", "score")
+    return pairs.withColumn("_given", given).withColumn("explanation", F.when(F.length(F.trim("_given")) > 10, F.trim("_given")).otherwise(template)).drop("_given")
+
+
+def seeds(claims: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Claims that a scan starts from: no structural noise, and of each document the heaviest."""
+    return P.seed_claims(without_noise(claims, "content"), config)
+
+
+def without_noise(rows: DataFrame, text: str) -> DataFrame:
+    bare = X.without_bullets(F.col(text))
+    noise = X.is_structural_noise(bare, X.words(F.lower(bare)))
+    return rows.where(F.col(text).isNotNull()).select("*", F.explode(F.array(noise)).alias("_noise")).where("not _noise").drop("_noise")
+
+
+def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config = DEFAULT, rule=rule_label, write=None) -> DataFrame:
+    """Contradicting pairs of claims of different documents; if new claims are given, pairs that one of them takes part in.
+
+    claims: document_id, claim_id, content, and if known modality, importance_weight, ord and embedding (else hashed words). Seeds are compared with the
+    nearest claims of other documents above the gate (and a sample below it), noise dropped, the dynamic cut, classification both ways, modalities, bands,
+    and shared salient terms.
     """
-    from dataclasses import replace
 
-    config = replace(config, gate_similarity=config.gate_similarity if gate is None else gate, borderline=config.borderline if limit is None else limit)
-    distinct = claims.dropDuplicates(["claim_id"])
-    coded = V.hash_embed(distinct, "content").select("claim_id", "document_id", "content", "embedding")
-    asked = coded.select(F.col("claim_id").alias("query_id"), "embedding")
-    found = V.nearest(asked, coded.withColumnRenamed("claim_id", "vec_id"), k, config.gate_similarity, skip_self=True).withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"})
+    def filled(rows: DataFrame) -> DataFrame:
+        rows = rows.dropDuplicates(["claim_id"])
+        for c, default in (("modality", F.lit(None).cast("string")), ("importance_weight", F.lit(1.0)), ("ord", F.col("claim_id"))):
+            rows = rows if c in rows.columns else rows.withColumn(c, default)
+        return rows if "embedding" in rows.columns else V.hash_embed(rows, "content")
+
+    stored = filled(claims)
+    chosen = seeds(stored if new is None else filled(new), config).select(F.col("claim_id").alias("query_id"), "document_id", "embedding")
+    least = -1.0 if config.gate_sample > 0 else config.gate_similarity
+    found = V.nearest(chosen, stored.withColumnRenamed("claim_id", "vec_id"), config.retrieve_k, least, skip_self=True, apart="document_id")
+    found = P.similarity_gate(found.withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"}).drop("rank"), config)
+    for s in "ab":
+        side = stored if new is None or s == "b" else filled(new)
+        found = found.join(side.select(F.col("claim_id").alias(f"{s}_id"), F.col("document_id").alias(f"doc_{s}"), F.col("content").alias(s), F.col("modality").alias(f"modality_{s}")), f"{s}_id")
+    rows = P.dynamic_topk(without_noise(found, "b"), config).drop("rank")
+    rows = classify(rows, rule).withColumn("ratio", X.specificity_ratio(F.col("a"), F.col("b")))
+    rows = P.confidence_bands(rows, config).where(X.modalities_comparable(F.col("modality_a"), F.col("modality_b")))
+    back = classify(rows.select("a_id", "b_id", F.col("b").alias("a"), F.col("a").alias("b")), rule).select("a_id", "b_id", F.col("label").alias("reverse_label"))
+    kept = P.symmetric(rows.join(back, ["a_id", "b_id"])).withColumn("shared", X.shared_terms(F.col("a"), F.col("b"))).where(F.col("shared") >= config.shared_terms)
+    ordered = kept.withColumn("ord", F.concat_ws(":", F.lpad(F.col("a_id").cast("string"), 40, "0"), F.lpad(F.col("b_id").cast("string"), 40, "0")))
+    ordered = P.canonical_pairs(ordered, (("a_id", "b_id"), ("doc_a", "doc_b"), ("a", "b"), ("modality_a", "modality_b")))
+    return explained(P.dedup_pairs(ordered).drop("ord"), write)
+
+
+def split_by_time(pairs: DataFrame, contexts: DataFrame, as_of: str, config: Config = DEFAULT) -> DataFrame:
+    """pairs (doc_a, doc_b) with class, class_confidence, inferred: whether two claims contradict each other or one replaces the other by their documents' dates.
+
+    contexts: id, supersedes, from, until, created, version, department of each document; pairs of unknown documents are contradictions.
+    """
+    for s in "ab":
+        own = contexts.select(F.col("id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("supersedes", "from", "until", "created", "version", "department")))
+        pairs = pairs.join(own, F.col(f"doc_{s}") == F.col(f"id_{s}"), "left")
+    rows = P.temporal_class(pairs if "similarity" in pairs.columns else pairs.withColumn("similarity", F.lit(0.0)), as_of, config)
+    return rows.drop(*(f"{c}_{s}" for c in ("id", "supersedes", "from", "until", "created", "version", "department") for s in "ab"))
+
+
+def aligned_sections(pairs: DataFrame, docs: DataFrame, least: float = DEFAULT.alignment) -> DataFrame:
+    """doc_a, doc_b, position_a, position_b, score, content_a, content_b: sections of each pair of documents (doc_id, text) matched by their summaries."""
+    sections = V.hash_embed(T.section_summary(T.sections(docs)), "summary").select("doc_id", "position", "content", "embedding")
+    keyed = pairs.select("doc_a", "doc_b", F.concat_ws(":", "doc_a", "doc_b").alias("pair"))
+    sides = [keyed.join(sections.withColumnRenamed("doc_id", f"doc_{s}"), f"doc_{s}") for s in "ab"]
+    out = align_sections(*sides, least=least).join(keyed, "pair")
+    for s in "ab":
+        out = out.join(sections.select(F.col("doc_id").alias(f"doc_{s}"), F.col("position").alias(f"position_{s}"), F.col("content").alias(f"content_{s}")), [f"doc_{s}", f"position_{s}"])
+    return out.drop("pair")
+
+
+def structured_scan(pairs: DataFrame, docs: DataFrame, rule=rule_label, config: Config = DEFAULT) -> DataFrame:
+    """Contradictions of propositions in aligned sections of each pair of documents: doc_a, doc_b, position_a, position_b, sentence_a, sentence_b, type, confidence, severity, band."""
+    aligned = aligned_sections(pairs, docs, config.alignment)
+    keys = ["doc_a", "doc_b", "position_a", "position_b"]
+
+    def side(s: str) -> DataFrame:
+        parts = aligned.select(F.struct(*keys).alias("doc_id"), F.col(f"content_{s}").alias("text"))
+        found = T.propositions(T.sentences(parts)).drop("modality", "pos")
+        return found.select("doc_id", *(F.col(c).alias(f"{c}_{s}") for c in ("entity", "attribute", "polarity", "confidence_level", "sentence")))
+
+    both = side("a").join(side("b"), "doc_id").withColumns({"a": F.col("sentence_a"), "b": F.col("sentence_b")})
+    both = P.with_similarities(classify(both, rule).withColumnsRenamed({"label": "nli_label", "score": "nli_score"}), V.hash_embed)
+    typed = P.taxonomy(both, config).where("type is not null")
+    band = F.when(F.col("confidence") >= 0.75, "high").otherwise("borderline")
+    return typed.select("doc_id.*", "sentence_a", "sentence_b", "type", "confidence", "severity", band.alias("band")).distinct()
+
+
+def routed_scan(pairs: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Contradictions of each pair of documents (doc_a, doc_b) by the path that both their structures allow: doc_a, doc_b, a, b, confidence, band, scan_path."""
+    regular = T.structure_confidence(docs)
     for s in "ab":
-        found = found.join(distinct.select(F.col("claim_id").alias(f"{s}_id"), F.col("document_id").alias(f"doc_{s}"), F.col("content").alias(s)), f"{s}_id")
-    rows = P.dynamic_topk(found.where("doc_a != doc_b").drop("rank"), config).drop("rank")
-    rows = classify(rows).withColumn("ratio", X.specificity_ratio(F.col("a"), F.col("b")))
-    back = classify(rows.select("a_id", "b_id", F.col("b").alias("a"), F.col("a").alias("b"))).select("a_id", "b_id", F.col("label").alias("reverse_label"))
-    kept = P.symmetric(P.confidence_bands(rows, config).join(back, ["a_id", "b_id"])).withColumn("shared", X.shared_terms(F.col("a"), F.col("b"))).where("shared >= 1")
-    ordered = P.canonical_pairs(kept, (("a_id", "b_id"), ("doc_a", "doc_b"), ("a", "b"))).withColumn("ord", F.concat_ws(":", "a_id", "b_id"))
-    return P.dedup_pairs(ordered).drop("ord")
+        pairs = pairs.join(regular.select(F.col("doc_id").alias(f"doc_{s}"), F.col("structure_confidence").alias(f"confidence_{s}")), f"doc_{s}")
+    routed = P.scan_route(pairs, config)
+    by_structure = structured_scan(routed.where("route = 'structured'").select("doc_a", "doc_b"), docs, config=config)
+    other = routed.where("route = 'embedding'").select("doc_a", "doc_b")
+    claims = T.extract_claims(docs).select(F.col("doc_id").alias("document_id"), F.concat_ws("_claim_", "doc_id", "pos").alias("claim_id"), "content", "importance_weight", F.col("pos").alias("ord"))
+    found = claim_pairs(claims, config=config)
+    wanted = other.select(F.least("doc_a", "doc_b").alias("_x"), F.greatest("doc_a", "doc_b").alias("_y")).distinct()
+    found = found.withColumns({"_x": F.least("doc_a", "doc_b"), "_y": F.greatest("doc_a", "doc_b")}).join(wanted, ["_x", "_y"], "left_semi")
+    out = by_structure.select("doc_a", "doc_b", F.col("sentence_a").alias("a"), F.col("sentence_b").alias("b"), "confidence", "band", F.lit("structured").alias("scan_path"))
+    return out.unionByName(found.select("doc_a", "doc_b", "a", "b", F.col("score").alias("confidence"), "band", F.lit("embedding").alias("scan_path")))
 
 
 def align_sections(a: DataFrame, b: DataFrame, least: float = DEFAULT.alignment) -> DataFrame:

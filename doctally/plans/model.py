@@ -8,7 +8,7 @@ DOCS = """SELECT s_suppkey AS document_id, s_nationkey AS org_id, s_name AS titl
     CASE s_suppkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'FAILED' WHEN 2 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status,
     s_suppkey % 400 AS age_days, 3 + s_suppkey % 40 AS aligned_claims, round(abs(s_acctbal) / 100, 2) AS drift FROM supplier"""
 CLAIMS = """SELECT l_suppkey * 1000000 + l_partkey AS claim_id, l_suppkey AS document_id, l_partkey AS subject, round(avg(l_discount), 6) AS value, count(*) AS n
-    FROM lineitem WHERE l_partkey % 20 = 0 GROUP BY l_suppkey, l_partkey"""
+    FROM lineitem GROUP BY l_suppkey, l_partkey"""
 PAIRS = f"""SELECT a.document_id AS doc_a, b.document_id AS doc_b, a.claim_id AS claim_a, b.claim_id AS claim_b, round(least(1, 0.65 + 4 * abs(a.value - b.value)), 6) AS confidence,
     (a.document_id + b.document_id) % 7 = 0 AS is_evolution, a.subject % 3 = 0 AS sampled, round(0.5 + abs(a.value - b.value), 6) AS gate_similarity,
     CASE (a.document_id + a.subject) % 6 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'FALSE_POSITIVE' WHEN 3 THEN 'INTENTIONAL_DIVERGENCE' WHEN 4 THEN 'PENDING' END AS review_status,

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..config import DRIVER_VECTORS
 from ..functions import lexicon as L
 from ..operators import pairs as P
 from ..operators import scan as S
-from .registry import listed, matches, query, table
+from ..operators import text as T
+from ..operators import vectors as V
+from . import report_queries as R
+from . import text_queries as Q
+from .model import adapted, with_model
+from .registry import dealt, listed, matches, query, table
 
 #: Propositions made of parts: the entity from the name, the rest by the key.
-_PROPS = """SELECT p_partkey AS id, p_brand AS brand, p_name AS entity, concat_ws(' ', CASE p_partkey % 3 WHEN 0 THEN 'improved' WHEN 1 THEN 'failed' ELSE 'was stable' END, p_type) AS attribute,
+_PROPS = """SELECT p_partkey AS id, p_brand AS brand, p_size AS size, p_name AS entity, concat_ws(' ', CASE p_partkey % 3 WHEN 0 THEN 'improved' WHEN 1 THEN 'failed' ELSE 'was stable' END, p_type) AS attribute,
     CASE p_partkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS polarity, CASE p_partkey % 4 WHEN 0 THEN 'hedged' WHEN 1 THEN 'speculative' ELSE 'certain' END AS confidence_level,
-    concat_ws(' ', p_name, CASE p_partkey % 5 WHEN 0 THEN 'efficiently improved' WHEN 1 THEN 'failed to' WHEN 2 THEN 'gained because of' ELSE 'kept' END, p_type) AS sentence FROM part"""
-_PAIRED = f"pr AS ({_PROPS}), pp AS (SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'{s}.{c} AS {c}_{s}' for s in 'ab' for c in ('entity', 'attribute', 'polarity', 'confidence_level', 'sentence'))} FROM pr a JOIN pr b ON a.brand = b.brand AND b.id > a.id AND b.id <= a.id + 200)"
+    concat_ws(' ', p_name, CASE p_partkey % 5 WHEN 0 THEN 'efficiently improved' WHEN 1 THEN 'failed to' WHEN 2 THEN 'gained because of' ELSE 'kept' END, p_type, 'at', floor(p_retailprice)::BIGINT) AS sentence FROM part"""
+_PAIRED = f"pr AS ({_PROPS}), pp AS (SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'{s}.{c} AS {c}_{s}' for s in 'ab' for c in ('entity', 'attribute', 'polarity', 'confidence_level', 'sentence'))} FROM pr a JOIN pr b ON a.brand = b.brand AND a.size = b.size AND b.id > a.id)"
 
 
 def _set(x, stop):
@@ -31,22 +40,37 @@ def _inverted(yes, no):
     return f"(({matches('sentence_a', yes)} AND {matches('sentence_b', no)}) OR ({matches('sentence_a', no)} AND {matches('sentence_b', yes)}))"
 
 
+def _label(a, b):
+    """Label and score of the rule for two texts."""
+    m, n = (f"list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}]{{3,}}'))" for x in (a, b))
+    nums = [f"list_distinct(regexp_extract_all({x}, '\\d+(?:\\.\\d+)?'))" for x in (a, b)]
+    no = [f"regexp_matches({x}, '(?i)\\b(not|no|never|cannot|without|prohibited|forbidden)\\b|n''t\\b')" for x in (a, b)]
+    shared = f"(len(list_intersect({m}, {n})) / greatest(least(len({m}), len({n})), 1))"
+    differ = f"(len({nums[0]}) > 0 AND len({nums[1]}) > 0 AND (len(list_intersect({nums[0]}, {nums[1]})) < len({nums[0]}) OR len({nums[0]}) <> len({nums[1]})))"
+    against = f"(({no[0]} <> {no[1]} OR {differ}) AND {shared} >= 0.5)"
+    none = f"least(len({m}), len({n})) = 0"
+    label = f"(CASE WHEN {none} THEN 'neutral' WHEN {against} THEN 'contradiction' WHEN {shared} >= 0.95 THEN 'entailment' ELSE 'neutral' END)"
+    return label, f"(CASE WHEN {none} THEN 0::DOUBLE WHEN {against} THEN 0.6::DOUBLE + 0.4::DOUBLE * {shared} WHEN {shared} >= 0.95 THEN {shared} ELSE 1 - {shared} END)"
+
+
+LABEL, SCORE = _label("sentence_a", "sentence_b")
 _CAUSE = [f"(len(list_intersect(string_split_regex(lower(sentence_{s}), '\\s+'), {listed(L.CAUSAL)})) > 0)" for s in "ab"]
 _LEVEL = "(CASE confidence_level_{0} WHEN 'certain' THEN 3 WHEN 'speculative' THEN 1 ELSE 2 END)"
 _RULES = f"""CASE WHEN NOT ({ENTITY} AND {ATTRIBUTE}) THEN NULL
-    WHEN polarity_a <> polarity_b AND polarity_a <> 'neutral' AND polarity_b <> 'neutral' AND confidence_level_a = 'certain' AND confidence_level_b = 'certain' AND id_a % 2 = 0 THEN 'direct_opposition'
+    WHEN polarity_a <> polarity_b AND polarity_a <> 'neutral' AND polarity_b <> 'neutral' AND confidence_level_a = 'certain' AND confidence_level_b = 'certain' AND {LABEL} = 'contradiction' AND {SCORE} >= 0.8 THEN 'direct_opposition'
     WHEN {_inverted(L.OUTCOME_POSITIVE, L.OUTCOME_NEGATIVE)} THEN 'outcome_inversion' WHEN {_inverted(L.CAPABLE, L.INCAPABLE)} THEN 'capability_reversal'
     WHEN polarity_a = polarity_b AND polarity_a <> 'neutral' AND {_CAUSE[0]} <> {_CAUSE[1]} THEN 'causal_attenuation'
     WHEN polarity_a = polarity_b AND abs({_LEVEL.format('a')} - {_LEVEL.format('b')}) >= 2 THEN 'confidence_conflict' END"""
-_TYPED = f"""{_PAIRED}, ty AS (SELECT *, {_RULES} AS type FROM pp), cl AS (SELECT id_a, id_b, type, CASE type WHEN 'direct_opposition' THEN 0.9::DOUBLE WHEN 'outcome_inversion' THEN 0.75 WHEN 'capability_reversal' THEN 0.7
+_TYPED = f"""{_PAIRED}, ty AS (SELECT *, {_RULES} AS type FROM pp), cl AS (SELECT id_a, id_b, type, CASE type WHEN 'direct_opposition' THEN round({SCORE}, 6) WHEN 'outcome_inversion' THEN 0.75 WHEN 'capability_reversal' THEN 0.7
     WHEN 'causal_attenuation' THEN 0.6 WHEN 'confidence_conflict' THEN 0.5 ELSE 0 END AS confidence, CASE WHEN type IN ('direct_opposition', 'outcome_inversion', 'capability_reversal') THEN 'HIGH' WHEN type = 'causal_attenuation' THEN 'MEDIUM'
     WHEN type = 'confidence_conflict' THEN 'LOW' END AS severity FROM ty)"""
 
 
 def pairs_of(spark, sf_dir):
     rows = spark.sql(_PROPS.replace("FROM part", "FROM {source}"), source=table(spark, sf_dir, "part"))
-    a, b = (rows.withColumnsRenamed({c: f"{c}_{s}" for c in rows.columns if c != "brand"}) for s in "ab")
-    return a.join(b, "brand").where((F.col("id_b") > F.col("id_a")) & (F.col("id_b") <= F.col("id_a") + 200)).drop("brand")
+    keys = ["brand", "size"]
+    a, b = (rows.withColumnsRenamed({c: f"{c}_{s}" for c in rows.columns if c not in keys}) for s in "ab")
+    return a.join(b, keys).where("id_b > id_a").drop(*keys)
 
 
 @query("entity_align", f"WITH {_PAIRED} SELECT id_a, id_b, {ENTITY} AS aligned FROM pp")
@@ -60,8 +84,8 @@ def attribute_align(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    even = F.col("id_a") % 2 == 0
-    rows = pairs_of(spark, sf_dir).withColumn("nli_label", F.when(even, "contradiction").otherwise("neutral")).withColumn("nli_score", F.lit(0.9))
+    rows = pairs_of(spark, sf_dir).withColumns({"a": F.col("sentence_a"), "b": F.col("sentence_b")})
+    rows = S.classify(rows).withColumnsRenamed({"label": "nli_label"}).withColumn("nli_score", F.round("score", 6))
     return P.taxonomy(rows).select("id_a", "id_b", "type", "confidence", "severity")
 
 
@@ -80,46 +104,91 @@ def taxonomy_pairs(spark, sf_dir):
     return _typed(spark, sf_dir).where("type is not null").groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("nli_rule")
+@query("nli_rule", f"WITH {_PAIRED} SELECT id_a, id_b, {LABEL} AS label, round({SCORE}, 6) AS score FROM pp")
 def nli_rule(spark, sf_dir):
     rows = pairs_of(spark, sf_dir).select("id_a", "id_b", F.col("sentence_a").alias("a"), F.col("sentence_b").alias("b"))
-    return S.classify(rows).select("id_a", "id_b", "label", "score")
+    return S.classify(rows).select("id_a", "id_b", "label", F.round("score", 6).alias("score"))
 
 
-@query("rerank")
+@query(
+    "rerank",
+    f"""WITH {R._TERMS.replace("FROM benchmark)", "FROM benchmark WHERE item_id % 100 = 0)", 1)}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM bm) WHERE r <= 50),
+    w AS (SELECT query_id, doc_id, list_distinct(list_filter(string_split_regex(lower(query), '\\s+'), lambda z: z <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda z: z <> '')) AS b FROM c JOIN q USING (query_id) JOIN documents USING (doc_id)),
+    s AS (SELECT query_id, doc_id, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS score FROM w)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
+)
 def rerank(spark, sf_dir):
-    from ..operators import vectors as V
+    """The 50 documents that BM25 finds best among all, put in order by the scorer; queries are the items whose id is divisible by 100."""
+    docs = dealt(table(spark, sf_dir, "documents"), "doc_id")
+    asked = R.asked_of(spark, sf_dir).where("query_id % 100 = 0")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 6)), "doc_id"))
+    found = V.bm25(asked, docs).withColumn("_r", rank).where("_r <= 50").select("query_id", "doc_id")
+    candidates = docs.select("doc_id", "text").join(F.broadcast(found), "doc_id").join(F.broadcast(asked), "query_id")  # 50 rows a query, a hundredth of the items
+    return V.rerank(candidates, S.overlap_score).select("query_id", "doc_id", "score", "rank")
+
+
+def _documents(spark, sf_dir):
+    docs = dealt(table(spark, sf_dir, "documents").where("text is not null"), "doc_id")
+    return docs.select("doc_id", "text")
 
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", "text")
-    return V.rerank(docs.join(F.broadcast(asked)), S.overlap_score).select("query_id", "doc_id", "score", "rank")
+
+def _section_pairs(spark, sf_dir):
+    """Documents whose id is divisible by 100 with the nearest of all others, by hashed words."""
+    coded = V.hash_embed(_documents(spark, sf_dir), "text").select("doc_id", "embedding")
+    asked = coded.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return V.nearest(asked, coded.withColumnRenamed("doc_id", "vec_id"), 1, 0.5, skip_self=True).select(F.col("query_id").alias("doc_a"), F.col("vec_id").alias("doc_b"))
 
 
 @query("section_align")
 def section_align(spark, sf_dir):
-    from ..operators import text as T
-    from ..operators import vectors as V
+    pairs, docs = _section_pairs(spark, sf_dir), _documents(spark, sf_dir)
+    return S.aligned_sections(pairs, docs).select("doc_a", "doc_b", "position_a", "position_b", "score")
 
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
-    sections = V.hash_embed(T.section_summary(T.sections(docs)), "summary").select("doc_id", "position", "embedding")
-    a = sections.where("doc_id % 20 = 0").withColumn("pair", F.col("doc_id"))
-    b = sections.where("doc_id % 20 = 10").withColumn("pair", F.col("doc_id") - 10)
-    return S.align_sections(a, b, least=0.05)
 
+@query("structured_scan")
+def structured_scan(spark, sf_dir):
+    pairs, docs = _section_pairs(spark, sf_dir), _documents(spark, sf_dir)
+    return S.structured_scan(pairs, docs).select("doc_a", "doc_b", "position_a", "position_b", "type", "confidence", "band")
 
-@query("claim_pair_scan")
-def claim_pair_scan(spark, sf_dir):
-    from ..operators import text as T
 
-    claims = T.extract_claims(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.concat_ws("_claim_", "doc_id", "pos").alias("claim_id"), "content")
-    return S.claim_pairs(claims, gate=0.4, limit=0.5).select("a_id", "b_id", F.round("similarity", 6).alias("similarity"), "label", "band", "shared")
+#: Claims made of vectors: a sentence with a figure for each, of the document that the label names.
+_CLAIMS = """SELECT vec_id AS claim_id, document_id, embedding, concat('Measured output of station ', vec_id % 3, ' exceeded the regional target by ', vec_id % 11, ' percent') AS content,
+    CASE vec_id % 4 WHEN 0 THEN 'MANDATORY' WHEN 1 THEN 'INFORMATIONAL' WHEN 2 THEN 'RECOMMENDED' END AS modality, 1.0::DOUBLE AS importance_weight, vec_id AS ord FROM m_vectors"""
+_A, _B = _label("a", "b"), _label("b", "a")
+_SCAN = f"""cl AS ({_CLAIMS}), nn AS (SELECT x.claim_id AS a_id, y.claim_id AS b_id, x.document_id AS doc_a, y.document_id AS doc_b, x.content AS a, y.content AS b, x.modality AS ma, y.modality AS mb,
+        round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM cl x JOIN cl y ON x.document_id <> y.document_id),
+    tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS r FROM nn) WHERE r <= 10 AND similarity >= 0.2),
+    dk AS (SELECT * FROM (SELECT *, max(similarity) OVER (PARTITION BY a_id) AS best, row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS rank FROM tk) WHERE rank <= CASE WHEN best > 0.92 THEN 3 ELSE 5 END),
+    kl AS (SELECT *, {_A[0]} AS label, {_A[1]} AS score, {_B[0]} AS reverse_label FROM dk),
+    kp AS (SELECT *, CASE WHEN score >= 0.8 THEN 'high' ELSE 'borderline' END AS band FROM kl WHERE label = 'contradiction' AND reverse_label = 'contradiction' AND score >= 0.65
+        AND (ma IS NULL OR mb IS NULL OR list_contains({listed('|'.join(sorted(p)) for p in L.COMPARABLE)}, least(ma, mb) || '|' || greatest(ma, mb)))),
+    un AS (SELECT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id, similarity, band, row_number() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY a_id, b_id) AS k FROM kp)"""
 
 
-@query("claims_or_chunks")
+@query("claim_pair_scan", with_model(f"WITH {_SCAN} SELECT a_id, b_id, similarity, band FROM un WHERE k = 1"))
+def claim_pair_scan(spark, sf_dir):
+    """All gates but the sample below the similarity gate, whose hash SQL has not."""
+    claims = spark.sql(_CLAIMS.replace("::DOUBLE", "D").replace("FROM m_vectors", "FROM {source}"), source=adapted(spark, sf_dir, "m_vectors"))
+    config = replace(DRIVER_VECTORS, gate_similarity=0.2, gate_sample=0.0)
+    return S.claim_pairs(claims, config=config).select("a_id", "b_id", "similarity", "band")
+
+
+@query("document_claim_scan")
+def document_claim_scan(spark, sf_dir):
+    """The scan over the claims of all documents, with the sample below the gate."""
+    claims = T.extract_claims(_documents(spark, sf_dir))
+    claims = claims.select(F.col("doc_id").alias("document_id"), F.concat_ws("_claim_", "doc_id", "pos").alias("claim_id"), "content", "importance_weight", F.col("pos").alias("ord"))
+    return S.claim_pairs(claims, config=replace(DRIVER_VECTORS, borderline=0.5)).select("a_id", "b_id", "similarity", "sampled", "band", "shared")
+
+
+@query(
+    "claims_or_chunks",
+    f"""WITH {Q.CLAIMS}, n AS (SELECT doc_id, 'claim' AS kind, count(*) AS n FROM claims WHERE reason = '' GROUP BY 1),
+    w AS (SELECT doc_id, len({Q.WORDS('text')}) AS k FROM documents WHERE text IS NOT NULL)
+    SELECT * FROM n UNION ALL SELECT doc_id, 'chunk', len(range(0, k, 462)) FROM w WHERE k > 0 AND doc_id NOT IN (SELECT doc_id FROM n)""",
+)
 def claims_or_chunks(spark, sf_dir):
-    from ..operators import text as T
-
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"), "doc_id")
     claims = T.extract_claims(docs).select("doc_id", "content", F.lit("claim").alias("kind"))
     chunks = T.chunk_windows(docs).select("doc_id", "content", F.lit("chunk").alias("kind"))
     return S.claims_or_chunks(claims, chunks).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -23,6 +23,17 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table whose rows are dealt out over all cores first: a file of one row group is read by a single task.
+DEALT_BYTES = 256 << 20
+
+
+def dealt(rows, key: str):
+    """rows spread over the cores, if they are so few that moving them costs nothing; larger tables come in enough parts."""
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > DEALT_BYTES:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -14,7 +14,7 @@ from ..operators import reports as R
 from ..operators import vectors as V
 from .model import ADAPTERS, adapted, with_model
 from .registry import query as _query
-from .registry import table
+from .registry import dealt, table
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -114,7 +114,7 @@ def org_weights(spark, sf_dir):
 
 EDGES = f"""e AS (SELECT doc_a AS source, doc_b AS target, kind, count(*) AS n, max(confidence) AS hi, sum(confidence) AS total FROM m_pairs
     WHERE doc_a IN (SELECT document_id FROM ({LIVE})) AND doc_b IN (SELECT document_id FROM ({LIVE})) GROUP BY 1, 2, 3),
-    edges AS (SELECT source, target, sum(n)::BIGINT AS weight, round(max(hi), 4) AS max_confidence, round(sum(total) / sum(n), 4) AS mean_confidence, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM e GROUP BY 1, 2)"""
+    edges AS (SELECT source, target, sum(n)::BIGINT AS weight, round(max(hi), 4) AS max_confidence, round((sum(total) / sum(n))::DECIMAL(18, 9), 4)::DOUBLE AS mean_confidence, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM e GROUP BY 1, 2)"""
 
 
 def edges_of(spark, sf_dir):
@@ -142,26 +142,30 @@ def node_style(spark, sf_dir):
 
 @query(
     "incident_edges",
-    f"WITH {EDGES}, b AS (SELECT source AS node, * FROM edges UNION ALL SELECT target, * FROM edges) SELECT node, source, target, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, source, target) AS rank FROM b WHERE node % 10 = 1) WHERE rank <= 8",
+    f"WITH {EDGES}, b AS (SELECT source AS node, * FROM edges UNION ALL SELECT target, * FROM edges) SELECT node, source, target, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, source, target) AS rank FROM b JOIN (SELECT document_id FROM m_docs) ON document_id = node) WHERE rank <= 8",
 )
 def incident_edges(spark, sf_dir):
-    nodes = adapted(spark, sf_dir, "m_docs").where("document_id % 10 = 1").select(F.col("document_id").alias("node"))
+    nodes = adapted(spark, sf_dir, "m_docs").select(F.col("document_id").alias("node"))
     return G.incident_edges(edges_of(spark, sf_dir), nodes).select("node", "source", "target", "weight", "rank")
 
 
 SHARED = """t AS (SELECT DISTINCT document_id, subject FROM m_claims), z AS (SELECT document_id, count(*) AS n FROM t GROUP BY 1),
     sh AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM t a JOIN t b ON a.subject = b.subject AND a.document_id < b.document_id GROUP BY 1, 2),
     ov AS (SELECT doc_a, doc_b, shared, shared / least(p.n, q.n) AS overlap FROM sh JOIN z p ON p.document_id = doc_a JOIN z q ON q.document_id = doc_b)"""
-STRENGTH = f"""{SHARED}, sim AS (SELECT doc_a, doc_b, round(0.5 + doc_a * doc_b % 50 / 100.0, 4)::DOUBLE AS similarity FROM ov), cit AS (SELECT doc_a, doc_b, 1 + doc_a % 2 AS directions FROM ov WHERE (doc_a + doc_b) % 4 = 0),
-    strength AS (SELECT doc_a, doc_b, round((0.30::DOUBLE * overlap + 0.25::DOUBLE * CASE WHEN similarity > 0.7 THEN (similarity - 0.7::DOUBLE) / 0.3::DOUBLE ELSE 0 END
+STRENGTH = f"""{SHARED}, sim AS (SELECT doc_a, doc_b, round(1 - abs(p.drift - q.drift) / 100, 4) AS similarity FROM ov JOIN m_docs p ON p.document_id = doc_a JOIN m_docs q ON q.document_id = doc_b),
+    cit AS (SELECT doc_a, doc_b, least(2, count(*)) AS directions FROM m_pairs WHERE is_evolution GROUP BY 1, 2),
+    strength AS (SELECT doc_a, doc_b, round((0.30::DOUBLE * coalesce(overlap, 0) + 0.25::DOUBLE * CASE WHEN similarity > 0.7 THEN (similarity - 0.7::DOUBLE) / 0.3::DOUBLE ELSE 0 END
         + 0.25::DOUBLE * CASE WHEN directions >= 2 THEN 1.0::DOUBLE WHEN directions = 1 THEN 0.7::DOUBLE ELSE 0 END + 0.20::DOUBLE * CASE WHEN p.department <> '' AND p.department = q.department THEN 0.5::DOUBLE ELSE 0 END)::DECIMAL(18, 9), 4)::DOUBLE AS strength
-        FROM ov LEFT JOIN sim USING (doc_a, doc_b) LEFT JOIN cit USING (doc_a, doc_b) JOIN m_docs p ON p.document_id = doc_a JOIN m_docs q ON q.document_id = doc_b)"""
+        FROM ov FULL JOIN sim USING (doc_a, doc_b) FULL JOIN cit USING (doc_a, doc_b) JOIN m_docs p ON p.document_id = doc_a JOIN m_docs q ON q.document_id = doc_b)"""
 
 
 def strength_of(spark, sf_dir):
     overlaps = G.shared_subjects(adapted(spark, sf_dir, "m_claims"))
-    similar = overlaps.select("doc_a", "doc_b", F.round(0.5 + F.col("doc_a") * F.col("doc_b") % 50 / 100.0, 4).alias("similarity"))
-    cited = overlaps.where("(doc_a + doc_b) % 4 = 0").select("doc_a", "doc_b", (1 + F.col("doc_a") % 2).alias("directions"))
+    drift = adapted(spark, sf_dir, "m_docs").select("document_id", "drift")
+    sides = [drift.withColumnsRenamed({"document_id": f"doc_{s}", "drift": f"_{s}"}) for s in "ab"]
+    # documents are alike in so far as their scores are, and one that another replaces is cited by it
+    similar = overlaps.join(sides[0], "doc_a").join(sides[1], "doc_b").select("doc_a", "doc_b", F.round(1 - F.abs(F.col("_a") - F.col("_b")) / 100, 4).alias("similarity"))
+    cited = adapted(spark, sf_dir, "m_pairs").where("is_evolution").groupBy("doc_a", "doc_b").agg(F.least(F.lit(2), F.count(F.lit(1))).alias("directions"))
     return G.dependency_strength(overlaps, similar, cited, adapted(spark, sf_dir, "m_docs"))
 
 
@@ -195,13 +199,10 @@ def impact_trace(spark, sf_dir):
     return G.impact_trace(edges, 0)
 
 
-@query("citation_edges", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 40))) WHERE length(b.text) > 5")
+@query("citation_edges", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE length(b.text) > 5")
 def citation_edges(spark, sf_dir):
-    titles = table(spark, sf_dir, "benchmark").where(F.length("text") > 5).select("item_id", F.lower(F.left("text", F.lit(40))).alias("_t"))
-    if titles.count() > 10_000:
-        raise ValueError("titles are sent to every executor: cite in blocks of 10 000")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("_d"))
-    return docs.join(F.broadcast(titles), F.contains("_d", "_t")).select("item_id", "doc_id")
+    titles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
+    return G.title_mentions(dealt(table(spark, sf_dir, "documents"), "doc_id"), titles)
 
 
 @query(
@@ -450,9 +451,9 @@ def doc_pairs(spark, sf_dir):
     return docs.withColumnRenamed("document_id", "doc_a").join(docs.withColumnRenamed("document_id", "doc_b"), "org_id").where("doc_a < doc_b").select("doc_a", "doc_b")
 
 
-@query("reconcile_missing", f"SELECT a.document_id AS doc_a, b.document_id AS doc_b FROM ({LIVE}) a JOIN ({LIVE}) b ON a.org_id = b.org_id AND a.document_id < b.document_id WHERE NOT EXISTS (SELECT 1 FROM m_pairs p WHERE p.doc_a = a.document_id AND p.doc_b = b.document_id)")
+@query("reconcile_missing", f"SELECT a.document_id AS doc_a, b.document_id AS doc_b FROM ({LIVE}) a JOIN ({LIVE}) b ON a.org_id = b.org_id AND a.document_id < b.document_id WHERE NOT EXISTS (SELECT 1 FROM m_pairs p WHERE p.doc_a = a.document_id AND p.doc_b = b.document_id AND kind = 'direct_opposition' AND review_status = 'CONFIRMED')")
 def reconcile_missing(spark, sf_dir):
-    done = adapted(spark, sf_dir, "m_pairs").select("doc_a", "doc_b").distinct()
+    done = adapted(spark, sf_dir, "m_pairs").where("kind = 'direct_opposition' and review_status = 'CONFIRMED'").select("doc_a", "doc_b").distinct()
     return doc_pairs(spark, sf_dir).join(done, ["doc_a", "doc_b"], "left_anti")
 
 
@@ -547,22 +548,29 @@ def similarity_gate(spark, sf_dir):
     return P.similarity_gate(both, DRIVER_VECTORS, rate=0.0).drop("sampled")
 
 
-@query("dynamic_topk", f"SELECT query_id AS a_id, vec_id AS b_id, similarity, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM m_vectors a, m_vectors b WHERE a.vec_id % 50 = 0) WHERE rank <= 3")
+@query("dynamic_topk", f"SELECT query_id AS a_id, vec_id AS b_id, similarity, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM m_vectors a, m_vectors b WHERE a.vec_id % 100 = 0) WHERE rank <= 3")
 def dynamic_topk(spark, sf_dir):
     rows = vectors_of(spark, sf_dir)
-    found = V.nearest(_queries(rows.where("vec_id % 50 = 0")), rows, 10).withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"})
+    found = V.nearest(_queries(rows.where("vec_id % 100 = 0")), rows, 10).withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"})
     return P.dynamic_topk(found.drop("rank"))
 
 
-@query("semantic_shift", f"SELECT query_id, round(least(1, coalesce(avg(1 - similarity) FILTER (1 - similarity > 0.01), 0)), 4) AS shift FROM (SELECT a.vec_id AS query_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM m_vectors a, m_vectors b WHERE a.vec_id % 50 = 0) WHERE rank <= 10 GROUP BY 1")
+@query("semantic_shift", f"SELECT query_id, round(least(1, coalesce(avg(1 - similarity) FILTER (1 - similarity > 0.01), 0)), 4) AS shift FROM (SELECT a.vec_id AS query_id, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM m_vectors a, m_vectors b) WHERE rank <= 10 GROUP BY 1")
 def semantic_shift(spark, sf_dir):
     rows = vectors_of(spark, sf_dir)
     far = 1 - F.col("similarity")
-    found = V.nearest(_queries(rows.where("vec_id % 50 = 0")), rows, 10)
+    found = V.nearest(_queries(rows), rows, 10)
     return found.groupBy("query_id").agg(F.round(F.least(F.lit(1.0), F.coalesce(F.avg(F.when(far > 0.01, far)), F.lit(0.0))), 4).alias("shift"))
 
 
-@query("semantic_dedup")
+@query(
+    "semantic_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, document_id AS g, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY document_id ORDER BY vec_id) AS i FROM m_vectors),
+    r AS (SELECT g, i, vec_id, vec_id AS rep, [{'id': vec_id, 'e': e}] AS kept FROM v WHERE i = 1
+        UNION ALL SELECT g, i, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(kept, {'id': vec_id, 'e': e}) ELSE kept END
+        FROM (SELECT v.g, v.i, v.vec_id, v.e, r.kept, list_filter(r.kept, lambda k: round(list_cosine_similarity(k.e, v.e), 6) >= 0.4)[1].id AS hit FROM r JOIN v ON v.g = r.g AND v.i = r.i + 1) s)
+    SELECT g AS group_id, vec_id, rep AS representative FROM r""",
+)
 def semantic_dedup(spark, sf_dir):
     return V.deduplicate(vectors_of(spark, sf_dir).withColumn("group_id", F.col("document_id")), DRIVER_VECTORS)
 
@@ -598,10 +606,9 @@ def topic_drift(spark, sf_dir):
 
 @query("org_topic_drift")
 def org_topic_drift(spark, sf_dir):
-    points = D.halves(vectors_of(spark, sf_dir).withColumn("org_id", F.lit(0)), "org_id", "vec_id")
-    centers = V.cluster_fit(points.where("half = 1").select("vec_id", "embedding"), 10)
-    assigned = points.join(D.nearest_center(points.select("vec_id", "embedding"), centers, ["vec_id"]), "vec_id")
-    return D.topic_drift(*(D.centroids(assigned.where(F.col("half") == h), ["topic_id"]) for h in (1, 2)))
+    """Documents are labels, and those with the same remainder of 4 make an organisation; two are enough here."""
+    points = vectors_of(spark, sf_dir).withColumn("org_id", F.col("document_id") % 4)
+    return D.org_topic_drift(points, documents=2)
 
 
 @query("cluster_fit")
@@ -612,7 +619,7 @@ def cluster_fit(spark, sf_dir):
 
 @query("hash_embed")
 def hash_embed(spark, sf_dir):
-    return V.hash_embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return V.hash_embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query("vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'v2' ELSE coalesce(version, 'none') END AS version FROM m_vectors")
@@ -625,7 +632,7 @@ def vector_upsert(spark, sf_dir):
 @query("vector_delete", "SELECT vec_id, document_id FROM m_vectors WHERE document_id NOT IN (2, 5)")
 def vector_delete(spark, sf_dir):
     gone = spark.createDataFrame([(2,), (5,)], "document_id int")
-    return vectors_of(spark, sf_dir).join(F.broadcast(gone), "document_id", "left_anti").select("vec_id", "document_id")
+    return vectors_of(spark, sf_dir).join(gone, "document_id", "left_anti").select("vec_id", "document_id")
 
 
 @query("orphan_sweep", "SELECT is_claim, count(*) AS scanned, count(*) FILTER (document_id IN (1, 7)) AS deleted FROM m_vectors GROUP BY 1")
@@ -644,16 +651,19 @@ def embedding_version_audit(spark, sf_dir):
     return V.version_audit(vectors_of(spark, sf_dir), "v1")
 
 
-_TERMS = """q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id < 5), tk AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda z: z <> '') AS w FROM documents),
+_TERMS = """q AS (SELECT item_id AS query_id, text AS query FROM benchmark), tk AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda z: z <> '') AS w FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM tk) GROUP BY 1, 2), st AS (SELECT count(*) AS nd, avg(len(w)) AS mean FROM tk),
     df AS (SELECT term, ln(nd - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS i, any_value(mean) AS mean FROM tf, st GROUP BY term, nd), idf AS (SELECT term, mean, CASE WHEN i < 0 THEN 0.25::DOUBLE * (SELECT avg(i) FROM df) ELSE i END AS idf FROM df),
     qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(string_split_regex(lower(query), '\\s+'), lambda z: z <> '')) AS term FROM q) GROUP BY 1, 2),
     bm AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))) AS bm25 FROM qt JOIN tf USING (term) JOIN idf USING (term) GROUP BY 1, 2)"""
 
 
+def asked_of(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def bm25_of(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return V.bm25(asked, table(spark, sf_dir, "documents"))
+    return V.bm25(asked_of(spark, sf_dir), dealt(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 @query("bm25", f"WITH {_TERMS} SELECT query_id, doc_id, round(bm25, 4) AS bm25 FROM bm")
@@ -663,14 +673,14 @@ def bm25(spark, sf_dir):
 
 @query(
     "hybrid_search",
-    f"""WITH {_TERMS}, sem AS (SELECT query_id, doc_id, ((doc_id * 7 + query_id) % 100) / 100.0::DOUBLE AS similarity FROM q, documents WHERE doc_id % 50 = 0), mx AS (SELECT query_id, max(bm25) AS m FROM bm GROUP BY 1),
+    f"""WITH {_TERMS}, dn AS (SELECT doc_id, sum(tf * tf) AS d FROM tf GROUP BY 1), qn AS (SELECT query_id, sum(times * times) AS q FROM qt GROUP BY 1),
+    sem AS (SELECT query_id, doc_id, dot / (sqrt(q) * sqrt(d)) AS similarity FROM (SELECT query_id, doc_id, sum(times * tf) AS dot FROM qt JOIN tf USING (term) GROUP BY 1, 2) JOIN dn USING (doc_id) JOIN qn USING (query_id)),
+    mx AS (SELECT query_id, max(bm25) AS m FROM bm GROUP BY 1),
     b AS (SELECT query_id, doc_id, round(0.6::DOUBLE * coalesce(similarity, 0) + 0.4::DOUBLE * coalesce(bm25 / CASE WHEN m > 0 THEN m ELSE 1 END, 0), 6) AS score FROM sem FULL JOIN (bm JOIN mx USING (query_id)) USING (query_id, doc_id))
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 10""",
 )
 def hybrid_search(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"))
-    near = table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select("doc_id").join(F.broadcast(asked))
-    semantic = near.withColumn("similarity", (F.col("doc_id") * 7 + F.col("query_id")) % 100 / 100.0)
+    semantic = V.term_cosine(asked_of(spark, sf_dir), dealt(table(spark, sf_dir, "documents"), "doc_id"))
     return V.hybrid(semantic, bm25_of(spark, sf_dir), 10)
 
 
@@ -723,13 +733,13 @@ def quality_ratios(spark, sf_dir):
     return E.quality_ratios(rows)
 
 
-_EVAL = f"ev AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 = 1), rk AS (SELECT query_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ev) WHERE item_id = query_id + 1)"
+_EVAL = f"ev AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0), rk AS (SELECT query_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ev) WHERE item_id = query_id + 1)"
 
 
 def ranked_of(spark, sf_dir):
     rows = vectors_of(spark, sf_dir)
-    found = V.nearest(_queries(rows.where("vec_id % 50 = 0")), rows.where("vec_id % 50 = 1"), 1 << 30)
-    return E.ranks(found.select("query_id", F.col("vec_id").alias("item_id"), F.col("similarity").alias("score"), (F.col("vec_id") == F.col("query_id") + 1).alias("relevant")))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", (F.col("vec_id") + 1).alias("partner_id"))
+    return V.partner_ranks(asked, rows)
 
 
 @query("retrieval_eval", f"WITH {_EVAL} SELECT query_id, rank FROM rk")
@@ -799,3 +809,106 @@ def topic_fit(spark, sf_dir):
     moved = D.minibatch_step(centers, rows.where("vec_id % 2 = 1"))
     both = centers.select("topic_id", F.col("center").alias("_old")).join(moved, "topic_id")
     return both.select("topic_id", F.round(D.distance(F.col("_old"), F.col("center")), 6).alias("moved"), "weight")
+
+
+@query("ghost_filter", "SELECT query_id, vec_id FROM (SELECT a.vec_id AS query_id, b.vec_id, b.version, row_number() OVER (PARTITION BY a.vec_id ORDER BY " + _COS + " DESC, b.vec_id) AS rank FROM m_vectors a, m_vectors b WHERE a.vec_id % 100 = 0) WHERE rank <= 10 AND version IS NOT NULL")
+def ghost_filter(spark, sf_dir):
+    rows = vectors_of(spark, sf_dir)
+    found = V.nearest(_queries(rows.where("vec_id % 100 = 0")), rows, 10)
+    return V.without_ghosts(found.join(rows.select("vec_id", "version"), "vec_id")).select("query_id", "vec_id")
+
+
+@query("vectors_of_documents", "SELECT vec_id, document_id FROM m_vectors WHERE document_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def vectors_of_documents(spark, sf_dir):
+    wanted = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("document_id"))
+    return V.of_documents(vectors_of(spark, sf_dir), wanted).select("vec_id", "document_id")
+
+
+
+
+@query("lenient_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 5 THEN CASE WHEN o_orderkey % 7 = 1 THEN o_orderdate ELSE date_trunc('day', o_orderdate) END END AS parsed FROM orders")
+def lenient_dates(spark, sf_dir):
+    rows, k, date = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 7, F.col("o_orderdate").cast("timestamp")
+    written = F.when(k == 0, F.date_format(date, "yyyy-MM-dd")).when(k == 1, F.date_format(date, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(date, "dd.MM.yyyy"))
+    written = written.when(k == 3, F.date_format(date, "MM/dd/yyyy")).when(k == 4, F.date_format(date, "yyyy/MM/dd")).when(k == 5, "soon")
+    return rows.select("o_orderkey", P.parse_time(written).cast("timestamp_ntz").alias("parsed"))
+
+
+_REVIEWED = "SELECT claim_a || ':' || claim_b AS pair_id, is_evolution, kind, coalesce(review_status, '') AS review_status FROM m_pairs"
+
+
+def _reviewed(spark, sf_dir):
+    pairs = adapted(spark, sf_dir, "m_pairs")
+    own = F.concat_ws(":", "claim_a", "claim_b").alias("pair_id")
+    said = F.concat(F.lit("sim="), F.format_string("%.2f", F.col("doc_a") % 100 / 100.0), F.lit("; newer by "), F.col("doc_b").cast("string"), F.lit(" days")).alias("explanation")
+    rows = pairs.select(own, F.col("is_evolution").alias("inferred_lineage"), F.col("kind").alias("classification"), said, *(F.lit(None).cast(t).alias(c) for c, t in (("review_status", "string"), ("reviewed_by", "long"), ("reviewed_at", "timestamp"), ("review_reason", "string"))))
+    at = F.lit(AS_OF).cast("timestamp")
+    verdicts = pairs.where("review_status is not null").select(own, F.lower("review_status").alias("review_status"), F.col("doc_a").alias("reviewed_by"), at.alias("reviewed_at"), F.lit("seen").alias("review_reason"))
+    return rows, verdicts
+
+
+@query(
+    "submit_reviews",
+    """SELECT claim_a || ':' || claim_b AS pair_id, CASE WHEN ok THEN review_status END AS review_status, CASE WHEN ok THEN doc_a END AS reviewed_by, CASE WHEN ok THEN 'seen' END AS review_reason
+    FROM (SELECT *, coalesce(review_status IN ('REJECTED', 'FALSE_POSITIVE', 'INTENTIONAL_DIVERGENCE'), false) AS ok FROM m_pairs)""",
+)
+def submit_reviews(spark, sf_dir):
+    return R.submit_reviews(*_reviewed(spark, sf_dir)).select("pair_id", "review_status", "reviewed_by", "review_reason")
+
+
+@query(
+    "feedback_rows",
+    """SELECT claim_a || ':' || claim_b AS pair_id, round(doc_a % 100 / 100.0, 2)::DOUBLE AS title_similarity, doc_b AS gap_days, true AS department_match, review_status AS decision, kind AS classification, doc_a AS reviewed_by
+    FROM m_pairs WHERE is_evolution AND review_status IN ('REJECTED', 'FALSE_POSITIVE', 'INTENTIONAL_DIVERGENCE')""",
+)
+def feedback_rows(spark, sf_dir):
+    return R.feedback_rows(*_reviewed(spark, sf_dir))
+
+
+@query(
+    "cache_report",
+    """SELECT round(count(*) FILTER (k = 0 AND h) / greatest(count(*) FILTER (k = 0), 1), 2) AS parse_hit_rate, round(count(*) FILTER (k = 1 AND h) / greatest(count(*) FILTER (k = 1), 1), 2) AS claim_hit_rate,
+    count(*) FILTER (k = 0 AND h) AS parse_hits, count(*) FILTER (k = 1 AND h) AS claim_hits FROM (SELECT o_orderkey % 3 AS k, o_orderkey % 7 < 3 AS h FROM orders)""",
+)
+def cache_report(spark, sf_dir):
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "parse").when(k % 3 == 1, "claim").otherwise("chunk")
+    return R.cache_report(table(spark, sf_dir, "orders").select(kind.alias("kind"), (k % 7 < 3).alias("hit")))
+
+
+@query("latency_stats", "SELECT round(sum(l_quantity / 8), 4) AS total_seconds, sum(l_linenumber)::BIGINT AS total_items, round(sum(l_quantity / 8) / greatest(sum(l_linenumber), 1) * 1000, 2) AS ms_an_item FROM lineitem")
+def latency_stats(spark, sf_dir):
+    return R.latency_stats(table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 8).alias("seconds"), F.col("l_linenumber").alias("items")))
+
+
+@query(
+    "report_lines",
+    f"""WITH l AS ({_LABELS}), c AS (SELECT k AS label, count(*) FILTER (truth = k AND predicted = k) AS tp, count(*) FILTER (truth <> k AND predicted = k) AS fp, count(*) FILTER (truth = k AND predicted <> k) AS fn FROM l, unnest({_KINDS!r}) x(k) GROUP BY k),
+    r AS (SELECT label, {_PRF} FROM c) SELECT label, '| ' || concat_ws(' | ', label, printf('%.4f', precision), printf('%.4f', recall), printf('%.4f', f1), tp + fn) || ' |' AS line FROM r""",
+)
+def report_lines(spark, sf_dir):
+    return E.report_lines(E.multiclass_report(labelled(spark, sf_dir)).where("label != 'macro'"))
+
+
+@query("graph_total_weight", f"WITH {EDGES} SELECT sum(weight)::BIGINT AS total FROM edges")
+def graph_total_weight(spark, sf_dir):
+    return G.total_weight(edges_of(spark, sf_dir))
+
+
+@query("entity_list", "SELECT org_id, name, kind, rank FROM (SELECT c_nationkey AS org_id, c_name AS name, c_mktsegment AS kind, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_mktsegment) AS rank FROM customer) WHERE rank <= 200")
+def entity_list(spark, sf_dir):
+    return G.list_entities(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("org_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind")))
+
+
+@query("lazy_explanations", "SELECT claim_a, claim_b, printf('These two statements present conflicting information. Contradiction detected with %.0f%% confidence.', round(confidence * 100, 6)) AS explanation FROM m_pairs")
+def lazy_explanations(spark, sf_dir):
+    from ..operators import scan as S
+
+    pairs = adapted(spark, sf_dir, "m_pairs").select("claim_a", "claim_b", F.lit("").alias("a"), F.lit("").alias("b"), F.col("confidence").alias("score"))
+    return S.explained(pairs).select("claim_a", "claim_b", "explanation")
+
+
+@query("propagation")
+def propagation(spark, sf_dir):
+    docs = adapted(spark, sf_dir, "m_docs")
+    return G.propagation(strength_of(spark, sf_dir), docs, docs.agg(F.min("document_id")).first()[0])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators import text as T
-from .registry import contains_any, listed, matches, matches_any, query, quoted, table
+from .registry import contains_any, dealt, listed, matches, matches_any, query, quoted, table
 
 SPACE = r"[\s\x0b\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -83,7 +83,7 @@ CONFIDENCE = f"""CASE WHEN {_signal(L.HEDGES)} > {_signal(L.CERTAIN)} THEN 'hedg
 
 
 def docs_of(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return dealt(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def sentences_of(spark, sf_dir):
@@ -390,13 +390,27 @@ def json_claim_recovery(spark, sf_dir):
     return T.recover_json_claims(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS reply_id", f"{_REPLY} AS reply"))
 
 
+_PROPOSED = """CASE o_orderkey % 2 WHEN 0 THEN '' ELSE '```json ' END || '[{"entity": " Order ' || o_orderkey || '", "attribute": "' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'cost' END || '", "polarity": "' || CASE o_orderkey % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'odd' ELSE 'neutral' END
+    || '", "modality": "Predicted", "source_sentence": "Costs ' || CASE o_orderkey % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'improved' ELSE 'stayed' END || '"}]' || CASE o_orderkey % 2 WHEN 0 THEN '' ELSE ' ```' END"""
+_GIVEN_POLARITY = "CASE o_orderkey % 4 WHEN 0 THEN 'positive' WHEN 1 THEN CASE o_orderkey % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE 'neutral' END ELSE 'neutral' END"
+
+
+@query(
+    "json_proposition_recovery",
+    f"""SELECT o_orderkey AS reply_id, 0 AS pos, 'Order ' || o_orderkey AS entity, 'cost' AS attribute, CASE WHEN g = 'positive' AND o_orderkey % 3 = 0 THEN 'negative' WHEN g = 'negative' AND o_orderkey % 3 = 1 THEN 'positive' ELSE g END AS polarity,
+    'certain' AS confidence_level, 'predicted' AS modality FROM (SELECT o_orderkey, {_GIVEN_POLARITY} AS g FROM orders WHERE o_orderkey % 11 <> 0)""",
+)
+def json_proposition_recovery(spark, sf_dir):
+    return T.recover_json_propositions(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS reply_id", f"{_PROPOSED} AS reply")).drop("sentence")
+
+
 @query(
     "table_chunks",
-    """SELECT 'prose' AS kind, doc_id AS table_id, count(*) AS n, 0::DOUBLE AS weight FROM (SELECT doc_id, unnest(range(0, len(list_filter(string_split_regex(text, '\\s+'), lambda z: z <> '')), 462)) AS i FROM documents WHERE doc_id < 5) GROUP BY doc_id
+    """SELECT 'prose' AS kind, doc_id AS table_id, count(*) AS n, 0::DOUBLE AS weight FROM (SELECT doc_id, unnest(range(0, len(list_filter(string_split_regex(text, '\\s+'), lambda z: z <> '')), 462)) AS i FROM documents) GROUP BY doc_id
     UNION ALL SELECT 'table', r_regionkey, 2 * count(*), 1.2 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""",
 )
 def table_chunks(spark, sf_dir):
-    prose = T.chunk_windows(docs_of(spark, sf_dir).where("doc_id < 5")).groupBy(F.col("doc_id").alias("table_id")).agg(F.count(F.lit(1)).alias("n"))
+    prose = T.chunk_windows(docs_of(spark, sf_dir)).groupBy(F.col("doc_id").alias("table_id")).agg(F.count(F.lit(1)).alias("n"))
     facts = table_claims(spark, sf_dir).groupBy("table_id").agg(F.count(F.lit(1)).alias("n"))
     kinds = lambda rows, kind, weight: rows.select(F.lit(kind).alias("kind"), "table_id", "n", F.lit(weight).alias("weight"))
     return kinds(prose, "prose", 0.0).union(kinds(facts, "table", 1.2))

@@ -1,12 +1,16 @@
 """Operators on small literal frames."""
 
 import io
+import shutil
 import zipfile
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from doctally.config import Config
+from doctally.functions import lexicon as L
 from doctally.functions import text as X
 from doctally.operators import drift, evaluation, graph, pairs, reports, scan, vectors
 from doctally.operators import text as T
@@ -94,11 +98,12 @@ def test_impact_takes_the_first_parent(spark):
     assert found == {1: (1, 0, 0.5), 2: (1, 0, 0.9), 3: (2, 1, 0.25), 4: (3, 3, 0.125)}
 
 
-def test_dedup_is_greedy_in_order(spark):
+@pytest.mark.parametrize("most", [4096, 150])
+def test_dedup_is_greedy_in_order(spark, most):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(700, 4))
     rows = spark.createDataFrame([(i % 2, i, [float(x) for x in v]) for i, v in enumerate(base)], "group_id int, vec_id int, embedding array<double>")
-    found = {r["vec_id"]: r["representative"] for r in vectors.deduplicate(rows).collect()}
+    found = {r["vec_id"]: r["representative"] for r in vectors.deduplicate(rows, most=most).collect()}
     units = vectors.unit(base)
     for g in (0, 1):
         kept = []
@@ -109,14 +114,22 @@ def test_dedup_is_greedy_in_order(spark):
                 kept.append(i)
 
 
-def test_nearest_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [2000, 7])
+@pytest.mark.parametrize("apart", [None, "g"])
+def test_nearest_equals_brute_force(spark, block, apart):
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(60, 8))
-    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id int, embedding array<double>")
-    found = vectors.nearest(rows.withColumnRenamed("vec_id", "query_id"), rows, 3).collect()
+    v = np.concatenate([rng.normal(size=(50, 8)), np.repeat(rng.normal(size=(2, 8)), 5, 0)])  # equal ones too
+    rows = spark.createDataFrame([(i, i % 3, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id int, g int, embedding array<double>")
+    found = vectors.nearest(rows.withColumnRenamed("vec_id", "query_id"), rows, 4, 0.1, skip_self=True, apart=apart, block=block).collect()
     sims = np.round(vectors.unit(v) @ vectors.unit(v).T, 6)
-    for r in found:
-        assert r["vec_id"] == np.lexsort((np.arange(60), -sims[r["query_id"]]))[r["rank"] - 1]
+    want = set()
+    for i in range(60):
+        order = [j for j in np.lexsort((np.arange(60), -sims[i])) if j != i and sims[i, j] >= 0.1 and not (apart and i % 3 == j % 3)]
+        want |= {(i, int(j), n + 1) for n, j in enumerate(order[:4])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found} == want and len(found) == len(want)
+    partners = rows.select(F.col("vec_id").alias("query_id"), "embedding", ((F.col("vec_id") + 1) % 61).alias("partner_id"))
+    ranks = {r["query_id"]: r["rank"] for r in vectors.partner_ranks(partners, rows).collect()}
+    assert ranks == {i: 1 + [int(j) for j in np.lexsort((np.arange(60), -sims[i]))].index((i + 1) % 61) for i in range(60) if (i + 1) % 61 < 60}
 
 
 def test_hybrid_blend(spark):
@@ -137,7 +150,152 @@ def test_published_confusion_matrix(spark):
 def test_scan_finds_a_contradiction(spark):
     rows = [("a", "a1", "Solar output exceeded the regional target of 40 percent in spring"), ("b", "b1", "Solar output exceeded the regional target of 25 percent in spring"), ("b", "b2", "Bicycles are cheap")]
     claims = spark.createDataFrame(rows, "document_id string, claim_id string, content string")
-    assert [(r["a_id"], r["b_id"], r["band"]) for r in scan.claim_pairs(claims, gate=0.5).collect()] == [("a1", "b1", "high")]
+    config = Config(gate_similarity=0.5, gate_sample=0.0)
+    found = scan.claim_pairs(claims, config=config).collect()
+    assert [(r["a_id"], r["b_id"], r["band"], r["explanation"]) for r in found] == [("a1", "b1", "high", "These two statements present conflicting information. Contradiction detected with 100% confidence.")]
+    assert scan.claim_pairs(claims, new=claims.where("claim_id = 'b2'"), config=config).count() == 0
+    assert scan.claim_pairs(claims, new=claims.where("claim_id = 'b1'"), config=config).count() == 1
+    # the gates one by one: modalities that can't contradict, no common subject, one document, noise as a candidate
+    odd = claims.withColumn("modality", F.when(F.col("claim_id") == "a1", "MANDATORY").otherwise("INFORMATIONAL"))
+    assert scan.claim_pairs(odd, config=config).count() == 0 and scan.claim_pairs(claims, config=replace(config, shared_terms=99)).count() == 0
+    assert scan.claim_pairs(claims.withColumn("document_id", F.lit("a")), config=config).count() == 0
+    noisy = claims.withColumn("content", F.when(F.col("claim_id") == "b1", F.concat(F.lit("RETIRED DRAFT "), "content")).otherwise(F.col("content")))
+    assert scan.claim_pairs(noisy, config=config).count() == 0
+    # below the gate a sample fixed by the ids is kept, here all
+    high = scan.claim_pairs(claims, config=Config(gate_similarity=0.99, gate_sample=1.0)).collect()
+    assert [(r["a_id"], r["b_id"], r["sampled"]) for r in high] == [("a1", "b1", True)] and scan.claim_pairs(claims, config=Config(gate_similarity=0.99, gate_sample=0.0)).count() == 0
+
+
+def test_sample_below_the_gate(spark):
+    pairs_ = spark.range(20_000).select(F.col("id").alias("a_id"), (F.col("id") * 7).alias("b_id"), F.lit(0.5).alias("similarity"))
+    kept = pairs.similarity_gate(pairs_)
+    assert 0.03 < kept.count() / 20_000 < 0.07 and kept.where("not sampled").count() == 0
+    assert kept.exceptAll(pairs.similarity_gate(pairs_.repartition(7))).count() == 0
+
+
+def test_explanations(spark):
+    rows = spark.createDataFrame([("x", "y", 0.5), ("long enough", "z", 0.876)], "a string, b string, score double")
+    template = "These two statements present conflicting information. Contradiction detected with %s%% confidence."
+
+    def model(a, b, score):
+        if a == "x":
+            raise ConnectionError
+        return f" {a} against {b} "
+
+    assert [r["explanation"] for r in scan.explained(rows, model).orderBy("score").collect()] == [template % 50, "long enough against z"]
+    assert [r["explanation"] for r in scan.explained(rows, lambda *x: "short").orderBy("score").collect()] == [template % 50, template % 88]
+
+
+REPORT_A = "1. Energy\nThe solar output of the northern plant improved by 40 percent across the whole region in spring.\n2. Water\n" + "The reservoir level of the valley was stable during the long and rather quiet winter season. " * 2 + "\n"
+REPORT_B = "1. Energy\nThe solar output of the northern plant failed to improve by 40 percent across the whole region in spring.\n2. Water\n" + "The reservoir level of the valley was stable during the long and rather quiet winter season. " * 2 + "\n"
+
+
+def test_structured_scan(spark):
+    docs = spark.createDataFrame([(1, REPORT_A), (2, REPORT_B)], "doc_id int, text string")
+    both = spark.createDataFrame([(1, 2)], "doc_a int, doc_b int")
+    aligned = {(r["position_a"], r["position_b"]) for r in scan.aligned_sections(both, docs, 0.5).collect()}
+    assert (1, 1) in aligned or (0, 0) in aligned
+    found = scan.structured_scan(both, docs, config=Config(alignment=0.5)).collect()
+    assert {(r["type"], r["band"]) for r in found} >= {("outcome_inversion", "high")}
+    routed = scan.routed_scan(both, docs, Config(alignment=0.5, structured=0.0)).collect()
+    assert {r["scan_path"] for r in routed} == {"structured"}
+    routed = scan.routed_scan(both, docs, Config(gate_similarity=0.4, gate_sample=0.0, structured=1.1)).collect()
+    assert {r["scan_path"] for r in routed} <= {"embedding"}
+
+
+def test_split_by_time(spark):
+    contexts = spark.createDataFrame([(1, None, "2020-01-01", "2021-01-01"), (2, 1, "2021-01-02", None), (3, None, "2020-01-01", None)], "id int, supersedes int, from string, until string")
+    contexts = contexts.select("id", "supersedes", F.to_timestamp("from").alias("from"), F.to_timestamp("until").alias("until"), F.to_timestamp("from").alias("created"), F.lit(1).alias("version"), F.lit("").alias("department"))
+    both = spark.createDataFrame([(1, 2), (1, 3), (3, 9)], "doc_a int, doc_b int")
+    got = {(r["doc_a"], r["doc_b"]): (r["class"], r["inferred"]) for r in scan.split_by_time(both, contexts, "2022-01-01 00:00:00").collect()}
+    assert got == {(1, 2): ("evolution", False), (1, 3): ("evolution", False), (3, 9): ("contradiction", False)}
+
+
+def test_embeddings_align_what_words_do_not(spark):
+    rows = spark.createDataFrame([("cars", "automobiles", "top speed", "velocity")], "entity_a string, entity_b string, attribute_a string, attribute_b string")
+    same = {"cars": 0, "automobiles": 0, "top speed": 1, "velocity": 1}
+    encode = lambda df, c: df.withColumn("embedding", F.create_map(*(F.lit(x) for k, v in same.items() for x in (k, v)))[F.col(c)]).withColumn("embedding", F.array((F.col("embedding") == 0).cast("double"), (F.col("embedding") == 1).cast("double")))
+    rest = {f"{c}_{s}": F.lit(v) for s in "ab" for c, v in (("polarity", "neutral"), ("confidence_level", "certain"))}
+    rest |= {"sentence_a": F.lit("it gained"), "sentence_b": F.lit("it failed"), "nli_label": F.lit("neutral"), "nli_score": F.lit(0.1)}
+    plain = rows.withColumns(rest)
+    assert pairs.taxonomy(plain).first()["type"] is None
+    assert pairs.taxonomy(pairs.with_similarities(plain, encode)).first()["type"] == "outcome_inversion"
+
+
+def test_times(spark):
+    texts = ["2024-03-01", "2024-03-01T10:20:30Z", "2024-03-01T10:20:30+02:00", "01.03.2024", "03/01/2024", "1 Mar 2024", "March 1, 2024", "20240301", "soon", "", None]
+    got = [str(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(pairs.parse_time(F.col("t")).cast("string")).collect()]
+    day = "2024-03-01 00:00:00"
+    assert got == [day, "2024-03-01 10:20:30", "2024-03-01 08:20:30", day, day, day, day, day, "None", "None", "None"]
+
+
+def test_markdown(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "truth string, predicted string")
+    text = evaluation.markdown_report(evaluation.multiclass_report(rows), evaluation.confusion_matrix(rows, ["a", "b"]), "T")
+    assert text.splitlines() == [
+        "# T", "", "**Accuracy:** 0.6667", "**Macro F1:** 0.6667", "**Samples:** 3", "", "| Class | Precision | Recall | F1 | Support |", "|-------|-----------|--------|-----|---------|",
+        "| a | 1.0000 | 0.5000 | 0.6667 | 2 |", "| b | 0.5000 | 1.0000 | 0.6667 | 1 |", "", "## Confusion Matrix", "", "| True \\ Pred | a | b |", "|---|---|---|", "| a | 1 | 1 |", "| b | 0 | 1 |",
+    ]
+
+
+def brute_sections(text, target=6):
+    """Sections by going through the lines."""
+    import re
+
+    words = lambda t: [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]
+
+    def heading(line):
+        n = len(words(line))
+        capitals = line.upper() == line and any(c.isupper() for c in line) and 3 <= n <= 8
+        return bool(line) and (bool(re.search(r"(?i)^\s*(?:\d+\.(?:\d+\.?)*\s+|#{1,4}\s+|[A-Z][A-Z\s]{3,}(?:\n|$)|(?:Section|Chapter|Part)\s+\d+)", line)) or capitals)
+
+    made, head, lines = [], "Introduction", []
+    for line in text.split("\n"):
+        if heading(line.strip()) and lines:
+            made.append((head, lines))
+            head, lines = line.strip(), []
+        else:
+            lines.append(line)
+    made.append((head, lines))
+    made = [(h, c, len(words(c))) for h, ls in made if len(words(c := "\n".join(ls).strip())) >= 10]
+    if len(made) <= 1 and len(words(text)) > 200:
+        found = [p.strip() for p in text.split("\n\n") if len(words(p)) >= 5]
+        if not found:
+            return [("Full Document", text, len(words(text)))]
+        per = max(1, len(found) // target)
+        return [(found[k].split(".")[0][:60], c := "\n\n".join(found[k : k + per]), len(words(c))) for k in range(0, len(found), per)]
+    return made
+
+
+def test_sections_and_filter_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(["river", "stone", "lime, moss", "field.", "7"]) for _ in range(rng.randint(1, 14)))
+    kinds = ["1. Title here", "## Head", "ALL CAPS LINE", "", "References", "Appendix B", "page 3 of 9", "Section 4", "  \t", "x"]
+    texts = ["\n".join(rng.choice(kinds) if rng.random() < 0.35 else plain() for _ in range(rng.randint(1, 40))) for _ in range(120)]
+    texts += ["\n\n".join(plain() for _ in range(n)) for n in (1, 5, 40, 60)] + ["w " * 300, "\n" * 50, "# a\n# b\n# c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in T.sections(docs).orderBy("doc_id", "position").collect():
+        got.setdefault(r["doc_id"], []).append((r["heading"], r["content"], r["word_count"]))
+    assert got == {i: s for i, t in enumerate(texts) if (s := brute_sections(t))}
+
+    def filtered(text):
+        import re
+
+        out, inside = [], False
+        for line in text.split("\n"):
+            s = line.strip()
+            if re.search(r"(?i)^\s*(references|bibliography|works\s+cited)\s*$", s):
+                inside = True
+            elif re.search(r"(?i)^\s*(appendix|supplementary|about)", s):
+                inside = False
+            if not inside and len(s) >= 5 and not any(re.search(p, s) for p in L.BOILERPLATE_LINES):
+                out.append(line)
+        return "\n".join(out)
+
+    assert {r["doc_id"]: r["text"] for r in T.structural_filter(docs).collect()} == {i: filtered(t) for i, t in enumerate(texts)}
 
 
 def test_canonical_and_dedup(spark):
@@ -174,6 +332,13 @@ def test_stream_is_idempotent(spark, tmp_path):
         ingest.watch(spark, str(tmp_path / "in"), str(tmp_path / "store")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store/documents")).count() == 2
     assert spark.read.parquet(str(tmp_path / "store/pairs")).count() == 1
+    # an upload that comes later is scanned against what is stored; one whose scan was lost is found again
+    (tmp_path / "in" / "z.txt").write_text("Solar electricity output has exceeded the northern regional target of 70 percent during spring months.")
+    ingest.watch(spark, str(tmp_path / "in"), str(tmp_path / "store")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "store/pairs")).count() == 3 and ingest.reconcile(spark, str(tmp_path / "store")).count() == 0
+    last = spark.read.parquet(str(tmp_path / "store/scanned")).agg(F.max("batch")).first()[0]
+    shutil.rmtree(tmp_path / f"store/scanned/batch={last}")
+    assert ingest.reconcile(spark, str(tmp_path / "store")).count() == 2
     spark.range(1).selectExpr("timestamp_ntz'2024-01-01 00:00:30' as ts", "'a' as event_type", "1.0 as value").write.parquet(str(tmp_path / "ev"))
     stream = windows.tumbling(windows.timed(spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(str(tmp_path / "ev")), "1 minute"), "1 hour")
     stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
