@@ -216,7 +216,7 @@ def _tokens(text: str) -> Column:
 
 def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, length of lower-cased white-space separated tokens."""
-    each = rows.select(key, _tokens(text).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    each = rows.select(key, _tokens(text).alias("_t")).select(key, F.size("_t").alias("length"), "_t").select(key, "length", F.explode("_t").alias("term"))
     return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -225,7 +225,7 @@ def _asked_terms(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
     asked = terms(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("times"))
     wanted = asked.select("term").distinct()
     wanted = wanted.hint("broadcast") if wanted.count() <= BROADCAST_TERMS else wanted.hint("merge")
-    each = docs.select("doc_id", _tokens("text").alias("_t")).select("doc_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    each = docs.select("doc_id", _tokens("text").alias("_t")).select("doc_id", F.size("_t").alias("length"), "_t").select("doc_id", "length", F.explode("_t").alias("term"))
     return asked, each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -234,7 +234,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
 
     One pass counts the documents of every term, pre-aggregated where they are read, for the three figures of the whole corpus; a second one keeps the asked terms only.
     """
-    distinct = docs.select(F.posexplode_outer(F.array_distinct(_tokens("text"))).alias("_i", "term"), F.size(_tokens("text")).alias("_n"))
+    sized = docs.select(_tokens("text").alias("_t")).select(F.array_distinct("_t").alias("_t"), F.size("_t").alias("_n"))
+    distinct = sized.select("_n", F.posexplode_outer("_t").alias("_i", "term"))
     each = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_n"))).alias("_words"))
     n_docs = docs.count()
     idf = lambda df: F.log(F.lit(n_docs) - df + 0.5) - F.log(df + 0.5)
@@ -242,10 +243,23 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     asked, found = _asked_terms(queries, docs)
     known = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.when(idf(F.col("df")) < 0, floor * (mean_idf or 0.0)).otherwise(idf(F.col("df")))
-    rows = asked.join(known.select("term", weight.alias("idf")), "term").join(found, "term")
+    weighted = asked.join(known, "term").select("query_id", "term", (F.col("times") * weight).alias("weight"))
     mean = (words or 0) / max(n_docs, 1)
-    score = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(mean, 1e-9)))
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(score).alias("bm25"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(mean, 1e-9)))
+    return _scored(weighted, found.select("doc_id", "term", part.alias("part"))).withColumnRenamed("score", "bm25")
+
+
+def _scored(weighted: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, doc_id, score: the sum of weight (query_id, term, weight) times part (doc_id, term, part) over the terms that both have.
+
+    Terms of few queries go to every executor with the queries that ask for them, so that a document's scores are made where its terms are.
+    """
+    by_term = weighted.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("_q"))
+    if weighted.count() <= BROADCAST_TERMS:
+        rows = found.join(F.broadcast(by_term), "term").select("doc_id", "part", F.explode("_q").alias("_q")).select("doc_id", "_q.*", "part")
+    else:
+        rows = found.join(weighted.hint("merge"), "term")
+    return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def term_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -253,7 +267,7 @@ def term_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
     asked, found = _asked_terms(queries, docs)
     squares = terms(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("_d"))
     lengths = asked.groupBy("query_id").agg(F.sum(F.col("times") * F.col("times")).alias("_q"))
-    dots = asked.join(found, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("tf")).alias("_dot"))
+    dots = _scored(asked.withColumnRenamed("times", "weight"), found.select("doc_id", "term", F.col("tf").alias("part"))).withColumnRenamed("score", "_dot")
     rows = dots.join(lengths, "query_id").join(squares, "doc_id")
     return rows.select("query_id", "doc_id", (F.col("_dot") / (F.sqrt("_q") * F.sqrt("_d"))).alias("similarity"))
 
