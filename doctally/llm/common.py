@@ -16,13 +16,14 @@ _KEPT: dict = {}
 
 
 def once(key, make):
-    """make() of this key, kept by this process for its next tasks (one model a kind: key[0]).
+    """make() of this key, kept by this process for its next tasks, in place of what it kept before.
 
     Functions that Spark ships take their module's variables along as copies; this one they find by name, so that it keeps what it made.
     """
-    if _KEPT.get(key[0], (None,))[0] != key:
-        _KEPT[key[0]] = (key, make())
-    return _KEPT[key[0]][1]
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
