@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.numbers import half_up
+from .vectors import stored
 
 
 def contradiction_edges(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,6 +128,7 @@ def impact_trace(edges: DataFrame, start, config: Config = DEFAULT) -> DataFrame
     """
     spark = edges.sparkSession
     kind = edges.schema["source"].dataType.simpleString()
+    edges = stored(edges)  # each level reads them
     seen = spark.createDataFrame([(start, 0, None, 1.0, "")], f"node {kind}, depth int, parent {kind}, impact double, place string")
     frontier = seen
     for depth in range(1, config.impact_depth + 1):
