@@ -36,14 +36,14 @@ def rule_label(a: str, b: str) -> tuple[str, float]:
     return ("entailment", shared) if shared >= 0.95 else ("neutral", 1 - shared)
 
 
-def classify(pairs: DataFrame, rule=rule_label) -> DataFrame:
+def classify(pairs: DataFrame, rule=rule_label, texts: tuple[str, str] = ("a", "b"), prefix: str = "") -> DataFrame:
     """pairs (a, b: texts) and label, score by a user's rule of two texts, in Arrow batches."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([rule(x, y) for x, y in zip(a, b, strict=True)], columns=["label", "score"])
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
-    return pairs.withColumn("_n", F.pandas_udf(run, "label string, score double")("a", "b")).select(*pairs.columns, "_n.label", "_n.score")
+    return pairs.withColumn("_n", F.pandas_udf(run, "label string, score double")(*texts)).select(*pairs.columns, *(F.col(f"_n.{c}").alias(f"{prefix}{c}") for c in ("label", "score")))
 
 
 def overlap_score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -111,8 +111,8 @@ def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config
     rows = P.dynamic_topk(without_noise(found, "b"), config).drop("rank")
     rows = classify(rows, rule).withColumn("ratio", X.specificity_ratio(F.col("a"), F.col("b")))
     rows = P.confidence_bands(rows, config).where(X.modalities_comparable(F.col("modality_a"), F.col("modality_b")))
-    back = classify(rows.select("a_id", "b_id", F.col("b").alias("a"), F.col("a").alias("b")), rule).select("a_id", "b_id", F.col("label").alias("reverse_label"))
-    kept = P.symmetric(rows.join(back, ["a_id", "b_id"])).withColumn("shared", X.shared_terms(F.col("a"), F.col("b"))).where(F.col("shared") >= config.shared_terms)
+    rows = classify(rows, rule, ("b", "a"), "reverse_").drop("reverse_score")
+    kept = P.symmetric(rows).withColumn("shared", X.shared_terms(F.col("a"), F.col("b"))).where(F.col("shared") >= config.shared_terms)
     ordered = kept.withColumn("ord", F.concat_ws(":", F.lpad(F.col("a_id").cast("string"), 40, "0"), F.lpad(F.col("b_id").cast("string"), 40, "0")))
     ordered = P.canonical_pairs(ordered, (("a_id", "b_id"), ("doc_a", "doc_b"), ("a", "b"), ("modality_a", "modality_b")))
     return explained(P.dedup_pairs(ordered).drop("ord"), write)
