@@ -17,6 +17,9 @@ class Config:
     top_k: int = 5
     retrieve_k: int = 10
     shared_terms: int = 1
+    chunk_similarity: float = 0.60
+    chunk_partners: int = 5
+    verdict: float = 0.70
     entity_similarity: float = 0.65
     attribute_similarity: float = 0.55
     contradiction: float = 0.80

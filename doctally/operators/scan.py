@@ -5,6 +5,7 @@ Encoder and classifier are pluggable; the defaults are rules, deterministic and
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -118,6 +119,63 @@ def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config
     return explained(P.dedup_pairs(ordered).drop("ord"), write)
 
 
+def verdicts(replies: DataFrame) -> DataFrame:
+    """replies (reply: a language model's on a pair of texts) and classification, confidence, reason, claims: of its JSON object, in a code fence or bare; UNRELATED at 0 if it has none."""
+    fenced = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(.*?)(?:```|$)", 1)
+    body = F.trim(F.when(F.contains("reply", F.lit("```")), fenced).otherwise(F.col("reply")))
+    kind = "classification string, confidence string, explanation string, conflicting_claims array<string>"
+    rows = replies.withColumn("_v", F.from_json(F.when(body.startswith("{") & F.try_parse_json(body).isNotNull(), body), kind))
+    sure = F.coalesce(F.col("_v.confidence"), F.lit("0.5")).try_cast("double")
+    usable = F.col("_v").isNotNull() & sure.isNotNull()
+    return rows.select(
+        *replies.columns,
+        F.when(usable, F.coalesce("_v.classification", F.lit("UNRELATED"))).otherwise("UNRELATED").alias("classification"),
+        F.when(usable, sure).otherwise(0.0).alias("confidence"),
+        F.when(usable, F.coalesce("_v.explanation", F.lit(""))).otherwise("").alias("reason"),
+        F.when(usable, F.coalesce("_v.conflicting_claims", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("claims"),
+    )
+
+
+def rule_reply(a: str, b: str) -> str:
+    """The rule's label in the form of a language model's reply."""
+    label, score = rule_label(a, b)
+    return json.dumps({"classification": "CONTRADICTORY" if label == "contradiction" else "UNRELATED", "confidence": score})
+
+
+def chunk_pairs(chunks: DataFrame, ask=rule_reply, new: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """Pairs of chunks of different documents that a user's function of two texts (a language model, say; see verdicts) takes for contradictory or superseding.
+
+    chunks: document_id, chunk_id, content, and if known embedding (else hashed words). Each chunk, or each new one, is asked about with its nearest chunks; those of
+    its own document count among these, but aren't asked about. A call that fails is unrelated; of the two directions of a pair the one of the smaller id stays.
+    """
+
+    def coded(rows: DataFrame) -> DataFrame:
+        return rows if "embedding" in rows.columns else V.hash_embed(rows, "content")
+
+    stored = coded(chunks.dropDuplicates(["chunk_id"]))
+    asked = stored if new is None else coded(new.dropDuplicates(["chunk_id"]))
+    found = V.nearest(asked.withColumnRenamed("chunk_id", "query_id"), stored.withColumnRenamed("chunk_id", "vec_id"), config.chunk_partners, config.chunk_similarity, skip_self=True)
+    found = found.withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"})
+    for s, side in (("a", asked), ("b", stored)):
+        found = found.join(side.select(F.col("chunk_id").alias(f"{s}_id"), F.col("document_id").alias(f"doc_{s}"), F.col("content").alias(s)), f"{s}_id")
+
+    def one(a: str, b: str) -> str | None:
+        try:
+            return ask(a, b)
+        except Exception:  # a provider that fails leaves the pair unrelated
+            return None
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    # a call may be dear: not copied into filters
+    reply = F.pandas_udf(run, "string").asNondeterministic()("a", "b")
+    judged = verdicts(found.where("doc_a != doc_b").withColumn("reply", reply))
+    kept = judged.where(F.col("classification").isin("CONTRADICTORY", "SUPERSEDES") & (F.col("confidence") >= config.verdict))
+    return P.dedup_pairs(kept.withColumn("ord", F.struct("a_id", "rank"))).drop("ord", "rank", "reply")
+
+
 def split_by_time(pairs: DataFrame, contexts: DataFrame, as_of: str, config: Config = DEFAULT) -> DataFrame:
     """pairs (doc_a, doc_b) with class, class_confidence, inferred: whether two claims contradict each other or one replaces the other by their documents' dates.
 

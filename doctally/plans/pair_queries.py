@@ -173,6 +173,22 @@ def claim_pair_scan(spark, sf_dir):
     return S.claim_pairs(claims, config=config).select("a_id", "b_id", "similarity", "band")
 
 
+@query(
+    "chunk_pair_scan",
+    with_model(f"""WITH cl AS ({_CLAIMS}), nn AS (SELECT x.claim_id AS a_id, y.claim_id AS b_id, x.document_id AS doc_a, y.document_id AS doc_b, x.content AS a, y.content AS b,
+        round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM cl x JOIN cl y ON x.claim_id <> y.claim_id),
+    tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) AS r FROM nn) WHERE r <= 5 AND similarity >= 0.2 AND doc_a <> doc_b),
+    kl AS (SELECT *, {_A[0]} AS label, {_A[1]} AS score FROM tk),
+    un AS (SELECT *, row_number() OVER (PARTITION BY least(a_id, b_id), greatest(a_id, b_id) ORDER BY a_id, r) AS k FROM kl WHERE label = 'contradiction' AND score >= 0.7)
+    SELECT a_id, b_id, similarity, 'CONTRADICTORY' AS classification, round(score, 6) AS confidence FROM un WHERE k = 1"""),
+)
+def chunk_pair_scan(spark, sf_dir):
+    """The rule's replies on the nearest chunks of each."""
+    chunks = spark.sql(_CLAIMS.replace("::DOUBLE", "D").replace("FROM m_vectors", "FROM {source}"), source=adapted(spark, sf_dir, "m_vectors"))
+    found = S.chunk_pairs(chunks.withColumnRenamed("claim_id", "chunk_id"), config=replace(DRIVER_VECTORS, chunk_similarity=0.2))
+    return found.select("a_id", "b_id", "similarity", "classification", F.round("confidence", 6).alias("confidence"))
+
+
 @query("document_claim_scan")
 def document_claim_scan(spark, sf_dir):
     """The scan over the claims of all documents, with the sample below the gate."""

@@ -173,6 +173,35 @@ def test_sample_below_the_gate(spark):
     assert kept.exceptAll(pairs.similarity_gate(pairs_.repartition(7))).count() == 0
 
 
+def test_chunk_pairs_by_replies(spark):
+    replies = {
+        '```json\n{"classification": "SUPERSEDES", "confidence": "0.9", "conflicting_claims": ["x"]}\n```': ("SUPERSEDES", 0.9, ["x"]),
+        '{"classification": "CONTRADICTORY"}': ("CONTRADICTORY", 0.5, []),
+        "```\n{}```": ("UNRELATED", 0.5, []),
+        '{"classification": "CONTRADICTORY", "confidence": "high"}': ("UNRELATED", 0.0, []),
+        "they contradict": ("UNRELATED", 0.0, []),
+        '["CONTRADICTORY"]': ("UNRELATED", 0.0, []),
+        "": ("UNRELATED", 0.0, []),
+        None: ("UNRELATED", 0.0, []),
+    }
+    rows = scan.verdicts(spark.createDataFrame([(x,) for x in replies], "reply string")).collect()
+    assert {r["reply"]: (r["classification"], r["confidence"], r["claims"]) for r in rows} == replies
+
+    vectors = {"a1": [1.0, 0.0], "b1": [1.0, 0.1], "b2": [0.9, 0.1], "c1": [1.0, 0.2], "d1": [0.0, 1.0]}
+    chunks = spark.createDataFrame([(x[0], x, f"text {x}", v) for x, v in vectors.items()], "document_id string, chunk_id string, content string, embedding array<double>")
+
+    def ask(a, b):
+        if "c1" in (a[5:], b[5:]):
+            raise ConnectionError
+        return '{"classification": "CONTRADICTORY", "confidence": 0.7}'
+
+    pairs_of = lambda **x: sorted((r["a_id"], r["b_id"]) for r in scan.chunk_pairs(chunks, ask, **x).collect())
+    assert pairs_of() == [("a1", "b1"), ("a1", "b2")]
+    assert pairs_of(new=chunks.where("chunk_id = 'b2'")) == [("b2", "a1")]
+    # the nearest counts although it is of the same document
+    assert pairs_of(config=Config(chunk_partners=1)) == [("a1", "b1")] and pairs_of(config=Config(verdict=0.71)) == []
+
+
 def test_explanations(spark):
     rows = spark.createDataFrame([("x", "y", 0.5), ("long enough", "z", 0.876)], "a string, b string, score double")
     template = "These two statements present conflicting information. Contradiction detected with %s%% confidence."
