@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, media, near_dedup, packing, secrets, tool_calls, toxicity, url_filter, warc
+from . import decontaminate, language_id, media, near_dedup, packing, pivot_search, secrets, tool_calls, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_tool_calls": tool_calls.op9_tool_calls,
         "op10_packing": packing.op10_packing,
+        "op13_pivot_search": pivot_search.op13_pivot_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE, "op9_tool_calls": tool_calls.ORACLE}
+    return {"op7_url_filter": url_filter.ORACLE, "op9_tool_calls": tool_calls.ORACLE, "op13_pivot_search": pivot_search.ORACLE}
