@@ -10,7 +10,7 @@ have the same bounds and products and are dealt out like other rows.
 
 Defined results: vectors that are null, or hold null, NaN or an infinite value, take no part. Shorter vectors count as filled up with zeros (an empty one is all zeros). A repeated id
 is as many rows: each is a candidate of the others, and a query of its own if its id asks for it. Rows without id are candidates, after all ids among equal scores, but no queries.
-Large values are multiplied as Python integers, so nothing is rounded; a score beyond 64 bits is given as the nearest long. An empty table gives an empty result. Other columns are not touched.
+Large values are multiplied as Python integers, so nothing is rounded; a score beyond 64 bits counts as the nearest long. An empty table gives an empty result. Other columns are not touched.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ class Block:
     def scores(self, at: np.ndarray, q: np.ndarray, exact_q: list, large_q: bool) -> np.ndarray:
         if not large_q and not self.large[at].any():
             return self.matrix[at] @ q
-        return np.array([sum(int(x) * int(y) for x, y in zip(self.wide[i], exact_q, strict=False)) for i in at.tolist()], object)
+        exact = (sum(int(x) * int(y) for x, y in zip(self.wide[i], exact_q, strict=False)) for i in at.tolist())
+        return np.array([min(max(s, -LONGEST - 1), LONGEST) for s in exact], object)
 
     def best(self, q: np.ndarray, exact_q: list, own: int, most: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
         """(score, place) of the k best, best first, without the row `own`: candidates by falling bound until none can enter."""
@@ -117,7 +118,9 @@ def pivot_table(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     given = F.col(id_col).cast("long")
     rows = vectors.select(F.coalesce(given, F.lit(LONGEST)).alias("_id"), given.isNull().alias("_none"), F.col(vec_col).cast("array<double>").alias("_x")).where(usable)
     chosen = rows.orderBy(F.xxhash64("_id", "_x"), "_id").limit(sample).toPandas()
-    shared = vectors.sparkSession.sparkContext.broadcast(farthest_first(dense([coded(np.asarray(x, np.float64), scale) for x in chosen["_x"]]), pivots))
+    candidates = dense([coded(np.asarray(x, np.float64), scale) for x in chosen["_x"]])
+    # a distance to a pivot of large values would be rounded by more than bounds allow for
+    shared = vectors.sparkSession.sparkContext.broadcast(farthest_first(candidates[(candidates * candidates).sum(1) < EXACT], pivots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,7 +185,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_id
             matrix, exact = dense(a["_v"], width), _integers(a)
             most = bounds(matrix, np.stack(a["_d"].to_numpy()), there.matrix, there.table)
             for i, (row, own, least) in enumerate(zip(a["_row"], a["_id"], a["_least"], strict=True)):
-                out += [(row, own, ids[j], none[j], min(max(int(s), -LONGEST - 1), LONGEST)) for s, j in there.best(matrix[i], exact[i], row, most[i], k, least)]
+                out += [(row, own, ids[j], none[j], int(s)) for s, j in there.best(matrix[i], exact[i], row, most[i], k, least)]
         return pd.DataFrame(out, columns=["_row", "query_id", "vec_id", "_none", "score"])
 
     found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(meet, schema)

@@ -16,8 +16,9 @@ def brute(rows, asked, k):
     for n, i, q in usable:
         if i is None or not asked(i):
             continue
-        scored = [(-sum(x * y for x, y in zip(q, v)), j is None, j or 0) for m, j, v in usable if m != n]
-        out += [(i, r + 1, None if none else j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, none, j) in enumerate(sorted(scored)[:k])]
+        score = lambda v: min(max(sum(x * y for x, y in zip(q, v)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        scored = [(-score(v), j is None, j or 0) for m, j, v in usable if m != n]
+        out += [(i, r + 1, None if none else j, -s) for r, (s, none, j) in enumerate(sorted(scored)[:k])]
     return sorted(out, key=repr)
 
 
