@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, media, near_dedup, packing, pivot_search, prefix_trie, secrets, tool_calls, toxicity, url_filter, warc
+from . import decontaminate, language_id, media, near_dedup, packing, phrases, pivot_search, prefix_trie, secrets, tool_calls, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_tool_calls": tool_calls.op9_tool_calls,
         "op10_packing": packing.op10_packing,
+        "op11_phrases": phrases.op11_phrases,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_pivot_search": pivot_search.op13_pivot_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.ORACLE, "op9_tool_calls": tool_calls.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_pivot_search": pivot_search.ORACLE}
+    return {"op7_url_filter": url_filter.ORACLE, "op9_tool_calls": tool_calls.ORACLE, "op11_phrases": phrases.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_pivot_search": pivot_search.ORACLE}
