@@ -28,7 +28,7 @@ PIVOTS = 24
 #: Rows that pivots and first thresholds are taken from.
 SAMPLE = 2048
 #: Queries and candidates of a pair of blocks.
-BLOCK = (512, 2048)
+BLOCK = (512, 4096)
 #: Squared lengths from which on products are made of Python integers, and bounds are not relied on.
 EXACT = 2.0**40
 LONGEST = 2**63 - 1
@@ -68,15 +68,29 @@ def farthest_first(vectors: np.ndarray, n: int) -> np.ndarray:
     return vectors[chosen]
 
 
-def bounds(q: np.ndarray, q_table: np.ndarray, v: np.ndarray, v_table: np.ndarray) -> np.ndarray:
-    """The most that the product of each query and vector can be; the half covers what rounding may take."""
-    low = np.zeros((len(q), len(v)))
-    for p in range(q_table.shape[1]):
-        np.maximum(low, np.abs(q_table[:, p, None] - v_table[None, :, p]), out=low)
-    most = ((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - low * low) / 2 + 0.5
-    most[(q * q).sum(1) >= EXACT] = np.inf
-    most[:, (v * v).sum(1) >= EXACT] = np.inf
-    return np.floor(most)
+def bounds(q: np.ndarray, q_table: np.ndarray, v: np.ndarray, v_table: np.ndarray, tile: int = 64) -> np.ndarray:
+    """The most that the product of each query and vector can be; the half covers what rounding may take. In tiles that stay in a cache."""
+    q_square, v_square = (q * q).sum(1), (v * v).sum(1)
+    most, by_pivot = np.empty((len(q), len(v))), np.ascontiguousarray(v_table.T)
+    for start in range(0, len(q), tile):
+        mine = slice(start, start + tile)
+        low, gap = np.zeros((2, len(q_table[mine]), len(v)))
+        for mine_to, to in zip(q_table[mine].T, by_pivot, strict=True):
+            np.abs(np.subtract(mine_to[:, None], to, out=gap), out=gap)
+            np.maximum(low, gap, out=low)
+        np.subtract(q_square[mine, None] + v_square + 1, np.square(low, out=low), out=low)
+        np.floor(np.divide(low, 2, out=low), out=most[mine])
+    most[q_square >= EXACT] = np.inf
+    most[:, v_square >= EXACT] = np.inf
+    return most
+
+
+def falling_order(most: np.ndarray) -> np.ndarray:
+    """Places by falling bound: whole numbers in a small range are sorted by their digits."""
+    top = most.max(initial=0.0)
+    if top - most.min(initial=top) < 65536:
+        return np.argsort((top - most).astype(np.uint16), kind="stable")
+    return np.argsort(-most, kind="stable")
 
 
 class Block:
@@ -84,24 +98,29 @@ class Block:
 
     def __init__(self, vectors: list, table: np.ndarray, rows: np.ndarray, width: int):
         self.wide, self.matrix, self.table, self.rows = vectors, dense(vectors, width), table, rows
-        self.large = (self.matrix * self.matrix).sum(1) >= EXACT
+        squares = (self.matrix * self.matrix).sum(1)
+        self.large, self.any_large = squares >= EXACT, bool((squares >= EXACT).any())
+        # no partial sum passes the product of both lengths, so short floats hold it exactly
+        self.short = self.matrix.astype(np.float32) if squares.max(initial=0.0) < 2.0**24 else None
 
     def scores(self, at: np.ndarray, q: np.ndarray, exact_q: list, large_q: bool) -> np.ndarray:
-        if not large_q and not self.large[at].any():
-            return self.matrix[at] @ q
+        if not large_q and not (self.any_large and self.large[at].any()):
+            return self.short[at] @ q if q.dtype == np.float32 else self.matrix[at] @ q
         exact = (sum(int(x) * int(y) for x, y in zip(self.wide[i], exact_q, strict=False)) for i in at.tolist())
         return np.array([min(max(s, -LONGEST - 1), LONGEST) for s in exact], object)
 
     def best(self, q: np.ndarray, exact_q: list, own: int, most: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
         """(score, place) of the k best, best first, without the row `own`: candidates by falling bound until none can enter."""
-        order = np.argsort(-most, kind="stable")
-        falling, large = most[order], bool((q * q).sum() >= EXACT)
+        order = falling_order(most)
+        falling, square = most[order], float((q * q).sum())
+        large = square >= EXACT
+        q = q.astype(np.float32) if self.short is not None and square < 2.0**24 else q
         kept: list[tuple[float, int]] = []
-        start, step = 0, 64
+        start, step = 0, 256
         while start < len(order) and falling[start] >= least:
             stop = min(start + step, start + int(np.searchsorted(-falling[start:], -least, "right")))
             at = order[start:stop]
-            start, step = stop, 2 * step
+            start, step = stop, 4 * step
             at = at[self.rows[at] != own]
             scores = self.scores(at, q, exact_q, large)
             hits = np.flatnonzero(scores >= least)
