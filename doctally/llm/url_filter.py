@@ -1,9 +1,10 @@
 """URL filter over a sorted digest array.
 
 Each rule (host, path, verdict) becomes the 64-bit xxhash of its text; the rules are broadcast, and every Python worker sorts the digests into an anonymous
-memory map once. A url's candidates - each suffix of its host with each prefix of its path that has the length of some rule's path - are
+memory map once. A url's candidates - the suffixes of its host, at a label's start, with the prefixes of its path that have the lengths of some rule's host and path - are
 hashed and probed together by vectorised binary search; a hit counts only if the stored full string is the same, so hash collisions (which
-stand next to each other in the array) cannot decide. The longest confirmed rule wins.
+stand next to each other in the array) cannot decide. The longest confirmed rule wins. So a url costs as much as there are pairs of lengths among the rules, however long it is.
+More than MAX_RULES rules take a pass over the urls for each so many.
 
 Nulls: a null url, or one without ``://``, has empty host and path and fits no rule; the verdict is then the default. Empty tables give empty
 results; repeated rows are judged each. Other columns of the input, whatever their names, are not touched.
@@ -22,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import materialise, once
 
-#: Rules that may be sent to executors at most: their strings and digests then take under 200 MB.
+#: Rules that are sent to executors at once: their strings and digests then take under 200 MB.
 MAX_RULES = 1_000_000
 _HOST = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
@@ -49,7 +50,7 @@ class DigestArray:
                 raise ValueError(f"two verdicts for {host + path}")
         keys = sorted(verdicts, key=lambda s: (digest(s), s))
         self.texts, self.verdicts = keys, [verdicts[k] for k in keys]
-        self.path_lengths = sorted({len(path) for _, path, _ in rules}, reverse=True)
+        self.lengths = sorted({(len(host), len(path)) for host, path, _ in rules}, key=lambda x: (-sum(x), x))
         if not keys:
             self.array = np.zeros(0, np.uint64)
             return
@@ -62,10 +63,8 @@ class DigestArray:
         """Keys that a rule fitting this url can have, longest first."""
         if not host:
             return []
-        parts = host.split(".")
-        hosts = [".".join(parts[i:]) for i in range(len(parts))]
-        found = [h + path[:n] for n in self.path_lengths if n <= len(path) for h in hosts]
-        return sorted(set(found), key=lambda s: (-len(s), s))
+        starts = {n: len(host) - n for n, _ in self.lengths if n == len(host) or n < len(host) and host[-n - 1] == "."}
+        return list(dict.fromkeys(host[starts[n] :] + path[:m] for n, m in self.lengths if n in starts and m <= len(path)))
 
     def probe(self, keys: list[str]) -> np.ndarray:
         """For each key the index of its rule, or -1."""
@@ -99,22 +98,41 @@ class DigestArray:
         )
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", most: int = MAX_RULES) -> DataFrame:
     """One row per row of pages: its id, host, path, the rule that decides (null: none) and the verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; split the list into calls of {MAX_RULES}")
-    name, shared = uuid.uuid4().hex, pages.sparkSession.sparkContext.broadcast(rules)
+    rules = sorted(rules, key=lambda r: r[0] + r[1])  # rules of one text stand together, and their verdicts are held against each other
+    cuts = [0]
+    while cuts[-1] < len(rules) or len(cuts) == 1:
+        cut = cuts[-1] + most
+        while cut < len(rules) and rules[cut][0] + rules[cut][1] == rules[cut - 1][0] + rules[cut - 1][1]:
+            cut += 1
+        cuts.append(min(cut, max(len(rules), 1)))
     id_type = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    schema = "host string, path string, rule string, verdict string"
+    for k, (start, stop) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        run = _judging(pages.sparkSession.sparkContext.broadcast(rules[start:stop]), default, k > 0)
+        found = rows.mapInPandas(run, f"_id {id_type}, _url string, {schema}")
+        rows = materialise(found) if stop < len(rules) else found
+    return rows.select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict")
+
+
+def _judging(shared, default: str, later: bool):
+    """A pass over urls with one part of the rules; a later one keeps what longer rules of earlier ones decided."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         array = once(("urls", name), lambda: DigestArray(shared.value))
         for batch in batches:
             out = array.judge([None if u is None or u is pd.NA else u for u in batch["_url"]], default)
-            out.insert(0, id_col, batch["_id"].values)
-            yield out
-
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-    return rows.mapInPandas(run, f"{id_col} {id_type}, host string, path string, rule string, verdict string")
+            if later:
+                sizes = [[len(r) if isinstance(r, str) else -1 for r in t["rule"]] for t in (batch, out)]
+                kept = np.array(sizes[0]) >= np.array(sizes[1])
+                for c in ("rule", "verdict"):
+                    out[c] = np.where(kept, batch[c], out[c])
+            yield pd.DataFrame({"_id": batch["_id"].values, "_url": batch["_url"].values} | {c: out[c].values for c in out.columns})
+
+    return run
 
 
 #: Fixed values of the query: host, path, verdict.

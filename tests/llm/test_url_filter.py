@@ -28,3 +28,28 @@ def test_collisions_do_not_decide():
     for u in URLS:
         got = array.judge([u], "allow").iloc[0]
         assert (got["host"], got["path"], got["rule"], got["verdict"]) == judged(u)
+
+
+def test_long_hosts_and_many_lengths():
+    """A megabyte of labels costs no more than the rules' lengths; no label is cut."""
+    import time
+
+    array, began = U.DigestArray(U.RULES), time.time()
+    for host in ("a." * 500_000 + "net", "a" * 1_000_000 + ".org", "." * 1_000_000 + "example.com", "xnet." * 200_000 + "inet"):
+        url = f"x://{host}/de/" + "p" * 1_000_000
+        got = array.judge([url], "allow").iloc[0]
+        assert (got["host"], got["path"], got["rule"], got["verdict"]) == judged(url)
+    assert time.time() - began < 4
+    rules = [("." .join("ab"[: i % 3]) + f"h{i}.net", "/" * (i % 5), "block" if i % 2 else "allow") for i in range(300)] + U.RULES
+    array = U.DigestArray(rules)
+    for i in range(0, 300, 7):
+        for url in (f"x://sub.h{i}.net///", f"x://a.b.h{i}.net/////x", f"x://xh{i}.net/"):
+            assert tuple(array.judge([url], "allow").iloc[0]) == judged(url, rules)
+
+
+def test_rules_in_passes(spark):
+    rules = [*U.RULES, ("a.example.net", "/", "block"), ("example.net", "/", "allow"), ("example.net", "/", "allow"), ("my.example.com", "/de", "allow")]
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    for most in (1, 3):
+        found = U.judge_urls(pages, rules, most=most).collect()
+        assert sorted(map(repr, map(tuple, found))) == sorted(repr((i, *judged(u, rules))) for i, u in enumerate(URLS))
