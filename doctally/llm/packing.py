@@ -7,13 +7,15 @@ with the same result. Within a block:
 2. The remainders form a multiset of lengths. The longest is placed first; a subset-sum over the others, kept as one Python integer per step
    (bit s: the sum s can be reached), finds the multiset whose sum comes closest to the space left, and walking the steps backwards gives how
    many of each length it takes.
-3. Sequences that are full leave. When no multiset fills the window, the documents of that window wait for the next block; at the end of
-   the task's rows what waits is laid end to end and cut at `capacity`, and the last rest is cut into powers of two, which need no padding.
+3. Where no multiset fills a window to the last id, its slack, the least there is, is filled by cutting that many ids off a remainder of the last windows, which are
+   taken apart for it. So all windows of a block leave full, but for fewer than `capacity` ids that wait for the next block; at the end of
+   the task's rows those are cut into powers of two, which need no padding.
 
 So each id lies in exactly one piece, sequences hold at most `capacity` ids, and padding is none.
 
 Nulls: a null text is empty and has only the closing id; rows with a null id column are packed too. Repeated rows are packed each. An empty
-table gives an empty result. Other columns of the input are not touched. Memory: one block's ids, 4 bytes each.
+table gives an empty result. Other columns of the input are not touched. Memory: one block's ids, 4 bytes each,
+whatever the lengths.
 """
 
 from __future__ import annotations
@@ -202,7 +204,7 @@ class Packer:
         by: dict[int, list[tuple]] = {}
         for piece in self.waiting:
             by.setdefault(len(piece[2]) // 4, []).append(piece)
-        self.waiting = []
+        self.waiting, slack = [], []
         for often, window in minimum_bin_slack({k: len(v) for k, v in by.items()}, self.capacity):
             full = sum(k * n for k, n in window) == self.capacity
             for _ in range(often):
@@ -210,7 +212,29 @@ class Packer:
                 if full:
                     yield from self._lay(pieces)
                 else:
-                    self.waiting += pieces
+                    slack.append(pieces)
+        yield from self._cut(slack)
+
+    def _cut(self, windows: list[list[tuple]]) -> Iterator[tuple]:
+        """Fill windows from the front with ids of those at the back, piece by piece; fewer than `capacity` ids go on waiting."""
+        first, spare = 0, []
+        while first < len(windows) or spare:
+            window = windows[first] if first < len(windows) else []
+            first += 1
+            room = self.capacity - sum(len(p[2]) // 4 for p in window)
+            while room and (spare or first < len(windows)):
+                if not spare:
+                    spare = windows.pop()
+                doc_id, start, ids, total = spare.pop()
+                n = min(room, len(ids) // 4)
+                window.append((doc_id, start, ids[: 4 * n], total))
+                room -= n
+                if 4 * n < len(ids):
+                    spare.append((doc_id, start + n, ids[4 * n :], total))
+            if room:
+                self.waiting = window
+            else:
+                yield from self._lay(window)
 
     def finish(self) -> Iterator[tuple]:
         left = sum(len(p[2]) // 4 for p in self.waiting)

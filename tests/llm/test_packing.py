@@ -85,9 +85,31 @@ def test_pieces(spark, docs, stored, clash, blocks):
     for i, ids in ids_of.items():
         assert sorted(covered[i]) == sorted(list(range(len(ids))) * (2 if i == 7 else 1))
     assert sorted(covered[None]) == sorted([*range(len(library.encode("no id", add_special_tokens=False).ids) + 1), 0])
-    # all but what each task lays end to end at its close are windows that a multiset fills
+    # all but what each task has left at its close are full windows
     assert sum(1 for p in sequences.values() if sum(n for _, n in p) < 2048) <= 3 * 11
 
 
 def test_empty(docs):
     assert P.pack(docs([]), P.default_tokenizer()).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[1500], [1025], [2047, 1], [700, 900], [3000], [1], [2048], [5, 1999, 64, 777, 2046]])
+def test_every_block_leaves_full_windows(lengths):
+    """Equal lengths that no multiset fills: windows leave with their block, nearly nothing waits, and each id is laid once."""
+    packer, laid, total = P.Packer(0), {}, 0
+    for block in range(4):
+        sizes = [lengths[i % len(lengths)] for i in range(500)]
+        docs = [(f"{block}-{i}", np.arange(n, dtype="<u4").tobytes()) for i, n in enumerate(sizes)]
+        total += sum(sizes)
+        pieces = list(packer.add(docs))
+        for p in pieces:
+            laid.setdefault(p[5], []).append(p)
+        assert sum(len(p[2]) // 4 for p in packer.waiting) < 2048
+    assert all(sum(p[2] for p in s) == 2048 for s in laid.values())
+    rest = list(packer.finish())
+    assert sum(p[2] for s in laid.values() for p in s) + sum(p[2] for p in rest) == total and sum(p[2] for p in rest) < 2048
+    by = {}
+    for p in [*rest, *(p for s in laid.values() for p in s)]:
+        by.setdefault(p[0], []).extend(range(p[1], p[1] + p[2]))
+        assert p[3] == zlib.crc32(np.arange(p[1], p[1] + p[2], dtype="<u4").tobytes())
+    assert all(sorted(ids) == list(range(len(ids))) for ids in by.values())
