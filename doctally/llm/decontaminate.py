@@ -4,14 +4,14 @@ Words are runs of letters and digits, lower-cased. Each mask looks at a window o
 at the other places do not change the hash. All windows of the corpus are joined to those of the benchmark, and each hit is verified around
 itself: on its diagonal, up to REACH words to either side and within both texts, there must be a stretch around the window in which the words that
 are equal are at least `ratio` of all and at least `least` (or the whole item, if that is shorter). Items of fewer than SPAN words are found where all
-their words follow one another.
+their words follow one another; those of fewer than FEW words, which any text may hold, only in documents of which they are half the words or more.
 
 The benchmark's windows are sent to every executor in blocks of some BLOCK windows, dealt evenly whatever their hashes, each with up to 2 REACH + SPAN words, some 40 MB; a
 larger benchmark takes more passes over the corpus, and the corpus is never shuffled. What follows the join are the verified hits, pre-aggregated by document and item.
 
 Nulls: null texts have no words and match nothing; a document without id is reported under a null id, and removed like any other; items without id are dropped. Items without
 words match nothing. Benchmark items with the same words are searched once and reported each. Repeated
-documents of one id are one. Empty tables give empty results; other columns, whatever their names, are not touched.
+documents of one id are one. Long texts are searched whole. Empty tables give empty results; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ SPAN = 9
 #: Places of a window that count.
 MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8))
 REACH = 12
+#: Words that an item must have to be looked for inside longer texts.
+FEW = 3
 BLOCK = 150_000
 
 
@@ -58,6 +60,7 @@ def _short_hits(corpus: DataFrame, items: DataFrame, block: int) -> list[DataFra
     hits = []
     for n, many in sorted(tuple(r) for r in short.groupBy("_n").agg(F.count(F.lit(1))).collect()):
         places = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(F.array().cast("array<int>"))
+        places = F.when(2 * n >= F.size("_words"), places).otherwise(F.array().cast("array<int>")) if n < FEW else places
         runs = corpus.select("_doc", "_words", F.explode(places).alias("_at")).select("_doc", "_at", F.array_join(F.slice("_words", F.col("_at") + 1, n), " ").alias("_run"))
         blocks = -(-many // block)
         for k in range(blocks):

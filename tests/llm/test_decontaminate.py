@@ -76,3 +76,9 @@ def test_phrase_of_many_items_is_spread_over_blocks(spark, docs, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 3)}
     # 40 items of 4 windows and 2 masks, of which the phrase's own hash comes 80 times
     assert len(seen) == 6 and max(seen) < 90 and sum(seen) == 320
+
+
+def test_items_of_a_word_or_two_need_half_the_document(spark, docs):
+    benchmark = spark.createDataFrame([(0, "Yes"), (1, "the end"), (2, "one two three")], "item_id long, text string")
+    rows = [(1, "yes we can", "en"), (2, "Yes!", "en"), (3, "oh yes", "en"), (4, "and so the end", "en"), (5, "this is not the end", "en"), (6, "zero one two three four five six seven", "en")]
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_overlaps(docs(rows), benchmark).collect()} == {(2, 0), (3, 0), (4, 1), (6, 2)}
