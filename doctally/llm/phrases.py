@@ -30,6 +30,8 @@ from . import common
 LEAST, SHARE, BEST = 10, 50, 2000
 #: Words of a shard, and bytes of text that are cut into words at once.
 SHARD, SLICE = 1_000_000, 1 << 20
+#: Phrases that are handed on at once.
+ROWS = 100_000
 #: Bits of the bitmap of frequent pairs: 16 MB.
 BITS = 27
 _UPPER, _ENDS = bytes(range(65, 91)), b".,;:!?\x0a\x0b\x0c\x0d"
@@ -142,7 +144,8 @@ class Shard:
                 kept = self.pairs_frequent(vocabulary, words)
                 words, counts = words[:, kept], counts[kept]
             phrase = pc.binary_join_element_wise(*(texts.take(pa.array(w)) for w in words), pa.scalar(b" ", pa.binary())).cast(pa.string())
-            yield self.batch(phrase, n, counts)
+            for start in range(0, len(phrase), ROWS):
+                yield self.batch(phrase.slice(start, ROWS), n, counts[start : start + ROWS])
         if self.lengths[0] == 1:
             yield self.batch(pa.array([None], pa.string()), 0, np.array([automaton.total]))
         self.clear()
