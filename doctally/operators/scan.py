@@ -18,6 +18,7 @@ from ..functions import text as X
 from . import pairs as P
 from . import text as T
 from . import vectors as V
+from .vector_index import nearest_indexed
 
 _NEGATION = re.compile(r"\b(not|no|never|cannot|without|prohibited|forbidden)\b|n't\b", re.I)
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
@@ -91,7 +92,7 @@ def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config
     """Contradicting pairs of claims of different documents; if new claims are given, pairs that one of them takes part in.
 
     claims: document_id, claim_id, content, and if known modality, importance_weight, ord and embedding (else hashed words). Seeds are compared with the
-    nearest claims of other documents above the gate (and a sample below it), noise dropped, the dynamic cut, classification both ways, modalities, bands,
+    nearest claims of other documents above the gate (and a sample below it; above vector_index.SMALL claims by an index, which leaves out cells that are too far), noise dropped, the dynamic cut, classification both ways, modalities, bands,
     and shared salient terms.
     """
 
@@ -104,7 +105,7 @@ def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config
     stored = filled(claims)
     chosen = seeds(stored if new is None else filled(new), config).select(F.col("claim_id").alias("query_id"), "document_id", "embedding")
     least = -1.0 if config.gate_sample > 0 else config.gate_similarity
-    found = V.nearest(chosen, stored.withColumnRenamed("claim_id", "vec_id"), config.retrieve_k, least, skip_self=True, apart="document_id")
+    found = nearest_indexed(chosen, stored.withColumnRenamed("claim_id", "vec_id"), config.retrieve_k, least, skip_self=True, apart="document_id")
     found = P.similarity_gate(found.withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"}).drop("rank"), config)
     for s in "ab":
         side = stored if new is None or s == "b" else filled(new)
@@ -154,7 +155,7 @@ def chunk_pairs(chunks: DataFrame, ask=rule_reply, new: DataFrame | None = None,
 
     stored = coded(chunks.dropDuplicates(["chunk_id"]))
     asked = stored if new is None else coded(new.dropDuplicates(["chunk_id"]))
-    found = V.nearest(asked.withColumnRenamed("chunk_id", "query_id"), stored.withColumnRenamed("chunk_id", "vec_id"), config.chunk_partners, config.chunk_similarity, skip_self=True)
+    found = nearest_indexed(asked.withColumnRenamed("chunk_id", "query_id"), stored.withColumnRenamed("chunk_id", "vec_id"), config.chunk_partners, config.chunk_similarity, skip_self=True)
     found = found.withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"})
     for s, side in (("a", asked), ("b", stored)):
         found = found.join(side.select(F.col("chunk_id").alias(f"{s}_id"), F.col("document_id").alias(f"doc_{s}"), F.col("content").alias(s)), f"{s}_id")

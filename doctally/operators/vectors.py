@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..storage import stored
 
 BLOCK = 2000
 #: Terms of queries that are sent to every executor at most (some 20 MB).
@@ -201,15 +202,6 @@ def deduplicate(vectors: DataFrame, config: Config = DEFAULT, most: int = 4096)
         rows = stored(tail.join(dropped.select("group_id", "vec_id"), ["group_id", "vec_id"], "left_anti"))
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """rows behind a checkpoint in the shared folder of spark.checkpoint.dir; where none is set, as in local tests, with their lineage."""
-    context = rows.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return rows.checkpoint() if context.getCheckpointDir() else rows
-
-
 def _tokens(text: str) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pair_queries, report_queries, text_queries  # noqa: F401
+from . import index_queries, pair_queries, report_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
