@@ -212,56 +212,75 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def _asked_terms(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The queries' terms (query_id, term, times), and of the documents' only those (doc_id, term, tf, length): the others leave before anything is shuffled."""
-    asked = terms(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("times"))
-    wanted = asked.select("term").distinct()
-    wanted = wanted.hint("broadcast") if wanted.count() <= BROADCAST_TERMS else wanted.hint("merge")
-    each = docs.select("doc_id", _tokens("text").alias("_t")).select("doc_id", F.size("_t").alias("length"), "_t").select("doc_id", "length", F.explode("_t").alias("term"))
-    return asked, each.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """query_id, doc_id, bm25 of queries (query_id, query) over docs (doc_id, text); a term in more than half of the documents has floor times the mean idf.
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, most: int = BROADCAST_TERMS) -> DataFrame:
+    """query_id, doc_id, bm25 of queries (query_id, query) over docs (doc_id, text), all that share a term; a term in more than half of the documents has floor times the mean idf.
 
-    One pass counts the documents of every term, pre-aggregated where they are read, for the three figures of the whole corpus; a second one keeps the asked terms only.
+    One pass counts the documents of every term, pre-aggregated where they are read; a second one scores each document within its row, for `most` query terms at once.
+    Repeated searches over one corpus, or only the best of each query, are for lexical_index.
     """
     sized = docs.select(_tokens("text").alias("_t")).select(F.array_distinct("_t").alias("_t"), F.size("_t").alias("_n"))
-    distinct = sized.select("_n", F.posexplode_outer("_t").alias("_i", "term"))
-    each = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_n"))).alias("_words"))
-    n_docs = docs.count()
-    idf = lambda df: F.log(F.lit(n_docs) - df + 0.5) - F.log(df + 0.5)
+    distinct = sized.select("_n", F.posexplode_outer("_t").alias("_i", "term")).withColumn("_first", F.coalesce("_i", F.lit(0)) == 0)
+    each = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("_first"), F.col("_n"))).alias("_words"), F.count_if("_first").alias("_docs"))
+    each = stored(each)
+    n_docs = each.agg(F.sum("_docs")).first()[0] or 0
+    idf = lambda df: F.log(F.lit(float(n_docs)) - df + 0.5) - F.log(df + 0.5)
     words, mean_idf = each.agg(F.sum("_words"), F.avg(F.when(F.col("term").isNotNull(), idf(F.col("df"))))).first()
-    asked, found = _asked_terms(queries, docs)
-    known = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.when(idf(F.col("df")) < 0, floor * (mean_idf or 0.0)).otherwise(idf(F.col("df")))
-    weighted = asked.join(known, "term").select("query_id", "term", (F.col("times") * weight).alias("weight"))
-    mean = (words or 0) / max(n_docs, 1)
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / max(mean, 1e-9)))
-    return _scored(weighted, found.select("doc_id", "term", part.alias("part"))).withColumnRenamed("score", "bm25")
+    asked = terms(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("times"))
+    weighted = stored(asked.join(each, "term").select("query_id", "term", (F.col("times") * weight).alias("weight")))
+    mean = max((words or 0) / max(n_docs, 1), 1e-9)
+    return _row_scores(docs, weighted, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)), None, most).withColumnRenamed("score", "bm25")
+
+
+def term_cosine(queries: DataFrame, docs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """query_id, doc_id, similarity: the cosine of term counts for documents that share a term with the query; stands in for an encoder."""
+    asked = terms(queries, "query_id", "query").select("query_id", "term", F.col("tf").alias("times"))
+    length = F.sqrt(F.sum(F.col("times") * F.col("times")).over(Window.partitionBy("query_id")))
+    weighted = stored(asked.select("query_id", "term", (F.col("times") / length).alias("weight")))
+    return _row_scores(docs, weighted, lambda tf, length: tf, lambda counts: sum(n * n for n in counts.values()) ** 0.5, most).withColumnRenamed("score", "similarity")
 
 
-def _scored(weighted: DataFrame, found: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: the sum of weight (query_id, term, weight) times part (doc_id, term, part) over the terms that both have.
+def _row_scores(docs: DataFrame, weighted: DataFrame, part, divisor, most: int) -> DataFrame:
+    """query_id, doc_id, score: sums of weight (query_id, term, weight) times part(count, document's length) over the terms that both have, by divisor(counts); each document's in its row.
 
-    Terms of few queries go to every executor with the queries that ask for them, so that a document's scores are made where its terms are.
+    The weights of `most` terms at once go to every executor; more of them take further passes, whose scores are added up.
     """
-    by_term = weighted.groupBy("term").agg(F.collect_list(F.struct("query_id", "weight")).alias("_q"))
-    if weighted.count() <= BROADCAST_TERMS:
-        rows = found.join(F.broadcast(by_term), "term").select("doc_id", "part", F.explode("_q").alias("_q")).select("doc_id", "_q.*", "part")
-    else:
-        rows = found.join(weighted.hint("merge"), "term")
-    return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    spark, kinds = docs.sparkSession, (weighted.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString())
+    passes, found = max(1, -(-weighted.count() // most)), None
+    for i in range(passes):
+        some = weighted.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i).toPandas()
+        rows = docs.select("doc_id", _tokens("text").alias("_t")).mapInPandas(_scoring(spark, some, part, divisor), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        found = rows if found is None else found.unionByName(rows)
+    return found if passes == 1 else found.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def term_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, similarity: the cosine of term counts for documents that share a term with the query; stands in for an encoder."""
-    asked, found = _asked_terms(queries, docs)
-    squares = terms(docs, "doc_id", "text").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("_d"))
-    lengths = asked.groupBy("query_id").agg(F.sum(F.col("times") * F.col("times")).alias("_q"))
-    dots = _scored(asked.withColumnRenamed("times", "weight"), found.select("doc_id", "term", F.col("tf").alias("part"))).withColumnRenamed("score", "_dot")
-    rows = dots.join(lengths, "query_id").join(squares, "doc_id")
-    return rows.select("query_id", "doc_id", (F.col("_dot") / (F.sqrt("_q") * F.sqrt("_d"))).alias("similarity"))
+def _scoring(spark, weighted: pd.DataFrame, part, divisor):
+    queries = weighted["query_id"].drop_duplicates().to_numpy()
+    places = {q: i for i, q in enumerate(queries)}
+    by_term = {term: (np.array([places[q] for q in g["query_id"]]), g["weight"].to_numpy()) for term, g in weighted.groupby("term")}
+    shared = spark.sparkContext.broadcast((queries, by_term))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from collections import Counter
+
+        queries, by_term = shared.value
+        for rows in batches:
+            out = []
+            for i, tokens in zip(rows["doc_id"], rows["_t"], strict=True):
+                if tokens is None:
+                    continue
+                score, hit, counts = np.zeros(len(queries)), np.zeros(len(queries), bool), Counter(tokens.tolist())
+                for term in counts.keys() & by_term.keys():
+                    at, weight = by_term[term]
+                    score[at] += weight * part(counts[term], len(tokens))
+                    hit[at] = True
+                at = np.flatnonzero(hit)
+                if len(at):
+                    out.append(pd.DataFrame({"query_id": queries[at], "doc_id": [i] * len(at), "score": score[at] / (divisor(counts) if divisor else 1.0)}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
 
 
 def hybrid(semantic: DataFrame, lexical: DataFrame, k: int, config: Config = DEFAULT) -> DataFrame:
