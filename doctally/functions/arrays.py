@@ -33,3 +33,16 @@ def running(values: Column, combine, start: int) -> Column:
         return F.flatten(F.zip_with(parts, scan(whole, F.lit(start), False), lambda p, first: scan(p, first, True)))
 
     return let(values, lambda v: let(cut(v), joined))
+
+
+def at_most(values: Column, x: Column) -> Column:
+    """How many of the ascending values are at most x, by binary search."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = values[middle] <= x
+        done = acc["low"] >= acc["high"]
+        return F.struct(F.when(done | ~below, acc["low"]).otherwise(middle + 1).alias("low"), F.when(done | below, acc["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(values).alias("high")), halve, lambda acc: acc["low"])

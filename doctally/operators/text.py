@@ -23,10 +23,23 @@ def chunk_windows(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return starts.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("content"), F.size(part).cast("long").alias("token_count"))
 
 
-def with_pages(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks (doc_id, start_char, end_char) with the pages that they begin and end on; docs hold page_map: page to its first character."""
-    at = lambda c: F.array_max(F.transform(F.filter(F.map_entries("page_map"), lambda e: e["value"] <= F.col(c)), lambda e: e["key"]))
-    return chunks.join(docs.select("doc_id", "page_map"), "doc_id").withColumn("start_page", at("start_char")).withColumn("end_page", at("end_char")).drop("page_map")
+def chunk_pages(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Chunks as of chunk_windows with start_page and end_page; docs hold page_map: page to its first character. Null without pages.
+
+    A window's place is that of its words joined by blanks; its pages are found by binary search among the pages' first characters.
+    """
+    size, stride = config.chunk_words, config.chunk_words - config.chunk_overlap
+    worded = docs.select("doc_id", X.words(F.col("text")).alias("_w"), F.array_sort(F.map_entries("page_map")).alias("_m")).where(F.size("_w") > 0)
+    worded = worded.withColumn("_starts", F.sequence(F.lit(0), F.size("_w") - 1, F.lit(stride)))
+    letters = lambda at: F.aggregate(F.slice("_w", at + 1, stride), F.lit(0), lambda n, w: n + F.length(w))
+    worded = worded.withColumn("_letters", A.running(F.transform("_starts", letters), lambda a, b: a + b, 0))
+    rows = worded.select("doc_id", "_w", "_m", "_letters", F.posexplode("_starts").alias("_i", "_at"))
+    part = F.slice("_w", F.col("_at") + 1, size)
+    first = F.when(F.col("_i") > 0, F.col("_letters")[F.col("_i") - 1] + F.col("_at") - 1).otherwise(0)
+    rows = rows.select("doc_id", F.col("_i").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("content"), F.size(part).cast("long").alias("token_count"), first.alias("_first"), "_m")
+    page = lambda c: F.get(F.transform("_m", lambda e: e["key"]), A.at_most(F.transform("_m", lambda e: e["value"]), c) - 1)
+    both = {"start_page": page(F.col("_first")), "end_page": page(F.col("_first") + F.length("content"))}
+    return rows.withColumns(both).drop("_first", "_m")
 
 
 def sentences(docs: DataFrame) -> DataFrame:

@@ -112,6 +112,18 @@ def chunk_windows(spark, sf_dir):
     return T.chunk_windows(docs_of(spark, sf_dir)).select("doc_id", "chunk_index", F.sha2("content", 256).alias("digest"), "token_count")
 
 
+@query(
+    "chunk_pages",
+    f"""WITH d AS (SELECT doc_id, {WORDS('text')} AS w, length(text) AS n FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, n, i // 462 AS chunk_index, CASE WHEN i = 0 THEN 0 ELSE length(array_to_string(w[1:i], ' ')) END AS a, length(array_to_string(w[i + 1:i + 512], ' ')) AS k FROM d, unnest(range(0, len(w), 462)) t(i))
+    SELECT doc_id, chunk_index, CAST(least(a // 3000, n // 3000) + 1 AS INTEGER) AS start_page, CAST(least((a + k) // 3000, n // 3000) + 1 AS INTEGER) AS end_page FROM c""",
+)
+def chunk_pages(spark, sf_dir):
+    """Windows with their pages, where every page has 3000 characters."""
+    page = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 3000).cast("int")), lambda i: F.struct((i + 1).alias("key"), (i * 3000).alias("value"))))
+    return T.chunk_pages(docs_of(spark, sf_dir).where("text is not null").withColumn("page_map", page)).select("doc_id", "chunk_index", "start_page", "end_page")
+
+
 @query("embedding_version", "SELECT lang AS model, 64 AS dimension, left(sha256(lang || ':64'), 12) AS version, count(*) AS n_docs FROM documents GROUP BY lang")
 def embedding_version(spark, sf_dir):
     models = docs_of(spark, sf_dir).groupBy(F.col("lang").alias("model")).agg(F.count(F.lit(1)).alias("n_docs"))

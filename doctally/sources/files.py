@@ -1,4 +1,4 @@
-"""Document files as frames: plain text, Markdown, DOCX and, where a parser is installed, PDF.
+"""Document files as frames: plain text, Markdown, DOCX and PDF (whose pages are also a data source of their own, see pdf.py).
 
 Files are read as binary rows through Spark, so any store that Spark reads will do, and parsed in Arrow batches on the executors.
 """
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pdf import parse_pdf
+
 SCHEMA = "path string, file_type string, text string, page_count int, page_map map<int,int>, tables array<struct<caption:string,cells:array<array<string>>>>, error string"
 #: Extensions and MIME types of each kind of file.
 TYPES = {
@@ -46,17 +48,6 @@ def parse_docx(data: bytes) -> tuple[str, int, list]:
     return text, max(1, len(text) // PAGE), tables
 
 
-def parse_pdf(data: bytes) -> tuple[str, int, dict[int, int]]:
-    """Text, number of pages, and the first character of each page; needs the optional package pypdf."""
-    from pypdf import PdfReader
-
-    text, starts = "", {}
-    for number, page in enumerate(PdfReader(io.BytesIO(data)).pages, 1):
-        starts[number] = len(text)
-        text += (page.extract_text() or "") + "\n"
-    return text, len(starts), starts
-
-
 def parse(kind: str | None, data: bytes) -> dict:
     out = {"text": None, "page_count": None, "page_map": {}, "tables": [], "error": None}
     try:
@@ -65,7 +56,7 @@ def parse(kind: str | None, data: bytes) -> dict:
         elif kind == "docx":
             out |= dict(zip(("text", "page_count", "tables"), parse_docx(data), strict=True)) | {"page_map": {1: 0}}
         elif kind == "pdf":
-            out |= dict(zip(("text", "page_count", "page_map"), parse_pdf(data), strict=True))
+            out |= dict(zip(("text", "page_count", "page_map", "tables"), parse_pdf(data), strict=True))
         else:
             out["error"] = "unsupported file type"
     except Exception as problem:  # a broken file is a row with its error, not a failed job

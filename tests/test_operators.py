@@ -372,3 +372,22 @@ def test_stream_is_idempotent(spark, tmp_path):
     stream = windows.tumbling(windows.timed(spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(str(tmp_path / "ev")), "1 minute"), "1 hour")
     stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("counts").first()["n"] == 1
+
+
+def test_pages_of_chunks(spark):
+    """As found by going through the pages one by one."""
+    from doctally.config import Config
+
+    texts = {1: " ".join(f"w{i}" * (i % 4 + 1) for i in range(700)), 2: "one", 3: "", 4: None, 5: " a  b " * 90}
+    maps = {1: {1: 0, 2: 1000, 3: 1000, 4: 2500}, 2: {1: 0, 2: 3}, 3: {1: 0}, 4: {1: 0}, 5: {}}
+    docs = spark.createDataFrame([(i, t, maps[i]) for i, t in texts.items()], "doc_id long, text string, page_map map<int,int>")
+    found = {(r["doc_id"], r["chunk_index"]): (r["content"], r["start_page"], r["end_page"]) for r in T.chunk_pages(docs, Config(chunk_words=60, chunk_overlap=7)).collect()}
+    wanted = {}
+    for i, t in texts.items():
+        words = (t or "").split()
+        for n, at in enumerate(range(0, len(words), 53)):
+            content = " ".join(words[at : at + 60])
+            start = len(" ".join(words[:at]))
+            page = lambda c, pages=maps[i]: max((p for p, s in pages.items() if s <= c), default=None)
+            wanted[i, n] = (content, page(start), page(start + len(content)))
+    assert found == wanted
