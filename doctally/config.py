@@ -32,6 +32,7 @@ class Config:
     hybrid_weight: float = 0.6
     lineage_similarity: float = 0.85
     dependency: float = 0.15
+    dependency_similarity: float = 0.70
     impact_depth: int = 3
     half_life_days: float = 90.0
     table_cells: int = 400
@@ -39,4 +40,4 @@ class Config:
 
 DEFAULT = Config()
 #: Calibrated for the driver's 64-dimensional vectors, whose largest cosine between two rows is about 0.5.
-DRIVER_VECTORS = Config(shortlist_similarity=0.30, gate_similarity=0.40, dedup_similarity=0.40)
+DRIVER_VECTORS = Config(shortlist_similarity=0.30, gate_similarity=0.40, dedup_similarity=0.40, dependency_similarity=0.25)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.numbers import half_up
-from .vectors import stored
+from .vectors import DIGITS, _matrix, stored
 
 
 def contradiction_edges(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -101,17 +102,68 @@ def list_entities(entities: DataFrame, limit: int = 200) -> DataFrame:
     return entities.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
 
 
-def dependency_strength(overlaps: DataFrame, similar: DataFrame, citations: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_a, doc_b, strength: shared subjects 0.30, similarity above 0.7 scaled 0.25, citations 0.25 (mutual 1, one way 0.7), same department 0.20 x 0.5."""
-    dept = docs.select("document_id", "department")
+def chunk_similarity(chunks: DataFrame, least: float = DEFAULT.dependency_similarity, first: int = 5, block: int = 400) -> DataFrame:
+    """org_id, doc_a < doc_b, similarity, mean_similarity: the largest and the mean cosine between the first chunks (org_id, document_id, chunk_index, embedding) of two documents of one
+    organisation, where the largest is above `least`. Chunks without a vector are left out.
+
+    The documents of an organisation are dealt into blocks, as many as it needs; each two blocks meet in a task, which hands on its pairs that are near enough, not the cosines of chunks.
+    """
+    org, doc = (chunks.schema[c].dataType.simpleString() for c in ("org_id", "document_id"))
+    rank = F.row_number().over(Window.partitionBy("org_id", "document_id").orderBy("chunk_index"))
+    rows = chunks.where("embedding is not null and document_id is not null").withColumn("_n", rank).where(F.col("_n") <= first).select("org_id", "document_id", "_n", "embedding")
+    sizes = rows.groupBy("org_id").agg(F.ceil(F.count_if(F.col("_n") == 1) / block).cast("int").alias("_blocks"))
+    rows = rows.join(sizes, "org_id").withColumn("_own", F.pmod(F.xxhash64("document_id"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")}).drop("_other", "_blocks")
+    columns = ["org_id", "doc_a", "doc_b", "similarity", "mean_similarity"]
+
+    def side(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = rows.sort_values(["document_id", "_n"])
+        ids, starts, counts = np.unique(rows["document_id"].to_numpy(), return_index=True, return_counts=True)
+        return ids, starts, counts, _matrix(rows["embedding"])
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = rows["_low"].iloc[0], rows["_high"].iloc[0]
+        (a, a_at, a_n, m), (b, b_at, b_n, n) = side(rows[rows["_own"] == low]), side(rows[rows["_own"] == high])
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=columns)
+        cosine = m @ n.T
+        best = np.round(np.maximum.reduceat(np.maximum.reduceat(cosine, a_at, 0), b_at, 1), DIGITS)
+        mean = np.add.reduceat(np.add.reduceat(cosine, a_at, 0), b_at, 1) / np.outer(a_n, b_n)
+        i, j = np.nonzero((best > least) & ((a[:, None] < b[None, :]) if low == high else (a[:, None] != b[None, :])))
+        x, y = a[i], b[j]
+        return pd.DataFrame({"org_id": rows["org_id"].iloc[0], "doc_a": np.minimum(x, y), "doc_b": np.maximum(x, y), "similarity": best[i, j], "mean_similarity": np.round(mean[i, j], DIGITS)})
+
+    found = rows.groupBy("org_id", "_low", "_high").applyInPandas(meet, f"org_id {org}, doc_a {doc}, doc_b {doc}, similarity double, mean_similarity double")
+    return found.select(*columns)
+
+
+def dependencies(overlaps: DataFrame, similar: DataFrame, citations: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_a, doc_b, strength and evidence (an array of type, score and detail): shared subjects 0.30, similarity above a limit, scaled to 1, 0.25, citations 0.25 (mutual 1, one way 0.7), same department
+    0.20 x 0.5. Pairs of documents that are not in docs are left out. overlaps: shared, overlap; similar: similarity, mean_similarity; citations: directions."""
+    dept = docs.select("document_id", F.lower(F.trim("department")).alias("department"))
     rows = overlaps.join(similar, ["doc_a", "doc_b"], "full").join(citations, ["doc_a", "doc_b"], "full")
     for s in "ab":
-        rows = rows.join(dept.withColumnsRenamed({"document_id": f"doc_{s}", "department": f"dept_{s}"}), f"doc_{s}", "left")
-    near = F.when(F.col("similarity") > 0.7, (F.col("similarity") - 0.7) / 0.3).otherwise(0.0)
-    cited = F.when(F.col("directions") >= 2, 1.0).when(F.col("directions") == 1, 0.7).otherwise(0.0)
-    same = F.when((F.col("dept_a") != "") & (F.col("dept_a") == F.col("dept_b")), 0.5).otherwise(0.0)
-    value = 0.30 * F.coalesce("overlap", F.lit(0.0)) + 0.25 * near + 0.25 * cited + 0.20 * same
-    return rows.select("doc_a", "doc_b", half_up(value, 4).alias("strength"))
+        rows = rows.join(dept.withColumnsRenamed({"document_id": f"doc_{s}", "department": f"dept_{s}"}), f"doc_{s}")
+    limit = config.dependency_similarity
+    near = F.when(F.col("similarity") > limit, F.least(F.lit(1.0), (F.col("similarity") - limit) / (1 - limit)))
+    cited = F.when(F.col("directions") >= 2, 1.0).when(F.col("directions") == 1, 0.7)
+    same = F.when((F.col("dept_a") != "") & (F.col("dept_a") == F.col("dept_b")), 0.5)
+    share = F.when(F.col("shared") > 0, F.least(F.lit(1.0), F.col("overlap")))
+    signals = (
+        ("shared_entities", 0.30, share, F.concat(F.lit("count="), F.col("shared").cast("string"))),
+        ("semantic_similarity", 0.25, near, F.format_string("max=%.3f mean=%.3f", half_up(F.col("similarity"), 3), half_up(F.col("mean_similarity"), 3))),
+        ("explicit_citation", 0.25, cited, F.concat(F.lit("directions="), F.col("directions").cast("string"))),
+        ("same_department", 0.20, same, F.concat(F.lit("department="), F.col("dept_a"))),
+    )
+    value = sum((weight * F.coalesce(score, F.lit(0.0)) for _, weight, score, _ in signals), F.lit(0.0))
+    each = [F.when(score.isNotNull(), F.struct(F.lit(name).alias("type"), half_up(score, 3).alias("score"), detail.alias("detail"))) for name, _, score, detail in signals]
+    return rows.select("doc_a", "doc_b", half_up(value, 4).alias("strength"), F.filter(F.array(*each), lambda x: x.isNotNull()).alias("evidence"))
+
+
+def dependency_strength(overlaps: DataFrame, similar: DataFrame, citations: DataFrame, docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_a, doc_b, strength of dependencies()."""
+    return dependencies(overlaps, similar, citations, docs, config).drop("evidence")
 
 
 def dependency_graph(strength: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -121,26 +173,35 @@ def dependency_graph(strength: DataFrame, config: Config = DEFAULT) -> DataFrame
     return one.union(kept.select("doc_b", "doc_a", "strength"))
 
 
-def impact_trace(edges: DataFrame, start, config: Config = DEFAULT) -> DataFrame:
-    """node, depth, parent, impact of breadth-first search from a node: each node once, through the first parent in queue order, impact the product of weights.
+def impact_of_all(edges: DataFrame, starts: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """start, node, depth, parent, impact of breadth-first searches from all sources of edges (source, target, weight), or from those in starts (start), at once.
 
-    The queue's order is that of parents, then of targets. The frontier is joined with the edges once a level.
+    Each search visits a node once, through the first parent in queue order (that of parents, then of targets); impact is the product of weights. All frontiers are joined with the edges once a
+    level, and what a search has visited is a row for each (start, node); rows are as many as there are nodes within reach of each start.
     """
-    spark = edges.sparkSession
     kind = edges.schema["source"].dataType.simpleString()
-    edges = stored(edges)  # each level reads them
-    seen = spark.createDataFrame([(start, 0, None, 1.0, "")], f"node {kind}, depth int, parent {kind}, impact double, place string")
+    edges = stored(edges.where("source is not null and target is not null").select("source", "target", "weight"))  # each level reads them
+    starts = edges.select(F.col("source").alias("start")).distinct() if starts is None else starts.select(F.col("start").cast(kind).alias("start")).distinct()
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.lit(1.0).alias("impact"), F.lit("").alias("place"))
     frontier = seen
     for depth in range(1, config.impact_depth + 1):
-        steps = edges.join(frontier.withColumnRenamed("node", "source"), "source").join(seen.select(F.col("node").alias("target")), "target", "left_anti")
-        first = F.row_number().over(Window.partitionBy("target").orderBy("place", "source"))
+        steps = edges.join(frontier.select("start", F.col("node").alias("source"), "impact", "place"), "source")
+        steps = steps.join(seen.select("start", F.col("node").alias("target")), ["start", "target"], "left_anti")
+        first = F.row_number().over(Window.partitionBy("start", "target").orderBy("place", "source"))
         found = steps.withColumn("_r", first).where("_r = 1")
-        frontier = found.select(
-            F.col("target").alias("node"), F.lit(depth).alias("depth"), F.col("source").alias("parent"), (F.col("impact") * F.col("weight")).alias("impact"),
-            F.concat("place", F.lpad(F.col("target").cast("string"), 20, "0")).alias("place"),
+        frontier = stored(
+            found.select(
+                "start", F.col("target").alias("node"), F.lit(depth).alias("depth"), F.col("source").alias("parent"), (F.col("impact") * F.col("weight")).alias("impact"),
+                F.concat("place", F.lpad(F.col("target").cast("string"), 20, "0")).alias("place"),
+            )
         )
         seen = seen.unionByName(frontier)
-    return seen.where("depth > 0").select("node", "depth", "parent", F.round("impact", 4).alias("impact"))
+    return seen.where("depth > 0").select("start", "node", "depth", "parent", F.round("impact", 4).alias("impact"))
+
+
+def impact_trace(edges: DataFrame, start, config: Config = DEFAULT) -> DataFrame:
+    """node, depth, parent, impact of the search from one node."""
+    return impact_of_all(edges, edges.sparkSession.createDataFrame([(start,)], f"start {edges.schema['source'].dataType.simpleString()}"), config).drop("start")
 
 
 def upsert_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -149,6 +210,44 @@ def upsert_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return entities.unionByName(first.join(entities, ["org_id", "name"], "left_anti").select(*entities.columns))
 
 
+REPLY = {"entities": "array<struct<name:string,type:string>>", "relations": "array<struct<source:string,target:string,type:string,confidence:string>>"}
+
+
+def graph_replies(replies: DataFrame) -> DataFrame:
+    """replies (org_id, chunk_id, reply: a language model's) and entities, relations of its JSON object, in a code fence or bare; none if it can't be read."""
+    fenced = F.regexp_extract("reply", r"(?s)```(?:json)?\s*(.*?)(?:```|$)", 1)
+    body = F.trim(F.when(F.contains("reply", F.lit("```")), fenced).otherwise(F.col("reply")))
+    read = F.from_json(F.when(body.startswith("{") & F.try_parse_json(body).isNotNull(), body), ", ".join(f"{k} {v}" for k, v in REPLY.items()))
+    return replies.withColumn("_g", read).select("org_id", "chunk_id", *(F.coalesce(F.col(f"_g.{c}"), F.array().cast(kind)).alias(c) for c, kind in REPLY.items()))
+
+
+def merge_graph(replies: DataFrame, entities: DataFrame | None = None, relations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities (entity_id, org_id, name, kind, chunk_id) and relations (relation_id, org_id, source_id, target_id, kind, chunk_id, confidence) after the replies of a batch, beside those known so far.
+
+    Ids are digests of natural keys, so a batch that comes again changes nothing. A known entity keeps its kind; of new ones of a name the first chunk's counts. A relation counts if both its ends
+    are named, in the same reply, as entities, and differ.
+    """
+    read = stored(graph_replies(replies))
+    key = lambda *c: F.sha2(F.to_json(F.array(*(F.col(x).cast("string") for x in c))), 256)
+    named = read.select("org_id", "chunk_id", F.posexplode("entities").alias("_at", "_e")).select("org_id", "chunk_id", "_at", F.trim("_e.name").alias("name"), F.coalesce("_e.type", F.lit("OTHER")).alias("kind"))
+    named = named.where(F.length("name") > 0)
+    new = named.groupBy("org_id", "name").agg(F.min(F.struct("chunk_id", "_at", "kind")).alias("_f")).select(key("org_id", "name").alias("entity_id"), "org_id", "name", F.col("_f.kind").alias("kind"), F.col("_f.chunk_id").alias("chunk_id"))
+    if entities is not None:
+        new = entities.select(*new.columns).unionByName(new.join(entities.select("org_id", "name"), ["org_id", "name"], "left_anti"))
+    # ends are looked up within the row: a relation's ends must be named beside it
+    names = F.transform("entities", lambda e: F.trim(e["name"]))
+    links = read.select("org_id", "chunk_id", names.alias("_names"), F.explode("relations").alias("_r")).select(
+        "org_id", "chunk_id", "_names", F.trim("_r.source").alias("source"), F.trim("_r.target").alias("target"), F.coalesce("_r.type", F.lit("RELATED_TO")).alias("kind"),
+        F.coalesce("_r.confidence", F.lit("0.8")).try_cast("double").alias("confidence"),
+    )
+    links = links.where(F.array_contains("_names", F.col("source")) & F.array_contains("_names", F.col("target")) & (F.length("source") > 0) & (F.length("target") > 0) & (F.col("source") != F.col("target")) & F.col("confidence").isNotNull())
+    links = links.withColumns({"source_id": key("org_id", "source"), "target_id": key("org_id", "target")})
+    links = links.withColumn("relation_id", key("org_id", "source", "target", "kind", "chunk_id")).groupBy("relation_id", "org_id", "source_id", "target_id", "kind", "chunk_id").agg(F.max("confidence").alias("confidence"))
+    if relations is not None:
+        links = relations.select(*links.columns).unionByName(links.join(relations.select("relation_id"), "relation_id", "left_anti"))
+    return new, links
+
+
 def propagation(strength: DataFrame, docs: DataFrame, start, config: Config = DEFAULT) -> DataFrame:
     """What a change of one document reaches: the traced documents with title, department, depth, parent and impact, and how critical that is."""
     traced = impact_trace(dependency_graph(strength, config), start, config)

@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import pairs as P
 from ..operators import reports as R
 from ..operators import vectors as V
+from ..storage import stored
 from .model import ADAPTERS, adapted, with_model
 from .registry import query as _query
 from .registry import dealt, table
@@ -152,21 +153,42 @@ def incident_edges(spark, sf_dir):
 SHARED = """t AS (SELECT DISTINCT document_id, subject FROM m_claims), z AS (SELECT document_id, count(*) AS n FROM t GROUP BY 1),
     sh AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, count(*) AS shared FROM t a JOIN t b ON a.subject = b.subject AND a.document_id < b.document_id GROUP BY 1, 2),
     ov AS (SELECT doc_a, doc_b, shared, shared / least(p.n, q.n) AS overlap FROM sh JOIN z p ON p.document_id = doc_a JOIN z q ON q.document_id = doc_b)"""
-STRENGTH = f"""{SHARED}, sim AS (SELECT doc_a, doc_b, round(1 - abs(p.drift - q.drift) / 100, 4) AS similarity FROM ov JOIN m_docs p ON p.document_id = doc_a JOIN m_docs q ON q.document_id = doc_b),
-    cit AS (SELECT doc_a, doc_b, least(2, count(*)) AS directions FROM m_pairs WHERE is_evolution GROUP BY 1, 2),
-    strength AS (SELECT doc_a, doc_b, round((0.30::DOUBLE * coalesce(overlap, 0) + 0.25::DOUBLE * CASE WHEN similarity > 0.7 THEN (similarity - 0.7::DOUBLE) / 0.3::DOUBLE ELSE 0 END
-        + 0.25::DOUBLE * CASE WHEN directions >= 2 THEN 1.0::DOUBLE WHEN directions = 1 THEN 0.7::DOUBLE ELSE 0 END + 0.20::DOUBLE * CASE WHEN p.department <> '' AND p.department = q.department THEN 0.5::DOUBLE ELSE 0 END)::DECIMAL(18, 9), 4)::DOUBLE AS strength
+#: Vectors dealt out to the documents as their chunks, in order.
+_CHUNKS = "SELECT 1 + vec_id % n AS document_id, vec_id // n AS chunk_index, embedding FROM embeddings, (SELECT count(*) AS n FROM supplier)"
+SIMILAR = f"""ch AS (SELECT document_id, embedding::DOUBLE[] AS e FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS k FROM ({_CHUNKS})) WHERE k <= 5),
+    sm AS (SELECT a.document_id AS doc_a, b.document_id AS doc_b, round(max(list_cosine_similarity(a.e, b.e)), 6) AS similarity, round(avg(list_cosine_similarity(a.e, b.e)), 6) AS mean_similarity
+        FROM ch a JOIN ch b ON a.document_id < b.document_id GROUP BY 1, 2),
+    sim AS (SELECT * FROM sm WHERE similarity > 0.25)"""
+_NEAR = "CASE WHEN similarity > 0.25 THEN least(1.0::DOUBLE, (similarity - 0.25::DOUBLE) / 0.75::DOUBLE) END"
+_CITED = "CASE WHEN directions >= 2 THEN 1.0::DOUBLE WHEN directions = 1 THEN 0.7::DOUBLE END"
+_SAME = "CASE WHEN p.department <> '' AND p.department = q.department THEN 0.5::DOUBLE END"
+_THREE = "printf('%.3f', round(({})::DECIMAL(18, 9), 3)::DOUBLE)"
+STRENGTH = f"""{SHARED}, {SIMILAR}, cit AS (SELECT doc_a, doc_b, least(2, count(*)) AS directions FROM m_pairs WHERE is_evolution GROUP BY 1, 2),
+    strength AS MATERIALIZED (SELECT doc_a, doc_b, round((0.30::DOUBLE * coalesce(least(1, overlap), 0) + 0.25::DOUBLE * coalesce({_NEAR}, 0) + 0.25::DOUBLE * coalesce({_CITED}, 0) + 0.20::DOUBLE * coalesce({_SAME}, 0))::DECIMAL(18, 9), 4)::DOUBLE AS strength,
+        concat_ws('; ', 'shared_entities ' || {_THREE.format('least(1, overlap)')} || ' count=' || shared, 'semantic_similarity ' || {_THREE.format(_NEAR)} || ' ' || printf('max=%.3f mean=%.3f', round(similarity::DECIMAL(18, 9), 3)::DOUBLE, round(mean_similarity::DECIMAL(18, 9), 3)::DOUBLE),
+            'explicit_citation ' || {_THREE.format(_CITED)} || ' directions=' || directions, 'same_department ' || {_THREE.format(_SAME)} || ' department=' || p.department) AS evidence
         FROM ov FULL JOIN sim USING (doc_a, doc_b) FULL JOIN cit USING (doc_a, doc_b) JOIN m_docs p ON p.document_id = doc_a JOIN m_docs q ON q.document_id = doc_b)"""
 
 
-def strength_of(spark, sf_dir):
-    overlaps = G.shared_subjects(adapted(spark, sf_dir, "m_claims"))
-    drift = adapted(spark, sf_dir, "m_docs").select("document_id", "drift")
-    sides = [drift.withColumnsRenamed({"document_id": f"doc_{s}", "drift": f"_{s}"}) for s in "ab"]
-    # documents are alike in so far as their scores are, and one that another replaces is cited by it
-    similar = overlaps.join(sides[0], "doc_a").join(sides[1], "doc_b").select("doc_a", "doc_b", F.round(1 - F.abs(F.col("_a") - F.col("_b")) / 100, 4).alias("similarity"))
+def chunk_vectors(spark, sf_dir):
+    n = table(spark, sf_dir, "supplier").count()
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.lit(0).alias("org_id"), (1 + F.col("vec_id") % n).alias("document_id"), F.floor(F.col("vec_id") / n).alias("chunk_index"), "embedding")
+
+
+def similar_of(spark, sf_dir):
+    return G.chunk_similarity(chunk_vectors(spark, sf_dir), DRIVER_VECTORS.dependency_similarity).drop("org_id")
+
+
+def dependencies_of(spark, sf_dir):
+    overlaps = stored(G.shared_subjects(stored(adapted(spark, sf_dir, "m_claims"))))
+    # one that another replaces is cited by it
     cited = adapted(spark, sf_dir, "m_pairs").where("is_evolution").groupBy("doc_a", "doc_b").agg(F.least(F.lit(2), F.count(F.lit(1))).alias("directions"))
-    return G.dependency_strength(overlaps, similar, cited, adapted(spark, sf_dir, "m_docs"))
+    return G.dependencies(overlaps, similar_of(spark, sf_dir), cited, adapted(spark, sf_dir, "m_docs"), DRIVER_VECTORS)
+
+
+def strength_of(spark, sf_dir):
+    return dependencies_of(spark, sf_dir).drop("evidence")
 
 
 @query("shared_entities", f"WITH {SHARED} SELECT doc_a, doc_b, shared, round(overlap, 6) AS overlap FROM ov")
@@ -174,29 +196,51 @@ def shared_entities(spark, sf_dir):
     return G.shared_subjects(adapted(spark, sf_dir, "m_claims")).withColumn("overlap", F.round("overlap", 6))
 
 
-@query("dependency_strength", f"WITH {STRENGTH} SELECT * FROM strength")
+@query("chunk_similarity", f"WITH {SIMILAR} SELECT * FROM sim")
+def chunk_similarity(spark, sf_dir):
+    return similar_of(spark, sf_dir)
+
+
+@query("dependency_strength", f"WITH {STRENGTH} SELECT doc_a, doc_b, strength FROM strength")
 def dependency_strength(spark, sf_dir):
     return strength_of(spark, sf_dir)
 
 
-@query("dependency_graph", f"WITH {STRENGTH} SELECT doc_a AS source, doc_b AS target, strength AS weight FROM strength WHERE strength >= 0.15 UNION ALL SELECT doc_b, doc_a, strength FROM strength WHERE strength >= 0.15")
+@query("dependency_evidence", f"WITH {STRENGTH} SELECT doc_a, doc_b, strength, evidence FROM strength")
+def dependency_evidence(spark, sf_dir):
+    """Each pair's signals, written out."""
+    line = lambda x: F.concat_ws(" ", x["type"], F.format_string("%.3f", x["score"]), x["detail"])
+    return dependencies_of(spark, sf_dir).withColumn("evidence", F.array_join(F.transform("evidence", line), "; "))
+
+
+DEPENDS = f"{STRENGTH}, g AS MATERIALIZED (SELECT doc_a AS source, doc_b AS target, strength AS weight FROM strength WHERE strength >= 0.15 UNION ALL SELECT doc_b, doc_a, strength FROM strength WHERE strength >= 0.15)"
+
+
+@query("dependency_graph", f"WITH {DEPENDS} SELECT * FROM g")
 def dependency_graph(spark, sf_dir):
     return G.dependency_graph(strength_of(spark, sf_dir))
 
 
-TRACE = """g AS (SELECT n_nationkey AS source, unnest([(n_nationkey * 3 + 1) % 25, (n_nationkey + 5) % 25]) AS target, 0.5 + n_nationkey % 5 / 10.0::DOUBLE AS weight FROM nation),
-    l1 AS (SELECT target AS node, 1 AS depth, 0 AS parent, weight AS impact, lpad(target::VARCHAR, 20, '0') AS place FROM g WHERE source = 0 AND target <> 0),
-    l2 AS (SELECT * FROM (SELECT target AS node, 2 AS depth, source AS parent, impact * weight AS impact, place || lpad(target::VARCHAR, 20, '0') AS place, row_number() OVER (PARTITION BY target ORDER BY place, source) AS r
-        FROM g JOIN l1 ON node = source WHERE target <> 0 AND target NOT IN (SELECT node FROM l1)) WHERE r = 1),
-    l3 AS (SELECT * FROM (SELECT target AS node, 3 AS depth, source AS parent, impact * weight AS impact, row_number() OVER (PARTITION BY target ORDER BY place, source) AS r
-        FROM g JOIN l2 ON node = source WHERE target <> 0 AND target NOT IN (SELECT node FROM l1) AND target NOT IN (SELECT node FROM l2)) WHERE r = 1)"""
+def _level(depth: int, before: list[str]) -> str:
+    """One level of the searches from all starts: what earlier levels visited is left out, and the first parent in queue order counts."""
+    visited = " ".join(f"AND NOT EXISTS (SELECT 1 FROM {x} v WHERE v.start = f.start AND v.node = g.target)" for x in before)
+    return f"""l{depth} AS MATERIALIZED (SELECT * FROM (SELECT f.start, target AS node, {depth} AS depth, source AS parent, impact * weight AS impact, place || lpad(target::VARCHAR, 20, '0') AS place,
+        row_number() OVER (PARTITION BY f.start, target ORDER BY place, source) AS r FROM g JOIN {before[-1]} f ON f.node = g.source WHERE true {visited}) WHERE r = 1)"""
+
 
+TRACE = f"""{DEPENDS}, l0 AS (SELECT DISTINCT source AS start, source AS node, 1.0::DOUBLE AS impact, '' AS place FROM g), {_level(1, ['l0'])}, {_level(2, ['l0', 'l1'])}, {_level(3, ['l0', 'l1', 'l2'])},
+    traced AS (SELECT start, node, depth, parent, round(impact, 4) AS impact FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3))"""
 
-@query("impact_trace", f"WITH {TRACE} SELECT node, depth, parent, round(impact, 4) AS impact FROM l1 UNION ALL SELECT node, depth, parent, round(impact, 4) FROM l2 UNION ALL SELECT node, depth, parent, round(impact, 4) FROM l3")
+
+@query("impact_of_all", f"WITH {TRACE} SELECT * FROM traced")
+def impact_of_all(spark, sf_dir):
+    return G.impact_of_all(G.dependency_graph(strength_of(spark, sf_dir)))
+
+
+@query("impact_trace", f"WITH {TRACE} SELECT node, depth, parent, impact FROM traced WHERE start = (SELECT min(source) FROM g)")
 def impact_trace(spark, sf_dir):
-    n = F.col("n_nationkey")
-    edges = table(spark, sf_dir, "nation").select(n.alias("source"), F.explode(F.array((n * 3 + 1) % 25, (n + 5) % 25)).alias("target"), (0.5 + n % 5 / 10.0).alias("weight"))
-    return G.impact_trace(edges, 0)
+    edges = stored(G.dependency_graph(strength_of(spark, sf_dir)))
+    return G.impact_trace(edges, edges.agg(F.min("source")).first()[0])
 
 
 @query("citation_edges", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE length(b.text) > 5")
@@ -908,7 +952,38 @@ def lazy_explanations(spark, sf_dir):
     return S.explained(pairs).select("claim_a", "claim_b", "explanation")
 
 
-@query("propagation")
+@query(
+    "propagation",
+    f"""WITH {TRACE} SELECT node, depth, parent, impact, title, department, CASE WHEN impact >= 0.5 THEN 'high' WHEN impact >= 0.2 THEN 'medium' ELSE 'low' END AS level
+    FROM traced LEFT JOIN m_docs ON document_id = node WHERE start = (SELECT min(document_id) FROM m_docs)""",
+)
 def propagation(spark, sf_dir):
     docs = adapted(spark, sf_dir, "m_docs")
     return G.propagation(strength_of(spark, sf_dir), docs, docs.agg(F.min("document_id")).first()[0])
+
+
+#: A language model's reply for each line of an order: fenced or bare, with a relation to a name that is no entity, and some that can't be read.
+_REPLY = """CASE WHEN l_orderkey % 11 = 0 THEN 'I found nothing.' ELSE concat(CASE WHEN l_linenumber % 2 = 0 THEN 'Here it is: ```json ' ELSE '' END,
+    '{"entities": [{"name": " Supplier ', l_suppkey, '", "type": "ORGANIZATION"}, {"name": "Part ', l_partkey % 200, '"}, {"name": "  "}], "relations": [{"source": "Supplier ', l_suppkey, '", "target": "Part ', l_partkey % 200, '", "type": "SUPPLIES", "confidence": 0.', l_linenumber,
+    '}, {"source": "Supplier ', l_suppkey, '", "target": "Nobody"}, {"source": "Part ', l_partkey % 200, '", "target": "Part ', l_partkey % 200, '"}]}', CASE WHEN l_linenumber % 2 = 0 THEN ' ``` Done.' ELSE '' END) END AS reply"""
+_NAMED = "r AS (SELECT l_suppkey % 5 AS org_id, l_orderkey * 10 + l_linenumber AS chunk_id, 'Supplier ' || l_suppkey AS s, 'Part ' || l_partkey % 200 AS p, l_linenumber AS n FROM lineitem WHERE l_orderkey % 11 <> 0)"
+_ENTITY = """sha256('["' || {org} || '","' || {name} || '"]')"""
+
+
+def _merged(spark, sf_dir):
+    replies = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey % 5 AS org_id", "l_orderkey * 10 + l_linenumber AS chunk_id", _REPLY)
+    first = [stored(x) for x in G.merge_graph(replies.where("chunk_id % 3 = 0"))]
+    return G.merge_graph(replies, *first)  # a third of the replies comes twice
+
+
+@query("entity_graph", f"WITH {_NAMED} SELECT {_ENTITY.format(org='org_id', name='name')} AS entity_id, org_id, name, kind FROM (SELECT DISTINCT org_id, s AS name, 'ORGANIZATION' AS kind FROM r UNION SELECT DISTINCT org_id, p, 'OTHER' FROM r)")
+def entity_graph(spark, sf_dir):
+    return _merged(spark, sf_dir)[0].drop("chunk_id")
+
+
+@query(
+    "relation_graph",
+    f"WITH {_NAMED} SELECT DISTINCT org_id, {_ENTITY.format(org='org_id', name='s')} AS source_id, {_ENTITY.format(org='org_id', name='p')} AS target_id, 'SUPPLIES' AS kind, chunk_id, n / 10.0::DOUBLE AS confidence FROM r",
+)
+def relation_graph(spark, sf_dir):
+    return _merged(spark, sf_dir)[1].drop("relation_id")
