@@ -88,12 +88,12 @@ def without_noise(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(F.col(text).isNotNull()).select("*", F.explode(F.array(noise)).alias("_noise")).where("not _noise").drop("_noise")
 
 
-def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config = DEFAULT, rule=rule_label, write=None) -> DataFrame:
+def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config = DEFAULT, rule=rule_label, write=None, within: str | None = None) -> DataFrame:
     """Contradicting pairs of claims of different documents; if new claims are given, pairs that one of them takes part in.
 
     claims: document_id, claim_id, content, and if known modality, importance_weight, ord and embedding (else hashed words). Seeds are compared with the
     nearest claims of other documents above the gate (and a sample below it; above vector_index.SMALL claims by an index, which leaves out cells that are too far), noise dropped, the dynamic cut, classification both ways, modalities, bands,
-    and shared salient terms.
+    and shared salient terms. within: a column (an organisation, say) that both claims of a pair must share.
     """
 
     def filled(rows: DataFrame) -> DataFrame:
@@ -103,9 +103,13 @@ def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config
         return rows if "embedding" in rows.columns else V.hash_embed(rows, "content")
 
     stored = filled(claims)
-    chosen = seeds(stored if new is None else filled(new), config).select(F.col("claim_id").alias("query_id"), "document_id", "embedding")
+    chosen = seeds(stored if new is None else filled(new), config).select(F.col("claim_id").alias("query_id"), "document_id", "embedding", *([within] if within else []))
     least = -1.0 if config.gate_sample > 0 else config.gate_similarity
-    found = nearest_indexed(chosen, stored.withColumnRenamed("claim_id", "vec_id"), config.retrieve_k, least, skip_self=True, apart="document_id")
+    there = stored.withColumnRenamed("claim_id", "vec_id")
+    if within:
+        found = V.nearest_within(chosen, there, within, config.retrieve_k, least, skip_self=True, apart="document_id").drop(within)
+    else:
+        found = nearest_indexed(chosen, there, config.retrieve_k, least, skip_self=True, apart="document_id")
     found = P.similarity_gate(found.withColumnsRenamed({"query_id": "a_id", "vec_id": "b_id"}).drop("rank"), config)
     for s in "ab":
         side = stored if new is None or s == "b" else filled(new)

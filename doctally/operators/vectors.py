@@ -90,6 +90,36 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, least: float = -1.0,
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def nearest_within(queries: DataFrame, stored: DataFrame, within: str, k: int, least: float = -1.0, skip_self: bool = False, apart: str | None = None, block: int = BLOCK) -> DataFrame:
+    """As nearest, among the stored vectors that share the column `within` (an organisation, say) with the query; the result has it too.
+
+    Queries and vectors of each value are dealt into as many blocks as they need, and two blocks of one value meet in a task: values never meet, and a value with a third of all vectors is many tasks.
+    """
+    kinds = [f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((queries, within), (queries, "query_id"), (stored, "vec_id"))]
+    group = (F.col(apart) if apart else F.lit(0)).alias("_group")
+    asked, there = queries.select(within, "query_id", group, "embedding"), stored.select(within, "vec_id", group, "embedding")
+    blocks = lambda rows, name: rows.groupBy(within).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = blocks(asked, "_m").join(blocks(there, "_n"), within)
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, within).withColumn("_i", spread("query_id", "_m")).withColumn("_j", every("_n"))
+    right = there.join(sizes, within).withColumn("_j", spread("vec_id", "_n")).withColumn("_i", every("_m"))
+    # fresh columns: both sides may come from one frame
+    left, right = (t.select(*(F.col(c).alias(c) for c in (within, "_i", "_j", c, "_group", "embedding"))) for t, c in ((left, "query_id"), (right, "vec_id")))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({within: [], "query_id": [], "vec_id": [], "similarity": []})
+        side = (a["query_id"].to_numpy(), a["_group"].to_numpy(), _matrix(a["embedding"]))
+        found = _best(side, b["vec_id"].to_numpy(), b["_group"].to_numpy() if apart else None, _matrix(b["embedding"]), k, least, skip_self)
+        found.insert(0, within, a[within].iloc[0])
+        return found
+
+    found = left.groupBy(within, "_i", "_j").cogroup(right.groupBy(within, "_i", "_j")).applyInPandas(meet, f"{', '.join(kinds)}, similarity double")
+    rank = F.row_number().over(Window.partitionBy(within, "query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def partner_ranks(queries: DataFrame, stored: DataFrame, block: int = BLOCK) -> DataFrame:
     """query_id, rank: where each query's partner (query_id, embedding, partner_id) comes among all stored vectors; a partner that isn't stored has no rank.
 
