@@ -16,18 +16,20 @@ from ..operators import scan as S
 from ..operators import text as T
 from ..operators import vectors as V
 from ..sources import files
+from ..storage import exists, stored
 
 DOCUMENTS = "doc_id string, path string, text string"
 CLAIMS = "document_id string, claim_id string, content string, embedding array<double>"
+PAIR = ("a_id", "b_id", "doc_a", "doc_b", "similarity", "label", "score", "band", "explanation")
+#: Batches of reconciliation are numbered from here on.
+LATER = 1 << 20
 TOPICS = "topic_id int, center array<double>, weight double"
 #: Gates that fit hashed words, whose cosines are lower than those of a trained encoder.
 INGEST = Config(gate_similarity=0.4, gate_sample=0.0)
 
 
 def _stored(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, batch int").option("basePath", folder).parquet(folder)
     return rows.where(F.col("batch") < before).drop("batch")
@@ -50,7 +52,7 @@ def ingest(batch: DataFrame, number: int, store: str, config: Config = INGEST) -
     added = spark.read.schema(CLAIMS).parquet(f"{store}/claims/batch={number}")
     everything = added.unionByName(_stored(spark, f"{store}/claims", CLAIMS, number))
     found = S.claim_pairs(everything, new=added, config=config)
-    _put(found.select("a_id", "b_id", "doc_a", "doc_b", "similarity", "label", "score", "band", "explanation"), store, "pairs", number)
+    _put(found.select(*PAIR), store, "pairs", number)
     _put(new.select("doc_id"), store, "scanned", number)
     update_topics(added, number, store)
 
@@ -69,12 +71,23 @@ def update_topics(claims: DataFrame, number: int, store: str, topics: int = 20)
 
 
 def reconcile(spark: SparkSession, store: str, most: int = 200, config: Config = INGEST) -> DataFrame:
-    """Pairs of the first `most` documents whose scan was lost: stored, but not in the ledger. To be run now and then, beside the stream."""
+    """Pairs of the first `most` documents whose scan was lost: stored, but not in the ledger. They are written with their documents' place in the ledger, so that the next call goes on behind them.
+
+    To be run now and then, beside the stream; its batches are numbered from LATER on.
+    """
     every = 1 << 30
     documents, scanned = _stored(spark, f"{store}/documents", DOCUMENTS, every), _stored(spark, f"{store}/scanned", "doc_id string", every)
     claims = _stored(spark, f"{store}/claims", CLAIMS, every)
-    missed = documents.select("doc_id").join(scanned, "doc_id", "left_anti").orderBy("doc_id").limit(most).withColumnRenamed("doc_id", "document_id")
-    return S.claim_pairs(claims, new=claims.join(missed, "document_id", "left_semi"), config=config)
+    missed = stored(documents.select("doc_id").join(scanned, "doc_id", "left_anti").orderBy("doc_id").limit(most))
+    found = stored(S.claim_pairs(claims, new=claims.join(missed.withColumnRenamed("doc_id", "document_id"), "document_id", "left_semi"), config=config).select(*PAIR))
+    if missed.take(1):
+        number = LATER
+        while exists(spark, f"{store}/scanned/batch={number}"):
+            number += 1
+        known = _stored(spark, f"{store}/pairs", "a_id string, b_id string", every)
+        _put(found.join(known, ["a_id", "b_id"], "left_anti").select(*PAIR), store, "pairs", number)
+        _put(missed, store, "scanned", number)
+    return found
 
 
 def watch(spark: SparkSession, folder: str, store: str, **trigger) -> StreamingQuery:

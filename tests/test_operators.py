@@ -367,7 +367,10 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/pairs")).count() == 3 and ingest.reconcile(spark, str(tmp_path / "store")).count() == 0
     last = spark.read.parquet(str(tmp_path / "store/scanned")).agg(F.max("batch")).first()[0]
     shutil.rmtree(tmp_path / f"store/scanned/batch={last}")
+    before = spark.read.parquet(str(tmp_path / "store/pairs")).count()
     assert ingest.reconcile(spark, str(tmp_path / "store")).count() == 2
+    # it is noted, and pairs that were there already stay as they are
+    assert ingest.reconcile(spark, str(tmp_path / "store")).count() == 0 and spark.read.parquet(str(tmp_path / "store/pairs")).count() == before
     spark.range(1).selectExpr("timestamp_ntz'2024-01-01 00:00:30' as ts", "'a' as event_type", "1.0 as value").write.parquet(str(tmp_path / "ev"))
     stream = windows.tumbling(windows.timed(spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(str(tmp_path / "ev")), "1 minute"), "1 hour")
     stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
