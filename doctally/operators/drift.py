@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -63,13 +64,14 @@ def topic_drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return moved.join(F.broadcast(stats)).select("topic_id", F.round("movement", 6).alias("movement"), kind.alias("kind"), F.round(drift, 6).alias("drift"))
 
 
-def _centers(centers: DataFrame) -> tuple[list, np.ndarray]:
-    """Topic ids in order and their centers, on the driver: a few of them, which is checked."""
-    rows = centers.select("topic_id", "center").limit(MAX_CENTERS + 1).collect()
-    if len(rows) > MAX_CENTERS:
-        raise ValueError(f"more than {MAX_CENTERS} centers")
-    rows.sort(key=lambda r: r["topic_id"])
-    return [r["topic_id"] for r in rows], np.array([r["center"] for r in rows], float).reshape(len(rows), -1)
+def _centers(centers: DataFrame) -> list[tuple[list, np.ndarray]]:
+    """Topic ids in order and their centers, at most about MAX_CENTERS at once: each part is a pass over the points."""
+    parts = max(1, -(-centers.count() // MAX_CENTERS))
+    out = []
+    for k in range(parts):
+        rows = sorted(centers.select("topic_id", "center").where(F.pmod(F.xxhash64("topic_id"), F.lit(parts)) == k).collect(), key=lambda r: r["topic_id"])
+        out.append(([r["topic_id"] for r in rows], np.array([r["center"] for r in rows], float).reshape(len(rows), -1)))
+    return out
 
 
 def _distances(shared, batch: pd.DataFrame) -> np.ndarray:
@@ -79,26 +81,38 @@ def _distances(shared, batch: pd.DataFrame) -> np.ndarray:
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, topic_id, distance: the nearest of at most MAX_CENTERS centers, found where a point is read; ties go to the smaller topic."""
+    """keys, topic_id, distance: the nearest center, found where a point is read; ties go to the smaller topic. More than MAX_CENTERS centers take further passes, whose best is taken by keys."""
     kind = centers.schema["topic_id"].dataType.simpleString()
-    shared = points.sparkSession.sparkContext.broadcast(_centers(centers))
     schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = np.array(shared.value[0])
-        for batch in batches:
-            if len(batch) and len(ids):
-                d = _distances(shared, batch)
-                best = d.argmin(1)
-                yield batch[keys].assign(topic_id=ids[best], distance=d[np.arange(len(d)), best])
-
-    return points.select(*keys, "embedding").mapInPandas(run, f"{schema}, topic_id {kind}, distance double")
+    found, parts = None, _centers(centers)
+    for part in parts:
+        shared = points.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids = np.array(shared.value[0])
+            for batch in batches:
+                if len(batch) and len(ids):
+                    d = _distances(shared, batch)
+                    best = d.argmin(1)
+                    yield batch[keys].assign(topic_id=ids[best], distance=d[np.arange(len(d)), best])
+
+        rows = points.select(*keys, "embedding").mapInPandas(run, f"{schema}, topic_id {kind}, distance double")
+        found = rows if found is None else found.unionByName(rows)
+    if len(parts) == 1:
+        return found
+    best = found.groupBy(*keys).agg(F.min(F.struct("distance", "topic_id")).alias("_b"))
+    return best.select(*keys, "_b.topic_id", "_b.distance")
 
 
 def topic_labels(points: DataFrame, centers: DataFrame) -> DataFrame:
     """topic_id and the text (80 characters) nearest to its center, of points (vec_id, text, embedding); a batch hands on one candidate a topic."""
     kind, vec = centers.schema["topic_id"].dataType.simpleString(), points.schema["vec_id"].dataType.simpleString()
-    shared = points.sparkSession.sparkContext.broadcast(_centers(centers))
+    parts = [_topic_labels(points, part, kind, vec) for part in _centers(centers)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _topic_labels(points: DataFrame, part: tuple, kind: str, vec: str) -> DataFrame:
+    shared = points.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

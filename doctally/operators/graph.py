@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.numbers import half_up
+from ..holder import once
 from .vectors import DIGITS, _matrix, stored
 
 
@@ -56,39 +58,44 @@ def shared_subjects(claims: DataFrame) -> DataFrame:
     return both.select("doc_a", "doc_b", "shared", (F.col("shared") / F.least("n_a", "n_b")).alias("overlap"))
 
 
-def title_mentions(docs: DataFrame, titles: DataFrame, block: int = 50_000) -> DataFrame:
+def title_mentions(docs: DataFrame, titles: DataFrame, block: int = 8 << 20) -> DataFrame:
     """item_id, doc_id where a document (doc_id, text) holds a title (item_id, title) of more than five characters anywhere, whatever their case.
 
-    Titles are sent to the executors in blocks of so many and searched for all at once, in time that grows with the text; a longer list takes more passes.
+    Titles are sent to the executors in blocks of some `block` bytes and searched for all at once, in time that grows with the text, by an automaton that a worker builds once; more of them take more
+    passes. Equal titles are searched for once.
     """
     wanted = titles.where(F.length("title") > 5).select("item_id", F.lower("title").alias("title"))
     kinds = titles.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
     schema = f"item_id {kinds[0]}, doc_id {kinds[1]}"
-    context, parts = docs.sparkSession.sparkContext, -(-wanted.count() // block)
-    found = docs.sparkSession.createDataFrame([], schema)
+    context = docs.sparkSession.sparkContext
+    distinct = stored(wanted.select("title").distinct())
+    parts = -(-(distinct.agg(F.sum(F.octet_length("title") + 50)).first()[0] or 0) // block)
+    found = docs.sparkSession.createDataFrame([], f"title string, doc_id {kinds[1]}")
     for k in range(parts):
-        rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()
-        by_title: dict[str, list] = {}
-        for r in rows:
-            by_title.setdefault(r["title"], []).append(r["item_id"])
-        shared = context.broadcast(by_title)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            from ahocorasick import Automaton
-
-            automaton = Automaton()
-            for title, ids in shared.value.items():
-                automaton.add_word(title, ids)
-            automaton.make_automaton()
+        rows = [r["title"] for r in distinct.where(F.pmod(F.xxhash64("title"), F.lit(parts)) == k).collect()]
+        shared, name = context.broadcast(rows), uuid.uuid4().hex
+
+        def search(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            automaton = once(("titles", name), lambda: _automaton(shared.value))
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    out += [(i, doc_id) for i in {i for _, ids in automaton.iter(text or "") for i in ids}]
-                yield pd.DataFrame(out, columns=["item_id", "doc_id"])
+                    out += [(t, doc_id) for t in {t for _, t in automaton.iter(text or "")}]
+                yield pd.DataFrame(out, columns=["title", "doc_id"])
 
         if rows:
-            found = found.unionByName(docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(search, schema))
-    return found
+            found = found.unionByName(docs.select("doc_id", F.lower("text").alias("text")).mapInPandas(search, f"title string, doc_id {kinds[1]}"))
+    return found.join(wanted, "title").select(*(c.split(" ")[0] for c in schema.split(", ")))
+
+
+def _automaton(titles: list[str]):
+    from ahocorasick import Automaton
+
+    out = Automaton()
+    for title in titles:
+        out.add_word(title, title)
+    out.make_automaton()
+    return out
 
 
 def total_weight(edges: DataFrame) -> DataFrame:

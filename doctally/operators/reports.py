@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import parse_time
+
 #: Reviews that take a pair out of the count.
 DISMISSED = ("REJECTED", "FALSE_POSITIVE", "INTENTIONAL_DIVERGENCE")
 REVIEWS = ("PENDING", "CONFIRMED", "REJECTED", "FALSE_POSITIVE", "INTENTIONAL_DIVERGENCE")
@@ -139,6 +141,30 @@ def apply_updates(rows: DataFrame, updates: DataFrame, key: str, columns: list[s
     return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else c for c in rows.columns))
 
 
+#: Columns of a document that its governance metadata holds, and the levels of authority.
+METADATA = ("authority_level", "owner_department", "document_type", "effective_from", "effective_until", "version_number")
+AUTHORITY = (1, 5)
+
+
+def update_metadata(docs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (org_id, document_id, deleted and the columns of METADATA) after updates (org_id, document_id and some of these, null: as it is), and the updates that were refused, with a reason.
+
+    An update is refused as a whole if its level is not from 1 to 5, or if its organisation has no such live document. Dates are read leniently; of several updates of a document the last by ord counts.
+    """
+    columns = [c for c in METADATA if c in updates.columns]
+    last = F.row_number().over(Window.partitionBy("org_id", "document_id").orderBy(F.desc("ord")))
+    live_ids = docs.where(~F.col("deleted")).select("org_id", "document_id", F.lit(True).alias("_known"))
+    rows = updates.join(live_ids, ["org_id", "document_id"], "left")
+    wrong = ~F.col("authority_level").between(*AUTHORITY) if "authority_level" in columns else F.lit(False)
+    reason = F.when(F.col("_known").isNull(), "document not found").when(F.coalesce(wrong, F.lit(False)), f"authority_level must be {AUTHORITY[0]}-{AUTHORITY[1]}")
+    rows = rows.withColumn("reason", reason).drop("_known")
+    good = rows.where("reason is null").withColumn("_n", last).where("_n = 1").select("org_id", "document_id", *(F.col(c).alias(f"_{c}") for c in columns))
+    changed = docs.join(good, ["org_id", "document_id"], "left")
+    read = lambda c: parse_time(F.col(f"_{c}")) if c.startswith("effective") and dict(updates.dtypes)[c] == "string" else F.col(f"_{c}")
+    changed = changed.withColumns({c: F.coalesce(read(c).cast(docs.schema[c].dataType), F.col(c)) for c in columns})
+    return changed.select(*docs.columns), rows.where("reason is not null").select("org_id", "document_id", "ord", "reason")
+
+
 def submit_reviews(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """pairs with review_status, reviewed_by, reviewed_at and review_reason of verdicts (pair_id and these); one with a status that isn't allowed changes nothing."""
     columns = ["review_status", "reviewed_by", "reviewed_at", "review_reason"]

@@ -10,11 +10,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as X
+from ..storage import stored
 from . import pairs as P
 from . import text as T
 from . import vectors as V
@@ -38,14 +39,34 @@ def rule_label(a: str, b: str) -> tuple[str, float]:
     return ("entailment", shared) if shared >= 0.95 else ("neutral", 1 - shared)
 
 
-def classify(pairs: DataFrame, rule=rule_label, texts: tuple[str, str] = ("a", "b"), prefix: str = "") -> DataFrame:
-    """pairs (a, b: texts) and label, score by a user's rule of two texts, in Arrow batches."""
+def rule_columns(a: Column, b: Column) -> tuple[Column, Column]:
+    """The label and score of rule_label as expressions."""
+    words = [F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"(\p{L}{3,})"))) for x in (a, b)]
+    numbers = [F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(\d+(?:\.\d+)?)"))) for x in (a, b)]
+    negated = [F.coalesce(x, F.lit("")).rlike(f"(?i){_NEGATION.pattern}") for x in (a, b)]
+    least = F.least(*map(F.size, words))
+    shared = F.size(F.array_intersect(*words)) / F.greatest(least, F.lit(1))
+    same = F.size(F.array_intersect(*numbers))
+    differ = (F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0) & ((same < F.size(numbers[0])) | (same < F.size(numbers[1])))
+    against = ((negated[0] != negated[1]) | differ) & (shared >= 0.5)
+    label = F.when(least == 0, "neutral").when(against, "contradiction").when(shared >= 0.95, "entailment").otherwise("neutral")
+    return label, F.when(least == 0, 0.0).when(against, 0.6 + 0.4 * shared).when(shared >= 0.95, shared).otherwise(1 - shared)
+
+
+def classify(pairs: DataFrame, rule=None, texts: tuple[str, str] = ("a", "b"), prefix: str = "") -> DataFrame:
+    """pairs (a, b: texts) and label, score: of rule_label, as expressions, or of a user's rule of two texts (a model, say), in Arrow batches."""
+    if rule is None:
+        label, score = rule_columns(*map(F.col, texts))
+        # one-element arrays: a condition on the label must not be rewritten into the expression, which would then be computed again and again
+        made = F.explode(F.array(F.struct(label.alias("label"), score.alias("score"))))
+    else:
 
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rule(x, y) for x, y in zip(a, b, strict=True)], columns=["label", "score"])
+        def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([rule(x, y) for x, y in zip(a, b, strict=True)], columns=["label", "score"])
 
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
-    return pairs.withColumn("_n", F.pandas_udf(run, "label string, score double")(*texts)).select(*pairs.columns, *(F.col(f"_n.{c}").alias(f"{prefix}{c}") for c in ("label", "score")))
+        run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
+        made = F.pandas_udf(run, "label string, score double")(*texts)
+    return pairs.select("*", made.alias("_n")).select(*pairs.columns, *(F.col(f"_n.{c}").alias(f"{prefix}{c}") for c in ("label", "score")))
 
 
 def overlap_score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -88,7 +109,7 @@ def without_noise(rows: DataFrame, text: str) -> DataFrame:
     return rows.where(F.col(text).isNotNull()).select("*", F.explode(F.array(noise)).alias("_noise")).where("not _noise").drop("_noise")
 
 
-def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config = DEFAULT, rule=rule_label, write=None, within: str | None = None) -> DataFrame:
+def claim_pairs(claims: DataFrame, new: DataFrame | None = None, config: Config = DEFAULT, rule=None, write=None, within: str | None = None) -> DataFrame:
     """Contradicting pairs of claims of different documents; if new claims are given, pairs that one of them takes part in.
 
     claims: document_id, claim_id, content, and if known modality, importance_weight, ord and embedding (else hashed words). Seeds are compared with the
@@ -204,7 +225,7 @@ def aligned_sections(pairs: DataFrame, docs: DataFrame, least: float = DEFAULT.a
     return out.drop("pair")
 
 
-def structured_scan(pairs: DataFrame, docs: DataFrame, rule=rule_label, config: Config = DEFAULT) -> DataFrame:
+def structured_scan(pairs: DataFrame, docs: DataFrame, rule=None, config: Config = DEFAULT) -> DataFrame:
     """Contradictions of propositions in aligned sections of each pair of documents: doc_a, doc_b, position_a, position_b, sentence_a, sentence_b, type, confidence, severity, band."""
     aligned = aligned_sections(pairs, docs, config.alignment)
     keys = ["doc_a", "doc_b", "position_a", "position_b"]
@@ -237,11 +258,22 @@ def routed_scan(pairs: DataFrame, docs: DataFrame, config: Config = DEFAULT) ->
     return out.unionByName(found.select("doc_a", "doc_b", "a", "b", F.col("score").alias("confidence"), "band", F.lit("embedding").alias("scan_path")))
 
 
-def align_sections(a: DataFrame, b: DataFrame, least: float = DEFAULT.alignment) -> DataFrame:
+def align_sections(a: DataFrame, b: DataFrame, least: float = DEFAULT.alignment, most: int = 256) -> DataFrame:
     """pair, position_a, position_b, score: sections (pair, position, embedding) matched one to one, best first, by cosine less a tenth of their relative distance.
 
-    One pair of documents is matched in one task; its size is that of two tables of contents.
+    A pair of documents with up to `most` sections a side is matched in one task, a longer one in rounds over its sections' best partners; both give the same matching.
     """
+    # fresh columns: both sides may come from one frame
+    a, b = (t.select(*(F.col(c).alias(c) for c in ("pair", "position", "embedding"))) for t in (a, b))
+    long = a.groupBy("pair").count().unionByName(b.groupBy("pair").count()).where(F.col("count") > most).select("pair").distinct()
+    long = stored(long)
+    if not long.take(1):
+        return _align_short(a, b, least)
+    short = _align_short(*(t.join(long, "pair", "left_anti") for t in (a, b)), least)
+    return short.unionByName(align_in_rounds(*(t.join(long, "pair", "left_semi") for t in (a, b)), least, most))
+
+
+def _align_short(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     kind = a.schema["pair"].dataType.simpleString()
     columns = ["pair", "position_a", "position_b", "score"]
 
@@ -251,18 +283,59 @@ def align_sections(a: DataFrame, b: DataFrame, least: float = DEFAULT.alignment)
         x, y = x.sort_values("position"), y.sort_values("position")
         m, n = (V.unit(np.stack(t["embedding"].to_numpy()).astype(np.float64)) for t in (x, y))
         score = np.round(m @ n.T - 0.1 * np.abs(np.arange(len(m))[:, None] / len(m) - np.arange(len(n))[None, :] / len(n)), 6)
-        out = []
-        while score.size and score.max() >= least:
-            i, j = np.unravel_index(int(score.argmax()), score.shape)
-            out.append((x["pair"].iloc[0], int(x["position"].iloc[i]), int(y["position"].iloc[j]), float(score[i, j])))
-            score[i, :], score[:, j] = -np.inf, -np.inf
+        out, open_ = [], (np.ones(len(m), bool), np.ones(len(n), bool))
+        for at in np.argsort(-score, axis=None, kind="stable"):
+            i, j = np.unravel_index(at, score.shape)
+            if score[i, j] < least:
+                break
+            if open_[0][i] and open_[1][j]:
+                open_[0][i] = open_[1][j] = False
+                out.append((x["pair"].iloc[0], int(x["position"].iloc[i]), int(y["position"].iloc[j]), float(score[i, j])))
         return pd.DataFrame(out, columns=columns)
 
-    # fresh columns: both sides may come from one frame
-    a, b = (t.select(*(F.col(c).alias(c) for c in ("pair", "position", "embedding"))) for t in (a, b))
     return a.groupBy("pair").cogroup(b.groupBy("pair")).applyInPandas(run, f"pair {kind}, position_a long, position_b long, score double")
 
 
+def align_in_rounds(a: DataFrame, b: DataFrame, least: float = DEFAULT.alignment, block: int = 256) -> DataFrame:
+    """The matching of align_sections without a task that holds all scores of a pair: scores are made block by block, and only those that reach the limit are kept; in each round those that are the
+    best of both their sections are matched and leave with all others of theirs. With the order of score, then places, taken as strict, this is what taking the best of all, one after another, gives."""
+    kind = a.schema["pair"].dataType.simpleString()
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        by = Window.partitionBy("pair")
+        return rows.select("*", (F.row_number().over(by.orderBy("position")) - 1).alias("_i"), F.count(F.lit(1)).over(by).alias("_n"))
+
+    a, b = stored(numbered(a)), stored(numbered(b))
+    blocks = lambda rows, name: rows.select("pair", F.ceil(F.col("_n") / block).cast("int").alias(name)).distinct()
+    own = lambda: F.floor(F.col("_i") / block).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(blocks(b, "_m"), "pair").withColumn("_x", own()).withColumn("_y", every("_m"))
+    right = b.join(blocks(a, "_m"), "pair").withColumn("_y", own()).withColumn("_x", every("_m"))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        columns = ["pair", "position_a", "position_b", "score", "i", "j"]
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=columns)
+        m, n = (V.unit(np.stack(t["embedding"].to_numpy()).astype(np.float64)) for t in (x, y))
+        place = [t["_i"].to_numpy() / t["_n"].to_numpy() for t in (x, y)]
+        score = np.round(m @ n.T - 0.1 * np.abs(place[0][:, None] - place[1][None, :]), 6)
+        i, j = np.nonzero(score >= least)
+        return pd.DataFrame({"pair": x["pair"].iloc[0], "position_a": x["position"].to_numpy()[i], "position_b": y["position"].to_numpy()[j], "score": score[i, j], "i": x["_i"].to_numpy()[i], "j": y["_i"].to_numpy()[j]})
+
+    schema = f"pair {kind}, position_a long, position_b long, score double"
+    open_ = stored(left.groupBy("pair", "_x", "_y").cogroup(right.groupBy("pair", "_x", "_y")).applyInPandas(meet, f"{schema}, i long, j long"))
+    done = None
+    while open_.take(1):
+        first = lambda c: F.row_number().over(Window.partitionBy("pair", c).orderBy(F.desc("score"), "i", "j")) == 1
+        matched = stored(open_.withColumns({"_a": first("i"), "_b": first("j")}).where("_a and _b").drop("_a", "_b"))
+        done = matched if done is None else done.unionByName(matched)
+        for c in "ij":
+            open_ = open_.join(matched.select("pair", c), ["pair", c], "left_anti")
+        open_ = stored(open_)
+    done = open_ if done is None else done
+    return done.select("pair", "position_a", "position_b", "score")
+
+
 def claims_or_chunks(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """The claims (doc_id, content, kind), and for documents without any their chunks."""
     return claims.unionByName(chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_anti"))

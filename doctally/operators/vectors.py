@@ -123,12 +123,18 @@ def nearest_within(queries: DataFrame, stored: DataFrame, within: str, k: int, l
 def partner_ranks(queries: DataFrame, stored: DataFrame, block: int = BLOCK) -> DataFrame:
     """query_id, rank: where each query's partner (query_id, embedding, partner_id) comes among all stored vectors; a partner that isn't stored has no rank.
 
-    Each batch of stored vectors only counts, for at most `block` queries, how many come before the partner.
+    Each batch of stored vectors only counts, for at most about `block` queries, how many come before the partner; more queries take further passes.
     """
+    parts, found = max(1, -(-queries.count() // block)), None
+    for i in range(parts):
+        rows = _partner_ranks(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), stored)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _partner_ranks(queries: DataFrame, stored: DataFrame) -> DataFrame:
     partner = stored.select(F.col("vec_id").alias("partner_id"), F.col("embedding").alias("_partner"))
     rows = queries.select("query_id", "embedding", "partner_id").join(partner, "partner_id")
-    if rows.count() > block:
-        raise ValueError(f"more than {block} queries: rank them in parts")
     asked = rows.toPandas()
     kind = queries.schema["query_id"].dataType.simpleString()
     if not len(asked):

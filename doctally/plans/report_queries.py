@@ -987,3 +987,30 @@ def entity_graph(spark, sf_dir):
 )
 def relation_graph(spark, sf_dir):
     return _merged(spark, sf_dir)[1].drop("relation_id")
+
+
+_WRONG = "document_id % 5 <> 0 AND document_id % 8 NOT BETWEEN 1 AND 5"
+
+
+def _metadata(spark, sf_dir):
+    """Updates of every third document: some with a level that is none, some by another organisation."""
+    docs = adapted(spark, sf_dir, "m_docs").withColumnRenamed("department", "owner_department")
+    updates = docs.where("document_id % 3 = 0").selectExpr(
+        "CASE WHEN document_id % 9 = 0 THEN org_id + 100 ELSE org_id END AS org_id", "document_id", "CASE WHEN document_id % 5 <> 0 THEN document_id % 8 END AS authority_level",
+        "CASE WHEN document_id % 2 = 0 THEN 'audit' END AS owner_department", "0 AS ord",
+    )
+    return R.update_metadata(docs, updates)
+
+
+@query(
+    "metadata_update",
+    f"""SELECT document_id, CASE WHEN ok AND document_id % 5 <> 0 THEN document_id % 8 ELSE authority_level END AS authority_level, CASE WHEN ok AND document_id % 2 = 0 THEN 'audit' ELSE department END AS owner_department
+    FROM (SELECT *, document_id % 3 = 0 AND document_id % 9 <> 0 AND NOT deleted AND NOT ({_WRONG}) AS ok FROM m_docs)""",
+)
+def metadata_update(spark, sf_dir):
+    return _metadata(spark, sf_dir)[0].select("document_id", "authority_level", "owner_department")
+
+
+@query("metadata_refused", f"SELECT document_id, CASE WHEN deleted OR document_id % 9 = 0 THEN 'document not found' ELSE 'authority_level must be 1-5' END AS reason FROM m_docs WHERE document_id % 3 = 0 AND (deleted OR document_id % 9 = 0 OR ({_WRONG}))")
+def metadata_refused(spark, sf_dir):
+    return _metadata(spark, sf_dir)[1].select("document_id", "reason")
