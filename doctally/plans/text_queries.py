@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators import text as T
+from ..operators.observed import Funnel
 from .registry import contains_any, dealt, listed, matches, matches_any, query, quoted, table
 
 SPACE = r"[\s\x0b\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -172,6 +173,23 @@ def aligned_claims(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id").join(n, "doc_id", "left").na.fill(0)
 
 
+@query(
+    "observed_funnel",
+    f"""WITH {CLAIMS}, s AS (SELECT count(*) AS a, count(*) FILTER (reason = '') AS b, count(*) FILTER (reason = '' AND {WEIGHT} >= 0.3) AS c FROM claims)
+    SELECT 'sentences' AS step, a AS n, NULL::DOUBLE AS reduction FROM s UNION ALL SELECT 'worthy', b, round(1 - b / greatest(a, 1), 4) FROM s UNION ALL SELECT 'weighty', c, round(1 - c / greatest(b, 1), 4) FROM s""",
+)
+def observed_funnel(spark, sf_dir):
+    """What passes each step, counted while the claims are made."""
+    funnel = Funnel()
+    filtered = T.structural_filter(docs_of(spark, sf_dir).where(F.length(X.strip(F.col("text"))) >= 20))
+    found = T.sentences(filtered).withColumn("sentence", X.strip(F.col("sentence")))
+    judged = T.claim_worthiness(found.where(F.length("sentence").between(15, 1000) & (X.letters_share(F.col("sentence")) >= 0.5)))
+    worthy = funnel.step(funnel.step(judged, "sentences").where("reason = ''"), "worthy").withColumn("weight", X.claim_weight(F.col("sentence")))
+    funnel.step(worthy.where("weight >= 0.3"), "weighty").write.format("noop").mode("overwrite").save()
+    smaller = funnel.reductions()
+    return spark.createDataFrame([(k, x["rows"], smaller.get(k)) for k, x in funnel.figures().items()], "step string, n long, reduction double")
+
+
 @query(
     "claim_funnel",
     f"""WITH {CLAIMS}, s AS (SELECT count(*) AS sentences, count(*) FILTER (reason = '') AS worthy, count(DISTINCT content) FILTER (reason = '') AS unique_claims FROM claims)
