@@ -22,7 +22,7 @@ from .registry import dealt, listed, matches, query, table
 _PROPS = """SELECT p_partkey AS id, p_brand AS brand, p_size AS size, p_name AS entity, concat_ws(' ', CASE p_partkey % 3 WHEN 0 THEN 'improved' WHEN 1 THEN 'failed' ELSE 'was stable' END, p_type) AS attribute,
     CASE p_partkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'neutral' END AS polarity, CASE p_partkey % 4 WHEN 0 THEN 'hedged' WHEN 1 THEN 'speculative' ELSE 'certain' END AS confidence_level,
     concat_ws(' ', p_name, CASE p_partkey % 5 WHEN 0 THEN 'efficiently improved' WHEN 1 THEN 'failed to' WHEN 2 THEN 'gained because of' ELSE 'kept' END, p_type, 'at', floor(p_retailprice)::BIGINT) AS sentence FROM part"""
-_PAIRED = f"pr AS ({_PROPS}), pp AS (SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'{s}.{c} AS {c}_{s}' for s in 'ab' for c in ('entity', 'attribute', 'polarity', 'confidence_level', 'sentence'))} FROM pr a JOIN pr b ON a.brand = b.brand AND a.size = b.size AND b.id > a.id)"
+_PAIRED = f"pr AS ({_PROPS}), pp AS (SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'{s}.{c} AS {c}_{s}' for s in 'ab' for c in ('entity', 'attribute', 'polarity', 'confidence_level', 'sentence'))} FROM pr a JOIN pr b ON a.brand = b.brand AND a.size = b.size AND a.id // 2000 = b.id // 2000 AND b.id > a.id)"
 
 
 def _set(x, stop):
@@ -68,7 +68,8 @@ _TYPED = f"""{_PAIRED}, ty AS (SELECT *, {_RULES} AS type FROM pp), cl AS (SELEC
 
 def pairs_of(spark, sf_dir):
     rows = spark.sql(_PROPS.replace("FROM part", "FROM {source}"), source=table(spark, sf_dir, "part"))
-    keys = ["brand", "size"]
+    # pairs within a chapter of 2000 parts: their number grows with the table, not with its square
+    rows, keys = rows.withColumn("chapter", F.floor(F.col("id") / 2000)), ["brand", "size", "chapter"]
     a, b = (rows.withColumnsRenamed({c: f"{c}_{s}" for c in rows.columns if c not in keys}) for s in "ab")
     return a.join(b, keys).where("id_b > id_a").drop(*keys)
 
@@ -151,6 +152,51 @@ def structured_scan(spark, sf_dir):
     return S.structured_scan(pairs, docs).select("doc_a", "doc_b", "position_a", "position_b", "type", "confidence", "band")
 
 
+def _editions(spark, sf_dir):
+    """Two editions of a handbook for every four parts, with a headed section each: documents (doc_id, text) and the pairs of editions. By a part's number the second edition says the same, the opposite,
+    gives a cause, or has another manner."""
+    part, r = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    tail = " the yearly delivery output of all northern warehouses "
+    said = {
+        "a": F.when(r == 3, f"has reliably kept{tail}in every single quarter.").otherwise(f"has improved{tail}in every single quarter."),
+        "b": F.when(r == 1, f"has failed{tail}in every single quarter.").when(r == 2, f"has improved{tail}because of the new crew.").when(r == 3, f"has manually kept{tail}in every single quarter.").otherwise(f"has improved{tail}in every single quarter."),
+    }
+    number = F.col("p_partkey").cast("string")
+    section = lambda s: F.concat((r + 1).cast("string"), F.lit(". Part number "), number, F.lit("\nThe "), "p_name", F.lit(" line "), s, F.lit(" It stands in hall "), number, F.lit(" beside the "), "p_type", F.lit(" stock.\n"))
+    rows = part.select(F.floor(F.col("p_partkey") / 4).alias("_c"), F.struct("p_partkey", *(section(s).alias(k) for k, s in said.items())).alias("_s"))
+    books = rows.groupBy("_c").agg(F.sort_array(F.collect_list("_s")).alias("_s"))
+    edition = lambda k, n: books.select((F.col("_c") * 2 + n).alias("doc_id"), F.array_join(F.transform("_s", lambda x: x[k]), "").alias("text"))
+    return edition("a", 0).unionByName(edition("b", 1)), books.select((F.col("_c") * 2).alias("doc_a"), (F.col("_c") * 2 + 1).alias("doc_b"))
+
+
+_EDITED = "SELECT p_partkey // 4 * 2 AS doc_a, p_partkey // 4 * 2 + 1 AS doc_b, p_partkey % 4 AS position_a, p_partkey % 4 AS position_b"
+
+
+@query("headed_alignment", f"{_EDITED} FROM part")
+def headed_alignment(spark, sf_dir):
+    """Every section of an edition is matched with its own of the other."""
+    docs, pairs = _editions(spark, sf_dir)
+    return S.aligned_sections(pairs, docs).select("doc_a", "doc_b", "position_a", "position_b")
+
+
+@query(
+    "headed_scan",
+    f"""{_EDITED}, CASE p_partkey % 4 WHEN 1 THEN 'outcome_inversion' WHEN 2 THEN 'causal_attenuation' ELSE 'capability_reversal' END AS type, CASE p_partkey % 4 WHEN 1 THEN 0.75::DOUBLE WHEN 2 THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END AS confidence,
+    CASE p_partkey % 4 WHEN 1 THEN 'high' ELSE 'borderline' END AS band FROM part WHERE p_partkey % 4 > 0""",
+)
+def headed_scan(spark, sf_dir):
+    """The contradictions between editions, which are known."""
+    docs, pairs = _editions(spark, sf_dir)
+    return S.structured_scan(pairs, docs).select("doc_a", "doc_b", "position_a", "position_b", "type", "confidence", "band")
+
+
+@query("headed_routes", "SELECT DISTINCT p_partkey // 4 * 2 AS doc_a, p_partkey // 4 * 2 + 1 AS doc_b, 'structured' AS scan_path FROM part")
+def headed_routes(spark, sf_dir):
+    """The routed scan takes the structured path for headed texts."""
+    docs, pairs = _editions(spark, sf_dir)
+    return S.routed_scan(pairs, docs).select("doc_a", "doc_b", "scan_path").distinct()
+
+
 #: Claims made of vectors: a sentence with a figure for each, of the document that the label names.
 _CLAIMS = """SELECT vec_id AS claim_id, document_id, embedding, concat('Measured output of station ', vec_id % 3, ' exceeded the regional target by ', vec_id % 11, ' percent') AS content,
     CASE vec_id % 4 WHEN 0 THEN 'MANDATORY' WHEN 1 THEN 'INFORMATIONAL' WHEN 2 THEN 'RECOMMENDED' END AS modality, 1.0::DOUBLE AS importance_weight, vec_id AS ord FROM m_vectors"""
