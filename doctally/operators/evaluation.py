@@ -88,7 +88,7 @@ def markdown_report(report: DataFrame, matrix: DataFrame, title: str = "Evaluati
     counts = {(r["truth"], r["predicted"]): r["n"] for r in matrix.collect()}
     labels, total = sorted({k for pair in counts for k in pair}), sum(counts.values())
     accuracy, macro = sum(counts.get((k, k), 0) for k in labels) / max(total, 1), report.where("label = 'macro'").first()["f1"]
-    classes = [_row(COLUMNS), _rule(len(c) + 2 for c in COLUMNS), *(lines[k] for k in labels if k in lines)]
+    classes = [_row(COLUMNS), _rule(max(len(c), 3) + 2 for c in COLUMNS), *(lines[k] for k in labels if k in lines)]
     grid = [_row([CORNER, *labels]), _rule([3] * (len(labels) + 1)), *(_row([a, *(counts.get((a, b), 0) for b in labels)]) for a in labels)]
     head = [line.format(x) for line, x in zip(FIGURES, (accuracy, macro, total), strict=True)]
     return "\n".join([HEADINGS[0].format(title), "", *head, "", *classes, "", HEADINGS[1], "", *grid])

@@ -47,7 +47,7 @@ UNSPOKEN = {
     "document_claim_scan": ("a_id", 0),  # generated prose holds no contradictions
     "hash_embed": ("embedding", 40),
     "org_topic_drift": ("movement", 4),
-    "propagation": ("impact", 1),
+    "index_search": ("similarity", 40),
     "section_align": ("score", 0),
     "structured_scan": ("type", 0),
     "topic_fit": ("moved", 2),
@@ -61,6 +61,12 @@ def test_runs(spark, name):
     assert len(rows) >= least and all(r[0] is not None for r in rows)
 
 
+def test_recall_of_the_index(spark):
+    """Nine tenths of the exact neighbours at least."""
+    exact, found = ({(r["query_id"], r["vec_id"]) for r in queries()[n](spark, SF).collect()} for n in ("knn_topk", "index_search"))
+    assert len(exact & found) >= 0.9 * len(exact) > 0
+
+
 def test_hashed_words(spark):
     """Embeddings by their definition."""
     import re
