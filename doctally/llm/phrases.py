@@ -29,7 +29,7 @@ from . import common
 
 LEAST, SHARE, BEST = 10, 50, 2000
 #: Words of a shard, and bytes of text that are cut into words at once.
-SHARD, SLICE = 400_000, 1 << 20
+SHARD, SLICE = 200_000, 1 << 20
 #: Phrases that are handed on at once.
 ROWS = 100_000
 #: Bits of the bitmap of frequent pairs: 16 MB.
