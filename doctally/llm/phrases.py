@@ -187,9 +187,9 @@ def counted(docs: DataFrame, lengths: tuple[int, int], bitmap: list | None = Non
     return rows.mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
-def summed(counts: DataFrame) -> DataFrame:
+def summed(counts: DataFrame, least: int) -> DataFrame:
     """All counts of a phrase; those that no candidate or part of one can have go."""
-    return common.materialise(counts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= LEAST) | (F.col("words") == 0)))
+    return common.materialise(counts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0)))
 
 
 def _words(phrase: str, start: int, n: int) -> Column:
@@ -204,11 +204,11 @@ def pair_bitmap(counts: DataFrame) -> list:
     return [(r["k"], bytes(r["b"])) for r in bits.groupBy("k").agg(F.bitmap_construct_agg("i").alias("b")).collect()]
 
 
-def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two or three words."""
+def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two or three words that come `least` times or more; a pair goes if a longer phrase has `share` hundredths of its count."""
     common.tune(docs.sparkSession)
-    parts = summed(counted(docs, (1, 2)))
-    triples = summed(counted(docs, (3, 3), pair_bitmap(parts)))
+    parts = summed(counted(docs, (1, 2)), least)
+    triples = summed(counted(docs, (3, 3), pair_bitmap(parts)), least)
     candidates = parts.where("words = 2").unionByName(triples).select("lang", "phrase", "words", F.col("f").alias("a"))
     # each cut's parts: the first k words and the rest
     side = lambda k, left: F.struct(F.lit(2 * k + left).alias("side"), (_words("phrase", 1, k) if left else _words("phrase", k + 1, 2)).alias("part"))
@@ -223,7 +223,7 @@ def collocations(docs: DataFrame, best: int = BEST) -> DataFrame:
     lowest = met.withColumn("_c", F.when(F.col("words") == 2, cuts[0]).otherwise(F.least(*cuts))).select("lang", "phrase", "a", "_c.l", "_c.r", "_c.score")
     # a pair in a longer phrase is what its suffix link leads to, or what it goes on from
     inside = triples.select("lang", "f", F.explode(F.array(_words("phrase", 2, 2), _words("phrase", 1, 2))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("_longer"))
-    kept = lowest.join(inside, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < SHARE * F.col("a")))
+    kept = lowest.join(inside, ["lang", "phrase"], "left").where(F.col("_longer").isNull() | (100 * F.col("_longer") < share * F.col("a")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= best)
     total = parts.where("words = 0").select("lang", F.col("f").alias("n"))

@@ -80,9 +80,9 @@ def test_states_and_links():
     assert states[3] == [([2, 3, 4], 2, 2), ([5, 3, 4], 1, 2)]
 
 
-def run(spark, rows, best=2000):
+def run(spark, rows, best=2000, **settings):
     frame = spark.createDataFrame([(i, t, lang, "x", "x") for i, t, lang in rows], "doc_id long, text string, lang string, phrase string, n string")
-    out = P.collocations(frame, best)
+    out = P.collocations(frame, best, **settings)
     assert [c for c, _ in out.dtypes] == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     return sorted(map(tuple, out.collect()))
 
@@ -93,6 +93,7 @@ def test_against_brute_force(spark):
     wanted = brute(rows, 10, 50, 2000)
     assert len(wanted) > 100 and run(spark, rows) == wanted
     assert run(spark, rows, 9) == brute(rows, 10, 50, 9)
+    assert run(spark, rows, 300, least=2, share=80) == brute(rows, 2, 80, 300)
     assert run(spark, []) == [] == run(spark, [(1, None, None), (2, " . ", "en")])
 
 
