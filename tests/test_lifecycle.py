@@ -128,3 +128,24 @@ def test_stream_with_restart_bursts_and_lost_scans(spark, tmp_path, files):
     assert L.missing_pairs(store).count() == 0
     scores = {names(store)[r["doc_id"]]: r["contradictions"] for r in L.drift(store).collect()}
     assert scores == {("a", "x.txt"): 1, ("a", "y.txt"): 1, ("a", "z.txt"): 0, ("b", "x.txt"): 0}
+
+
+def test_tables_of_files_are_claims(spark, tmp_path):
+    """Two files with the same table but for a figure: its cells are claims, and contradict each other, with the pages that the text stands on."""
+    from datetime import datetime
+
+    from tests.test_pdf import classic, pages
+
+    def sheet(price: bytes) -> bytes:
+        rows = [(b"Item", b"Yearly price"), (b"Green tea pot", price), (b"Copper kettle", b"9.10 euros")]
+        drawn = b"100 500 200 90 re S 100 530 m 300 530 l S 100 560 m 300 560 l S 200 500 m 200 590 l S BT /F1 10 Tf "
+        cells = b"".join(b"1 0 0 1 %d %d Tm (%s) Tj " % (110 + 100 * j, 570 - 30 * i, c) for i, row in enumerate(rows) for j, c in enumerate(row))
+        return classic(pages(drawn + cells + b"ET"))
+
+    store = L.Store(spark, str(tmp_path / "store"), AS_OF)
+    L.process(store, upload(spark, [("a", "one.pdf", sheet(b"4.50 euros"), datetime(2024, 5, 1), ""), ("a", "two.pdf", sheet(b"7.25 euros"), datetime(2024, 5, 2), "")]), 0)
+    claims = {(r["content"], r["source"]) for r in store.table("claims").collect() if r["source"] == "table"}
+    assert ("In page 1, for Green tea pot, the Yearly price is 4.50 euros.", "table") in claims and len(claims) == 3
+    found = [{r["a"], r["b"]} for r in store.table("pairs").collect()]
+    assert {f"In page 1, for Green tea pot, the Yearly price is {x} euros." for x in ("4.50", "7.25")} in found
+    assert {(r["start_page"], r["end_page"]) for r in store.table("chunks").collect()} == {(1, 1)}
