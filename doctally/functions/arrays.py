@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,14 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def unpacked(rows: DataFrame, keep: list[str], array: Column, place: str, item: str) -> DataFrame:
+    """keep, place and item: a row for each item of an array, none for an empty or null one.
+
+    From an inner explode the optimizer infers a test of the array's size and pushes it down to the scan, where the array, and all that it is made of, would be computed once more.
+    """
+    return rows.select(*keep, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def running(values: Column, combine, start: int) -> Column:
     """What the whole numbers up to each place combine to (combine is associative, start its neutral value).
 

@@ -51,7 +51,7 @@ def literals(values) -> Column:
 
 
 def letters_share(x: Column) -> Column:
-    return F.length(F.regexp_replace(x, r"[^\p{L}]", "")) / F.greatest(F.length(x), F.lit(1))
+    return F.length(F.regexp_replace(x, r"[^\p{L}]+", "")) / F.greatest(F.length(x), F.lit(1))
 
 
 def without_bullets(x: Column) -> Column:

@@ -17,8 +17,8 @@ from ..functions import text as X
 def chunk_windows(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """doc_id, chunk_index, content, token_count: overlapping windows of words."""
     size, stride = config.chunk_words, config.chunk_words - config.chunk_overlap
-    worded = docs.select("doc_id", X.words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    starts = worded.select("doc_id", "_w", F.posexplode(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(stride))).alias("chunk_index", "_at"))
+    worded = docs.select("doc_id", X.words(F.col("text")).alias("_w"))
+    starts = A.unpacked(worded, ["doc_id", "_w"], F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1, F.lit(stride))), "chunk_index", "_at")
     part = F.slice("_w", F.col("_at") + 1, size)
     return starts.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("content"), F.size(part).cast("long").alias("token_count"))
 
@@ -29,11 +29,11 @@ def chunk_pages(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     A window's place is that of its words joined by blanks; its pages are found by binary search among the pages' first characters.
     """
     size, stride = config.chunk_words, config.chunk_words - config.chunk_overlap
-    worded = docs.select("doc_id", X.words(F.col("text")).alias("_w"), F.array_sort(F.map_entries("page_map")).alias("_m")).where(F.size("_w") > 0)
-    worded = worded.withColumn("_starts", F.sequence(F.lit(0), F.size("_w") - 1, F.lit(stride)))
+    worded = docs.select("doc_id", X.words(F.col("text")).alias("_w"), F.array_sort(F.map_entries("page_map")).alias("_m"))
+    worded = worded.withColumn("_starts", F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1, F.lit(stride))))
     letters = lambda at: F.aggregate(F.slice("_w", at + 1, stride), F.lit(0), lambda n, w: n + F.length(w))
     worded = worded.withColumn("_letters", A.running(F.transform("_starts", letters), lambda a, b: a + b, 0))
-    rows = worded.select("doc_id", "_w", "_m", "_letters", F.posexplode("_starts").alias("_i", "_at"))
+    rows = A.unpacked(worded, ["doc_id", "_w", "_m", "_letters"], F.col("_starts"), "_i", "_at")
     part = F.slice("_w", F.col("_at") + 1, size)
     first = F.when(F.col("_i") > 0, F.col("_letters")[F.col("_i") - 1] + F.col("_at") - 1).otherwise(0)
     rows = rows.select("doc_id", F.col("_i").cast("long").alias("chunk_index"), F.array_join(part, " ").alias("content"), F.size(part).cast("long").alias("token_count"), first.alias("_first"), "_m")
@@ -44,7 +44,7 @@ def chunk_pages(docs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, sentence."""
-    split = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", X.SENTENCE_END)).alias("pos", "sentence"))
+    split = A.unpacked(docs, ["doc_id"], F.split("text", X.SENTENCE_END), "pos", "sentence")
     return split.withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -82,7 +82,7 @@ def structural_filter(docs: DataFrame) -> DataFrame:
         both = F.zip_with(lines, inside, lambda x, i: F.when(x["good"] & (i < 1), x["line"]))
         return F.array_join(both, "\n")  # nulls are left out
 
-    return docs.where("text is not null").select("doc_id", A.let(F.transform(F.split("text", "\n"), parts), kept).alias("text"))
+    return docs.where("text is not null").select("doc_id", F.coalesce(A.let(F.transform(F.split("text", "\n"), parts), kept), F.lit("")).alias("text"))
 
 
 def extract_claims(docs: DataFrame, model: str = "rule_based") -> DataFrame:
@@ -168,7 +168,7 @@ def sections(docs: DataFrame, target: int = 6) -> DataFrame:
     rows = rows.select("doc_id", "text", F.filter(cut(F.col("_lines"), F.col("_opens")), lambda x: x["word_count"] >= 10).alias("_made"))
     found = F.filter(F.transform(F.split("text", "\n\n"), lambda p: X.strip(p)), lambda p: F.size(X.words(p)) >= 5)
     few = (F.size("_made") <= 1) & (F.size(X.words(F.col("text"))) > 200)
-    rows = rows.select("doc_id", F.posexplode(F.when(few, A.let(found, lambda p: paragraphs(F.col("text"), p))).otherwise(F.col("_made"))).alias("position", "_s"))
+    rows = A.unpacked(rows, ["doc_id"], F.when(few, A.let(found, lambda p: paragraphs(F.col("text"), p))).otherwise(F.col("_made")), "position", "_s")
     return rows.select("doc_id", F.col("position").cast("long").alias("position"), "_s.*")
 
 
@@ -223,7 +223,7 @@ def _recovered(reply: str, kind: str) -> Column:
 def recover_json_propositions(replies: DataFrame) -> DataFrame:
     """Propositions in replies (reply_id, reply) of a language model; unknown polarities and levels are inferred from the sentence, strong words overrule a polarity."""
     kind = "array<struct<entity:string,attribute:string,polarity:string,confidence_level:string,modality:string,source_sentence:string>>"
-    rows = replies.select("reply_id", F.posexplode(_recovered("reply", kind)).alias("pos", "_p"))
+    rows = A.unpacked(replies, ["reply_id"], _recovered("reply", kind), "pos", "_p")
     text = lambda c: X.strip(F.coalesce(f"_p.{c}", F.lit("")))
     low = lambda c: F.lower(text(c))
     sentence = text("source_sentence")
@@ -240,7 +240,7 @@ def recover_json_claims(replies: DataFrame) -> DataFrame:
     """Claims in replies (reply_id, reply) of a language model: the whole reply, else a fenced block, else the outermost array; invalid fields are mended."""
     kind = "array<struct<claim:string,modality:string,confidence:double>>"
     known = ("MANDATORY", "PROHIBITED", "RECOMMENDED", "OPTIONAL", "INFORMATIONAL")
-    rows = replies.select("reply_id", F.posexplode(_recovered("reply", kind)).alias("pos", "_c")).where(F.length(X.strip(F.col("_c.claim"))) >= 10)
+    rows = A.unpacked(replies, ["reply_id"], _recovered("reply", kind), "pos", "_c").where(F.length(X.strip(F.col("_c.claim"))) >= 10)
     modality = F.upper("_c.modality")
     return rows.select(
         "reply_id",
