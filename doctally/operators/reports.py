@@ -120,10 +120,10 @@ def ledger_merge(ledger: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def cascade_delete(pairs: DataFrame, claims: DataFrame, document_ids: DataFrame) -> DataFrame:
-    """The pairs that stay when these documents go with their claims."""
-    gone = claims.join(document_ids, "document_id", "left_semi").select("claim_id")
-    for side in ("claim_a", "claim_b"):
-        pairs = pairs.join(gone.withColumnRenamed("claim_id", side), side, "left_anti")
+    """The pairs that stay when these documents go with their claims. A claim is told by its document and its id: documents may give equal ids."""
+    gone = claims.join(document_ids, "document_id", "left_semi").select("document_id", "claim_id")
+    for s in "ab":
+        pairs = pairs.join(gone.withColumnsRenamed({"document_id": f"doc_{s}", "claim_id": f"claim_{s}"}), [f"doc_{s}", f"claim_{s}"], "left_anti")
     return pairs
 
 
