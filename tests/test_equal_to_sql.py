@@ -33,6 +33,6 @@ def tables(folder, **changed):
 EQUAL_IDS = "select * replace (l_partkey + i * 1000000 as l_partkey) from range(2) r(i), '{}'"
 
 
-@pytest.mark.parametrize("name", ["apply_verdicts", "cascade_delete", "submit_reviews", "feedback_rows"])
+@pytest.mark.parametrize("name", ["apply_verdicts", "cascade_delete", "submit_reviews", "feedback_rows", "invalidate_explanations"])
 def test_equal_claim_ids(spark, tmp_path, name):
     assert same(spark, tables(tmp_path, lineitem=EQUAL_IDS), name)
