@@ -36,3 +36,8 @@ EQUAL_IDS = "select * replace (l_partkey + i * 1000000 as l_partkey) from range(
 @pytest.mark.parametrize("name", ["apply_verdicts", "cascade_delete", "submit_reviews", "feedback_rows", "invalidate_explanations"])
 def test_equal_claim_ids(spark, tmp_path, name):
     assert same(spark, tables(tmp_path, lineitem=EQUAL_IDS), name)
+
+
+def test_ties_of_cents(spark, tmp_path):
+    """Balances whose hundredth lies between two cents."""
+    same(spark, tables(tmp_path, supplier="select * replace (14.5 + s_suppkey * 7 as s_acctbal) from '{}'"), "node_style")
