@@ -18,7 +18,9 @@ def scan_route(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def seed_claims(claims: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The heaviest claims (document_id, importance_weight, ord) of each document; ties go to the earlier."""
+    """The heaviest claims (document_id, importance_weight, ord) of each document, or all; ties go to the earlier."""
+    if config.seed_claims is None:
+        return claims
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("importance_weight"), "ord"))
     return claims.withColumn("_r", rank).where(F.col("_r") <= config.seed_claims).drop("_r")
 

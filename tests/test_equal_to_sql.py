@@ -41,3 +41,9 @@ def test_equal_claim_ids(spark, tmp_path, name):
 def test_ties_of_cents(spark, tmp_path):
     """Balances whose hundredth lies between two cents."""
     same(spark, tables(tmp_path, supplier="select * replace (14.5 + s_suppkey * 7 as s_acctbal) from '{}'"), "node_style")
+
+
+def test_every_claim_is_a_seed(spark, tmp_path):
+    """Documents with more claims than a scan starts from by default."""
+    many = "select vec_id + i * 1000 as vec_id, list_transform(embedding, lambda x, k: (x + sin(k * (i + 1)) / 8)::FLOAT) as embedding, (vec_id % 2)::INT as label from range(8) r(i), '{}'"
+    assert len(same(spark, tables(tmp_path, embeddings=many), "claim_pair_scan")) > 50
