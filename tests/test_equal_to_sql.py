@@ -47,3 +47,9 @@ def test_every_claim_is_a_seed(spark, tmp_path):
     """Documents with more claims than a scan starts from by default."""
     many = "select vec_id + i * 1000 as vec_id, list_transform(embedding, lambda x, k: (x + sin(k * (i + 1)) / 8)::FLOAT) as embedding, (vec_id % 2)::INT as label from range(8) r(i), '{}'"
     assert len(same(spark, tables(tmp_path, embeddings=many), "claim_pair_scan")) > 50
+
+
+@pytest.mark.parametrize("name", ["dependency_evidence", "dependency_strength", "dependency_graph"])
+def test_documents_without_a_shared_subject(spark, tmp_path, name):
+    rows = same(spark, tables(tmp_path, lineitem="select * from '{}' where l_suppkey % 2 = 0"), name)
+    assert rows
