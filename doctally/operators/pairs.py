@@ -92,7 +92,7 @@ def with_similarities(pairs: DataFrame, encode) -> DataFrame:
 
     for c in ("entity", "attribute"):
         texts = pairs.select(F.explode(F.array(f"{c}_a", f"{c}_b")).alias("_x")).where("_x is not null").distinct()
-        coded = encode(texts, "_x").select("_x", "embedding")
+        coded = encode(texts, "_x").select("_x", "embedding").hint("merge")  # a vector for every text: not broadcast
         for s in "ab":
             pairs = pairs.join(coded.withColumnsRenamed({"_x": f"{c}_{s}", "embedding": f"_{s}"}), f"{c}_{s}", "left")
         pairs = pairs.withColumn(f"{c}_similarity", similarity(F.col("_a"), F.col("_b"))).drop("_a", "_b")

@@ -23,3 +23,23 @@ def test_pairs_within_a_group_meet_in_blocks(spark):
     # no join makes all pairs as rows
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "a_id" in plan and "FlatMapGroupsInPandas" in plan
+
+
+def test_sections_are_not_broadcast(spark):
+    """Texts and vectors made within a row look as small as what they are made of."""
+    docs = spark.createDataFrame([(i, f"1. Energy\nThe output of plant {i // 2} improved by 40 percent in spring.\n") for i in range(6)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "doc_a long, doc_b long")
+    found = scan.aligned_sections(pairs, docs, 0.5)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 3
+
+
+def test_routed_scan_without_a_pair_for_the_claims(spark, monkeypatch):
+    """No pair takes the path of claims, so no claim is made; a pair that takes it is searched from its own documents only."""
+    text = "1. Energy\nThe solar output of the northern plant improved by 40 percent across the whole region in spring.\n"
+    docs = spark.createDataFrame([(1, text), (2, text.replace("improved", "failed to improve"))], "doc_id int, text string")
+    both = spark.createDataFrame([(1, 2)], "doc_a int, doc_b int")
+    calls, real = [], scan.claim_pairs
+    monkeypatch.setattr(scan, "claim_pairs", lambda *x, **y: calls.append(x) or real(*x, **y))
+    assert {r["scan_path"] for r in scan.routed_scan(both, docs, Config(alignment=0.5, structured=0.0)).collect()} == {"structured"} and not calls
+    scan.routed_scan(both, docs, Config(gate_similarity=0.4, gate_sample=0.0, structured=1.1)).collect()
+    assert len(calls) == 1
