@@ -43,3 +43,14 @@ def test_routed_scan_without_a_pair_for_the_claims(spark, monkeypatch):
     assert {r["scan_path"] for r in scan.routed_scan(both, docs, Config(alignment=0.5, structured=0.0)).collect()} == {"structured"} and not calls
     scan.routed_scan(both, docs, Config(gate_similarity=0.4, gate_sample=0.0, structured=1.1)).collect()
     assert len(calls) == 1
+
+
+def test_best_of_queries_in_slices(monkeypatch):
+    """However many queries meet however many vectors, no more than COSINES cosines are held at once, and the result is the same."""
+    rng = np.random.default_rng(2)
+    asked = (np.arange(50), np.arange(50) % 3, V.unit(rng.integers(-1, 2, size=(50, 4)).astype(float)))
+    there, groups, rows = np.arange(20, 90), np.arange(70) % 3, V.unit(rng.integers(-1, 2, size=(70, 4)).astype(float))
+    whole, sizes, real = V._best(asked, there, groups, rows, 5, 0.1, True), [], np.partition
+    monkeypatch.setattr(V, "COSINES", 200)
+    monkeypatch.setattr(np, "partition", lambda x, *y, **z: sizes.append(x.size) or real(x, *y, **z))
+    assert V._best(asked, there, groups, rows, 5, 0.1, True).equals(whole) and max(sizes) <= 200 and len(sizes) == 25
