@@ -54,3 +54,10 @@ def test_best_of_queries_in_slices(monkeypatch):
     monkeypatch.setattr(V, "COSINES", 200)
     monkeypatch.setattr(np, "partition", lambda x, *y, **z: sizes.append(x.size) or real(x, *y, **z))
     assert V._best(asked, there, groups, rows, 5, 0.1, True).equals(whole) and max(sizes) <= 200 and len(sizes) == 25
+
+
+def test_claims_are_embedded_once(spark):
+    rows = [("a", "a1", "Solar output exceeded the regional target of 40 percent in spring"), ("b", "b1", "Solar output exceeded the regional target of 25 percent in spring")]
+    found = scan.claim_pairs(spark.createDataFrame(rows, "document_id string, claim_id string, content string"), config=Config(gate_similarity=0.5, gate_sample=0.0))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["a_id"], r["b_id"]) for r in found.collect()] == [("a1", "b1")]
