@@ -53,3 +53,10 @@ def test_every_claim_is_a_seed(spark, tmp_path):
 def test_documents_without_a_shared_subject(spark, tmp_path, name):
     rows = same(spark, tables(tmp_path, lineitem="select * from '{}' where l_suppkey % 2 = 0"), name)
     assert rows
+
+
+@pytest.mark.parametrize("name", ["impact_trace", "propagation"])
+def test_traces_without_a_shared_subject(spark, tmp_path, name):
+    """The smallest document has no strong edge: the trace starts at the smallest that has one."""
+    changed = {"lineitem": "select * from '{}' where l_suppkey % 2 = 1", "embeddings": "select * from '{}' where vec_id % 3 > 0"}
+    assert same(spark, tables(tmp_path, **changed), name) or name == "propagation"
