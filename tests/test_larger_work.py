@@ -61,3 +61,10 @@ def test_claims_are_embedded_once(spark):
     found = scan.claim_pairs(spark.createDataFrame(rows, "document_id string, claim_id string, content string"), config=Config(gate_similarity=0.5, gate_sample=0.0))
     assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["a_id"], r["b_id"]) for r in found.collect()] == [("a1", "b1")]
+
+
+def test_tables_above_256_mb_are_dealt_while_their_scan_has_few_tasks(spark):
+    from doctally.plans.registry import dealt
+
+    plan = lambda n: dealt(spark.range(n), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan(100_000_000) and "Repartition" not in plan(2_000_000_000)
