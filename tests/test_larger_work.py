@@ -68,3 +68,14 @@ def test_tables_above_256_mb_are_dealt_while_their_scan_has_few_tasks(spark):
 
     plan = lambda n: dealt(spark.range(n), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan(100_000_000) and "Repartition" not in plan(2_000_000_000)
+
+
+def test_a_batch_of_texts_is_counted_in_slices(spark, tmp_path):
+    """What a worker holds counted does not grow with the batch; the index is the same."""
+    from doctally.operators import lexical_index as L
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(40))) for i in range(3 * L.TEXTS + 5)], "doc_id long, text string").coalesce(1)
+    L.add(docs, str(tmp_path))
+    known = {r["term"]: r["df"] for r in L.dictionary(spark, str(tmp_path)).collect()}
+    texts = {r["doc_id"]: set(r["text"].split()) for r in docs.collect()}
+    assert known.pop(L.ALL) == len(texts) and known == {t: sum(t in x for x in texts.values()) for t in set().union(*texts.values())}
