@@ -1,6 +1,7 @@
 """Steps whose work must not grow beyond what the result needs."""
 
 import itertools
+import re
 
 import numpy as np
 from doctally.config import Config
@@ -79,3 +80,16 @@ def test_a_batch_of_texts_is_counted_in_slices(spark, tmp_path):
     known = {r["term"]: r["df"] for r in L.dictionary(spark, str(tmp_path)).collect()}
     texts = {r["doc_id"]: set(r["text"].split()) for r in docs.collect()}
     assert known.pop(L.ALL) == len(texts) and known == {t: sum(t in x for x in texts.values()) for t in set().union(*texts.values())}
+
+
+def test_pairs_are_made_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    """What a task holds does not grow with the pairs: they are counted only after they are dealt out, by both documents at once."""
+    from doctally.plans import model
+    from doctally.plans.report_queries import contradiction_graph
+
+    monkeypatch.setattr(model, "PAIRS_A_TASK", 1000)
+    plan = contradiction_graph(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^()]*), (\d+)\)", plan)
+    assert {re.sub(r"#\d+L?", "", c) for c, _ in dealt} == {"source, target", "l_partkey"} and len({n for _, n in dealt}) == 1 and int(dealt[0][1]) > 20
+    # no pair is counted between the join of claims and that dealing
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning(source") : plan.index("Join [subject")]
