@@ -93,3 +93,16 @@ def test_pairs_are_made_in_as_many_tasks_as_they_need(spark, monkeypatch):
     assert {re.sub(r"#\d+L?", "", c) for c, _ in dealt} == {"source, target", "l_partkey"} and len({n for _, n in dealt}) == 1 and int(dealt[0][1]) > 20
     # no pair is counted between the join of claims and that dealing
     assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning(source") : plan.index("Join [subject")]
+
+
+def test_neither_side_of_many_queries_is_copied(spark):
+    """However many blocks there are, each vector and each query is shuffled or written once, and the best are those of a search of all at once."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, rng.integers(-1, 2, size=4).astype(float).tolist()) for i in range(300)]  # many ties
+    frame = spark.createDataFrame(rows, "vec_id long, g long, embedding array<double>")
+    asked = frame.withColumnRenamed("vec_id", "query_id")
+    for least, apart in ((-1.0, None), (0.3, "g")):
+        found = V.nearest(asked, frame, 6, least, skip_self=True, apart=apart, block=20)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "CoGroup" not in plan
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, V.nearest(asked, frame, 6, least, skip_self=True, apart=apart).collect()))
