@@ -88,6 +88,7 @@ def test_pairs_are_made_in_as_many_tasks_as_they_need(spark, monkeypatch):
     from doctally.plans.report_queries import contradiction_graph
 
     monkeypatch.setattr(model, "PAIRS_A_TASK", 1000)
+    monkeypatch.setattr(model, "LINES_A_TASK", 10)
     plan = contradiction_graph(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"Exchange hashpartitioning\(([^()]*), (\d+)\)", plan)
     assert {re.sub(r"#\d+L?", "", c) for c, _ in dealt} == {"source, target", "l_partkey"} and len({n for _, n in dealt}) == 1 and int(dealt[0][1]) > 20
