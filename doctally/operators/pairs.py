@@ -111,11 +111,15 @@ def _inverted(a: Column, b: Column, yes: str, no: str) -> Column:
     return (a.rlike(yes) & b.rlike(no)) | (a.rlike(no) & b.rlike(yes))
 
 
-def taxonomy(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Pairs of propositions (entity_, attribute_, polarity_, confidence_level_, sentence_ with a and b; nli_label, nli_score) and type, confidence, severity.
+def ruled(pairs: DataFrame) -> DataFrame:
+    """Pairs that one of the taxonomy's rules holds for, aligned or not, with its type, confidence and severity: few, so what aligns them is asked of these only."""
+    found, _ = _by_rules()
+    # a one-element array keeps the rules from being copied into each condition and column
+    return pairs.select("*", F.explode(F.array(found)).alias("_t")).where("_t.type is not null").select(*pairs.columns, "_t.*")
 
-    Where pairs have entity_similarity or attribute_similarity, these align what words don't.
-    """
+
+def _by_rules() -> tuple[Column, Column]:
+    """What the first rule that holds gives (type, confidence, severity), and what no rule does."""
     a, b = (lambda c, s=s: F.col(f"{c}_{s}") for s in "ab")
     sides = ("positive", "negative")
     opposed = (a("polarity") != b("polarity")) & a("polarity").isin(*sides) & b("polarity").isin(*sides) & (a("confidence_level") == "certain") & (b("confidence_level") == "certain")
@@ -132,10 +136,24 @@ def taxonomy(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
     none = F.struct(F.lit(None).cast("string").alias("type"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("severity"))
     found = reduce(lambda rest, r: F.when(r[1], F.struct(F.lit(r[0]).alias("type"), r[2].alias("confidence"), F.lit(r[3]).alias("severity"))).otherwise(rest), reversed(rules), none)
+    return found, none
+
+
+def taxonomy(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Pairs of propositions (entity_, attribute_, polarity_, confidence_level_, sentence_ with a and b; nli_label, nli_score) and type, confidence, severity.
+
+    Where pairs have entity_similarity or attribute_similarity, these align what words don't.
+    """
+    found, none = _by_rules()
+    return pairs.withColumn("_t", F.when(aligned(pairs, config), found).otherwise(none)).select(*pairs.columns, "_t.*")
+
+
+def aligned(pairs: DataFrame, config: Config = DEFAULT) -> Column:
+    """Whether entities and attributes of pairs mean the same, by words or by similarities that pairs have."""
+    a, b = (lambda c, s=s: F.col(f"{c}_{s}") for s in "ab")
     near = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(False)) if c in pairs.columns else F.lit(False)
     entities = entities_align(a("entity"), b("entity")) | near("entity_similarity", config.entity_similarity)
-    aligned = entities & (attributes_align(a("attribute"), b("attribute")) | near("attribute_similarity", config.attribute_similarity))
-    return pairs.withColumn("_t", F.when(aligned, found).otherwise(none)).select(*pairs.columns, "_t.*")
+    return entities & (attributes_align(a("attribute"), b("attribute")) | near("attribute_similarity", config.attribute_similarity))
 
 
 def best_taxonomy(classified: DataFrame, keys: list[str], order: str) -> DataFrame:
