@@ -7,6 +7,7 @@ import numpy as np
 from doctally.config import Config
 from doctally.operators import scan
 from doctally.operators import vectors as V
+from pyspark.sql import functions as F
 
 
 def test_pairs_within_a_group_meet_in_blocks(spark):
@@ -107,3 +108,14 @@ def test_neither_side_of_many_queries_is_copied(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "CoGroup" not in plan
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, V.nearest(asked, frame, 6, least, skip_self=True, apart=apart).collect()))
+
+
+def test_sections_of_many_pairs_meet_in_one_call(spark):
+    """Short pairs share calls: there are as many groups as their sections ask for, not as many as pairs, and texts are compared where their pairs are, without a join."""
+    docs = spark.createDataFrame([(i, f"1. Energy\nThe solar output of plant {i // 2} {'improved' if i % 2 else 'failed'} by 40 percent in every spring.\n") for i in range(40)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)], "doc_a long, doc_b long")
+    found = scan.structured_scan(pairs, docs, config=Config(alignment=0.5))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and {(r["doc_a"], r["doc_b"], r["type"]) for r in found.collect()} == {(i, i + 1, "outcome_inversion") for i in range(0, 40, 2)}
+    plan = scan.align_sections(*(docs.select((docs.doc_id % 20).alias("pair"), (docs.doc_id * 0).alias("position"), F.array(F.lit(1.0)).alias("embedding")).distinct() for _ in "ab"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in plan
