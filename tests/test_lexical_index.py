@@ -91,3 +91,13 @@ def test_scores_in_passes(spark):
     for f, c in ((V.bm25, "bm25"), (V.term_cosine, "similarity")):
         one, many = ({(r[0], r[1]): round(r[c], 9) for r in f(asked, frame, **kw).collect()} for kw in ({}, {"most": 15}))
         assert one == many and len(one) > 100
+
+
+def test_scores_leave_in_large_frames(spark, tmp_path, monkeypatch):
+    """Many blocks and queries share a frame of scores, whatever it holds at most; the best are the same."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(12))) for i in range(90)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 2}") for q in range(1, 25)], "query_id long, query string")
+    L.build(docs, str(tmp_path / "i"))
+    wanted = sorted(map(tuple, L.search(spark, str(tmp_path / "i"), asked, 4).collect()))
+    monkeypatch.setattr(L, "BATCH", 3)
+    assert len(wanted) > 50 and sorted(map(tuple, L.search(spark, str(tmp_path / "i"), asked, 4).collect())) == wanted
