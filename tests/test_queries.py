@@ -79,3 +79,13 @@ def test_hashed_words(spark):
             v[h % 384] += 1.0 if h >= 1 << 31 else -1.0
         norm = math.sqrt(sum(x * x for x in v)) or 1.0
         assert all(abs(x / norm - y) < 2e-6 for x, y in zip(v, r["embedding"], strict=True))
+
+
+def test_every_document_is_scanned(spark):
+    """structured_scan asks for the nearest of all documents, not of those whose id is divisible by 100."""
+    from doctally.plans.pair_queries import _documents, _section_pairs
+
+    folder = "/root/testdata/sf0.001"
+    ids = {r["doc_id"] for r in _documents(spark, folder).select("doc_id").collect()}
+    asked = {r["doc_a"] for r in _section_pairs(spark, folder).collect()}
+    assert asked <= ids and any(i % 100 for i in asked)
